@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.common import epoch_seconds_to_ntz, parse_iso_utc
+from .functions.common import epoch_seconds_to_ntz, parse_iso_utc, to_integer
 from .operators.enrich import local_time
 from .sources.s3 import s3_time
 
@@ -123,7 +123,7 @@ def vpc_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(
         F.lit("2").alias("version"), F.lit("123456789012").alias("account_id"),
         F.lit("eni-0a1b2c3d").alias("interface_id"), "srcaddr", "dstaddr",
-        *[F.col(c).try_cast("bigint").alias(c) for c in ("srcport", "dstport", "protocol", "packets", "bytes")],
+        *[to_integer(c).alias(c) for c in ("srcport", "dstport", "protocol", "packets", "bytes")],
         epoch_seconds_to_ntz("start_epoch").alias("window_start"),
         epoch_seconds_to_ntz("end_epoch").alias("window_end"),
         "action", "flow_log_status", F.lit("vpc_view").alias("source_file"),
@@ -151,17 +151,18 @@ VPC_HEADER = ("version account-id interface-id srcaddr dstaddr srcport dstport p
 
 
 def vpc_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(value, source_file)`` flow-log lines: one record per view row, plus per file
-    a header line, a comment line and a short (truncated) line, which the parser must drop."""
-    v = view(spark, sf_dir, "vpc").withColumn("source_file", F.format_string("flow-%03d.log", F.col("l_orderkey") % 64))
-    records = v.select(F.concat_ws(" ", F.lit("2"), F.lit("123456789012"), F.lit("eni-0a1b2c3d"), "srcaddr",
-                                   "dstaddr", "srcport", "dstport", "protocol", "packets", "bytes",
-                                   F.col("start_epoch").cast("string"), F.col("end_epoch").cast("string"),
-                                   "action", "flow_log_status").alias("value"), "source_file")
-    files = v.select("source_file").distinct()
-    junk = files.select(F.explode(F.array(F.lit(VPC_HEADER), F.lit("# comment"), F.lit("2 123456789012 eni-x 10.0.0.1"),
-                                          F.lit("   "))).alias("value"), "source_file")
-    return records.unionByName(junk)
+    """``(value, source_file)`` flow-log lines: one record per view row; the row of
+    each order's first line item also emits a header line, a comment line, a
+    short (truncated) line and a blank line, which the parser must drop.
+    Single pass over the view (a generator, no union or shuffle)."""
+    v = view(spark, sf_dir, "vpc")
+    record = F.concat_ws(" ", F.lit("2"), F.lit("123456789012"), F.lit("eni-0a1b2c3d"), "srcaddr", "dstaddr",
+                         "srcport", "dstport", "protocol", "packets", "bytes", F.col("start_epoch").cast("string"),
+                         F.col("end_epoch").cast("string"), "action", "flow_log_status")
+    junk = [F.lit(VPC_HEADER), F.lit("# comment"), F.lit("2 123456789012 eni-x 10.0.0.1"), F.lit("   ")]
+    lines = F.when(F.col("l_linenumber") == 1, F.array(*junk, record)).otherwise(F.array(record))
+    return v.select(F.explode(lines).alias("value"),
+                    F.format_string("flow-%03d.log", F.col("l_orderkey") % 64).alias("source_file"))
 
 
 def s3_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,20 @@ def parse_iso_utc(text: str | Column) -> Column:
     return instant_to_ntz(F.try_to_timestamp(col(text)))
 
 
+_INTEGER_TEXT = r"^[+-]?[0-9]+$"
+
+
+def to_integer(text: str | Column, type_name: str = "bigint") -> Column:
+    """Integer text -> number; ``-``, blanks and other text -> NULL.
+
+    The digit test runs first because a failing ``try_cast`` goes through an
+    exception inside the JVM, which costs microseconds per value; log fields
+    are ``-`` very often.
+    """
+    c = col(text)
+    return F.when(c.rlike(_INTEGER_TEXT), c.try_cast(type_name))
+
+
 def parse_naive(text: str | Column) -> Column:
     """Zone-less ``yyyy-MM-dd HH:mm:ss`` text -> TIMESTAMP_NTZ; invalid -> NULL."""
     return col(text).try_cast("timestamp_ntz")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lookups
-from ..functions.common import blank_to_null, instant_to_ntz, strip_ws
+from ..functions.common import blank_to_null, instant_to_ntz, strip_ws, to_integer
 from ..schemas import S3_FIELDS
 from .files import FLOW_NAME_REGEX, read_text_files
 
@@ -40,11 +40,17 @@ def s3_time_offset(text: str | Column) -> Column:
 
 
 def parse_s3_lines(lines: DataFrame) -> DataFrame:
-    """``(value, source_file)`` lines -> ``s3_access`` rows (projection + filter, no shuffle)."""
-    line = strip_ws("value")
-    staged = (lines.select(line.alias("line"), "source_file")
-              .filter((F.col("line") != "") & ~F.col("line").startswith("#")))
-    full = F.col("line").rlike(lookups.S3_LINE_PATTERN)
+    """``(value, source_file)`` lines -> ``s3_access`` rows (per-row work only, no shuffle)."""
+    # one line -> zero or one record: a generator, so the line expression is
+    # computed once (see parse_vpc_lines)
+    line = F.col("line")
+    staged = lines.select(strip_ws("value").alias("line"), "source_file").select(
+        F.explode(F.when((line != "") & ~line.startswith("#"), F.array(line))
+                  .otherwise(F.array().cast("array<string>"))).alias("line"), "source_file")
+    # the grammar test gets its own projection: it is used twice below and the
+    # optimizer keeps a non-trivial shared expression computed once
+    staged = staged.select("line", F.col("line").rlike(lookups.S3_LINE_PATTERN).alias("full"), "source_file")
+    full = F.col("full")
     staged = staged.select(
         F.when(full, F.split(F.regexp_replace("line", lookups.S3_LINE_PATTERN, _REPLACEMENT), _SEP))
          .otherwise(F.regexp_extract_all("line", F.lit(_TOKEN), 1)).alias("f"),
@@ -60,7 +66,7 @@ def parse_s3_lines(lines: DataFrame) -> DataFrame:
             v = F.btrim(v, F.lit('"'))
         v = blank_to_null(v)
         if name in _INT_FIELDS:
-            v = v.try_cast(_INT_FIELDS[name])
+            v = to_integer(v, _INT_FIELDS[name])
         out.append(v.alias(name))
         if name == "original_timestamp":
             out.append(s3_time(blank_to_null(F.get(F.col("f"), i))).alias("request_datetime"))

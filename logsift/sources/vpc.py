@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.common import blank_to_null, epoch_seconds_to_ntz, parse_naive, strip_ws
+from ..functions.common import blank_to_null, epoch_seconds_to_ntz, parse_naive, strip_ws, to_integer
 from .files import FLOW_NAME_REGEX, read_text_files
 
 _HEADER_FIRST = ["version", "start", "end"]
@@ -30,15 +30,23 @@ def flow_time(text: Column) -> Column:
 
 
 def parse_vpc_lines(lines: DataFrame) -> DataFrame:
-    """``(value, source_file)`` lines -> ``vpc_flow`` rows (pure projection + filter, no shuffle)."""
-    line = strip_ws("value")
-    staged = (lines
-              .select(line.alias("line"), F.col("source_file"))
-              .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-              .select(F.split("line", r"\s+").alias("p"), "source_file")
-              .filter((F.size("p") >= 13)
-                      & ~F.get("p", 0).isin(_HEADER_FIRST)
-                      & ~F.get("p", 10).isin(_HEADER_TENTH)))
+    """``(value, source_file)`` lines -> ``vpc_flow`` rows (per-row work only, no shuffle).
+
+    Each line yields zero or one record, expressed as a generator: the line is
+    tokenised once and ``explode`` emits the token array only for record
+    lines.  (A plain ``filter`` on the tokens would be pushed below the
+    tokenising projection by the optimizer, re-running the split, and the
+    expression that produced ``value``, once per predicate.)
+    """
+    line = F.col("line")
+    p = F.col("p")
+    tokens = lines.select(strip_ws("value").alias("line"), "source_file").select(
+        "line", F.split("line", r"\s+").alias("p"), "source_file")
+    is_record = ((line != "") & ~line.startswith("#") & (F.size(p) >= 13)
+                 & ~F.get(p, 0).isin(_HEADER_FIRST) & ~F.get(p, 10).isin(_HEADER_TENTH))
+    staged = tokens.select(
+        F.explode(F.when(is_record, F.array(p)).otherwise(F.array().cast("array<array<string>>"))).alias("p"),
+        "source_file")
     p = F.col("p")
     return staged.select(
         F.get(p, 0).alias("version"),
@@ -46,7 +54,7 @@ def parse_vpc_lines(lines: DataFrame) -> DataFrame:
         F.get(p, 2).alias("interface_id"),
         F.get(p, 3).alias("srcaddr"),
         F.get(p, 4).alias("dstaddr"),
-        *[F.get(p, i).try_cast("bigint").alias(name) for name, i in _NUMERIC.items()],
+        *[to_integer(F.get(p, i)).alias(name) for name, i in _NUMERIC.items()],
         flow_time(F.get(p, 10)).alias("window_start"),
         flow_time(F.get(p, 11)).alias("window_end"),
         F.get(p, 12).alias("action"),
