@@ -213,7 +213,7 @@ def export_frame(df: DataFrame, log_type: str) -> DataFrame:
         keys = [c[len(IDENTITY_PREFIX):] for c in wide.columns if c.startswith(IDENTITY_PREFIX)]
         cols += [F.try_element_at("user_identity", F.lit(k)).alias(IDENTITY_PREFIX + k) for k in keys]
     out = df.select(*cols)
-    out = out.select(*ordered_columns(out.columns, log_type))
+    out = out.select(*[F.col(f"`{c}`") for c in ordered_columns(out.columns, log_type)])
     return out.na.fill("")
 
 

@@ -42,12 +42,13 @@ def _from_csv(df: DataFrame, log_type: str) -> DataFrame:
             m = F.map_filter(F.create_map(*[x for c in ident for x in (F.lit(c[len(IDENTITY_PREFIX):]), F.col(f"`{c}`"))]),
                              lambda k, v: v.isNotNull())
             df = df.withColumn("user_identity", F.when(F.size(m) > 0, m)).drop(*ident)
-        df = df.withColumns({
+        coerce = {
             "event_time": parse_iso_utc("event_time"),
             "event_time_local": parse_naive(F.replace(F.col("event_time_local"), F.lit("T"), F.lit(" "))),
             "read_only": F.lower("read_only").try_cast("boolean"),
             "management_event": F.lower("management_event").try_cast("boolean"),
-        })
+        }
+        df = df.withColumns({k: v for k, v in coerce.items() if k in df.columns})
     elif log_type == "vpc":
         for c in ("window_start", "window_end"):
             if c in df.columns:
