@@ -107,11 +107,14 @@ def with_pct(agg: DataFrame, count_col: str, out_col: str, total: Column | None
     ``total`` defaults to the sum of ``count_col`` over the whole aggregate, as
     a scalar subquery: it is computed once (from the already-shuffled partial
     counts) and inlined, so no join, no cross product and no single-partition
-    window is needed.
+    window is needed.  The total is first bound to a column so the percentage
+    expression refers to one subquery, not one per use.
     """
     if total is None:
         total = agg.select(F.sum(count_col)).scalar()
-    return agg.withColumn(out_col, pct(F.col(count_col), total))
+    return (agg.withColumn("__total", total)
+               .withColumn(out_col, pct(F.col(count_col), F.col("__total")))
+               .drop("__total"))
 
 
 def order_desc(measure: str | Sequence[str], keys: Sequence[str] = ()) -> list[Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import lookups
 from ..functions.classify import classify_user_agent, failure_category_match
-from ..functions.common import fmt_ts, last_days, night_window, order_desc, pct, top_n, with_pct
+from ..functions.common import fmt_ts, last_days, night_window, order_desc, top_n, with_pct
 from ..schemas import IDENTITY_COLUMNS
 from .enrich import tactic_lookup, tag_tactics
 
@@ -114,19 +114,29 @@ def failed_auth_events(df: DataFrame) -> DataFrame:
     return tagged.select(*front, *rest)
 
 
-def failed_auth_details(df: DataFrame, user_field: str = "user_name") -> DataFrame:
-    """Exact long form behind the statistics: ``(category, dimension, value, count)``
-    for every failure category, dimension ``IPs``/``Users`` and distinct value."""
-    df = ensure_identity(df)
+def _failure_value_counts(df: DataFrame, user_field: str) -> DataFrame:
+    """``(category, dimension, value, count)`` over failure events, NULL values kept.
+
+    Every failure event contributes to both dimensions (``IPs`` and
+    ``Users``), so the NULL-value groups also record which categories occur.
+    One scan, one partially aggregated shuffle.
+    """
     hits = df.select(F.explode(_failure_categories()).alias("category"),
                      F.col("source_ip_address").alias("ip"), F.col(user_field).alias("user"))
     pairs = hits.select("category", F.explode(F.array(
         F.struct(F.lit("IPs").alias("dimension"), F.col("ip").alias("value")),
         F.struct(F.lit("Users").alias("dimension"), F.col("user").alias("value")))).alias("d"))
-    return (pairs.select("category", "d.dimension", "d.value").filter(F.col("value").isNotNull())
+    return (pairs.select("category", "d.dimension", "d.value")
             .groupBy("category", "dimension", "value").agg(F.count(F.lit(1)).alias("count")))
 
 
+def failed_auth_details(df: DataFrame, user_field: str = "user_name") -> DataFrame:
+    """Exact long form behind the statistics: ``(category, dimension, value, count)``
+    for every failure category, dimension ``IPs``/``Users`` and distinct value."""
+    df = ensure_identity(df)
+    return _failure_value_counts(df, user_field).filter(F.col("value").isNotNull())
+
+
 def ct_failed_auth(df: DataFrame, user_field: str = "user_name", max_details: int | None = 1000) -> DataFrame:
     """Per failure category two rows, ``<category> - IPs`` and ``<category> - Users``:
     number of distinct values and ``value (count)`` list, most frequent first.
@@ -136,26 +146,27 @@ def ct_failed_auth(df: DataFrame, user_field: str = "user_name", max_details: in
     :func:`failed_auth_details`.  Ranking uses a row_number window filtered to
     ``max_details``, which Spark executes as a per-partition group limit before
     the shuffle, so a hot category never sends more than ``max_details`` rows
-    per map task.
+    per map task.  Everything derives from one aggregate of the input.
     """
     df = ensure_identity(df)
-    details = failed_auth_details(df, user_field)
-    counts = details.groupBy("category", "dimension").agg(F.count(F.lit(1)).alias("n_distinct"))
-    ranked = details.withColumn("rank", F.row_number().over(
-        Window.partitionBy("category", "dimension").orderBy(F.col("count").desc(), F.col("value").asc())))
+    counted = _failure_value_counts(df, user_field)
+    # both branches read every column of `counted`, so they share one exchange
+    summary = counted.groupBy("category", "dimension").agg(F.count("value").alias("n_distinct"),
+                                                           F.sum("count").alias("events"))
+    ranked = counted.withColumn("rank", F.row_number().over(
+        Window.partitionBy("category", "dimension")
+        .orderBy(F.col("value").isNull().asc(), F.col("count").desc(), F.col("value").asc())))
     if max_details is not None:
         ranked = ranked.filter(F.col("rank") <= max_details)
     label = F.format_string("%s (%d)", F.col("value"), F.col("count"))
-    lists = (ranked.groupBy("category", "dimension")
+    lists = (ranked.filter(F.col("value").isNotNull()).groupBy("category", "dimension")
              .agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), label.alias("label")))).alias("items"))
              .select("category", "dimension",
                      F.array_join(F.transform("items", lambda x: x["label"]), "; ").alias("details")))
-    present = (df.select(F.explode(_failure_categories()).alias("category")).distinct()
-               .select("category", F.explode(F.array(F.lit("IPs"), F.lit("Users"))).alias("dimension")))
     cat_order = F.array_position(F.array(*[F.lit(c) for c in lookups.FAILURE_KEYWORDS]), F.col("category"))
-    out = (present.join(counts, ["category", "dimension"], "left").join(lists, ["category", "dimension"], "left")
+    out = (summary.join(lists, ["category", "dimension"], "left")
            .select(F.concat_ws(" - ", "category", "dimension").alias("category"),
-                   F.coalesce("n_distinct", F.lit(0).cast("long")).alias("count"),
+                   F.col("n_distinct").alias("count"),
                    F.coalesce("details", F.lit("N/A")).alias("details"),
                    cat_order.alias("_o1"), F.col("dimension").alias("_o2")))
     return out.orderBy("_o1", "_o2").drop("_o1", "_o2")
@@ -213,7 +224,7 @@ def ct_tactics(df: DataFrame, lookup: DataFrame | None = None, policy: str | Non
     total = df.select(F.count(F.lit(1))).scalar()
     tagged = tag_tactics(df.select("event_name"), _lookup(df, lookup, policy), "event_name", how="inner")
     agg = tagged.groupBy("tactic", "event_name").agg(F.count(F.lit(1)).alias("hit_count"))
-    out = agg.withColumn("event_pct", pct(F.col("hit_count"), total))
+    out = with_pct(agg, "hit_count", "event_pct", total)
     return out.orderBy(F.col("tactic").asc(), *order_desc("hit_count", ["event_name"]))
 
 

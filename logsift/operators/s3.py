@@ -63,7 +63,7 @@ def s3_tactics(df: DataFrame, lookup: DataFrame | None = None, policy: str | Non
     total = df.select(F.count(F.lit(1))).scalar()
     tagged = tag_tactics(df.select("operation"), _lookup(df, lookup, policy), "operation", how="inner")
     agg = tagged.groupBy("tactic", "operation").agg(F.count(F.lit(1)).alias("hit_count"))
-    out = agg.withColumn("operation_pct", pct(F.col("hit_count"), total))
+    out = with_pct(agg, "hit_count", "operation_pct", total)
     return out.orderBy(*order_desc("hit_count", ["tactic", "operation"]))
 
 
