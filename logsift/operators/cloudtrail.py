@@ -37,7 +37,12 @@ def _frequency(df: DataFrame, key: str, out_key: str, count_name: str, pct_name:
     """
     agg = df.groupBy(F.col(key).alias(out_key)).agg(F.count(F.lit(1)).alias(count_name))
     agg = with_pct(agg, count_name, pct_name, total)
-    return top_n(agg.filter(F.col(out_key).isNotNull()), count_name, None, [out_key])
+    # Drop the NULL-key group with a predicate that also reads the count: a
+    # predicate on the key alone would be pushed below the aggregation, making
+    # it differ from the aggregate the total is computed from, and the input
+    # would be scanned and shuffled twice instead of once (exchange reuse).
+    keep = F.when(F.col(out_key).isNull(), F.lit(0)).otherwise(F.col(count_name)) > 0
+    return top_n(agg.filter(keep), count_name, None, [out_key])
 
 
 # CT-1 -----------------------------------------------------------------------
@@ -220,11 +225,18 @@ def _lookup(df: DataFrame, lookup: DataFrame | None, policy: str | None) -> Data
 
 
 def ct_tactics(df: DataFrame, lookup: DataFrame | None = None, policy: str | None = None) -> DataFrame:
-    """(tactic, event name) hit counts with % of all events; tactic A-Z, hits desc."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    tagged = tag_tactics(df.select("event_name"), _lookup(df, lookup, policy), "event_name", how="inner")
-    agg = tagged.groupBy("tactic", "event_name").agg(F.count(F.lit(1)).alias("hit_count"))
-    out = with_pct(agg, "hit_count", "event_pct", total)
+    """(tactic, event name) hit counts with % of all events; tactic A-Z, hits desc.
+
+    Events are counted per name first (partial aggregation, one shuffle); the
+    tactic lookup is then joined to that small aggregate, and the total comes
+    from the same aggregate, so the input is scanned once.
+    """
+    # non-NULL key: otherwise the join's inferred "key IS NOT NULL" would be pushed
+    # below the aggregation and the total could no longer reuse its shuffle
+    by_name = df.groupBy(F.coalesce("event_name", F.lit("")).alias("event_name")).agg(F.count(F.lit(1)).alias("hit_count"))
+    total = by_name.select(F.sum("hit_count")).scalar()
+    hits = tag_tactics(by_name, _lookup(df, lookup, policy), "event_name", how="inner")
+    out = with_pct(hits.select("tactic", "event_name", "hit_count"), "hit_count", "event_pct", total)
     return out.orderBy(F.col("tactic").asc(), *order_desc("hit_count", ["event_name"]))
 
 

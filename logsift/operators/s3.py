@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lookups
 from ..functions.classify import classify_user_agent_coarse, split_requester
-from ..functions.common import order_desc, pct, top_n, with_pct
+from ..functions.common import order_desc, top_n, with_pct
 from ..schemas import S3_EVENT_DISPLAY_NAMES
 from .enrich import tactic_lookup, tag_tactics
 
@@ -59,11 +59,17 @@ def _lookup(df: DataFrame, lookup: DataFrame | None, policy: str | None) -> Data
 
 
 def s3_tactics(df: DataFrame, lookup: DataFrame | None = None, policy: str | None = None) -> DataFrame:
-    """(tactic, operation) hit counts with % of all requests; unmapped operations skipped."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    tagged = tag_tactics(df.select("operation"), _lookup(df, lookup, policy), "operation", how="inner")
-    agg = tagged.groupBy("tactic", "operation").agg(F.count(F.lit(1)).alias("hit_count"))
-    out = with_pct(agg, "hit_count", "operation_pct", total)
+    """(tactic, operation) hit counts with % of all requests; unmapped operations skipped.
+
+    Requests are counted per operation first; the lookup joins the small
+    aggregate and the total comes from the same aggregate (one scan).
+    """
+    # non-NULL key: otherwise the join's inferred "key IS NOT NULL" would be pushed
+    # below the aggregation and the total could no longer reuse its shuffle
+    by_op = df.groupBy(F.coalesce("operation", F.lit("")).alias("operation")).agg(F.count(F.lit(1)).alias("hit_count"))
+    total = by_op.select(F.sum("hit_count")).scalar()
+    hits = tag_tactics(by_op, _lookup(df, lookup, policy), "operation", how="inner")
+    out = with_pct(hits.select("tactic", "operation", "hit_count"), "hit_count", "operation_pct", total)
     return out.orderBy(*order_desc("hit_count", ["tactic", "operation"]))
 
 
