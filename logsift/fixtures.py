@@ -87,10 +87,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Raw-log renderers stand in for many delivered log files, which a real
+    scan reads in parallel.  Each benchmark table is a single Parquet row group
+    (one scan task), so rows are spread round-robin when the scan has fewer
+    partitions than the session's parallelism, letting the parsers use every
+    core.  A no-op when the input already has enough partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
     """One of ``ct``, ``vpc``, ``s3`` as a Spark DataFrame over the sf_dir tables."""
     text, tbl = VIEWS[name]
-    return spark.sql(text, **{tbl: table(spark, sf_dir, tbl)})
+    t = table(spark, sf_dir, tbl)
+    return spark.sql(text, **{tbl: spread(t) if spread_rows else t})
 
 
 # ---------------------------------------------------------------------------
@@ -155,7 +166,7 @@ def vpc_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     each order's first line item also emits a header line, a comment line, a
     short (truncated) line and a blank line, which the parser must drop.
     Single pass over the view (a generator, no union or shuffle)."""
-    v = view(spark, sf_dir, "vpc")
+    v = view(spark, sf_dir, "vpc", spread_rows=True)
     record = F.concat_ws(" ", F.lit("2"), F.lit("123456789012"), F.lit("eni-0a1b2c3d"), "srcaddr", "dstaddr",
                          "srcport", "dstport", "protocol", "packets", "bytes", F.col("start_epoch").cast("string"),
                          F.col("end_epoch").cast("string"), "action", "flow_log_status")
@@ -168,7 +179,7 @@ def vpc_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s3_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(value, source_file)`` access-log lines.  Rows whose user agent is ``-`` are
     written in the short unquoted form, which takes the fallback tokeniser."""
-    v = view(spark, sf_dir, "s3").withColumn("source_file", F.format_string("access-%02d.log", F.col("o_orderkey") % 16))
+    v = view(spark, sf_dir, "s3", spread_rows=True).withColumn("source_file", F.format_string("access-%02d.log", F.col("o_orderkey") % 16))
     uri = F.concat(F.lit('"GET '), F.col("object_key"), F.lit(' HTTP/1.1"'))
     full = F.concat_ws(" ", "bucket_owner", "bucket", "original_timestamp", "remote_ip", "requester", "request_id",
                        "operation", "object_key", uri, F.lit("200"), F.lit("-"), F.col("bytes_sent").cast("string"),

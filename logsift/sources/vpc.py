@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.common import blank_to_null, epoch_seconds_to_ntz, parse_naive, strip_ws, to_integer
+from ..functions.common import blank_to_null, epoch_seconds_to_ntz, parse_naive, to_integer
 from .files import FLOW_NAME_REGEX, read_text_files
 
 _HEADER_FIRST = ["version", "start", "end"]
@@ -29,6 +29,19 @@ def flow_time(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]+$"), epoch_seconds_to_ntz(text.try_cast("bigint"))).otherwise(parse_naive(text))
 
 
+def whitespace_tokens(text: Column) -> Column:
+    """Split on runs of whitespace, ignoring leading/trailing whitespace (like ``str.split()``).
+
+    Lines without tabs/LF/CR/FF/VT take Java's single-character split (no regex);
+    only the others pay for ``\\s+``.  Empty tokens from repeated or edge blanks
+    are removed.
+    """
+    other_ws = (text.contains("\t") | text.contains("\n") | text.contains("\r") | text.contains("\f")
+                | text.contains("\u000b"))
+    parts = F.when(other_ws, F.split(text, r"\s+")).otherwise(F.split(text, " "))
+    return F.array_remove(parts, "")
+
+
 def parse_vpc_lines(lines: DataFrame) -> DataFrame:
     """``(value, source_file)`` lines -> ``vpc_flow`` rows (per-row work only, no shuffle).
 
@@ -36,13 +49,12 @@ def parse_vpc_lines(lines: DataFrame) -> DataFrame:
     tokenised once and ``explode`` emits the token array only for record
     lines.  (A plain ``filter`` on the tokens would be pushed below the
     tokenising projection by the optimizer, re-running the split, and the
-    expression that produced ``value``, once per predicate.)
+    expression that produced ``value``, once per predicate.)  Blank lines have
+    no tokens; comment lines are those whose first token starts with ``#``.
     """
-    line = F.col("line")
     p = F.col("p")
-    tokens = lines.select(strip_ws("value").alias("line"), "source_file").select(
-        "line", F.split("line", r"\s+").alias("p"), "source_file")
-    is_record = ((line != "") & ~line.startswith("#") & (F.size(p) >= 13)
+    tokens = lines.select(whitespace_tokens(F.col("value")).alias("p"), "source_file")
+    is_record = ((F.size(p) >= 13) & ~F.get(p, 0).startswith("#")
                  & ~F.get(p, 0).isin(_HEADER_FIRST) & ~F.get(p, 10).isin(_HEADER_TENTH))
     staged = tokens.select(
         F.explode(F.when(is_record, F.array(p)).otherwise(F.array().cast("array<array<string>>"))).alias("p"),
