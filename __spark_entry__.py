@@ -125,6 +125,20 @@ def _export_vpc(s, d):
     return bundle.export_frame(fx.vpc_frame(s, d), "vpc")
 
 
+# end to end: raw log text -> parser -> analysis (same results as on the typed views)
+
+def _vpc_parsed(s, d):
+    return parse_vpc_lines(fx.vpc_raw_lines(s, d))
+
+
+def _s3_parsed(s, d):
+    return parse_s3_lines(fx.s3_raw_lines(s, d))
+
+
+def _ct_parsed(s, d):
+    return parse_cloudtrail_docs(fx.ct_raw_documents(s, d, "records"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ctf, vpcf, s3f = fx.ct_frame, fx.vpc_frame, fx.s3_frame
     return {
@@ -177,6 +191,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rpt_operation_labels": lambda s, d: rpt.operation_labels(s3a.s3_operations(s3f(s, d), 10)),
         "rpt_ua_labels": lambda s, d: rpt.user_agent_labels(s3a.s3_user_agents(s3f(s, d), 10)),
         "rpt_s3_event_preview": lambda s, d: rpt.s3_event_preview(s3a.s3_tactic_events(s3f(s, d))),
+        # end to end (raw text -> parsed -> report)
+        "vpc_pipeline_top_connections": lambda s, d: vpc.vpc_top_connections(_vpc_parsed(s, d)),
+        "vpc_pipeline_night_remote": lambda s, d: vpc.vpc_night_remote(_vpc_parsed(s, d)),
+        "s3_pipeline_requesters": lambda s, d: s3a.s3_requesters(_s3_parsed(s, d)),
+        "s3_pipeline_tactics": lambda s, d: s3a.s3_tactics(_s3_parsed(s, d)),
+        "ct_pipeline_failed_auth": lambda s, d: ct.ct_failed_auth(_ct_parsed(s, d)),
+        "ct_pipeline_night_events": lambda s, d: ct.ct_night_events(_ct_parsed(s, d)),
         # sinks
         "run_summary": _run_summary,
         "export_column_order": _export_vpc,

@@ -406,10 +406,21 @@ UNION ALL SELECT 'vpc', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'no data' END, cou
 UNION ALL SELECT 's3', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'no data' END, count(*) FROM s3""", "ct", "vpc", "s3")
 
 
+def _pipeline_oracles(q: dict) -> None:
+    # parsing raw text is lossless for the fields these reports use
+    for pipeline, direct in (("vpc_pipeline_top_connections", "vpc_top_connections"),
+                             ("vpc_pipeline_night_remote", "vpc_night_remote"),
+                             ("s3_pipeline_requesters", "s3_requesters"), ("s3_pipeline_tactics", "s3_tactics"),
+                             ("ct_pipeline_failed_auth", "ct_failed_auth"),
+                             ("ct_pipeline_night_events", "ct_night_events")):
+        q[pipeline] = q[direct]
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     _vpc_oracles(q)
     _s3_oracles(q)
     _ct_oracles(q)
     _summary_oracle(q)
+    _pipeline_oracles(q)
     return q
