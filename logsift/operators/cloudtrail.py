@@ -155,9 +155,13 @@ def ct_failed_auth(df: DataFrame, user_field: str = "user_name", max_details: in
     """
     df = ensure_identity(df)
     counted = _failure_value_counts(df, user_field)
-    # both branches read every column of `counted`, so they share one exchange
-    summary = counted.groupBy("category", "dimension").agg(F.count("value").alias("n_distinct"),
-                                                           F.sum("count").alias("events"))
+    # Both branches read every column of `counted`, so they share one exchange
+    # (one pass over the input).  `events > 0` holds by construction; it keeps
+    # the count column in use, otherwise column pruning would drop it from this
+    # branch's aggregate and the two branches would each scan the input.
+    summary = (counted.groupBy("category", "dimension")
+               .agg(F.count("value").alias("n_distinct"), F.sum("count").alias("events"))
+               .filter(F.col("events") > 0))
     ranked = counted.withColumn("rank", F.row_number().over(
         Window.partitionBy("category", "dimension")
         .orderBy(F.col("value").isNull().asc(), F.col("count").desc(), F.col("value").asc())))
