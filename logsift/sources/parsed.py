@@ -10,6 +10,7 @@ NULL instead of failing the job.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,12 @@ def _from_csv(df: DataFrame, log_type: str) -> DataFrame:
 def load_parsed(spark: SparkSession, path: str, log_type: str, fmt: str = "parquet") -> DataFrame:
     """Read a parsed ``cloudtrail`` / ``vpc`` / ``s3`` table in canonical form."""
     if fmt == "parquet":
-        df = spark.read.parquet(path)
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException as exc:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(exc) and "PATH_NOT_FOUND" not in str(exc):
+                raise
+            df = spark.createDataFrame([], SCHEMAS[log_type])   # nothing was landed: empty table
         df = _conform(df, log_type)
     elif fmt == "csv":
         df = _from_csv(spark.read.option("header", "true").option("inferSchema", "false")

@@ -136,3 +136,20 @@ def test_s3_requester_filter_after_limit(spark):
     assert [(r.requester_arn, r.source_ip, r.request_count) for r in first] == [("iam:user/u", "10.0.0.1", 2)]
     ops = s3a.s3_operations(df).collect()
     assert ops[0].prefix == "k" and ops[0]["count"] == 6
+
+
+def test_documented_options(spark):
+    base = {f.name: None for f in S3_SCHEMA.fields}
+    rows = [tuple({**base, "operation": "REST.GET.OBJECT", "bucket": "b", "key": k}[f.name] for f in S3_SCHEMA.fields)
+            for k in ["/logs/2025/a", "/logs/2025/b", "logs/2024/c", "/img/x"]]
+    ops = {r.prefix: r["count"] for r in s3a.s3_operations(spark.createDataFrame(rows, S3_SCHEMA), prefix_depth=1).collect()}
+    assert ops == {"logs": 3, "img": 1}
+    t = datetime(2025, 10, 1, 3, 0, 0)
+    df = _ct(spark, [
+        (t, t, "r", "ConsoleLogin", "1.1.1.1", "ua", None, None, None, {"userName": "alice"}),
+    ]).withColumn("response_elements", F.lit('{"ConsoleLogin":"Failure"}'))
+    assert ct.ct_console_login(df).first().login_status == "Success"
+    assert ct.ct_console_login(df, status_from="response").first().login_status == "Failed"
+    fails = _ct(spark, [(t, t, "r", "X", "1.1.1.1", None, "AccessDenied", None, None, {"principalId": "AID1"})])
+    users = {r.category: r.details for r in ct.ct_failed_auth(fails, user_field="principal_id").collect()}
+    assert users["Authorization Failures - Users"] == "AID1 (1)"
