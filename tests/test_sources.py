@@ -150,3 +150,14 @@ def test_s3_lines(spark, tmp_dir):
     assert fb.remote_ip == "-" and fb.requester == "svc" and fb.operation == "S3.EXPIRE.OBJECT"
     assert str(fb.request_datetime) == "2025-10-01 02:55:11"
     assert fb.host_id is None and fb.version_id == "-" and fb.object_size == 20
+
+
+def test_cloudtrail_wrapper_edge_cases(spark):
+    from logsift.sources.cloudtrail import parse_cloudtrail_docs
+
+    docs = [('{"Records": "x"}', "a"), ('{"Records": null}', "b"), ('{"Records": []}', "c"), ("{}", "d"),
+            ("[]", "e"), ('"str"', "f"), ('{"Records": [{"eventName": "A"}, null, 3]}', "g"), ("   ", "h"),
+            ('{"eventName": "B", "Records": 5}', "i")]
+    df = parse_cloudtrail_docs(spark.createDataFrame(docs, "value string, source_file string"))
+    # a Records key that is not a list yields nothing; {} is one (empty) event; non-objects are dropped
+    assert sorted((r.source_file, r.event_name) for r in df.collect()) == [("d", None), ("g", "A")]
