@@ -190,7 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rpt_requester_labels": lambda s, d: rpt.requester_labels(s3a.s3_requesters(s3f(s, d), 10)),
         "rpt_operation_labels": lambda s, d: rpt.operation_labels(s3a.s3_operations(s3f(s, d), 10)),
         "rpt_ua_labels": lambda s, d: rpt.user_agent_labels(s3a.s3_user_agents(s3f(s, d), 10)),
-        "rpt_s3_event_preview": lambda s, d: rpt.s3_event_preview(s3a.s3_tactic_events(s3f(s, d))),
+        "rpt_s3_event_preview": lambda s, d: rpt.s3_event_preview(s3a.s3_tactic_events(s3f(s, d), sort=True)),
         # end to end (raw text -> parsed -> report)
         "vpc_pipeline_top_connections": lambda s, d: vpc.vpc_top_connections(_vpc_parsed(s, d)),
         "vpc_pipeline_night_remote": lambda s, d: vpc.vpc_night_remote(_vpc_parsed(s, d)),

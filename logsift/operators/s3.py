@@ -74,11 +74,12 @@ def s3_tactics(df: DataFrame, lookup: DataFrame | None = None, policy: str | Non
 
 
 def s3_tactic_events(df: DataFrame, lookup: DataFrame | None = None, policy: str | None = None,
-                     display_names: bool = False, sort: bool = True) -> DataFrame:
+                     display_names: bool = False, sort: bool = False) -> DataFrame:
     """Every request with a mapped tactic, tactic first.
 
-    ``display_names=True`` renames columns to the report headers
-    (``Operation``, ``Source IP``, ``Timestamp (UTC)``, ...).
+    Input order, like the original listing (no shuffle); ``sort=True`` orders
+    by request time and request id.  ``display_names=True`` renames columns
+    to the report headers (``Operation``, ``Source IP``, ``Timestamp (UTC)``, ...).
     """
     tagged = tag_tactics(df, _lookup(df, lookup, policy), "operation", how="inner")
     out = tagged.select("tactic", *df.columns)

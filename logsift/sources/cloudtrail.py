@@ -153,13 +153,18 @@ def read_cloudtrail(spark: SparkSession, path: str | list[str], jsonl_by_line: b
     return parse_cloudtrail_docs(docs, offsets).unionByName(parse_cloudtrail_lines(lines, offsets))
 
 
-def identity_wide(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def identity_wide(df: DataFrame, keys: list[str] | None = None, max_keys: int = 10_000) -> DataFrame:
     """Wide view of ``user_identity``: one ``userIdentity.<key>`` column per key.
 
-    ``keys`` defaults to the distinct keys present (one small aggregation:
-    keys are few, the distinct set is built with partial aggregation).
+    ``keys`` defaults to the distinct keys present: one extra pass with
+    partial aggregation, and only the key names (schema-like, a few dozen)
+    reach the driver.  More than ``max_keys`` distinct keys is treated as an
+    error rather than pulled to the driver.
     """
     if keys is None:
-        keys = sorted(r[0] for r in df.select(F.explode(F.map_keys("user_identity")).alias("k"))
-                      .distinct().collect())
+        found = (df.select(F.explode(F.map_keys("user_identity")).alias("k")).distinct()
+                 .limit(max_keys + 1).collect())
+        if len(found) > max_keys:
+            raise ValueError(f"more than {max_keys} distinct userIdentity keys; pass keys explicitly")
+        keys = sorted(r[0] for r in found)
     return df.select("*", *[F.try_element_at("user_identity", F.lit(k)).alias(f"userIdentity.{k}") for k in keys])
