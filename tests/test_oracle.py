@@ -45,3 +45,14 @@ def test_query_matches_oracle(spark, con, name):
     drows = sorted((tuple(_norm(dict(zip(dcols, r))[c]) for c in cols) for r in cur.fetchall()), key=repr)
     srows = sorted((tuple(_norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
     assert srows == drows
+
+
+@pytest.mark.parametrize("name", ["ct_local_time", "vpc_parse_lines", "s3_parse_lines", "ct_parse_records",
+                                  "ct_console_login_recent", "vpc_night_remote"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        test_query_matches_oracle(spark, con, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
