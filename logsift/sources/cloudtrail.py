@@ -113,7 +113,8 @@ def project_records(records: DataFrame, offsets: dict | None = None) -> DataFram
     identity = F.try_variant_get(rec, "$.userIdentity", "map<string,variant>")
     identity = F.transform_values(identity, lambda k, v: blank_to_null(F.try_variant_get(v, "$", "string")))
     identity = F.when(F.size(identity) > 0, identity)
-    is_object = F.try_variant_get(rec, "$", "map<string,variant>").isNotNull()
+    # an object casts to a struct (one field looked up); arrays and scalars do not
+    is_object = F.try_variant_get(rec, "$", "struct<eventVersion:string>").isNotNull()
     staged = records.filter(is_object).select(*cols, identity.alias("user_identity"), "source_file")
     return staged.select(
         parse_iso_utc("event_time_text").alias("event_time"),
