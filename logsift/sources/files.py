@@ -47,12 +47,20 @@ def read_text_files(spark: SparkSession, path: str | list[str], name_regex: str,
               .option("ignoreMissingFiles", "true"))
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
+    paths = [path] if isinstance(path, str) else list(path)
     try:
         # wholetext must be passed as an argument: text() overrides the option
-        raw = reader.text(path, wholetext=wholetext)
+        raw = reader.text(paths, wholetext=wholetext)
     except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+        if "PATH_NOT_FOUND" not in str(exc) and "Path does not exist" not in str(exc):
+            raise
+        if len(paths) <= 1:
             return empty_lines(spark)
-        raise
+        # some of several paths are missing: read the others, skip the missing ones
+        parts = [read_text_files(spark, p, name_regex, wholetext, ignore_corrupt, options) for p in paths]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     return (raw.filter(F.col("_metadata.file_name").rlike(name_regex))
                .select(F.col("value"), F.col("_metadata.file_name").alias("source_file")))

@@ -161,3 +161,10 @@ def test_cloudtrail_wrapper_edge_cases(spark):
     df = parse_cloudtrail_docs(spark.createDataFrame(docs, "value string, source_file string"))
     # a Records key that is not a list yields nothing; {} is one (empty) event; non-objects are dropped
     assert sorted((r.source_file, r.event_name) for r in df.collect()) == [("d", None), ("g", "A")]
+
+
+def test_missing_path_in_list_is_skipped(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "vpc_list")
+    _write(f"{d}/day1/a.log", VPC_LINES)
+    df = read_vpc_flow(spark, [f"{d}/day1", f"{d}/day2-not-delivered"])
+    assert df.count() == 3
