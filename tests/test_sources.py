@@ -168,3 +168,16 @@ def test_missing_path_in_list_is_skipped(spark, tmp_dir):
     _write(f"{d}/day1/a.log", VPC_LINES)
     df = read_vpc_flow(spark, [f"{d}/day1", f"{d}/day2-not-delivered"])
     assert df.count() == 3
+
+
+def test_corrupt_gzip_does_not_fail_the_scan(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "vpc_corrupt")
+    _write(f"{d}/good.log", VPC_LINES)
+    blob = gzip.compress(VPC_LINES.encode() * 50)
+    os.makedirs(d, exist_ok=True)
+    with open(f"{d}/truncated.log.gz", "wb") as fh:
+        fh.write(blob[: len(blob) // 2])
+    with open(f"{d}/not_gzip.gz", "wb") as fh:
+        fh.write(b"plain text, wrong extension")
+    df = read_vpc_flow(spark, d)
+    assert df.filter(F.col("source_file") == "good.log").count() == 3
