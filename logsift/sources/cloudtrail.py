@@ -47,16 +47,17 @@ _FIELDS = [
 _EMPTY_JSON = ["", "{}", "[]", "null", "false", "0", '""']
 
 
-def _path(key: str) -> str:
-    return "$." + key if key.isidentifier() else '$["' + key + '"]'
+# One cast of each record to a struct extracts every field in a single pass
+# over the object (instead of one path lookup per field).  Every field is a
+# string or a VARIANT, casts that cannot fail, so the struct is NULL exactly
+# when the record is not a JSON object.
+_RECORD_STRUCT = ("struct<" + ",".join(f"{key}:{'string' if kind == 's' else 'variant'}" for key, _, kind in _FIELDS)
+                  + ",userIdentity:variant>")
 
 
-def _scalar(rec: Column, key: str) -> Column:
-    return blank_to_null(F.try_variant_get(rec, _path(key), "string"))
-
-
-def _json_text(rec: Column, key: str) -> Column:
-    j = F.to_json(F.try_variant_get(rec, _path(key), "variant"))
+def _json_text(v: Column) -> Column:
+    """VARIANT -> compact JSON text; empty values (``{}``, ``[]``, ``""``, ``0``, ``false``, null) -> NULL."""
+    j = F.to_json(v)
     return F.when(~j.isin(_EMPTY_JSON), j)
 
 
@@ -101,21 +102,23 @@ def line_records(lines: DataFrame) -> DataFrame:
 
 def project_records(records: DataFrame, offsets: dict | None = None) -> DataFrame:
     """``(rec, source_file)`` -> canonical ``cloudtrail`` rows; non-object records are dropped."""
-    rec = F.col("rec")
+    r = F.col("r")
     cols = []
     for key, name, kind in _FIELDS:
         if kind == "s":
-            cols.append(_scalar(rec, key).alias(name))
+            cols.append(blank_to_null(r[key]).alias(name))
         elif kind == "j":
-            cols.append(_json_text(rec, key).alias(name))
+            cols.append(_json_text(r[key]).alias(name))
         else:
-            cols.append(F.try_variant_get(rec, _path(key), "boolean").alias(name))
-    identity = F.try_variant_get(rec, "$.userIdentity", "map<string,variant>")
+            cols.append(F.try_variant_get(r[key], "$", "boolean").alias(name))
+    identity = F.try_variant_get(r["userIdentity"], "$", "map<string,variant>")
     identity = F.transform_values(identity, lambda k, v: blank_to_null(F.try_variant_get(v, "$", "string")))
     identity = F.when(F.size(identity) > 0, identity)
-    # an object casts to a struct (one field looked up); arrays and scalars do not
-    is_object = F.try_variant_get(rec, "$", "struct<eventVersion:string>").isNotNull()
-    staged = records.filter(is_object).select(*cols, identity.alias("user_identity"), "source_file")
+    typed = records.select(F.try_variant_get("rec", "$", _RECORD_STRUCT).alias("r"), "source_file")
+    # keep object records as a generator, not a filter: a filter would be pushed
+    # below the projection and cast every record twice
+    objects = typed.select(F.explode(F.when(r.isNotNull(), F.array(r))).alias("r"), "source_file")
+    staged = objects.select(*cols, identity.alias("user_identity"), "source_file")
     return staged.select(
         parse_iso_utc("event_time_text").alias("event_time"),
         local_time(parse_iso_utc("event_time_text"), F.col("aws_region"), offsets).alias("event_time_local"),
