@@ -43,8 +43,9 @@ def build_session(master: str | None = None, app: str = "logsift", shuffle_parti
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local runs, tests) a private temporary
-    folder is created and registered.
+    Only a local-mode session that names none (local runs, tests) gets a
+    private temporary folder.  On a cluster a machine-local folder would not
+    survive the loss of an executor, so a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or S3) for checkpointing")
     path = tempfile.mkdtemp(prefix="logsift-ckpt-")
     sc.setCheckpointDir(path)
     return path

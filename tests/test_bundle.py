@@ -78,3 +78,12 @@ def test_legacy_vpc_and_s3_csv(spark, tmp_dir):
         fh.write("[01/Oct/2025:11:55:11 +0000],REST.GET.OBJECT,-,f.log\n")
     r = load_parsed(spark, s3_csv, "s3", fmt="csv").first()
     assert str(r.request_datetime) == "2025-10-01 11:55:11" and r.source_file == "f.log"
+
+
+def test_checkpoint_materialization_matches_lazy(spark):
+    from logsift.session import checkpoint_dir
+    lazy = bundle.run_analysis(fx.vpc_frame(spark, SF), "vpc", materialization=None)
+    ckpt = bundle.run_analysis(fx.vpc_frame(spark, SF), "vpc", materialization="checkpoint")
+    assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+    for name in bundle.VPC_TABLES:
+        assert sorted(lazy[name].collect()) == sorted(ckpt[name].collect())
