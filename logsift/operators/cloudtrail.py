@@ -142,17 +142,20 @@ def failed_auth_details(df: DataFrame, user_field: str = "user_name") -> DataFra
     return _failure_value_counts(df, user_field).filter(F.col("value").isNotNull())
 
 
-def ct_failed_auth(df: DataFrame, user_field: str = "user_name", max_details: int | None = 1000) -> DataFrame:
+def ct_failed_auth(df: DataFrame, user_field: str = "user_name", max_details: int = 1000) -> DataFrame:
     """Per failure category two rows, ``<category> - IPs`` and ``<category> - Users``:
     number of distinct values and ``value (count)`` list, most frequent first.
 
     ``count`` is always exact.  ``details`` lists the ``max_details`` most
-    frequent values (``None`` = all); the complete list is
-    :func:`failed_auth_details`.  Ranking uses a row_number window filtered to
+    frequent values; the complete list is :func:`failed_auth_details`, one row
+    per value.  The bound is required: one category may hold most failures,
+    and an unbounded list would be built in one task as one row.  Ranking uses a row_number window filtered to
     ``max_details``, which Spark executes as a per-partition group limit before
     the shuffle, so a hot category never sends more than ``max_details`` rows
     per map task.  Everything derives from one aggregate of the input.
     """
+    if max_details is None or max_details < 1:
+        raise ValueError("max_details must be a positive bound; use failed_auth_details for every value")
     df = ensure_identity(df)
     counted = _failure_value_counts(df, user_field)
     # Both branches read every column of `counted`, so they share one exchange
@@ -165,8 +168,7 @@ def ct_failed_auth(df: DataFrame, user_field: str = "user_name", max_details: in
     ranked = counted.withColumn("rank", F.row_number().over(
         Window.partitionBy("category", "dimension")
         .orderBy(F.col("value").isNull().asc(), F.col("count").desc(), F.col("value").asc())))
-    if max_details is not None:
-        ranked = ranked.filter(F.col("rank") <= max_details)
+    ranked = ranked.filter(F.col("rank") <= max_details)
     label = F.format_string("%s (%d)", F.col("value"), F.col("count"))
     lists = (ranked.filter(F.col("value").isNotNull()).groupBy("category", "dimension")
              .agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), label.alias("label")))).alias("items"))

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from logsift.operators import cloudtrail as ct
@@ -81,6 +82,8 @@ def test_failed_auth_categories_and_cap(spark):
     }
     capped = {r.category: r.details for r in ct.ct_failed_auth(df, max_details=1).collect()}
     assert capped["Authorization Failures - Users"] == "u1 (1)"
+    with pytest.raises(ValueError):
+        ct.ct_failed_auth(df, max_details=None)
     events = ct.failed_auth_events(df)
     assert events.columns[:8] == ["category", "failure_time", "failure_ip", "failure_user", "failure_account",
                                   "failure_type", "failure_message", "event_name"]
