@@ -100,14 +100,18 @@ def _csv_safe(df: DataFrame) -> DataFrame:
 
 
 def write_bundle(tables: Mapping[str, DataFrame], path: str, log_type: str, fmt: str = "parquet",
-                 mode: str = "overwrite") -> dict[str, str]:
+                 mode: str = "overwrite", rebalance: bool = True) -> dict[str, str]:
     """Write each table under ``path/<log_type>/<table>/``.
 
     Row-level listings (tagged events) are as large as the input: they are
     written partitioned by tactic, sorted by (tactic, time) within each task,
-    instead of being globally sorted or shuffled by tactic (one tactic can
-    hold a third of all events; it must not land in one task).  Returns
-    name -> location.
+    never globally sorted.  Every scan task holds events of every tactic, so a
+    plain partitioned write leaves (tasks x tactics) small files.  With
+    ``rebalance`` (default) the listing goes through one ``REBALANCE`` shuffle
+    on tactic: AQE splits a hot tactic (one may hold a third of all events)
+    into advisory-sized tasks and merges small ones, giving files of about
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.  Without AQE the hint
+    is ignored.  Returns name -> location.
     """
     written = {}
     for name, df in tables.items():
@@ -117,6 +121,8 @@ def write_bundle(tables: Mapping[str, DataFrame], path: str, log_type: str, fmt:
             df = _csv_safe(df)
         if name == "Mitre_ATTACK_Events" and "tactic" in df.columns:
             keys = ["tactic"] + ([TIME_COLUMN[log_type]] if TIME_COLUMN[log_type] in df.columns else [])
+            if rebalance:
+                df = df.hint("rebalance", "tactic")
             df = df.sortWithinPartitions(*keys)
             partition_by = ["tactic"]
         w = df.write.mode(mode).format(fmt)

@@ -87,3 +87,22 @@ def test_checkpoint_materialization_matches_lazy(spark):
     assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
     for name in bundle.VPC_TABLES:
         assert sorted(lazy[name].collect()) == sorted(ckpt[name].collect())
+
+
+def test_listing_write_rebalances_files(spark, tmp_dir):
+    import glob
+
+    from logsift.functions.common import epoch_seconds_to_ntz
+    n = 60_000
+    df = (spark.range(n, numPartitions=12)
+          .select(F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("T"), (F.col("id") % 5).cast("string")))
+                  .alias("tactic"), F.col("id").cast("string").alias("request_id"),
+                  epoch_seconds_to_ntz(F.col("id")).alias("request_datetime")))
+    counts = {r.tactic: r["count"] for r in df.groupBy("tactic").count().collect()}
+    plain = bundle.write_bundle({"Mitre_ATTACK_Events": df}, tmp_dir + "/plain", "s3", rebalance=False)
+    rebal = bundle.write_bundle({"Mitre_ATTACK_Events": df}, tmp_dir + "/rebal", "s3")
+    n_plain = len(glob.glob(plain["Mitre_ATTACK_Events"] + "/tactic=*/*.parquet"))
+    n_rebal = len(glob.glob(rebal["Mitre_ATTACK_Events"] + "/tactic=*/*.parquet"))
+    assert n_plain == 12 * len(counts) and n_rebal < n_plain
+    back = spark.read.parquet(rebal["Mitre_ATTACK_Events"])
+    assert {r.tactic: r["count"] for r in back.groupBy("tactic").count().collect()} == counts
