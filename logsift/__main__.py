@@ -24,9 +24,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session(args.master)
     summary = run_pipeline(spark, args.output, args.cloudtrail, args.vpc, args.s3, fmt=args.format, as_of=args.as_of)
     summary.show(truncate=False)
-    ok = summary.filter("status = 'ok'").count()
-    print(f"successful log types: {ok}")
-    return 0
+    statuses = [r.status for r in summary.select("status").collect()]   # one row per log type
+    print(f"successful log types: {statuses.count('ok')}")
+    # non-zero exit when a given log type failed, so a scheduler sees it
+    return 1 if "error" in statuses else 0
 
 
 if __name__ == "__main__":

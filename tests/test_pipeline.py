@@ -22,3 +22,21 @@ def test_run_pipeline(spark, tmp_dir):
     logins = spark.read.parquet(f"{out}/analysis/cloudtrail/ConsoleLogin_Statistics")
     assert logins.count() == 5
     assert spark.read.parquet(f"{out}/analysis/vpc/Connection_Statistics__Top_20_").count() == 3
+
+
+def test_command_line_exit_status(tmp_dir):
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    _write(f"{tmp_dir}/in/vpc/a.log", VPC_LINES)
+    base = [sys.executable, "-m", "logsift", "--master", "local[2]", "--format", "csv"]
+    ok = subprocess.run(base + ["--output", f"{tmp_dir}/out1", "--vpc", f"{tmp_dir}/in/vpc"],
+                        cwd=root, capture_output=True, text=True, timeout=300)
+    assert ok.returncode == 0, ok.stderr[-2000:]
+    assert "successful log types: 1" in ok.stdout
+    assert os.listdir(f"{tmp_dir}/out1/analysis/vpc")
+    # the output folder is a file: nothing can be written under it -> exit status 1
+    _write(f"{tmp_dir}/out2", "not a folder")
+    bad = subprocess.run(base + ["--output", f"{tmp_dir}/out2", "--vpc", f"{tmp_dir}/in/vpc"],
+                         cwd=root, capture_output=True, text=True, timeout=300)
+    assert bad.returncode == 1 and "error" in bad.stdout
