@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from .. import lookups
 from ..functions.common import col
 
-# A user-supplied lookup is broadcast only up to this many rows; above it the
-# join is left to the planner (sort-merge / AQE), so nothing unbounded is ever
-# shipped to every executor.
+# A user-supplied lookup is broadcast only up to this many rows and bytes;
+# above either bound the join is left to the planner (sort-merge / AQE), so
+# nothing unbounded is ever shipped to every executor.
 MAX_BROADCAST_LOOKUP_ROWS = 1_000_000
+MAX_BROADCAST_LOOKUP_BYTES = 32 << 20
 
 
 def _map_literal(mapping: dict) -> Column:
@@ -52,10 +53,15 @@ def protocol_name(protocol: str | Column) -> Column:
     return F.coalesce(F.try_element_at(_map_literal(lookups.PROTOCOL_NAMES), p.cast("int")), p.cast("string"))
 
 
-def _bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_LOOKUP_ROWS) -> DataFrame:
-    """Broadcast hint only when the lookup is proven small."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def _bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_LOOKUP_ROWS,
+             max_bytes: int = MAX_BROADCAST_LOOKUP_BYTES) -> DataFrame:
+    """Broadcast hint only when the lookup is proven small: one pass over at
+    most ``max_rows + 1`` rows measures rows and text bytes."""
+    width = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes]
+    row_bytes = sum(width[1:], width[0]) if width else F.lit(0)
+    size = (df.limit(max_rows + 1)
+            .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first())
+    return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df
 
 
 def port_service_lookup(spark: SparkSession, ports: dict | None = None) -> DataFrame:
