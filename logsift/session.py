@@ -2,15 +2,17 @@
 
 The library never depends on the session time zone (all times are
 TIMESTAMP_NTZ in UTC) and works with ANSI mode on.  ``build_session`` is a
-convenience for local runs and tests; on a cluster, pass your own session and
-size ``spark.sql.shuffle.partitions`` / ``spark.sql.files.maxPartitionBytes``
-for the data volume (AQE coalesces small shuffles either way).
+convenience; with a non-local master it adds :data:`CLUSTER_CONF` (shuffle
+and file sizing, tolerance of lost executors) wherever the submitted
+configuration is silent.  A session of your own works just as well.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -24,16 +26,67 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = None, app: str = "logsift", shuffle_partitions: int | None = None,
-                  conf: dict | None = None) -> SparkSession:
-    b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
+# Extra defaults for a cluster session (hundreds of executors, ~100 TB of
+# logs).  Applied only to keys the submitted configuration leaves unset.
+CLUSTER_CONF = {
+    # start with many shuffle partitions; AQE merges them to the advisory size,
+    # and parallelismFirst=false makes it honour that size on a busy cluster
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    # executors may be lost at any time: migrate shuffle and cached blocks off
+    # decommissioning executors, and retry tasks and stages more often
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.storage.decommission.rddBlocks.enabled": "true",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+}
+
+
+def _submitted_conf() -> dict[str, str]:
+    """Settings already given to the JVM (``spark-submit``, ``spark-defaults.conf``).
+
+    Empty when this process will start the JVM itself: reading a ``SparkConf``
+    would start it early, before launch-time settings such as driver memory
+    from the builder are known.
+    """
+    from pyspark import SparkContext
+    if SparkContext._gateway is None and "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return {}
+    return dict(SparkConf().getAll())
+
+
+def session_settings(master: str | None = None, shuffle_partitions: int | None = None, conf: dict | None = None,
+                     cluster: bool | None = None, submitted: dict | None = None) -> dict[str, str]:
+    """The settings :func:`build_session` applies (see there)."""
+    submitted = submitted or {}
+    effective_master = master or submitted.get("spark.master", "local[*]")
+    if cluster is None:
+        cluster = not effective_master.startswith("local")
     settings = dict(DEFAULT_CONF)
+    if cluster:
+        settings.update({k: v for k, v in CLUSTER_CONF.items() if k not in submitted})
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
-    for k, v in settings.items():
+    return settings
+
+
+def build_session(master: str | None = None, app: str = "logsift", shuffle_partitions: int | None = None,
+                  conf: dict | None = None, cluster: bool | None = None) -> SparkSession:
+    """Session with the library defaults.
+
+    ``cluster`` adds :data:`CLUSTER_CONF` for keys not set by ``spark-submit``
+    or ``spark-defaults.conf``; by default it follows the master (anything but
+    ``local``).  Explicit ``shuffle_partitions`` and ``conf`` always win.
+    """
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
+    for k, v in session_settings(master, shuffle_partitions, conf, cluster, _submitted_conf()).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

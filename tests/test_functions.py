@@ -98,3 +98,17 @@ def test_lookup_broadcast_only_within_row_and_byte_bounds(spark):
     assert _bounded(lk, max_bytes=100) is lk            # 100 + 2 + 1 bytes of text > 100
     assert _bounded(lk, max_bytes=103) is not lk
     assert _bounded(spark.createDataFrame([], "name string, tactic string")) is not None
+
+
+def test_cluster_settings_fill_only_unset_keys():
+    from logsift.session import CLUSTER_CONF, DEFAULT_CONF, session_settings
+    assert session_settings("local[4]") == DEFAULT_CONF
+    on_yarn = session_settings("yarn")
+    assert on_yarn["spark.sql.shuffle.partitions"] == CLUSTER_CONF["spark.sql.shuffle.partitions"]
+    assert on_yarn["spark.decommission.enabled"] == "true"
+    submitted = {"spark.master": "k8s://api:443", "spark.sql.shuffle.partitions": "12000"}
+    from_submit = session_settings(None, submitted=submitted)
+    assert "spark.sql.shuffle.partitions" not in from_submit          # the submitted value stays
+    assert from_submit["spark.task.maxFailures"] == "8"
+    assert session_settings("yarn", shuffle_partitions=64)["spark.sql.shuffle.partitions"] == "64"
+    assert session_settings("yarn", cluster=False) == DEFAULT_CONF
