@@ -231,9 +231,10 @@ def ct_raw_documents(spark: SparkSession, sf_dir: str, shape: str = "records") -
     """
     r = ct_raw_records(spark, sf_dir)
     if shape == "jsonl":
+        # each file ends with one broken line, which the parser must skip
         lines = r.select(F.to_json("rec").alias("line"), "source_file")
-        lines = lines.unionByName(lines.select(F.lit("{not json").alias("line"), "source_file").distinct())
-        return (lines.groupBy("source_file").agg(F.array_join(F.collect_list("line"), "\n").alias("value"))
+        doc = F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\n{not json"))
+        return (lines.groupBy("source_file").agg(doc.alias("value"))
                 .select("value", F.regexp_replace("source_file", r"\.json$", ".jsonl").alias("source_file")))
     grouped = r.groupBy("source_file").agg(F.collect_list("rec").alias("recs"))
     if shape == "array":
