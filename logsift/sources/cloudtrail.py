@@ -74,7 +74,9 @@ def _records_of(value: Column, top_level: bool) -> Column:
 
 def _jsonl_records(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln)), lambda ln: ln != "")
-    return F.flatten(F.transform(lines, lambda ln: _records_of(F.try_parse_json(ln), top_level=False)))
+    # parse each line once; _records_of refers to its argument several times
+    parsed = F.transform(lines, lambda ln: F.try_parse_json(ln))
+    return F.flatten(F.transform(parsed, lambda v: _records_of(v, top_level=False)))
 
 
 def document_records(docs: DataFrame) -> DataFrame:
@@ -85,19 +87,23 @@ def document_records(docs: DataFrame) -> DataFrame:
     (a complete value followed by more content cannot be one JSON document).
     """
     text = F.col("value")
-    whole = F.try_parse_json(text)
+    # the parsed document is a column of its own: inside the generator below
+    # each reference to the parse would run it again
+    staged = docs.select("value", F.try_parse_json(text).alias("whole"), "source_file")
+    whole = F.col("whole")
     first_line = strip_ws(F.regexp_extract(text, r"^\s*([^\n]*)", 1))
     more_lines = text.rlike(r"^\s*\S[^\n]*\n\s*\S")
     jsonl = whole.isNull() | (more_lines & F.try_parse_json(first_line).isNotNull())
     recs = F.when(jsonl, _jsonl_records(text)).otherwise(_records_of(whole, top_level=True))
-    return docs.select(F.explode(recs).alias("rec"), "source_file")
+    return staged.select(F.explode(recs).alias("rec"), "source_file")
 
 
 def line_records(lines: DataFrame) -> DataFrame:
     """``(value, source_file)`` JSON-Lines rows -> ``(record variant, source_file)``."""
     line = strip_ws("value")
-    return (lines.select(line.alias("line"), "source_file").filter(F.col("line") != "")
-            .select(F.explode(_records_of(F.try_parse_json("line"), top_level=False)).alias("rec"), "source_file"))
+    parsed = (lines.select(line.alias("line"), "source_file").filter(F.col("line") != "")
+              .select(F.try_parse_json("line").alias("v"), "source_file"))
+    return parsed.select(F.explode(_records_of(F.col("v"), top_level=False)).alias("rec"), "source_file")
 
 
 def project_records(records: DataFrame, offsets: dict | None = None) -> DataFrame:
