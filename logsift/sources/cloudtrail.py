@@ -119,16 +119,19 @@ def project_records(records: DataFrame, offsets: dict | None = None) -> DataFram
             cols.append(F.try_variant_get(r[key], "$", "boolean").alias(name))
     identity = F.try_variant_get(r["userIdentity"], "$", "map<string,variant>")
     identity = F.transform_values(identity, lambda k, v: blank_to_null(F.try_variant_get(v, "$", "string")))
-    identity = F.when(F.size(identity) > 0, identity)
     typed = records.select(F.try_variant_get("rec", "$", _RECORD_STRUCT).alias("r"), "source_file")
     # keep object records as a generator, not a filter: a filter would be pushed
     # below the projection and cast every record twice
     objects = typed.select(F.explode(F.when(r.isNotNull(), F.array(r))).alias("r"), "source_file")
     staged = objects.select(*cols, identity.alias("user_identity"), "source_file")
+    # the map is built in the projection above and tested here: used twice in
+    # one expression it would be built twice
+    ui = F.col("user_identity")
     return staged.select(
         parse_iso_utc("event_time_text").alias("event_time"),
         local_time(parse_iso_utc("event_time_text"), F.col("aws_region"), offsets).alias("event_time_local"),
-        "aws_region", "event_name", "event_source", "source_ip_address", "user_agent", "user_identity",
+        "aws_region", "event_name", "event_source", "source_ip_address", "user_agent",
+        F.when(F.size(ui) > 0, ui).alias("user_identity"),
         *[name for _, name, _ in _FIELDS[6:]], "source_file",
     )
 
