@@ -96,9 +96,21 @@ def ct_regions(df: DataFrame) -> DataFrame:
 
 # CT-6 / CT-7 ------------------------------------------------------------------
 
+_FAILURE_TEXT = "__failure_text"
+
+
+def _with_failure_text(df: DataFrame) -> DataFrame:
+    """The text the failure keywords are matched against, as a column of its own:
+    the category generator refers to it once per category, and inside a
+    generator each reference would rebuild it."""
+    return df.withColumn(_FAILURE_TEXT, F.concat_ws("\u0001", F.col("error_code"), F.col("error_message"),
+                                                    F.col("event_name")))
+
+
 def _failure_categories(names: dict[str, str] | None = None) -> Column:
-    """array of matching failure categories per event (an event may be in several)."""
-    text = F.concat_ws("\u0001", F.col("error_code"), F.col("error_message"), F.col("event_name"))
+    """array of matching failure categories per event (an event may be in several);
+    reads the column added by :func:`_with_failure_text`."""
+    text = F.col(_FAILURE_TEXT)
     labels = [F.when(failure_category_match(text, kws), F.lit((names or {}).get(cat, cat)))
               for cat, kws in lookups.FAILURE_KEYWORDS.items()]
     return F.array_compact(F.array(*labels))
@@ -107,7 +119,8 @@ def _failure_categories(names: dict[str, str] | None = None) -> Column:
 def failed_auth_events(df: DataFrame) -> DataFrame:
     """Failure events, one row per (event, matching category), ``Failure_*`` columns first."""
     df = ensure_identity(df)
-    tagged = df.withColumn("category", F.explode(_failure_categories(lookups.FAILURE_EVENT_CATEGORY_NAMES)))
+    tagged = _with_failure_text(df).withColumn(
+        "category", F.explode(_failure_categories(lookups.FAILURE_EVENT_CATEGORY_NAMES)))
     front = [
         F.col("category"),
         fmt_ts("event_time").alias("failure_time"), F.col("source_ip_address").alias("failure_ip"),
@@ -126,7 +139,7 @@ def _failure_value_counts(df: DataFrame, user_field: str) -> DataFrame:
     ``Users``), so the NULL-value groups also record which categories occur.
     One scan, one partially aggregated shuffle.
     """
-    hits = df.select(F.explode(_failure_categories()).alias("category"),
+    hits = _with_failure_text(df).select(F.explode(_failure_categories()).alias("category"),
                      F.col("source_ip_address").alias("ip"), F.col(user_field).alias("user"))
     pairs = hits.select("category", F.explode(F.array(
         F.struct(F.lit("IPs").alias("dimension"), F.col("ip").alias("value")),
