@@ -61,22 +61,20 @@ def _json_text(v: Column) -> Column:
     return F.when(~j.isin(_EMPTY_JSON), j)
 
 
-def _records_of(value: Column, top_level: bool) -> Column:
-    """VARIANT -> array<variant> of candidate records."""
+def _line_records(value: Column) -> Column:
+    """Parsed JSON line (VARIANT) -> array<variant> of candidate records: the
+    value itself, none for NULL, and the ``Records`` array of a wrapped line."""
     wrapped = F.try_variant_get(value, "$.Records", "variant")
     records = F.coalesce(F.try_variant_get(value, "$.Records", "array<variant>"), F.array().cast("array<variant>"))
-    expr = F.when(value.isNull(), F.array().cast("array<variant>")).when(wrapped.isNotNull(), records)
-    if top_level:
-        expr = expr.when(F.try_variant_get(value, "$", "array<variant>").isNotNull(),
-                         F.try_variant_get(value, "$", "array<variant>"))
-    return expr.otherwise(F.array(value))
+    return (F.when(value.isNull(), F.array().cast("array<variant>")).when(wrapped.isNotNull(), records)
+            .otherwise(F.array(value)))
 
 
 def _jsonl_records(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln)), lambda ln: ln != "")
-    # parse each line once; _records_of refers to its argument several times
+    # parse each line once; _line_records refers to its argument several times
     parsed = F.transform(lines, lambda ln: F.try_parse_json(ln))
-    return F.flatten(F.transform(parsed, lambda v: _records_of(v, top_level=False)))
+    return F.flatten(F.transform(parsed, _line_records))
 
 
 def document_records(docs: DataFrame) -> DataFrame:
@@ -87,14 +85,27 @@ def document_records(docs: DataFrame) -> DataFrame:
     (a complete value followed by more content cannot be one JSON document).
     """
     text = F.col("value")
-    # the parsed document is a column of its own: inside the generator below
-    # each reference to the parse would run it again
-    staged = docs.select("value", F.try_parse_json(text).alias("whole"), "source_file")
+    # The parse and the casts are columns of their own: inside the generator
+    # below every reference would run them again (a whole Records array cast
+    # twice per document).
+    parsed = docs.select("value", F.try_parse_json(text).alias("whole"), "source_file")
     whole = F.col("whole")
+    staged = parsed.select(
+        "value", "whole", "source_file",
+        F.try_variant_get(whole, "$.Records", "array<variant>").alias("records"),
+        F.try_variant_get(whole, "$.Records", "variant").isNotNull().alias("has_records"),
+        F.try_variant_get(whole, "$", "array<variant>").alias("top_array"))
     first_line = strip_ws(F.regexp_extract(text, r"^\s*([^\n]*)", 1))
     more_lines = text.rlike(r"^\s*\S[^\n]*\n\s*\S")
     jsonl = whole.isNull() | (more_lines & F.try_parse_json(first_line).isNotNull())
-    recs = F.when(jsonl, _jsonl_records(text)).otherwise(_records_of(whole, top_level=True))
+    none = F.array().cast("array<variant>")
+    # a Records array, else no records when Records is present but not an
+    # array, else a top-level array, else the document itself
+    recs = (F.when(jsonl, _jsonl_records(text))
+            .when(F.col("records").isNotNull(), F.col("records"))
+            .when(F.col("has_records"), none)
+            .when(F.col("top_array").isNotNull(), F.col("top_array"))
+            .otherwise(F.array(whole)))
     return staged.select(F.explode(recs).alias("rec"), "source_file")
 
 
@@ -103,7 +114,7 @@ def line_records(lines: DataFrame) -> DataFrame:
     line = strip_ws("value")
     parsed = (lines.select(line.alias("line"), "source_file").filter(F.col("line") != "")
               .select(F.try_parse_json("line").alias("v"), "source_file"))
-    return parsed.select(F.explode(_records_of(F.col("v"), top_level=False)).alias("rec"), "source_file")
+    return parsed.select(F.explode(_line_records(F.col("v"))).alias("rec"), "source_file")
 
 
 def project_records(records: DataFrame, offsets: dict | None = None) -> DataFrame:
