@@ -1,8 +1,11 @@
 """Rule-based classifiers as native column expressions.
 
-The ordered keyword rules in :mod:`logsift.lookups` are compiled into one
-chained ``CASE WHEN`` over ``lower(text)``; Catalyst evaluates ``lower`` once
-(common-subexpression elimination) and the whole chain runs in generated code.
+The ordered keyword rules in :mod:`logsift.lookups` are compiled into one flat
+``CASE WHEN`` over ``lower(text)`` that runs in generated code.  Its first,
+always evaluated test (empty text) reads ``lower(text)`` twice, which lets
+Catalyst's common-subexpression elimination compute it once for every rule.
+(Nested under another ``CASE`` branch, the chain would be conditional and
+``lower`` would run again for each keyword tested: twice as slow.)
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ def _any_contains(text: Column, keywords) -> Column:
     return cond
 
 
-def _compile(text: Column, rules) -> Column:
-    """Ordered ``(keywords, target)`` rules -> CASE WHEN chain; ``()`` keywords = default."""
-    expr = None
+def _compile(text: Column, rules, expr: Column | None = None) -> Column:
+    """Ordered ``(keywords, target)`` rules -> CASE WHEN chain (continuing ``expr``
+    when given); ``()`` keywords = default."""
     default = None
     for keywords, target in rules:
         value = _compile(text, target) if isinstance(target, list) else F.lit(target)
@@ -39,9 +42,9 @@ def _compile(text: Column, rules) -> Column:
 
 
 def _classify(c, rules, empty_label: str) -> Column:
-    raw = col(c)
-    text = F.lower(raw.cast("string"))
-    return F.when(raw.isNull() | (raw.cast("string") == ""), F.lit(empty_label)).otherwise(_compile(text, rules))
+    text = F.lower(col(c).cast("string"))
+    # NULL or '' exactly when the raw text is; this first test makes `text` common
+    return _compile(text, rules, F.when(text.isNull() | (text == ""), F.lit(empty_label)))
 
 
 def classify_user_agent(c) -> Column:

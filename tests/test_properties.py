@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logsift import lookups as _lk
 from logsift.operators import vpc
 from logsift.schemas import VPC_SCHEMA
 from logsift.sources.vpc import parse_vpc_lines
@@ -179,3 +180,45 @@ def test_cloudtrail_shapes_yield_every_record(spark, files):
     got = [tuple(x) for x in parsed.select("event_id", "event_name", "source_ip_address", "user_name",
                                            "source_file").collect()]
     assert sorted(got, key=_key) == sorted(want, key=_key)
+
+
+# ---------------------------------------------------------------------------
+# user-agent classifiers: first matching rule, as a plain-Python scan would find it
+# ---------------------------------------------------------------------------
+
+def _first_match(text, rules):
+    for keywords, target in rules:
+        if not keywords or any(k in text for k in keywords):
+            return _first_match(text, target) if isinstance(target, list) else target
+    return None
+
+
+def _all_keywords(rules):
+    out = []
+    for keywords, target in rules:
+        out += list(keywords)
+        if isinstance(target, list):
+            out += _all_keywords(target)
+    return out
+
+
+
+_ua_piece = st.one_of(st.sampled_from(sorted(set(_all_keywords(_lk.UA_DETAILED_RULES)
+                                                  + _all_keywords(_lk.UA_COARSE_RULES)))),
+                      st.text(alphabet="abcXYZ/ .-()_0123456789", max_size=8))
+_ua = st.one_of(st.none(), st.just(""),
+                st.lists(_ua_piece, min_size=1, max_size=4).map(lambda p: " ".join(p)),
+                st.lists(_ua_piece, min_size=1, max_size=3).map(lambda p: "/".join(p).upper()))
+
+
+@SETTINGS
+@given(agents=st.lists(_ua, min_size=1, max_size=40))
+def test_user_agent_classifiers_match_first_rule(spark, agents):
+    from logsift.functions.classify import classify_user_agent, classify_user_agent_coarse
+    df = spark.createDataFrame([(a,) for a in agents], "ua string")
+    got = [(r.d, r.c) for r in df.select(classify_user_agent("ua").alias("d"),
+                                         classify_user_agent_coarse("ua").alias("c")).collect()]
+    want = [(_lk.UA_DETAILED_EMPTY, _lk.UA_COARSE_EMPTY) if not a else
+            (_first_match(a.lower(), _lk.UA_DETAILED_RULES), _first_match(a.lower(), _lk.UA_COARSE_RULES))
+            for a in agents]
+    assert got == want
