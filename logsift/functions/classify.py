@@ -66,22 +66,19 @@ def split_requester(c) -> Column:
     * anything else          -> (the text, ``N/A``)
     """
     r = col(c)
-    svc = F.regexp_extract(r, lookups.REQUESTER_ARN_PATTERN, 1)
-    kind = F.regexp_extract(r, lookups.REQUESTER_ARN_PATTERN, 2)
-    name = F.regexp_extract(r, lookups.REQUESTER_ARN_PATTERN, 3)
-    ip = F.regexp_extract(r, lookups.REQUESTER_IP_PATTERN, 0)
-    unknown = r.isNull() | (r == "") | (r == "-")
-    is_arn = r.rlike(lookups.REQUESTER_ARN_PATTERN)
-    is_ip = r.rlike(lookups.REQUESTER_IP_PATTERN)
-    arn = (F.when(unknown, F.lit("Unknown"))
-           .when(is_arn, F.concat(svc, F.lit(":"), kind, F.lit("/"), name))
-           .when(is_ip, F.lit("N/A"))
-           .otherwise(r))
-    addr = (F.when(unknown, F.lit("Unknown"))
-            .when(is_arn, F.lit("N/A"))
-            .when(is_ip, ip)
-            .otherwise(F.lit("N/A")))
-    return F.struct(arn.alias("arn"), addr.alias("ip"))
+    arn_re, ip_re = lookups.REQUESTER_ARN_PATTERN, lookups.REQUESTER_IP_PATTERN
+
+    def pair(arn: Column, ip: Column) -> Column:
+        return F.struct(arn.alias("arn"), ip.alias("ip"))
+
+    # one CASE for both fields: each pattern is tested at most once per value
+    # (two CASEs, one per field, would run both regexes twice)
+    svc_type_name = F.concat(F.regexp_extract(r, arn_re, 1), F.lit(":"), F.regexp_extract(r, arn_re, 2), F.lit("/"),
+                             F.regexp_extract(r, arn_re, 3))
+    return (F.when(r.isNull() | (r == "") | (r == "-"), pair(F.lit("Unknown"), F.lit("Unknown")))
+            .when(r.rlike(arn_re), pair(svc_type_name, F.lit("N/A")))
+            .when(r.rlike(ip_re), pair(F.lit("N/A"), F.regexp_extract(r, ip_re, 0)))
+            .otherwise(pair(r, F.lit("N/A"))))
 
 
 def failure_category_match(text: Column, keywords) -> Column:

@@ -21,9 +21,11 @@ def s3_requesters(df: DataFrame, top_n_rows: int | None = 20, filter_first: bool
     after it (so fewer than N rows may remain); ``filter_first=True`` removes
     them before ranking instead.
     """
-    r = split_requester("requester")
-    pairs = df.select(r["arn"].alias("requester_arn"),
-                      F.coalesce(F.col("remote_ip"), r["ip"]).alias("source_ip"))
+    # the split is a column of its own, read twice below (once conditionally,
+    # inside coalesce, which would otherwise re-run the regexes)
+    split = df.select(split_requester("requester").alias("r"), "remote_ip")
+    r = F.col("r")
+    pairs = split.select(r["arn"].alias("requester_arn"), F.coalesce(F.col("remote_ip"), r["ip"]).alias("source_ip"))
     usable = (F.col("requester_arn") != "N/A") & (F.col("source_ip") != "N/A")
     if filter_first:
         pairs = pairs.filter(usable)
