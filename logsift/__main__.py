@@ -18,11 +18,14 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"], help="format of analysis tables")
     ap.add_argument("--as-of", help="reference time for 'last N days' tables (default: now, UTC)")
     ap.add_argument("--master", help="Spark master (default: from the environment)")
+    ap.add_argument("--rebalance-parsed", action="store_true",
+                    help="shuffle parsed records by event date before landing them (inputs not laid out by date)")
     args = ap.parse_args(argv)
     if not (args.cloudtrail or args.vpc or args.s3):
         ap.error("give at least one of --cloudtrail, --vpc, --s3")
     spark = build_session(args.master)
-    summary = run_pipeline(spark, args.output, args.cloudtrail, args.vpc, args.s3, fmt=args.format, as_of=args.as_of)
+    summary = run_pipeline(spark, args.output, args.cloudtrail, args.vpc, args.s3, fmt=args.format, as_of=args.as_of,
+                           rebalance_parsed=args.rebalance_parsed)
     summary.show(truncate=False)
     statuses = [r.status for r in summary.select("status").collect()]   # one row per log type
     print(f"successful log types: {statuses.count('ok')}")

@@ -164,17 +164,23 @@ def with_event_date(df: DataFrame, log_type: str) -> DataFrame:
 
 
 def write_parsed(df: DataFrame, path: str, log_type: str, mode: str = "overwrite",
-                 partition_by_date: bool = True, max_records_per_file: int = 5_000_000) -> None:
+                 partition_by_date: bool = True, max_records_per_file: int = 5_000_000,
+                 rebalance: bool = False) -> None:
     """Land a parsed table as Parquet, partitioned by event date (not by region or
     account: those are skewed).  Readers then get partition pruning on dates.
 
-    No shuffle by date (a busy day would become one task): each task sorts its
-    own rows by date and writes one file per date it holds.
+    By default no shuffle: each task sorts its own rows by date and writes one
+    file per date it holds, which suits delivery trees laid out by date.  For
+    input mixing many dates per task, ``rebalance=True`` adds one AQE
+    ``REBALANCE`` shuffle on the date: a busy day is split into advisory-sized
+    tasks (never one task per day) and small days are merged.
     """
     w = None
     if partition_by_date:
-        dated = with_event_date(df, log_type).sortWithinPartitions("event_date")
-        w = dated.write.partitionBy("event_date")
+        dated = with_event_date(df, log_type)
+        if rebalance:
+            dated = dated.hint("rebalance", "event_date")
+        w = dated.sortWithinPartitions("event_date").write.partitionBy("event_date")
     else:
         w = df.write
     w.mode(mode).option("maxRecordsPerFile", max_records_per_file).parquet(path)

@@ -25,10 +25,13 @@ READERS = {"cloudtrail": read_cloudtrail, "vpc": read_vpc_flow, "s3": read_s3_ac
 
 def run_pipeline(spark: SparkSession, output: str, cloudtrail: str | None = None, vpc: str | None = None,
                  s3: str | None = None, fmt: str = "parquet", as_of: str | None = None,
-                 top_n: int = 20) -> DataFrame:
+                 top_n: int = 20, rebalance_parsed: bool = False) -> DataFrame:
     """Process every given log directory; returns the run summary
     ``(log_type, status, parsed_events, message)``.
 
+    ``rebalance_parsed`` shuffles the parsed table on event date before it is
+    landed (see :func:`write_parsed`), for inputs not laid out by date.
+
     Layout under ``output``: ``parsed/<log_type>/event_date=...`` and
     ``analysis/<log_type>/<table>/``.
     """
@@ -39,7 +42,7 @@ def run_pipeline(spark: SparkSession, output: str, cloudtrail: str | None = None
             continue
         try:
             parsed_path = f"{output.rstrip('/')}/parsed/{log_type}"
-            write_parsed(READERS[log_type](spark, path), parsed_path, log_type)
+            write_parsed(READERS[log_type](spark, path), parsed_path, log_type, rebalance=rebalance_parsed)
             parsed = load_parsed(spark, parsed_path, log_type)
             n = parsed.count()
             if n == 0:

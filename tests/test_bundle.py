@@ -106,3 +106,23 @@ def test_listing_write_rebalances_files(spark, tmp_dir):
     assert n_plain == 12 * len(counts) and n_rebal < n_plain
     back = spark.read.parquet(rebal["Mitre_ATTACK_Events"])
     assert {r.tactic: r["count"] for r in back.groupBy("tactic").count().collect()} == counts
+
+
+def test_write_parsed_rebalance_bounds_files(spark, tmp_dir):
+    import glob
+
+    from logsift.functions.common import epoch_seconds_to_ntz
+    from logsift.schemas import VPC_SCHEMA
+    # every task holds every date: 12 tasks x 6 dates
+    rows = spark.range(24_000, numPartitions=12).select(
+        epoch_seconds_to_ntz(F.lit(1_700_000_000) + (F.col("id") % 6) * 86_400).alias("window_start"),
+        F.col("id").cast("string").alias("srcaddr"))
+    df = rows.select(*[rows[f.name] if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in VPC_SCHEMA.fields])
+    bundle.write_parsed(df, tmp_dir + "/plain", "vpc")
+    bundle.write_parsed(df, tmp_dir + "/rebal", "vpc", rebalance=True)
+    n_plain = len(glob.glob(tmp_dir + "/plain/event_date=*/*.parquet"))
+    n_rebal = len(glob.glob(tmp_dir + "/rebal/event_date=*/*.parquet"))
+    assert n_plain == 72 and n_rebal < n_plain
+    back = load_parsed(spark, tmp_dir + "/rebal", "vpc")
+    assert back.count() == 24_000 and back.select("event_date").distinct().count() == 6
