@@ -47,13 +47,15 @@ def parse_s3_lines(lines: DataFrame) -> DataFrame:
     staged = lines.select(strip_ws("value").alias("line"), "source_file").select(
         F.explode(F.when((line != "") & ~line.startswith("#"), F.array(line))
                   .otherwise(F.array().cast("array<string>"))).alias("line"), "source_file")
-    # the grammar test gets its own projection: it is used twice below and the
-    # optimizer keeps a non-trivial shared expression computed once
-    staged = staged.select("line", F.col("line").rlike(lookups.S3_LINE_PATTERN).alias("full"), "source_file")
-    full = F.col("full")
+    # One grammar pass per line: regexp_replace returns the line unchanged when
+    # the (anchored) grammar does not match, and a changed line when it does
+    # (the blanks between the 26 fields become \x01, which \s never matches).
+    # The rewrite gets its own projection so the test below reads a column.
+    staged = staged.select("line", F.regexp_replace("line", lookups.S3_LINE_PATTERN, _REPLACEMENT).alias("rec"),
+                           "source_file")
+    full = F.col("rec") != F.col("line")
     staged = staged.select(
-        F.when(full, F.split(F.regexp_replace("line", lookups.S3_LINE_PATTERN, _REPLACEMENT), _SEP))
-         .otherwise(F.regexp_extract_all("line", F.lit(_TOKEN), 1)).alias("f"),
+        F.when(full, F.split("rec", _SEP)).otherwise(F.regexp_extract_all("line", F.lit(_TOKEN), 1)).alias("f"),
         F.when(full, F.lit("full")).otherwise(F.lit("fallback")).alias("parse_status"),
         "source_file",
     )
