@@ -55,9 +55,10 @@ _RECORD_STRUCT = ("struct<" + ",".join(f"{key}:{'string' if kind == 's' else 'va
                   + ",userIdentity:variant>")
 
 
-def _json_text(v: Column) -> Column:
-    """VARIANT -> compact JSON text; empty values (``{}``, ``[]``, ``""``, ``0``, ``false``, null) -> NULL."""
-    j = F.to_json(v)
+def _drop_empty_json(j: Column) -> Column:
+    """Compact JSON text -> itself, or NULL for empty values (``{}``, ``[]``,
+    ``""``, ``0``, ``false``, null).  Apply it to a column that already holds
+    the text: over ``to_json(...)`` the conversion would run twice."""
     return F.when(~j.isin(_EMPTY_JSON), j)
 
 
@@ -125,7 +126,7 @@ def project_records(records: DataFrame, offsets: dict | None = None) -> DataFram
         if kind == "s":
             cols.append(blank_to_null(r[key]).alias(name))
         elif kind == "j":
-            cols.append(_json_text(r[key]).alias(name))
+            cols.append(F.to_json(r[key]).alias(name))   # empties dropped below
         else:
             cols.append(F.try_variant_get(r[key], "$", "boolean").alias(name))
     identity = F.try_variant_get(r["userIdentity"], "$", "map<string,variant>")
@@ -143,7 +144,8 @@ def project_records(records: DataFrame, offsets: dict | None = None) -> DataFram
         local_time(parse_iso_utc("event_time_text"), F.col("aws_region"), offsets).alias("event_time_local"),
         "aws_region", "event_name", "event_source", "source_ip_address", "user_agent",
         F.when(F.size(ui) > 0, ui).alias("user_identity"),
-        *[name for _, name, _ in _FIELDS[6:]], "source_file",
+        *[_drop_empty_json(F.col(name)).alias(name) if kind == "j" else F.col(name) for _, name, kind in _FIELDS[6:]],
+        "source_file",
     )
 
 
