@@ -112,3 +112,36 @@ def test_cluster_settings_fill_only_unset_keys():
     assert from_submit["spark.task.maxFailures"] == "8"
     assert session_settings("yarn", shuffle_partitions=64)["spark.sql.shuffle.partitions"] == "64"
     assert session_settings("yarn", cluster=False) == DEFAULT_CONF
+
+
+def test_checkpoint_dir_needs_shared_folder_on_cluster():
+    import pytest
+
+    from logsift.session import checkpoint_dir
+
+    class Ctx:
+        def __init__(self, master, current=None):
+            self.master, self.current = master, current
+
+        def getCheckpointDir(self):
+            return self.current
+
+        def setCheckpointDir(self, path):
+            self.current = path
+
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        def __init__(self, master, conf):
+            self.sparkContext, self.conf = Ctx(master), Conf(conf)
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session("yarn", {}))
+    shared = Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    assert checkpoint_dir(shared) == "hdfs:///shared/ckpt"
+    assert shared.sparkContext.getCheckpointDir() == "hdfs:///shared/ckpt"   # registered, not replaced
