@@ -35,6 +35,11 @@ from logsift.sources.cloudtrail import identity_wide, parse_cloudtrail_docs  # n
 from logsift.sources.s3 import parse_s3_lines  # noqa: E402
 from logsift.sources.vpc import parse_vpc_lines  # noqa: E402
 
+try:                      # the corpus operators are optional
+    from logsift.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 AS_OF = "2024-01-31 00:00:00"   # fixed reference time for "last N days" queries
 
@@ -141,7 +146,7 @@ def _ct_parsed(s, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ctf, vpcf, s3f = fx.ct_frame, fx.vpc_frame, fx.s3_frame
-    return {
+    found = {
         # sources / parsers
         "vpc_parse_lines": _vpc_parse,
         "s3_parse_lines": _s3_parse,
@@ -202,7 +207,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_summary": _run_summary,
         "export_column_order": _export_vpc,
     }
+    return found | (llm_queries.queries() if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
