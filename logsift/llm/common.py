@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from logsift.session import checkpoint_dir
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,11 +23,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but keeps column pruning and filters for
-    later readers; survives lost executors because the folder is shared.
+    later readers; survives lost executors because the folder is shared.  The
+    write's shuffle files go when it is done, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
