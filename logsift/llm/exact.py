@@ -7,12 +7,14 @@ most code points in its original text stays, then the smallest id.
 1. One pass normalises whole texts and collapses copies inside each scan task,
    so a text sends its bytes to the sort once per task however often it occurs
    (a hot group of copies never meets in one task).
-2. The surviving representatives are range-partitioned on their normalised
-   bytes by sampled splitters and sorted externally, which places equals next
-   to each other; the splitters are content, so a run of equals never crosses a
-   partition.
-3. Neighbours are compared in full; each run settles its keeper and its size.
-4. Rows take the answer of their representative (an equi-join on its number).
+2. The surviving representatives are range-partitioned by sampled splitters on
+   the first ``PREFIX`` normalised bytes (then the digest, which splits a common
+   opening) and sorted externally, which places equals next to each other; a
+   run of equals never crosses a partition.  Splitters stay short, so what the
+   driver samples doesn't follow the texts' length.
+3. Neighbours are compared in full; a run takes its first row as leader.
+4. Keeper and size are aggregated per leader over narrow rows; rows take the
+   answer of their representative (an equi-join on its number).
 
 Defined cases: all texts that normalise to nothing form one group; rows that
 repeat, ``doc_id`` included, are counted as rows and exactly one of them is
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import fresh, partitions, raw, stage
 
 WHITE = b" \t\n\x0b\x0c\r"
+PREFIX = 32
 _LAST = (1 << 63) - 1     # order value of a null id
 
 
@@ -62,34 +65,21 @@ def _collapse(narrow: DataFrame) -> DataFrame:
 
 
 def _neighbours(reps: DataFrame) -> DataFrame:
-    """Runs of equal neighbours in sorted order: rep -> keep_row, keep_id, group_size."""
-    names = ["rep", "keep_row", "keep_id", "group_size"]
-
-    def settle(run):
-        # most code points, then smallest id, then first row
-        best = min(run, key=lambda r: (-r[1], _LAST if r[2] is None else r[2], r[3]))
-        size = sum(r[4] for r in run)
-        return [(r[0], best[3], best[2], size) for r in run]
-
+    """Runs of equal neighbours in sorted order: rep -> leader, the run's first representative."""
     def run(batches):
-        last, group = None, []
+        last, leader = None, None
         for b in batches:
-            out = []
-            for norm, *row in zip(raw(b.column("norm")), *(b.column(c).to_pylist() for c in
-                                                            ("rep", "best_chars", "best_id", "best_row", "rows"))):
-                if group and norm != last:
-                    out += settle(group)
-                    group = []
-                last = norm
-                group.append(row)
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
-        if group:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*settle(group))], names=names)
+            reps, leaders = b.column("rep").to_pylist(), []
+            for norm, rep in zip(raw(b.column("norm")), reps):
+                if leader is None or norm != last:
+                    last, leader = norm, rep
+                leaders.append(leader)
+            yield pa.record_batch([b.column("rep"), pa.array(leaders, pa.int64())], names=["rep", "leader"])
 
     n = partitions(reps.sparkSession)
-    ordered = reps.repartitionByRange(n, "norm").sortWithinPartitions("norm")
-    return ordered.mapInArrow(run, "rep long, keep_row long, keep_id long, group_size long")
+    keys = [F.substring("norm", 1, PREFIX).alias("lead"), F.col("digest")]
+    ordered = reps.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "norm", "rep")
+    return ordered.select("rep", "norm").mapInArrow(run, "rep long, leader long")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,12 +87,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     narrow = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
                          F.col(text).cast("binary").alias("text"))
     rows = stage(_collapse(narrow), "exact-rows")
+    leaders = stage(_neighbours(rows.where("norm is not null").select("rep", "digest", "norm")), "exact-leaders")
     order = F.struct((-F.col("n_chars")).alias("a"), F.coalesce("doc_id", F.lit(_LAST)).alias("b"), F.col("row_id").alias("c"))
+    # copies within a task first, then the few representatives of a text
     local = rows.groupBy("rep").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows"))
-    local = local.select("rep", (-F.col("best.a")).alias("best_chars"), F.col("best.c").alias("best_row"),
-                         F.when(F.col("best.b") != _LAST, F.col("best.b")).alias("best_id"), "rows")
-    norms = rows.where("norm is not null").select(F.col("rep"), "norm")
-    settled = _neighbours(norms.join(local, "rep"))
+    groups = local.join(leaders, "rep").groupBy("leader").agg(F.min("best").alias("best"), F.sum("rows").alias("group_size"))
+    settled = leaders.join(groups, "leader").select(
+        "rep", F.col("best.c").alias("keep_row"), F.when(F.col("best.b") != _LAST, F.col("best.b")).alias("keep_id"), "group_size")
     return (rows.drop("norm").join(settled, "rep")
             .select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256"), "row_id"))
