@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, quality
+from . import exact, quality, simhash, suffix
 from .common import table
 
 
@@ -12,6 +12,8 @@ def _op7(s, d):
 
 def queries():
     return {
+        "op3_suffix_dedup": lambda s, d: suffix.op3(table(s, d, "documents")),
+        "op5_simhash_neardup": lambda s, d: simhash.op5(table(s, d, "documents")),
         "op7_quality_classifier": _op7,
         "op10_exact_dedup": lambda s, d: exact.op10(table(s, d, "documents")),
     }
