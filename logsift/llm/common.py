@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.session import checkpoint_dir
 
@@ -45,6 +46,14 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def schema_with(df: DataFrame, **more) -> T.StructType:
+    """The schema of ``df`` with fields (name=type) added."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in more.items():
+        out = out.add(name, kind)
+    return out
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -73,7 +82,7 @@ def global_order(df: DataFrame, keys: list, label: str) -> tuple[DataFrame, int]
             yield b.append_column("local_pos", pa.array(np.arange(at, at + b.num_rows, dtype=np.int64)))
             at += b.num_rows
 
-    schema = sorted_.schema.add("local_pos", "long")
+    schema = schema_with(sorted_, local_pos="long")
     staged = stage(sorted_.mapInArrow(number, schema), label)
     sizes = staged.groupBy("pid").agg(F.count(F.lit(1)).alias("pid_rows"))
     before = sizes.select("pid", (F.sum("pid_rows").over(Window.orderBy("pid")) - F.col("pid_rows")).alias("pid_start"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, stage
+from .common import raw, schema_with, stage
 
 MAX_TRAIN = 20_000
 KEEP_AT = 0.7
@@ -83,7 +83,7 @@ def features_of(text: bytes) -> list[float]:
 def text_features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus ``features`` (array of float) of every row, empty and null texts included."""
     narrow = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("features"))
-    schema = docs.select(*keep).schema.add("features", T.ArrayType(T.FloatType()))
+    schema = schema_with(docs.select(*keep), features=T.ArrayType(T.FloatType()))
 
     def run(batches):
         for b in batches:
@@ -219,7 +219,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def score_features(feats: DataFrame, model: Gam, id_col: str, threshold: float) -> DataFrame:
     """Vectorised lookup of the model's tables for a frame with ``features``."""
     others = [c for c in feats.columns if c != "features"]
-    schema = feats.select(*others).schema.add("score", "double")
+    schema = schema_with(feats.select(*others), score="double")
 
     def run(batches):
         for b in batches:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact, quality, simhash, suffix
+import corpus_pipeline
+
+from . import exact, matrices, packing, quality, simhash, suffix
 from .common import table
 
 
@@ -12,10 +14,13 @@ def _op7(s, d):
 
 def queries():
     return {
+        "op1_bestfit_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
+        "op4_token_matrices": lambda s, d: matrices.token_matrices(table(s, d, "documents")),
         "op3_suffix_dedup": lambda s, d: suffix.op3(table(s, d, "documents")),
         "op5_simhash_neardup": lambda s, d: simhash.op5(table(s, d, "documents")),
         "op7_quality_classifier": _op7,
         "op10_exact_dedup": lambda s, d: exact.op10(table(s, d, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
