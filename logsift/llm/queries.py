@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, matrices, packing, quality, simhash, suffix
+from . import exact, hilbert, matrices, packing, quality, simhash, spann, suffix
 from .common import table
 
 
@@ -16,6 +16,8 @@ def queries():
     return {
         "op1_bestfit_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
         "op4_token_matrices": lambda s, d: matrices.token_matrices(table(s, d, "documents")),
+        "op2_hilbert_shards": lambda s, d: hilbert.op2(table(s, d, "documents")),
+        "op6_spann_search": lambda s, d: spann.op6(table(s, d, "embeddings")),
         "op3_suffix_dedup": lambda s, d: suffix.op3(table(s, d, "documents")),
         "op5_simhash_neardup": lambda s, d: simhash.op5(table(s, d, "documents")),
         "op7_quality_classifier": _op7,
