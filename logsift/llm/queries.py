@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, hilbert, matrices, packing, quality, simhash, spann, suffix
+from . import exact, hilbert, licences, matrices, packing, quality, simhash, spann, suffix
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries():
         "op3_suffix_dedup": lambda s, d: suffix.op3(table(s, d, "documents")),
         "op5_simhash_neardup": lambda s, d: simhash.op5(table(s, d, "documents")),
         "op7_quality_classifier": _op7,
+        "op8_licence_scan": lambda s, d: licences.licence_matches(table(s, d, "documents")),
         "op10_exact_dedup": lambda s, d: exact.op10(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
@@ -36,4 +37,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def oracle_sql():
-    return {"op10_exact_dedup": OP10}
+    return {"op8_licence_scan": licences.oracle_sql(), "op10_exact_dedup": OP10}
