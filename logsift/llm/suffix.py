@@ -15,9 +15,12 @@ distance, and only about one suffix in 70 is sorted:
    bucket, two rows, are compared across boundaries.  A stretch that occurs
    twice is repeated as a whole; a token that occurs once repeats nowhere.
 3. Where stretches share a token but differ somewhere (as at the edges of a
-   repeated passage), a row or two of each distinct stretch go through the same
-   sort once more, one suffix per window start with its whole ``LENGTH`` bytes
-   as the key.
+   repeated passage), a row or two of each distinct stretch are refined: the run
+   is cut into blocks of ``BLOCK`` starts, aligned to the distance from the
+   picked suffix, whose token is all the bytes that the block's windows share
+   and whose rest is all that they cover, and the blocks go through the same
+   sort.  Blocks that still share a token and differ are refined to single
+   window starts, where token and rest are the window itself.
 4. Repeated starts are merged per document and cut out of its text.
 
 Equality of byte strings is judged on 128 bits of hash.  Texts are taken whole;
@@ -44,8 +47,13 @@ from .common import fresh, partitions, raw, stage, unstage
 
 LENGTH = 200
 LEAD = 64
+BLOCK = 16
 _PIECE = 1 << 19          # window starts scanned at once
+_RUNS = 1 << 12           # runs refined at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_COLS = ["token", "rest", "row_id", "start", "starts", "back"]
+_SCHEMA = "token long, rest long, row_id long, start long, starts int, back int"
+_BITS = (1 << 64) - 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -94,7 +102,7 @@ def picked(buf: bytes, starts: np.ndarray, ends: np.ndarray, length: int, lead:
 
 
 def _suffixes(rows: list[int], texts: list[bytes], length: int, lead: int):
-    """Record batches (token, rest, row_id, start, starts) of the picked suffixes of whole texts."""
+    """Record batches of the picked suffixes of whole texts; ``back`` is the way from a run's first start to its suffix."""
     def flush(held):
         buf = b"".join(p for _, _, p in held) + bytes(8)
         ends = np.cumsum([len(p) for _, _, p in held])
@@ -108,9 +116,8 @@ def _suffixes(rows: list[int], texts: list[bytes], length: int, lead: int):
             piece += begin[piece] == ends[piece]
         row = np.array([r for r, _, _ in held], np.int64)[piece]
         off = np.array([o for _, o, _ in held], np.int64)[piece]
-        return pa.record_batch([pa.array(x) for x in (h[suffix].view(np.int64), rest.view(np.int64), row,
-                                                      s - begin[piece] + off, n.astype(np.int32))],
-                               names=["token", "rest", "row_id", "start", "starts"])
+        return pa.record_batch([pa.array(x) for x in (h[suffix].view(np.int64), rest.view(np.int64), row, s - begin[piece] + off,
+                                                      n.astype(np.int32), (suffix - s).astype(np.int32))], names=_COLS)
 
     held, size = [], 0
     for row, text in zip(rows, texts):
@@ -124,16 +131,16 @@ def _suffixes(rows: list[int], texts: list[bytes], length: int, lead: int):
         yield flush(held)
 
 
-def sorted_repeats(suffixes: DataFrame, label: str) -> DataFrame:
-    """Sort (token, rest, row_id, start, starts) and compare neighbours.
+def sorted_repeats(suffixes: DataFrame, label: str, last: bool = False) -> DataFrame:
+    """Sort suffixes by token, rest and place and compare neighbours.
 
-    Returns token, row_id, start, starts and two marks: ``again``, token and rest occur elsewhere;
+    Returns them without ``rest`` and with two marks: ``again``, token and rest occur elsewhere;
     ``differs``, the row stands beside one with the same token and another rest, which every distinct
-    rest of such a token does with a row or two.  Rows with neither mark are left out.
+    rest of such a token does with a row or two.  Rows with neither mark (with ``last``, those that
+    don't occur again) are left out.
     """
-    cols = ["token", "rest", "row_id", "start", "starts"]
-    keys = cols[:4]
-    ordered = suffixes.select(cols).repartitionByRange(partitions(suffixes.sparkSession), *keys).sortWithinPartitions(*keys)
+    keys = _COLS[:4]
+    ordered = suffixes.select(_COLS).repartitionByRange(partitions(suffixes.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def compare(batches):
         """Verdicts; a bucket's first and last row are passed on as its edges."""
@@ -142,31 +149,30 @@ def sorted_repeats(suffixes: DataFrame, label: str) -> DataFrame:
 
         def out(rows, again, differs, edge):
             return pa.record_batch([*map(pa.array, rows), pa.array(again), pa.array(differs),
-                                    pa.array(np.full(len(again), edge))], names=[*cols, "again", "differs", "edge"])
+                                    pa.array(np.full(len(again), edge))], names=[*_COLS, "again", "differs", "edge"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(c).to_numpy() for c in cols]
+            new = [b.column(c).to_numpy() for c in _COLS]
             rows = new if held is None else [np.concatenate((h, n)) for h, n in zip(held, new)]
             token = rows[0][1:] == rows[0][:-1]
             same = token & (rows[1][1:] == rows[1][:-1])
             again = np.concatenate(([again_held], same))          # towards the row before
             differs = np.concatenate(([differs_held], token & ~same))
-            held, again_held, differs_held = [r[-1:] for r in rows], bool(again[-1]), bool(differs[-1])
+            held, again_held, differs_held = [r[-1:].copy() for r in rows], bool(again[-1]), bool(differs[-1])
             again, differs = again[:-1] | same, differs[:-1] | (token & ~same)
             lo = 0
             if first and len(again):
                 yield out([r[:1] for r in rows], again[:1], differs[:1], True)
                 first, lo = False, 1
-            keep = np.flatnonzero(again[lo:] | differs[lo:]) + lo
+            keep = np.flatnonzero(again[lo:] if last else again[lo:] | differs[lo:]) + lo
             if len(keep):
                 yield out([r[keep] for r in rows], again[keep], differs[keep], False)
         if held is not None:
             yield out(held, np.array([again_held]), np.array([differs_held]), True)
 
-    schema = "token long, rest long, row_id long, start long, starts int, again boolean, differs boolean, edge boolean"
-    marked = stage(ordered.mapInArrow(compare, schema), label)
+    marked = stage(ordered.mapInArrow(compare, _SCHEMA + ", again boolean, differs boolean, edge boolean"), label)
     # two rows per bucket: equal keys of different buckets meet in a small aggregate
     edges = marked.where("edge")
     tokens = edges.groupBy("token").agg(F.count(F.lit(1)).alias("n_token"))
@@ -174,57 +180,83 @@ def sorted_repeats(suffixes: DataFrame, label: str) -> DataFrame:
     settled = (edges.join(tokens, "token").join(wholes, ["token", "rest"])
                .withColumn("again", F.col("again") | (F.col("n_rest") > 1))
                .withColumn("differs", F.col("differs") | (F.col("n_token") > F.col("n_rest"))))
-    names = ["token", "row_id", "start", "starts", "again", "differs"]
+    names = ["token", "row_id", "start", "starts", "back", "again", "differs"]
     return marked.where(~F.col("edge")).select(names).union(settled.where("again or differs").select(names))
 
 
-def _windows(rest: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """One suffix per window start of the undecided runs, keyed by its whole ``length`` bytes."""
-    runs = rest.groupBy("row_id").agg(F.collect_list(F.struct("token", "start", "starts")).alias("runs"))
-    joined = runs.join(texts, "row_id")
+def blocks_of(text: bytes, token: int, start: int, starts: int, back: int, length: int, size: int):
+    """(token, rest, start, starts, back) of the blocks of a run, aligned to the distance from its suffix."""
+    digest = xxhash.xxh3_64_intdigest
+    suffix, at, end = start + back, start, start + starts
+    while at < end:
+        number = (suffix - at) // size
+        least = number * size                                 # distances least .. least + size - 1
+        upto = min(end - 1, suffix - least)
+        whole = digest(text[at:upto + length])
+        shared = whole if size == 1 else digest(text[suffix - least:suffix - least - size + 1 + length])
+        yield ((shared ^ (token + number) * 0x9E3779B97F4A7C15) & _BITS,
+               (whole ^ ((suffix - at) << 32 | upto - at) * 0x9E3779B97F4A7C15) & _BITS, at, upto - at + 1, suffix - at)
+        at = upto + 1
+
+
+def _refined(runs: DataFrame, texts: DataFrame, length: int, size: int) -> DataFrame:
+    """The runs that are left, in blocks of ``size`` starts."""
+    names = ["token", "start", "starts", "back"]
+    joined = runs.groupBy("row_id").agg(F.collect_list(F.struct(*names)).alias("runs")).join(texts, "row_id")
 
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            for row, runs, text in zip(b.column("row_id").to_pylist(), b.column("runs").to_pylist(), raw(b.column("text"))):
-                token = np.repeat([r["token"] for r in runs], [r["starts"] for r in runs])
-                at = np.concatenate([np.arange(r["start"], r["start"] + r["starts"]) for r in runs])
-                whole = np.fromiter((digest(text[i:i + length]) for i in at.tolist()), np.uint64, len(at))
-                yield pa.record_batch([pa.array(token.astype(np.int64)), pa.array(whole.view(np.int64)),
-                                       pa.array(np.full(len(at), row)), pa.array(at.astype(np.int64)),
-                                       pa.array(np.ones(len(at), np.int32))],
-                                      names=["token", "rest", "row_id", "start", "starts"])
+            for row, text, own in zip(b.column("row_id").to_pylist(), raw(b.column("text")), b.column("runs")):
+                values = [own.values.field(c).to_numpy() for c in names]
+                for at in range(0, len(values[0]), _RUNS):     # a long text's runs in parts
+                    parts = [k for r in zip(*(v[at:at + _RUNS].tolist() for v in values)) for k in blocks_of(text, *r, length, size)]
+                    token, rest, start, starts, back = zip(*parts)
+                    yield pa.record_batch([pa.array(np.array(token, np.uint64).view(np.int64)),
+                                           pa.array(np.array(rest, np.uint64).view(np.int64)), pa.array(np.full(len(parts), row)),
+                                           pa.array(start, pa.int64()), pa.array(starts, pa.int32()), pa.array(back, pa.int32())],
+                                          names=_COLS)
 
-    return joined.mapInArrow(run, "token long, rest long, row_id long, start long, starts int")
+    return joined.mapInArrow(run, _SCHEMA)
 
 
-def repeated_runs(texts: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
+def repeated_runs(texts: DataFrame, length: int = LENGTH, lead: int = LEAD, block: int = BLOCK) -> DataFrame:
     """(row_id, text: binary) to (row_id, start, starts): runs of starts of strings that occur elsewhere."""
     def scan(batches):
         for b in batches:
             yield from _suffixes(b.column("row_id").to_pylist(), raw(b.column("text")), length, lead)
 
-    listed = stage(texts.select("row_id", "text").mapInArrow(
-        scan, "token long, rest long, row_id long, start long, starts int"), "suffixes")
-    first = sorted_repeats(listed, "suffix-stretches")
-    windows = stage(_windows(first.where("differs"), texts, length), "windows")
-    unstage(listed)
-    second = sorted_repeats(windows, "suffix-windows")
-    unstage(windows)
     names = ["row_id", "start", "starts"]
-    return first.where("again").select(names).union(second.where("again").select(names))
-
-
-def merge(runs: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal (from, to) byte spans covered by the windows that start in ``runs``."""
-    spans: list[list[int]] = []
-    for a, n in sorted((r["start"], r["starts"]) for r in runs or ()):
-        b = a + n - 1 + length
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], b)
+    suffixes = stage(texts.select("row_id", "text").mapInArrow(scan, _SCHEMA), "suffixes")
+    marked = sorted_repeats(suffixes, "suffix-stretches")
+    found = marked.where("again").select(names)
+    for size in (block, 1):
+        left = marked.where("differs")
+        unstage(suffixes)
+        suffixes = stage(_refined(left, texts, length, size), f"suffixes-{size}")
+        marked = sorted_repeats(suffixes, f"suffix-blocks-{size}", last=size == 1)
+        found = found.union(marked.where("again").select(names))
+    unstage(suffixes)
+    return found
+
+
+def merge(start: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal (from, to) byte spans covered by the windows that begin in the runs."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    a = start[order]
+    reach = np.maximum.accumulate(a + starts[order] - 1 + length)
+    new = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
+    return list(zip(a[new].tolist(), reach[np.append(new[1:], len(a)) - 1].tolist()))
+
+
+def _spans(column: pa.Array, length: int):
+    """The merged spans of every row of a list column of runs; null lists have none."""
+    for own in column:
+        if own.is_valid:
+            yield merge(own.values.field("start").to_numpy(), own.values.field("starts").to_numpy(), length)
         else:
-            spans.append([a, b])
-    return [(a, b) for a, b in spans]
+            yield []
 
 
 def _with_runs(docs: DataFrame, text: str, row: str, length: int, lead: int) -> DataFrame:
@@ -243,8 +275,7 @@ def op3(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     def run(batches):
         for b in batches:
             sizes, removed, spans, digests = [], [], [], []
-            for text, runs in zip(raw(b.column("text")), b.column("runs").to_pylist()):
-                cut = merge(runs, length)
+            for text, cut in zip(raw(b.column("text")), _spans(b.column("runs"), length)):
                 digest, at = hashlib.sha256(), 0
                 for a, e in cut:
                     digest.update(text[at:a])
@@ -289,17 +320,16 @@ def drop_repeats(docs: DataFrame, text: str = "text", chars: str | None = "n_cha
 
     def run(batches):
         for b in batches:
-            runs = b.column(runs_name).to_pylist()
+            cuts = list(_spans(b.column(runs_name), length))
             at = b.schema.get_field_index(text)
-            if any(runs):
+            if any(cuts):
                 old = b.column(at).to_pylist()
-                new = [t if not r else cut_text(t.encode(), merge(r, length)).decode("utf-8", "replace")
-                       for t, r in zip(old, runs)]
+                new = [t if not r else cut_text(t.encode(), r).decode("utf-8", "replace") for t, r in zip(old, cuts)]
                 b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
                 if chars in columns:
                     c = b.schema.get_field_index(chars)
                     kind = b.schema.field(c).type
-                    size = [len(t) if r else n for t, r, n in zip(new, runs, b.column(c).to_pylist())]
+                    size = [len(t) if r else n for t, r, n in zip(new, cuts, b.column(c).to_pylist())]
                     b = b.set_column(c, b.schema.field(c), pa.array(size, kind))
             yield b.select(columns)
 
