@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, hilbert, licences, matrices, packing, quality, simhash, spann, suffix
+from . import exact, hilbert, licences, matrices, packing, pieces, quality, simhash, spann, suffix
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries():
         "op5_simhash_neardup": lambda s, d: simhash.op5(table(s, d, "documents")),
         "op7_quality_classifier": _op7,
         "op8_licence_scan": lambda s, d: licences.licence_matches(table(s, d, "documents")),
+        "op9_sentencepiece": lambda s, d: pieces.op9(table(s, d, "documents")),
         "op10_exact_dedup": lambda s, d: exact.op10(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
