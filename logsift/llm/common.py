@@ -65,31 +65,31 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def global_order(df: DataFrame, keys: list, label: str) -> tuple[DataFrame, int]:
+def global_order(df: DataFrame, keys: list, label: str) -> tuple[DataFrame, str, int]:
     """Range-sort ``df`` by ``keys`` and number its rows from 0 in that order.
 
-    Returns the staged frame with columns ``pid`` (range partition) and ``pos``
-    (global position, long) and the number of rows.  Spark samples the
+    Returns the staged frame with the global position, the name of that column
+    (long; not one of ``df``'s) and the number of rows.  Spark samples the
     splitters; each partition is numbered locally and shifted by the row counts
     of the partitions before it (one row per partition reaches one task).
     """
+    pid, local, pos = fresh(df, "range_id"), fresh(df, "range_pos"), fresh(df, "pos")
     n = partitions(df.sparkSession)
-    sorted_ = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id())
+    sorted_ = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(pid, F.spark_partition_id())
 
     def number(batches):
         at = 0
         for b in batches:
-            yield b.append_column("local_pos", pa.array(np.arange(at, at + b.num_rows, dtype=np.int64)))
+            yield b.append_column(local, pa.array(np.arange(at, at + b.num_rows, dtype=np.int64)))
             at += b.num_rows
 
-    schema = schema_with(sorted_, local_pos="long")
-    staged = stage(sorted_.mapInArrow(number, schema), label)
-    sizes = staged.groupBy("pid").agg(F.count(F.lit(1)).alias("pid_rows"))
-    before = sizes.select("pid", (F.sum("pid_rows").over(Window.orderBy("pid")) - F.col("pid_rows")).alias("pid_start"))
-    total = staged.count()
+    staged = stage(sorted_.mapInArrow(number, schema_with(sorted_, **{local: "long"})), label)
+    start = fresh(staged, "range_start")
+    sizes = staged.groupBy(pid).agg(F.count(F.lit(1)).alias(start))
+    before = sizes.select(pid, (F.sum(start).over(Window.orderBy(pid)) - F.col(start)).alias(start))
     # one row per range partition: at most spark.sql.shuffle.partitions rows
-    out = staged.join(F.broadcast(before), "pid").withColumn("pos", F.col("pid_start") + F.col("local_pos"))
-    return out.drop("local_pos", "pid_start"), total
+    out = staged.join(F.broadcast(before), pid)
+    return out.select(*df.columns, (F.col(start) + F.col(local)).alias(pos)), pos, staged.count()
 
 
 def raw(column: pa.Array) -> list[bytes]:

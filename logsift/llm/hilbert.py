@@ -94,11 +94,10 @@ def curve_index(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "c
 def shard_rows(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: equal runs along the curve over the numeric columns ``dims``."""
     curve = fresh(df, "curve")
-    ordered, total = global_order(curve_index(df, dims, name=curve), [curve, *ties], "hilbert")
-    exact = F.expr(f"pos * {shards} div {max(total, 1)}")
-    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return (ordered.withColumn("shard", exact.cast("int"))
-            .withColumn("slot", F.col("pos") - first).select(*df.columns, "shard", "slot"))
+    ordered, pos, total = global_order(curve_index(df, dims, name=curve), [curve, *ties], "hilbert")
+    placed = ordered.withColumn("shard", F.expr(f"cast(`{pos}` * {shards} div {max(total, 1)} as int)"))
+    first = F.expr(f"(cast(shard as long) * {total} + {shards - 1}) div {shards}")
+    return placed.withColumn("slot", F.col(pos) - first).select(*df.columns, "shard", "slot")
 
 
 def measured(docs: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def best_fit_rounds(counts: dict[int, int], capacity: int) -> tuple[list[tuple[i
 
 def pack(items: DataFrame, length: str, ties: list[str], capacity: int = CAPACITY) -> DataFrame:
     """``items`` (lengths 1 to ``capacity``) with sequence_id and offset; ``ties`` order items of one length."""
-    ordered, total = global_order(items, [F.col(length).desc(), *map(F.col, ties)], "packing")
+    ordered, pos_name, _ = global_order(items, [F.col(length).desc(), *map(F.col, ties)], "packing")
     counts = {r[0]: r[1] for r in ordered.groupBy(length).count().collect()}     # at most ``capacity`` rows
     matches, _ = best_fit_rounds(counts, capacity)
     begin, at = {}, 0
@@ -86,14 +86,14 @@ def pack(items: DataFrame, length: str, ties: list[str], capacity: int = CAPACIT
 
     def place(batches):
         for b in batches:
-            pos = b.column("pos").to_numpy()
+            pos = b.column(pos_name).to_numpy()
             row = table[np.searchsorted(table[:, 0], pos, side="right") - 1]
             out = b.select(items_columns)
             out = out.append_column("sequence_id", pa.array(row[:, 1] + pos - row[:, 0]))
             yield out.append_column("offset", pa.array(row[:, 2]))
 
     items_columns = items.columns
-    return ordered.select(*items_columns, "pos").mapInArrow(place, schema)
+    return ordered.select(*items_columns, pos_name).mapInArrow(place, schema)
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False,

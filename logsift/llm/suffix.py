@@ -112,8 +112,6 @@ def _suffixes(rows: list[int], texts: list[bytes], length: int, lead: int):
         rest = np.fromiter((digest(buf[a:b]) for a, b in zip(s.tolist(), (s + n + length - 1).tolist())), np.uint64, len(s))
         rest ^= (suffix - s).astype(np.uint64) * _ODD
         piece = np.searchsorted(begin, s, side="right") - 1
-        while len(piece) and (begin[piece] == ends[piece]).any():     # an empty piece starts where the next does
-            piece += begin[piece] == ends[piece]
         row = np.array([r for r, _, _ in held], np.int64)[piece]
         off = np.array([o for _, o, _ in held], np.int64)[piece]
         return pa.record_batch([pa.array(x) for x in (h[suffix].view(np.int64), rest.view(np.int64), row, s - begin[piece] + off,
@@ -259,18 +257,18 @@ def _spans(column: pa.Array, length: int):
             yield []
 
 
-def _with_runs(docs: DataFrame, text: str, row: str, length: int, lead: int) -> DataFrame:
+def _with_runs(docs: DataFrame, text: str, row: str, runs_name: str, length: int, lead: int) -> DataFrame:
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     texts = numbered.select(F.col(row).alias("row_id"), F.col(text).cast("binary").alias("text"))
     runs = repeated_runs(texts, length, lead).groupBy("row_id").agg(
-        F.collect_list(F.struct("start", "starts")).alias("runs")).withColumnRenamed("row_id", row)
+        F.collect_list(F.struct("start", "starts")).alias(runs_name)).withColumnRenamed("row_id", row)
     return numbered.join(runs, row, "left")
 
 
 def op3(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    joined = _with_runs(narrow, "text", "row_id", length, lead)
+    joined = _with_runs(narrow, "text", "row_id", "runs", length, lead)
 
     def run(batches):
         for b in batches:
@@ -314,7 +312,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", chars: str | None = "n_cha
     ``chars``, where the table has it, is set to the new number of characters of changed texts.
     """
     row, runs_name = fresh(docs, "row"), fresh(docs, "runs")
-    joined = _with_runs(docs, text, row, length, lead).withColumnRenamed("runs", runs_name)
+    joined = _with_runs(docs, text, row, runs_name, length, lead)
     columns = docs.columns
     schema = joined.select(columns).schema
 
