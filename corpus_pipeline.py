@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import exact, packing, quality, simhash, suffix
-from logsift.llm.common import fresh, stage, table
+from logsift.llm.common import compact, fresh, stage, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     row = fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     scored = quality.quality_scores(numbered, table(spark, sf_dir, "labels"), keep=(row,))
-    return numbered.join(scored.where("predicted = 1").select(row), row, "left_semi").drop(row)
+    return compact(numbered.join(scored.where("predicted = 1").select(row), row, "left_semi").drop(row))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

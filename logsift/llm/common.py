@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+FILES_PER_CORE = 4
+
+
+def compact(df: DataFrame, per_core: int = FILES_PER_CORE) -> DataFrame:
+    """``df`` in at most so many partitions per core of the cluster: a bounded number of files, without a shuffle.
+
+    Many small partitions (a scan of many files, a shuffle of little data) would
+    leave a file each, and a file costs more than the rows in it.
+    """
+    return df.coalesce(per_core * max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def stage(df: DataFrame, label: str, per_core: int = FILES_PER_CORE) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but keeps column pruning and filters for
@@ -32,7 +46,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        compact(df, per_core).write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -92,6 +106,14 @@ def global_order(df: DataFrame, keys: list, label: str) -> tuple[DataFrame, str,
     return out.select(*df.columns, (F.col(start) + F.col(local)).alias(pos)), pos, staged.count()
 
 
+def per_worker(key: str, make):
+    """``make()``, called once in the life of a Python worker and shared by its tasks."""
+    held = sys.modules.setdefault("_logsift_per_worker", ModuleType("_logsift_per_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """The values of a string or binary Arrow column as UTF-8 bytes; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

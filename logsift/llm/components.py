@@ -33,10 +33,10 @@ def _proper(e: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) to ``(a, b)``: every vertex that isn't its component's smallest, with that smallest."""
-    now = stage(_proper(edges.select("a", "b")), "edges")
+    now = stage(_proper(edges.select("a", "b")), "edges", 1)
     mark = None
     while True:
-        new = stage(_proper(_small_star(_large_star(now))), "edges")
+        new = stage(_proper(_small_star(_large_star(now))), "edges", 1)
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         unstage(now)
         now = new

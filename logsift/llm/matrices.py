@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import TOKENIZER, document_ids, load_encoder, pieces_of
+from .tokens import TOKENIZER, document_ids, encoder, pieces_of
 
 WIDTH = 2048
 ROWS = 512
@@ -114,7 +114,7 @@ def token_matrices(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, tokeni
     dtype = "<u4" if wide else "<u2"
 
     def run(batches):
-        encode = load_encoder(tokenizer)
+        encode = encoder(tokenizer)
         block, held, size = None, [], 0
         for b in batches:
             for row, doc, t in zip(*(c.to_pylist() for c in b.columns)):

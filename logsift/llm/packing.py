@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import global_order, schema_with, stage
-from .tokens import TOKENIZER, document_ids, load_encoder, pieces_of
+from .tokens import TOKENIZER, document_ids, encoder, pieces_of
 
 CAPACITY = 1024
 
@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
     names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        encode = load_encoder(tokenizer)
+        encode = encoder(tokenizer)
         for b in batches:
             rows: list[tuple] = []
             for row, doc, text in zip(*(c.to_pylist() for c in b.columns)):

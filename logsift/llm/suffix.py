@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, raw, stage, unstage
+from .common import compact, fresh, partitions, raw, stage, unstage
 
 LENGTH = 200
 LEAD = 64
@@ -287,8 +287,8 @@ def op3(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
                                    pa.array(digests, pa.string())],
                                   names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.select("doc_id", "text", "runs").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return compact(joined.select("doc_id", "text", "runs").mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def cut_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -331,4 +331,4 @@ def drop_repeats(docs: DataFrame, text: str = "text", chars: str | None = "n_cha
                     b = b.set_column(c, b.schema.field(c), pa.array(size, kind))
             yield b.select(columns)
 
-    return joined.select(*columns, runs_name).mapInArrow(run, schema)
+    return compact(joined.select(*columns, runs_name).mapInArrow(run, schema))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 
+from .common import per_worker
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2                   # id appended to every document
 
@@ -22,6 +24,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def encoder(path: str = TOKENIZER) -> Callable[[str], list[int]]:
+    """:func:`load_encoder`, loaded once by each Python worker."""
+    return per_worker(f"encoder {path}", lambda: load_encoder(path))
+
+
 def load_encoder(path: str = TOKENIZER) -> Callable[[str], list[int]]:
     """text -> ids, without added special tokens (their own strings in a text get their ids, as in the library).
 
