@@ -14,26 +14,28 @@ Outputs use only string/bigint/double columns; times are formatted
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracles  # noqa: E402
 from logsift import fixtures as fx  # noqa: E402
-from logsift.functions.common import fmt_ts  # noqa: E402
+from logsift.functions.common import fmt_ts, sum0  # noqa: E402
 from logsift.operators import cloudtrail as ct  # noqa: E402
 from logsift.operators import report as rpt  # noqa: E402
 from logsift.operators import s3 as s3a  # noqa: E402
 from logsift.operators import vpc  # noqa: E402
 from logsift.plans import bundle  # noqa: E402
-from logsift.sources.cloudtrail import identity_wide, parse_cloudtrail_docs  # noqa: E402
-from logsift.sources.s3 import parse_s3_lines  # noqa: E402
-from logsift.sources.vpc import parse_vpc_lines  # noqa: E402
+from logsift.sources.cloudtrail import cloudtrail_rejects, identity_wide, parse_cloudtrail_docs, read_cloudtrail  # noqa: E402
+from logsift.sources.parsed import load_parsed  # noqa: E402
+from logsift.sources.s3 import parse_s3_lines, read_s3_access, s3_rejects  # noqa: E402
+from logsift.sources.vpc import parse_vpc_lines, read_vpc_flow, vpc_rejects  # noqa: E402
 
 try:                      # the corpus operators are optional
     from logsift.llm import queries as llm_queries
@@ -54,14 +56,20 @@ def entry(spark: SparkSession) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _vpc_parse(s, d):
-    p = parse_vpc_lines(fx.vpc_raw_lines(s, d))
+    return _vpc_columns(parse_vpc_lines(fx.vpc_raw_lines(s, d)))
+
+
+def _vpc_columns(p):
     return p.select("version", "account_id", "interface_id", "srcaddr", "dstaddr", "srcport", "dstport", "protocol",
                     "packets", "bytes", fmt_ts("window_start").alias("window_start"),
                     fmt_ts("window_end").alias("window_end"), "action", "flow_log_status", "source_file")
 
 
 def _s3_parse(s, d):
-    p = parse_s3_lines(fx.s3_raw_lines(s, d))
+    return _s3_columns(parse_s3_lines(fx.s3_raw_lines(s, d)))
+
+
+def _s3_columns(p):
     cols = [c for c in p.columns if c not in ("request_datetime", "http_status_code")]
     return p.select(*cols, fmt_ts("request_datetime").alias("request_datetime"),
                     F.col("http_status_code").cast("bigint").alias("http_status_code"))
@@ -73,19 +81,75 @@ def _s3_parse_status(s, d):
 
 
 def _ct_parse(shape):
-    def run(s, d):
-        p = parse_cloudtrail_docs(fx.ct_raw_documents(s, d, shape))
-        return p.select(F.col("event_id"), fmt_ts("event_time").alias("event_time"),
+    return lambda s, d: _ct_columns(parse_cloudtrail_docs(fx.ct_raw_documents(s, d, shape)))
+
+
+def _ct_columns(p):
+    return p.select(F.col("event_id"), fmt_ts("event_time").alias("event_time"),
                         fmt_ts("event_time_local").alias("event_time_local"), "aws_region", "event_name",
                         "event_source", "source_ip_address", "user_agent", "error_code", "error_message",
-                        "user_type", "user_arn", "account_id", "user_name", "request_elements",
-                        F.col("read_only").cast("string").alias("read_only"), "event_category", "source_file")
+                    "user_type", "user_arn", "account_id", "user_name", "request_elements",
+                    F.col("read_only").cast("string").alias("read_only"), "event_category", "source_file")
+
+
+# files: raw text and parsed tables written to the session's shared folder and read back
+
+def _vpc_files(compression):
+    return lambda s, d: _vpc_columns(read_vpc_flow(s, fx.landed_text(fx.vpc_raw_lines(s, d), "vpc", compression))).drop("source_file")
+
+
+def _s3_files(compression):
+    return lambda s, d: _s3_columns(read_s3_access(s, fx.landed_text(fx.s3_raw_lines(s, d), "s3", compression))).drop("source_file")
+
+
+def _ct_files(compression):
+    return lambda s, d: _ct_columns(read_cloudtrail(s, fx.landed_json(s, d, compression))).drop("source_file")
+
+
+def _load(log_type, frame, columns):
+    def run(s, d):
+        path = fx.landing_folder(s, log_type)
+        bundle.write_parsed(frame(s, d), path, log_type)
+        return columns(load_parsed(s, path, log_type).drop("event_date")).drop("source_file")
     return run
 
 
+def _load_vpc_csv(s, d):
+    path = fx.landing_folder(s, "vpc-csv")
+    bundle.export_ordered(fx.vpc_frame(s, d), "vpc", path)
+    return _vpc_columns(load_parsed(s, path, "vpc", fmt="csv")).drop("source_file")
+
+
+def _ct_rejects(s, d):
+    docs = cloudtrail_rejects(fx.ct_raw_documents(s, d, "bad_record")).union(cloudtrail_rejects(fx.ct_raw_documents(s, d, "jsonl")))
+    return docs
+
+
+def _vpc_odd_values(s, d):
+    p = parse_vpc_lines(fx.odd_vpc_lines(s, d))
+    return p.groupBy("srcaddr").agg(F.count(F.lit(1)).alias("flows"), F.count("window_start").alias("timed"),
+                                    F.count("window_end").alias("ended"), sum0("bytes").alias("total_bytes"))
+
+
+def _bundle(log_type, frame):
+    """Rows of every table of a bundle, counted in what was written."""
+    def run(s, d):
+        tables = bundle.run_analysis(frame(s, d), log_type, as_of=AS_OF)
+        written = bundle.write_bundle(tables, fx.landing_folder(s, "bundle"), log_type, as_of=AS_OF)
+        parts = [s.read.schema(tables[n].schema).parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
+                 for n, p in written.items()]
+        return functools.reduce(DataFrame.union, parts)
+    return run
+
+
+def _in_order(df):
+    """An ordered result with its position, so that the order is compared too."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+
+
 def _ct_identity_wide(s, d):
     p = parse_cloudtrail_docs(fx.ct_raw_documents(s, d, "records"))
-    w = identity_wide(p.select("event_id", "user_identity"))
+    w = identity_wide(p.select("event_id", "user_identity"), ["type", "arn", "accountId", "userName", "sessionContext"])
     return w.drop("user_identity")
 
 
@@ -154,6 +218,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ct_parse_records": _ct_parse("records"),
         "ct_parse_jsonl": _ct_parse("jsonl"),
         "ct_parse_array": _ct_parse("array"),
+        "ct_parse_single": _ct_parse("single"),
+        "ct_parse_dupkeys": _ct_parse("dupkeys"),
+        "ct_parse_bad_record": _ct_parse("bad_record"),
+        "vpc_rejects": lambda s, d: vpc_rejects(fx.vpc_raw_lines(s, d)),
+        "s3_rejects": lambda s, d: s3_rejects(fx.s3_raw_lines(s, d)),
+        "ct_rejects": _ct_rejects,
+        "vpc_odd_values": _vpc_odd_values,
+        "vpc_files": _vpc_files("none"),
+        "vpc_files_gzip": _vpc_files("gzip"),
+        "s3_files": _s3_files("none"),
+        "s3_files_gzip": _s3_files("gzip"),
+        "ct_files": _ct_files("none"),
+        "ct_files_gzip": _ct_files("gzip"),
+        "load_vpc": _load("vpc", fx.vpc_frame, _vpc_columns),
+        "load_vpc_csv": _load_vpc_csv,
+        "load_s3": _load("s3", _s3_parsed, _s3_columns),
+        "load_cloudtrail": _load("cloudtrail", _ct_parsed, _ct_columns),
         "ct_identity_wide": _ct_identity_wide,
         "ct_local_time": _ct_local_time,
         # VPC flow analyses
@@ -178,6 +259,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ct_failed_auth": lambda s, d: ct.ct_failed_auth(ctf(s, d)),
         "ct_failed_details": lambda s, d: ct.failed_auth_details(ctf(s, d)),
         "ct_failed_events": _ct_failed_events,
+        "ct_event_names_ordered": lambda s, d: _in_order(ct.ct_event_names(ctf(s, d))),
+        "ct_tactics_ordered": lambda s, d: _in_order(ct.ct_tactics(ctf(s, d))),
         "ct_regions": lambda s, d: ct.ct_regions(ctf(s, d)),
         "ct_console_login": lambda s, d: ct.ct_console_login(ctf(s, d)),
         "ct_console_login_recent": lambda s, d: ct.ct_console_login(ctf(s, d), days=10, as_of=AS_OF),
@@ -206,6 +289,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # sinks
         "run_summary": _run_summary,
         "export_column_order": _export_vpc,
+        "bundle_cloudtrail": _bundle("cloudtrail", ctf),
+        "bundle_vpc": _bundle("vpc", vpcf),
+        "bundle_s3": _bundle("s3", s3f),
     }
     return found | (llm_queries.queries() if llm_queries else {})
 

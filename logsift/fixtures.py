@@ -14,11 +14,14 @@ text so the parsers can be checked end to end on derived data.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.common import epoch_seconds_to_ntz, parse_iso_utc, to_integer
 from .operators.enrich import local_time
+from .session import checkpoint_dir
 from .sources.s3 import s3_time
 
 CT_VIEW = """
@@ -60,14 +63,14 @@ LEFT JOIN (VALUES (0,'6'),(1,'6'),(2,'17'),(3,'1'),(4,'58')) AS q(i, proto) ON l
 
 S3_VIEW = """
 SELECT o_orderkey, '79a59df900b949e5' AS bucket_owner, 'bkt-' || CAST(o_custkey % 5 AS STRING) AS bucket,
-       '[' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0') || '/Oct/2025:' || lpad(CAST(o_orderkey % 24 AS STRING), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS STRING), 2, '0') || ':' || lpad(CAST(o_custkey % 60 AS STRING), 2, '0') || ' +0000]' AS original_timestamp,
+       '[' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0') || '/Oct/2025:' || lpad(CAST(o_orderkey % 24 AS STRING), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS STRING), 2, '0') || ':' || lpad(CAST(o_custkey % 60 AS STRING), 2, '0') || CASE WHEN o_orderkey % 13 = 0 THEN ' +0930]' WHEN o_orderkey % 13 = 1 THEN ' -0500]' ELSE ' +0000]' END AS original_timestamp,
        CASE WHEN o_orderkey % 53 = 0 THEN '-' ELSE '203.0.113.' || CAST(o_custkey % 40 AS STRING) END AS remote_ip,
        CASE o_custkey % 6 WHEN 0 THEN '-' WHEN 1 THEN 'arn:aws:iam::123456789012:user/u' || CAST(o_custkey % 30 AS STRING)
             WHEN 2 THEN 'arn:aws:sts::123456789012:assumed-role/admin/s' || CAST(o_custkey % 7 AS STRING)
             WHEN 3 THEN 'svc:cloudtrail.amazonaws.com' WHEN 4 THEN '198.51.100.' || CAST(o_custkey % 9 AS STRING) ELSE '5043e0a2f5c9' END AS requester,
        'REQ' || CAST(o_orderkey AS STRING) AS request_id,
        op.op AS operation,
-       CASE WHEN o_orderkey % 41 = 0 THEN '-' ELSE '/data/' || CAST(o_custkey % 25 AS STRING) || '.bin' END AS object_key,
+       CASE WHEN o_orderkey % 41 = 0 THEN '-' WHEN o_orderkey % 23 = 0 THEN '/data/archive-of-many-long-folder-names/and-another-one/' || CAST(o_custkey % 25 AS STRING) || '.bin' ELSE '/data/' || CAST(o_custkey % 25 AS STRING) || '.bin' END AS object_key,
        ua.ua AS user_agent, CAST(floor(o_totalprice) AS BIGINT) AS bytes_sent
 FROM {orders}
 JOIN (VALUES (0,'REST.GET.OBJECT'),(1,'REST.PUT.OBJECT'),(2,'REST.DELETE.OBJECT'),(3,'REST.COPY.OBJECT'),(4,'REST.HEAD.BUCKET'),(5,'REST.OPTIONS.PREFLIGHT'),(6,'REST.GET.ACL'),(7,'REST.PUT.ACL'),(8,'REST.GET.BUCKETPOLICY'),(9,'REST.GET.WEBSITE'),(10,'S3.EXPIRE.OBJECT')) AS op(i, op) ON o_orderkey % 11 = op.i
@@ -178,7 +181,9 @@ def vpc_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s3_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(value, source_file)`` access-log lines.  Rows whose user agent is ``-`` are
-    written in the short unquoted form, which takes the fallback tokeniser."""
+    written in the short unquoted form, which takes the fallback tokeniser; some of
+    the others carry two fields appended to the format, and some rows come with a
+    blank line and a comment."""
     v = view(spark, sf_dir, "s3", spread_rows=True).withColumn("source_file", F.format_string("access-%02d.log", F.col("o_orderkey") % 16))
     uri = F.concat(F.lit('"GET '), F.col("object_key"), F.lit(' HTTP/1.1"'))
     full = F.concat_ws(" ", "bucket_owner", "bucket", "original_timestamp", "remote_ip", "requester", "request_id",
@@ -190,11 +195,42 @@ def s3_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.concat_ws(" ", "bucket_owner", "bucket", "original_timestamp", "remote_ip", "requester", "request_id",
                         "operation", "object_key", F.lit("-"), F.lit("200"), F.lit("-"),
                         F.col("bytes_sent").cast("string"))
-    return v.select(F.when(F.col("user_agent") == "-", short).otherwise(full).alias("value"), "source_file")
+    full = F.when(F.col("o_orderkey") % 19 == 0, F.concat(full, F.lit(' new1 "new 2"'))).otherwise(full)
+    line = F.when(F.col("user_agent") == "-", short).otherwise(full)
+    lines = F.when(F.col("o_orderkey") % 29 == 0, F.array(F.lit("  "), F.lit("# comment"), line)).otherwise(F.array(line))
+    return v.select(F.explode(lines).alias("value"), "source_file")
+
+
+def odd_vpc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow-log lines of every view row, where some have times in microseconds or with 17 or
+    25 digits, and some byte counts near the limit of bigint."""
+    v = view(spark, sf_dir, "vpc", spread_rows=True)
+    odd = F.col("l_orderkey") % 7
+    start = (F.when(odd == 0, F.concat(F.col("start_epoch"), F.lit("000000"))).when(odd == 1, F.lit("9" * 17))
+             .when(odd == 2, F.lit("9" * 25)).otherwise(F.col("start_epoch").cast("string")))
+    size = F.when(F.col("l_orderkey") % 11 == 0, F.lit("9223372036854775000")).otherwise(F.col("bytes"))
+    line = F.concat_ws(" ", F.lit("2"), F.lit("123456789012"), F.lit("eni-0a1b2c3d"), "srcaddr", "dstaddr", "srcport", "dstport",
+                       "protocol", "packets", size, start, F.col("end_epoch").cast("string"), "action", "flow_log_status")
+    return v.select(line.alias("value"), F.lit("odd.log").alias("source_file"))
+
+
+def landing_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for files that a query writes and reads back, on the shared storage of the session."""
+    return f"{checkpoint_dir(spark)}/logsift-{label}-{uuid.uuid4().hex}"
+
+
+def landed_text(lines: DataFrame, label: str, compression: str = "none") -> str:
+    """Raw lines as text files (``.txt``, ``.txt.gz``); returns the folder."""
+    path = landing_folder(lines.sparkSession, label)
+    lines.select("value").write.option("compression", compression).text(path)
+    return path
 
 
-def _ct_record(v_cols) -> F.Column:
-    return F.struct(*v_cols)
+def landed_json(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
+    """CloudTrail records as JSON-Lines files named ``.json`` or ``.json.gz``; returns the folder."""
+    path = landing_folder(spark, "ct")
+    ct_raw_records(spark, sf_dir).select("rec.*").write.option("compression", compression).json(path)
+    return path
 
 
 def ct_raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +261,10 @@ def ct_raw_documents(spark: SparkSession, sf_dir: str, shape: str = "records") -
     """``(value, source_file)`` CloudTrail documents built from the ``ct`` view.
 
     ``shape``: ``records`` (``{"Records": [...]}`` per file of 50 events),
-    ``jsonl`` (one record per line, plus a broken line per file) or ``array``.
+    ``jsonl`` (one record per line, plus a broken line per file), ``array``,
+    ``single`` (one record object per file), ``dupkeys`` (every record has a
+    repeated key whose last value counts) or ``bad_record`` (a ``Records`` array
+    that also holds a number, a text and a null).
     Grouping is by file, and a file holds at most 50 events, so every group is
     bounded.
     """
@@ -236,6 +275,15 @@ def ct_raw_documents(spark: SparkSession, sf_dir: str, shape: str = "records") -
         doc = F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\n{not json"))
         return (lines.groupBy("source_file").agg(doc.alias("value"))
                 .select("value", F.regexp_replace("source_file", r"\.json$", ".jsonl").alias("source_file")))
+    if shape == "single":
+        return r.select(F.to_json("rec").alias("value"), F.format_string("ct-%d.json", "event_id").alias("source_file"))
+    if shape in ("dupkeys", "bad_record"):
+        rec = F.to_json("rec")
+        if shape == "dupkeys":
+            rec = F.concat(F.lit('{"eventID":"overridden","eventTime":"2000-01-01T00:00:00Z",'), F.substring(rec, 2, 1 << 30))
+        texts = r.select(rec.alias("rec"), "source_file").groupBy("source_file").agg(F.array_join(F.collect_list("rec"), ",").alias("recs"))
+        tail = ',7,"text",null]}' if shape == "bad_record" else "]}"
+        return texts.select(F.concat(F.lit('{"Records":['), "recs", F.lit(tail)).alias("value"), "source_file")
     grouped = r.groupBy("source_file").agg(F.collect_list("rec").alias("recs"))
     if shape == "array":
         return grouped.select(F.to_json("recs").alias("value"), "source_file")

@@ -32,9 +32,13 @@ def strip_ws(c: str | Column) -> Column:
     return F.btrim(col(c), F.lit(_WS))
 
 
+_FIRST_SECOND, _LAST_SECOND = -62135596800, 253402300799    # years 1 to 9999
+
+
 def epoch_seconds_to_ntz(seconds: str | Column) -> Column:
-    """Epoch seconds (bigint) -> UTC wall-clock TIMESTAMP_NTZ."""
-    return F.timestamp_add("SECOND", col(seconds), F.expr(_EPOCH_NTZ))
+    """Epoch seconds (bigint) -> UTC wall-clock TIMESTAMP_NTZ; outside the years 1 to 9999 -> NULL."""
+    s = col(seconds)
+    return F.timestamp_add("SECOND", F.when(s.between(_FIRST_SECOND, _LAST_SECOND), s), F.expr(_EPOCH_NTZ))
 
 
 def instant_to_ntz(ts: str | Column) -> Column:
@@ -89,16 +93,24 @@ def night_window(hour: str | Column, start: int = 22, end: int = 6, inclusive_en
 def pct(n: str | Column, total: str | Column) -> Column:
     """``round(n / total * 100, 2)`` with exact half-even rounding, as a double.
 
-    Integer arithmetic only: ``q, r = divmod(n * 10000, total)``; round ``q``
-    half to even on ``r``; divide by 100.  Gives the same double in Spark and in
-    SQL engines, with no float noise.  ``total <= 0`` gives NULL.
+    Integer arithmetic only, on decimals wide enough for any bigint counts:
+    ``q, r = divmod(n * 10000, total)``; round ``q`` half to even on ``r``;
+    divide by 100.  Gives the same double in Spark and in SQL engines, with no
+    float noise.  ``total <= 0`` gives NULL.
     """
-    n, total = col(n).cast("long"), col(total).cast("long")
-    scaled = n * F.lit(10000)
-    r = scaled % total
-    q = ((scaled - r) / total).cast("long")
-    bump = F.when((r * 2 > total) | ((r * 2 == total) & (q % 2 == 1)), 1).otherwise(0)
-    return F.when(total > 0, (q + bump) / F.lit(100.0))
+    total = F.when(col(total) > 0, col(total)).cast("decimal(20,0)")
+    q, r = div_mod(col(n).cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)"), total)
+    return half_even(q, r, total) / F.lit(100.0)
+
+
+def div_mod(n: Column, d: Column) -> tuple[Column, Column]:
+    """Integral quotient (bigint) and remainder of whole numbers."""
+    return F.call_function("div", n, d), n % d
+
+
+def half_even(q: Column, r: Column, d: Column) -> Column:
+    """The quotient ``q`` with remainder ``r`` on division by ``d``, rounded half to even."""
+    return q + F.when((r * 2 > d) | ((r * 2 == d) & (q % 2 == 1)), 1).otherwise(0)
 
 
 def with_pct(agg: DataFrame, count_col: str, out_col: str, total: Column | None = None) -> DataFrame:
@@ -117,29 +129,36 @@ def with_pct(agg: DataFrame, count_col: str, out_col: str, total: Column | None
                .drop("__total"))
 
 
-def order_desc(measure: str | Sequence[str], keys: Sequence[str] = ()) -> list[Column]:
+def order_desc(measure: str | Sequence[str], keys: Sequence[str] = (), sums: bool = False) -> list[Column]:
     """Sort spec: measure(s) descending, then keys ascending; NULLs last both ways.
 
-    Tie-breaking on every key column makes top-N results deterministic.
+    Tie-breaking on every key column makes top-N results deterministic.  With
+    ``sums`` a NULL measure is a sum beyond bigint and comes first.
     """
     measures = [measure] if isinstance(measure, str) else list(measure)
-    return [F.col(m).desc_nulls_last() for m in measures] + [F.col(k).asc_nulls_last() for k in keys]
+    return ([F.col(m).desc_nulls_first() if sums else F.col(m).desc_nulls_last() for m in measures]
+            + [F.col(k).asc_nulls_last() for k in keys])
 
 
-def top_n(df: DataFrame, measure: str | Sequence[str], n: int | None, keys: Sequence[str]) -> DataFrame:
+def top_n(df: DataFrame, measure: str | Sequence[str], n: int | None, keys: Sequence[str],
+          sums: bool = False) -> DataFrame:
     """Rank by ``measure`` desc (ties by ``keys`` asc) and keep ``n`` rows.
 
     Planned as ``TakeOrderedAndProject``: every partition keeps its own best
     ``n`` and only those reach the final merge, so the cost does not grow with
     the number of groups.  ``n=None`` returns the full ordering.
     """
-    ordered = df.orderBy(*order_desc(measure, keys))
+    ordered = df.orderBy(*order_desc(measure, keys, sums))
     return ordered if n is None else ordered.limit(n)
 
 
 def sum0(c: str | Column) -> Column:
-    """Sum skipping NULLs; an all-NULL (or empty) group gives 0."""
-    return F.coalesce(F.sum(col(c)), F.lit(0).cast("long"))
+    """Sum skipping NULLs; an all-NULL (or empty) group gives 0.
+
+    A sum beyond bigint is NULL (no job is aborted by it); no other sum is, so
+    rankings by a sum put NULL first (``sums`` of :func:`top_n`).
+    """
+    return F.coalesce(F.try_sum(col(c)), F.when(F.count(col(c)) == 0, F.lit(0).cast("long")))
 
 
 def truncate_label(c: str | Column, n: int) -> Column:

@@ -28,6 +28,29 @@ def ensure_identity(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+class Counts:
+    """Event counts by several dimensions from one pass: ``table`` is (dimension, value, n), NULL values kept.
+
+    The frequency analyses take it in place of the events.
+    """
+
+    DIMENSIONS = {"event_name": lambda: F.col("event_name"), "aws_region": lambda: F.col("aws_region"),
+                  "ua": lambda: classify_user_agent("user_agent")}
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.sparkSession = table.sparkSession
+
+    def of(self, dimension: str) -> DataFrame:
+        return self.table.filter(F.col("dimension") == dimension)
+
+
+def dimension_counts(df: DataFrame) -> DataFrame:
+    """One scan and one partially aggregated shuffle for every dimension of :class:`Counts`."""
+    pairs = [F.struct(F.lit(name).alias("dimension"), value().alias("value")) for name, value in Counts.DIMENSIONS.items()]
+    return df.select(F.explode(F.array(*pairs)).alias("d")).groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _frequency(df: DataFrame, key: str, out_key: str, count_name: str, pct_name: str,
                total: Column | None = None) -> DataFrame:
     """value_counts(key) with a percentage of ``total`` (default: all rows, NULL keys included).
@@ -35,7 +58,10 @@ def _frequency(df: DataFrame, key: str, out_key: str, count_name: str, pct_name:
     The NULL-key group is aggregated too so that the denominator comes from the
     same shuffle; it is removed afterwards.
     """
-    agg = df.groupBy(F.col(key).alias(out_key)).agg(F.count(F.lit(1)).alias(count_name))
+    if isinstance(df, Counts):
+        agg = df.of(key).select(F.col("value").alias(out_key), F.col("n").alias(count_name))
+    else:
+        agg = df.groupBy(F.col(key).alias(out_key)).agg(F.count(F.lit(1)).alias(count_name))
     agg = with_pct(agg, count_name, pct_name, total)
     # Drop the NULL-key group with a predicate that also reads the count: a
     # predicate on the key alone would be pushed below the aggregation, making
@@ -78,18 +104,19 @@ def ct_night_events(df: DataFrame, start_hour: int = 22, end_hour: int = 6, incl
 
 # CT-4 / CT-5 / CT-8 -------------------------------------------------------------
 
-def ct_event_names(df: DataFrame) -> DataFrame:
+def ct_event_names(df: DataFrame | Counts) -> DataFrame:
     """Event-name frequency and % of all events."""
     return _frequency(df, "event_name", "event_name", "event_count", "event_pct")
 
 
-def ct_user_agents(df: DataFrame) -> DataFrame:
+def ct_user_agents(df: DataFrame | Counts) -> DataFrame:
     """Detailed user-agent class frequency and % of all events."""
-    return _frequency(df.select(classify_user_agent("user_agent").alias("ua")), "ua", "user_agent_type",
-                      "usage_count", "usage_pct")
+    if not isinstance(df, Counts):
+        df = df.select(classify_user_agent("user_agent").alias("ua"))
+    return _frequency(df, "ua", "user_agent_type", "usage_count", "usage_pct")
 
 
-def ct_regions(df: DataFrame) -> DataFrame:
+def ct_regions(df: DataFrame | Counts) -> DataFrame:
     """Region frequency and % of all events (events without a region count in the total)."""
     return _frequency(df, "aws_region", "region", "event_count", "event_pct")
 
@@ -132,7 +159,12 @@ def failed_auth_events(df: DataFrame) -> DataFrame:
     return tagged.select(*front, *rest)
 
 
-def _failure_value_counts(df: DataFrame, user_field: str) -> DataFrame:
+def _user_value(user_field: str | list[str]) -> Column:
+    """One column, or the first non-NULL of several (``["user_name", "principal_id", "user_type"]``)."""
+    return F.col(user_field) if isinstance(user_field, str) else F.coalesce(*user_field)
+
+
+def _failure_value_counts(df: DataFrame, user_field: str | list[str]) -> DataFrame:
     """``(category, dimension, value, count)`` over failure events, NULL values kept.
 
     Every failure event contributes to both dimensions (``IPs`` and
@@ -140,7 +172,7 @@ def _failure_value_counts(df: DataFrame, user_field: str) -> DataFrame:
     One scan, one partially aggregated shuffle.
     """
     hits = _with_failure_text(df).select(F.explode(_failure_categories()).alias("category"),
-                     F.col("source_ip_address").alias("ip"), F.col(user_field).alias("user"))
+                     F.col("source_ip_address").alias("ip"), _user_value(user_field).alias("user"))
     pairs = hits.select("category", F.explode(F.array(
         F.struct(F.lit("IPs").alias("dimension"), F.col("ip").alias("value")),
         F.struct(F.lit("Users").alias("dimension"), F.col("user").alias("value")))).alias("d"))
@@ -148,52 +180,53 @@ def _failure_value_counts(df: DataFrame, user_field: str) -> DataFrame:
             .groupBy("category", "dimension", "value").agg(F.count(F.lit(1)).alias("count")))
 
 
-def failed_auth_details(df: DataFrame, user_field: str = "user_name") -> DataFrame:
-    """Exact long form behind the statistics: ``(category, dimension, value, count)``
-    for every failure category, dimension ``IPs``/``Users`` and distinct value."""
+def failed_auth_details(df: DataFrame, user_field: str | list[str] = "user_name") -> DataFrame:
+    """``(category, dimension, value, count)`` for every failure category, dimension
+    ``IPs``/``Users`` and distinct value."""
     df = ensure_identity(df)
     return _failure_value_counts(df, user_field).filter(F.col("value").isNotNull())
 
 
-def ct_failed_auth(df: DataFrame, user_field: str = "user_name", max_details: int = 1000) -> DataFrame:
-    """Per failure category two rows, ``<category> - IPs`` and ``<category> - Users``:
-    number of distinct values and ``value (count)`` list, most frequent first.
+def ct_failed_auth(df: DataFrame, user_field: str | list[str] = "user_name") -> DataFrame:
+    """Every distinct IP and user of every failure category with its exact count:
+    ``category`` (``<category> - IPs`` / ``<category> - Users``), ``value``, ``count`` and
+    ``distinct_values`` of the category.  A category whose events name no value has
+    one row with NULL, 0 and 0.
 
-    ``count`` is always exact.  ``details`` lists the ``max_details`` most
-    frequent values; the complete list is :func:`failed_auth_details`, one row
-    per value.  The bound is required: one category may hold most failures,
-    and an unbounded list would be built in one task as one row.  Ranking uses a row_number window filtered to
-    ``max_details``, which Spark executes as a per-partition group limit before
-    the shuffle, so a hot category never sends more than ``max_details`` rows
-    per map task.  Everything derives from one aggregate of the input.
+    One row per value, so nothing is cut and no category is gathered in one
+    row; both branches read the same aggregate of the input (one pass).
     """
-    if max_details is None or max_details < 1:
-        raise ValueError("max_details must be a positive bound; use failed_auth_details for every value")
     df = ensure_identity(df)
     counted = _failure_value_counts(df, user_field)
-    # Both branches read every column of `counted`, so they share one exchange
-    # (one pass over the input).  `events > 0` holds by construction; it keeps
-    # the count column in use, otherwise column pruning would drop it from this
-    # branch's aggregate and the two branches would each scan the input.
+    # `events > 0` holds by construction; it keeps the count column in use, otherwise
+    # column pruning would drop it from this branch's aggregate and the two branches
+    # would each scan the input
     summary = (counted.groupBy("category", "dimension")
-               .agg(F.count("value").alias("n_distinct"), F.sum("count").alias("events"))
+               .agg(F.count("value").alias("distinct_values"), F.sum("count").alias("events"))
                .filter(F.col("events") > 0))
-    ranked = counted.withColumn("rank", F.row_number().over(
-        Window.partitionBy("category", "dimension")
-        .orderBy(F.col("value").isNull().asc(), F.col("count").desc(), F.col("value").asc())))
-    ranked = ranked.filter(F.col("rank") <= max_details)
-    label = F.format_string("%s (%d)", F.col("value"), F.col("count"))
-    lists = (ranked.filter(F.col("value").isNotNull()).groupBy("category", "dimension")
-             .agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), label.alias("label")))).alias("items"))
-             .select("category", "dimension",
-                     F.array_join(F.transform("items", lambda x: x["label"]), "; ").alias("details")))
-    cat_order = F.array_position(F.array(*[F.lit(c) for c in lookups.FAILURE_KEYWORDS]), F.col("category"))
-    out = (summary.join(lists, ["category", "dimension"], "left")
-           .select(F.concat_ws(" - ", "category", "dimension").alias("category"),
-                   F.col("n_distinct").alias("count"),
-                   F.coalesce("details", F.lit("N/A")).alias("details"),
-                   cat_order.alias("_o1"), F.col("dimension").alias("_o2")))
-    return out.orderBy("_o1", "_o2").drop("_o1", "_o2")
+    # two rows per failure category of the fixed keyword table
+    out = counted.join(F.broadcast(summary), ["category", "dimension"])
+    out = out.filter(F.col("value").isNotNull() | (F.col("distinct_values") == 0))
+    return out.select(F.concat_ws(" - ", "category", "dimension").alias("category"), "value",
+                      F.when(F.col("value").isNull(), 0).otherwise(F.col("count")).cast("long").alias("count"), "distinct_values")
+
+
+def failed_auth_preview(df: DataFrame, k: int = 20, user_field: str | list[str] = "user_name") -> DataFrame:
+    """Display text per category: ``value (count)`` of the ``k`` most frequent values, and how many there are.
+
+    A preview only; the complete table is :func:`ct_failed_auth`.  Values are
+    ranked by a two-level top-k: within each of many salts of the value first,
+    then among the ``k`` of every salt, whatever ``k`` is.
+    """
+    full = ct_failed_auth(df, user_field)
+    order = [F.col("count").desc(), F.col("value").asc_nulls_last()]
+    salted = full.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(1024)))
+    near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("category", "salt").orderBy(*order))).filter(F.col("rank") <= k)
+    top = near.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(*order))).filter(F.col("rank") <= k)
+    label = F.when(F.col("value").isNull(), "N/A").otherwise(F.format_string("%s (%d)", F.col("value"), F.col("count")))
+    return top.groupBy("category").agg(
+        F.first("distinct_values").alias("distinct_values"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", label.alias("label")))), lambda x: x["label"]), "; ").alias("preview"))
 
 
 # CT-9 / CT-10 -----------------------------------------------------------------
@@ -228,7 +261,7 @@ def ct_create_user(df: DataFrame) -> DataFrame:
     """CreateUser events: created user (``requestParameters.userName``, else ``Unknown``),
     creator ARN, times, IP and region; newest first."""
     df = ensure_identity(df)
-    created = F.try_variant_get(F.try_parse_json("request_elements"), "$.userName", "string")
+    created = F.from_json("request_elements", "userName string")["userName"]      # a repeated key takes its last value
     out = df.filter(F.col("event_name") == "CreateUser").select(
         F.coalesce(created, F.lit("Unknown")).alias("created_user"), F.col("user_arn").alias("created_by_arn"),
         "event_time", fmt_ts("event_time").alias("event_time_utc"),
@@ -239,11 +272,11 @@ def ct_create_user(df: DataFrame) -> DataFrame:
 
 # CT-11 / CT-12 ----------------------------------------------------------------
 
-def _lookup(df: DataFrame, lookup: DataFrame | None, policy: str | None) -> DataFrame:
+def _lookup(df: DataFrame | Counts, lookup: DataFrame | None, policy: str | None) -> DataFrame:
     return lookup if lookup is not None else tactic_lookup(df.sparkSession, "cloudtrail", policy=policy)
 
 
-def ct_tactics(df: DataFrame, lookup: DataFrame | None = None, policy: str | None = None) -> DataFrame:
+def ct_tactics(df: DataFrame | Counts, lookup: DataFrame | None = None, policy: str | None = None) -> DataFrame:
     """(tactic, event name) hit counts with % of all events; tactic A-Z, hits desc.
 
     Events are counted per name first (partial aggregation, one shuffle); the
@@ -252,7 +285,10 @@ def ct_tactics(df: DataFrame, lookup: DataFrame | None = None, policy: str | Non
     """
     # non-NULL key: otherwise the join's inferred "key IS NOT NULL" would be pushed
     # below the aggregation and the total could no longer reuse its shuffle
-    by_name = df.groupBy(F.coalesce("event_name", F.lit("")).alias("event_name")).agg(F.count(F.lit(1)).alias("hit_count"))
+    if isinstance(df, Counts):
+        by_name = df.of("event_name").select(F.coalesce("value", F.lit("")).alias("event_name"), F.col("n").alias("hit_count"))
+    else:
+        by_name = df.groupBy(F.coalesce("event_name", F.lit("")).alias("event_name")).agg(F.count(F.lit(1)).alias("hit_count"))
     total = by_name.select(F.sum("hit_count")).scalar()
     hits = tag_tactics(by_name, _lookup(df, lookup, policy), "event_name", how="inner")
     out = with_pct(hits.select("tactic", "event_name", "hit_count"), "hit_count", "event_pct", total)

@@ -2,9 +2,9 @@
 
 Lookups with a fixed, tiny domain (18 regions, 6 protocols) are inline map
 literals: a projection, no join at all.  Lookups users may replace (tactics,
-remote-access ports) are DataFrames joined with a broadcast hint; the hint is
-only given when the lookup's row count is known to be small (the packaged
-tables by construction, user tables after a row-count check).
+remote-access ports) are DataFrames.  The packaged ones, a few hundred rows by
+construction, carry a broadcast hint; for any other the planner chooses from
+statistics (and again at run time with AQE).
 """
 
 from __future__ import annotations
@@ -17,12 +17,6 @@ from pyspark.sql import functions as F
 from .. import lookups
 from ..functions.common import col
 
-# A user-supplied lookup is broadcast only up to this many rows and bytes;
-# above either bound the join is left to the planner (sort-merge / AQE), so
-# nothing unbounded is ever shipped to every executor.
-MAX_BROADCAST_LOOKUP_ROWS = 1_000_000
-MAX_BROADCAST_LOOKUP_BYTES = 32 << 20
-
 
 def _map_literal(mapping: dict) -> Column:
     return F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
@@ -53,23 +47,12 @@ def protocol_name(protocol: str | Column) -> Column:
     return F.coalesce(F.try_element_at(_map_literal(lookups.PROTOCOL_NAMES), p.cast("int")), p.cast("string"))
 
 
-def _bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_LOOKUP_ROWS,
-             max_bytes: int = MAX_BROADCAST_LOOKUP_BYTES) -> DataFrame:
-    """Broadcast hint only when the lookup is proven small: one pass over at
-    most ``max_rows + 1`` rows measures rows and text bytes."""
-    width = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes]
-    row_bytes = sum(width[1:], width[0]) if width else F.lit(0)
-    size = (df.limit(max_rows + 1)
-            .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first())
-    return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df
-
-
 def port_service_lookup(spark: SparkSession, ports: dict | None = None) -> DataFrame:
     """``(port bigint, service string)`` for the remote-access ports."""
     mapping = lookups.REMOTE_ACCESS_PORTS if ports is None else ports
     rows = [(int(k), str(v)) for k, v in mapping.items()]
-    # size proven by construction: one row per configured port
-    return F.broadcast(spark.createDataFrame(rows, "port bigint, service string"))
+    lookup = spark.createDataFrame(rows, "port bigint, service string")
+    return F.broadcast(lookup) if ports is None else lookup
 
 
 def tactic_lookup(spark: SparkSession, log_type: str = "cloudtrail", config: dict | DataFrame | None = None,
@@ -88,9 +71,9 @@ def tactic_lookup(spark: SparkSession, log_type: str = "cloudtrail", config: dic
     if isinstance(config, DataFrame):
         rows = config.select("tactic", "name", "position")
         if policy == "all":
-            return _bounded(rows.select("name", "tactic").dropDuplicates())
+            return rows.select("name", "tactic").dropDuplicates()
         pick = F.min_by if policy == "first" else F.max_by
-        return _bounded(rows.groupBy("name").agg(pick("tactic", "position").alias("tactic")))
+        return rows.groupBy("name").agg(pick("tactic", "position").alias("tactic"))
     flat = lookups.tactic_rows(config, log_type)
     if policy == "all":
         pairs = sorted({(name, tactic) for tactic, name, _ in flat})
@@ -100,8 +83,8 @@ def tactic_lookup(spark: SparkSession, log_type: str = "cloudtrail", config: dic
             if policy == "last" or name not in chosen:
                 chosen[name] = tactic
         pairs = sorted(chosen.items())
-    # size proven by construction: at most one row per configured entry
-    return F.broadcast(spark.createDataFrame(pairs, "name string, tactic string"))
+    lookup = spark.createDataFrame(pairs, "name string, tactic string")
+    return F.broadcast(lookup) if config is None else lookup
 
 
 def tag_tactics(df: DataFrame, lookup: DataFrame, key_col: str, out_col: str = "tactic",

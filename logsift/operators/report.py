@@ -1,6 +1,6 @@
 """Report series: the small aggregates and labels the HTML pages chart.
 
-They take the output of an analysis (already small) and never rescan logs.
+They take the output of an analysis and add no scan of their own to it.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import col, top_n, truncate_label
+from ..functions.common import col, div_mod, half_even, top_n, truncate_label
 
 ARROW = " → "
 
@@ -60,10 +60,7 @@ def operation_label(op: str | Column = "operation", bucket: str | Column = "buck
 def duration_hours(seconds: str | Column = "duration_seconds") -> Column:
     """Seconds -> hours rounded to 2 decimals (exact half-even), as a double."""
     s = col(seconds).cast("long")
-    r = s % 36
-    q = ((s - r) / 36).cast("long")
-    bump = F.when((r * 2 > 36) | ((r * 2 == 36) & (q % 2 == 1)), 1).otherwise(0)
-    return (q + bump) / F.lit(100.0)
+    return half_even(*div_mod(s, F.lit(36)), F.lit(36)) / F.lit(100.0)
 
 
 def session_hours(sessions: DataFrame) -> DataFrame:
@@ -97,11 +94,15 @@ def user_agent_labels(user_agents: DataFrame, chart_chars: int = 50, table_chars
 
 
 def s3_event_preview(tactic_events: DataFrame, k: int = 20, key_chars: int = 50) -> DataFrame:
-    """First ``k`` tagged S3 requests, key truncated to ``key_chars`` characters."""
+    """First ``k`` tagged S3 requests, key truncated to ``key_chars`` characters.
+
+    The cut stands right above the listing, so an ordered listing is planned as
+    a top-k: every partition keeps its own first ``k``, no full sort.
+    """
     from ..sources.s3 import s3_time_offset
 
-    return tactic_events.select(
+    return tactic_events.limit(k).select(
         "tactic", "operation", "bucket", truncate_label("key", key_chars).alias("key"),
         F.col("remote_ip").alias("source_ip"),
         F.date_format("request_datetime", "yyyy-MM-dd HH:mm:ss").alias("timestamp_utc"),
-        s3_time_offset("original_timestamp").alias("timezone")).limit(k)
+        s3_time_offset("original_timestamp").alias("timezone"))

@@ -32,7 +32,7 @@ def vpc_top_ips(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
            .select("ip", "total_bytes",
                    F.when(F.col("role") == "srcaddr", TYPE_SOURCE).otherwise(TYPE_DESTINATION).alias("type"),
                    "total_packets"))
-    return top_n(agg, "total_bytes", top_n_rows, ["ip", "type"])
+    return top_n(agg, "total_bytes", top_n_rows, ["ip", "type"], sums=True)
 
 
 def vpc_top_ports(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
@@ -40,7 +40,7 @@ def vpc_top_ports(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
     agg = (df.filter(F.col("dstport").isNotNull() & F.col("protocol").isNotNull())
            .groupBy("dstport", "protocol")
            .agg(F.count(F.lit(1)).alias("flow_count"), sum0("bytes").alias("total_bytes")))
-    ranked = top_n(agg, "total_bytes", top_n_rows, ["dstport", "protocol"])
+    ranked = top_n(agg, "total_bytes", top_n_rows, ["dstport", "protocol"], sums=True)
     return ranked.select(F.col("dstport").alias("port"), protocol_name("protocol").alias("protocol"),
                          "flow_count", "total_bytes")
 
@@ -58,7 +58,7 @@ def vpc_night_remote(df: DataFrame, ports: dict | None = None, start_hour: int =
     agg = (remote.filter(F.col("srcaddr").isNotNull() & F.col("dstaddr").isNotNull() & F.col("protocol").isNotNull())
            .groupBy("srcaddr", "dstaddr", "dstport", "protocol", "service")
            .agg(sum0("bytes").alias("total_bytes"), sum0("packets").alias("total_packets")))
-    ranked = top_n(agg, "total_bytes", None, ["srcaddr", "dstaddr", "dstport", "protocol"])
+    ranked = top_n(agg, "total_bytes", None, ["srcaddr", "dstaddr", "dstport", "protocol"], sums=True)
     return ranked.select(F.col("srcaddr").alias("source_ip"), F.col("dstaddr").alias("destination_ip"),
                          F.col("dstport").alias("port"), protocol_name("protocol").alias("protocol"),
                          "service", "total_bytes", "total_packets")
@@ -86,7 +86,7 @@ def vpc_top_connections(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame
            .groupBy("srcaddr", "dstaddr")
            .agg(sum0("bytes").alias("total_bytes"), sum0("packets").alias("total_packets"),
                 F.count(F.lit(1)).alias("flow_count")))
-    ranked = top_n(agg, "total_bytes", top_n_rows, ["srcaddr", "dstaddr"])
+    ranked = top_n(agg, "total_bytes", top_n_rows, ["srcaddr", "dstaddr"], sums=True)
     return ranked.select(F.col("srcaddr").alias("source_ip"), F.col("dstaddr").alias("destination_ip"),
                          "total_bytes", "total_packets", "flow_count")
 
@@ -100,6 +100,6 @@ def vpc_top_connections_joined(df: DataFrame, top_n_rows: int | None = 20) -> Da
                                                   sum0("packets").alias("total_packets"))
     counts = base.groupBy("srcaddr", "dstaddr").agg(F.count(F.lit(1)).alias("flow_count"))
     joined = sums.join(counts, ["srcaddr", "dstaddr"], "inner")
-    ranked = top_n(joined, "total_bytes", top_n_rows, ["srcaddr", "dstaddr"])
+    ranked = top_n(joined, "total_bytes", top_n_rows, ["srcaddr", "dstaddr"], sums=True)
     return ranked.select(F.col("srcaddr").alias("source_ip"), F.col("dstaddr").alias("destination_ip"),
                          "total_bytes", "total_packets", "flow_count")

@@ -14,11 +14,13 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.common import last_days, parse_naive
+from ..functions.common import top_n as ranked
 from ..operators import cloudtrail as ct
 from ..operators import report as rpt
 from ..operators import s3 as s3a
 from ..operators import vpc as vpca
-from ..schemas import EXPORT_LAST, EXPORT_PRIORITY, IDENTITY_PREFIX, export_names
+from ..schemas import EXPORT_LAST, EXPORT_PRIORITY, IDENTITY_KEYS, IDENTITY_PREFIX, export_names
 from ..session import materialize
 
 # ---------------------------------------------------------------------------
@@ -43,45 +45,84 @@ TIME_COLUMN = {"cloudtrail": "event_time", "vpc": "window_start", "s3": "request
 
 
 def cloudtrail_bundle(df: DataFrame, as_of: str | None = None, lookup: DataFrame | None = None,
-                      top_n: int = 20) -> dict[str, DataFrame]:
+                      top_n: int = 20, user_field: str | list[str] = "user_name") -> dict[str, DataFrame]:
+    """Tables of the CloudTrail report.  Event names, regions, user agents and tactics come from one
+    count of the events, held in the shared checkpoint folder (a row per distinct value)."""
+    counts = ct.Counts(materialize(ct.dimension_counts(df), "checkpoint"))
     tables = [
-        ct.ct_top_ips(df, top_n), ct.ct_night_ips(df), ct.ct_night_events(df), ct.ct_event_names(df),
-        ct.ct_user_agents(df), ct.ct_failed_auth(df), ct.ct_regions(df), ct.ct_console_login(df),
-        ct.ct_create_user(df), ct.ct_tactics(df, lookup), ct.ct_tactic_events(df, lookup, sort=False),
+        ct.ct_top_ips(df, top_n), ct.ct_night_ips(df), ct.ct_night_events(df), ct.ct_event_names(counts),
+        ct.ct_user_agents(counts), ct.ct_failed_auth(df, user_field), ct.ct_regions(counts), ct.ct_console_login(df),
+        ct.ct_create_user(df), ct.ct_tactics(counts, lookup), ct.ct_tactic_events(df, lookup, sort=False),
     ]
     out = dict(zip(CLOUDTRAIL_TABLES, tables))
-    logins_30d = ct.ct_console_login(df, days=30, as_of=as_of)
-    out["Report_Login_Status_30d"] = rpt.login_status_counts(logins_30d)
-    out["Report_Top_Creators"] = rpt.top_creators(out["CreateUser_Statistics"])
-    out["Report_Tactic_Totals"] = rpt.tactic_totals(out["Mitre_ATTACK_Tactics"])
-    return out
+    out["Failed_Auth_Events"] = ct.failed_auth_events(df)
+    return out | _derived("cloudtrail", out, as_of)
 
 
 def vpc_bundle(df: DataFrame, top_n: int = 20) -> dict[str, DataFrame]:
     tables = [vpca.vpc_top_ips(df, top_n), vpca.vpc_top_ports(df, top_n), vpca.vpc_night_remote(df),
               vpca.vpc_session_duration(df, top_n), vpca.vpc_top_connections(df, top_n)]
     out = dict(zip(VPC_TABLES, tables))
-    out["Report_Session_Hours"] = rpt.session_hours(out["Session_Duration_Statistics"])
-    return out
+    return out | _derived("vpc", out)
 
 
 def s3_bundle(df: DataFrame, lookup: DataFrame | None = None, top_n: int = 20) -> dict[str, DataFrame]:
     tables = [s3a.s3_requesters(df, top_n), s3a.s3_operations(df, top_n), s3a.s3_user_agents(df, top_n),
               s3a.s3_tactics(df, lookup), s3a.s3_tactic_events(df, lookup, sort=False)]
-    return dict(zip(S3_TABLES, tables))
+    out = dict(zip(S3_TABLES, tables))
+    return out | _derived("s3", out)
+
+
+def _recent_logins(logins: DataFrame, as_of: str | None) -> DataFrame:
+    return rpt.login_status_counts(logins.filter(last_days(parse_naive("event_time_utc"), 30, as_of)))
+
+
+# chart series: name -> (the table it is made from, how); ``write_bundle`` makes them from the written table
+DERIVED = {
+    "cloudtrail": {
+        "Report_Login_Status_30d": ("ConsoleLogin_Statistics", _recent_logins),
+        "Report_Top_Creators": ("CreateUser_Statistics", lambda t, _: rpt.top_creators(t)),
+        "Report_Tactic_Totals": ("Mitre_ATTACK_Tactics", lambda t, _: rpt.tactic_totals(t)),
+        "Report_User_Agents": ("UserAgent_Statistics", lambda t, _: ranked(t, "usage_count", 8, ["user_agent_type"])),
+    },
+    "vpc": {
+        "Report_Session_Hours": ("Session_Duration_Statistics", lambda t, _: rpt.session_hours(t)),
+        "Report_Connections": ("Connection_Statistics_(Top_20)",
+                               lambda t, _: rpt.connection_labels(ranked(t, "total_bytes", 10, ["source_ip", "destination_ip"], sums=True))),
+        "Report_Ports": ("Port_Protocol_Statistics",
+                         lambda t, _: rpt.port_labels(ranked(t, "total_bytes", 10, ["port", "protocol"], sums=True))),
+    },
+    "s3": {
+        "Report_Requesters": ("Access_IP_Statistics_(Top_20)",
+                              lambda t, _: rpt.requester_labels(ranked(t, "request_count", 10, ["requester_arn", "source_ip"]))),
+        "Report_Operations": ("Operation_Statistics",
+                              lambda t, _: rpt.operation_labels(ranked(t, "count", 10, ["operation", "bucket", "prefix"]))),
+        "Report_User_Agents": ("UserAgent_Statistics",
+                               lambda t, _: rpt.user_agent_labels(ranked(t, "usage_count", 10, ["user_agent_type"]))),
+        "Report_Event_Preview": ("Mitre_ATTACK_Events",
+                                 lambda t, _: rpt.s3_event_preview(t.orderBy(F.col("request_datetime").asc_nulls_last(),
+                                                                             F.col("request_id").asc_nulls_last()))),
+    },
+}
+
+
+def _derived(log_type: str, tables: Mapping[str, DataFrame], as_of: str | None = None) -> dict[str, DataFrame]:
+    return {name: make(tables[source], as_of) for name, (source, make) in DERIVED[log_type].items()}
 
 
 def run_analysis(df: DataFrame, log_type: str, as_of: str | None = None, lookup: DataFrame | None = None,
-                 materialization: str | None = "persist", top_n: int = 20) -> dict[str, DataFrame]:
-    """All result tables for one parsed table.
-
-    The input is materialized once (``persist`` by default, ``checkpoint`` to
-    cut lineage into the shared checkpoint folder) because every table rescans
-    it; the tables themselves stay lazy until written.
+                 materialization: str | None = None, top_n: int = 20,
+                 user_field: str | list[str] = "user_name") -> dict[str, DataFrame]:
+    """All result tables for one parsed table, as lazy DataFrames.
+
+    Give it a landed table (:func:`write_parsed`): the tables scan it by
+    column.  ``materialization='checkpoint'`` cuts the lineage of any other
+    frame into the shared checkpoint folder first; ``'persist'`` caches it,
+    for small frames.
     """
     base = materialize(df, materialization)
     if log_type == "cloudtrail":
-        return cloudtrail_bundle(base, as_of, lookup, top_n)
+        return cloudtrail_bundle(base, as_of, lookup, top_n, user_field)
     if log_type == "vpc":
         return vpc_bundle(base, top_n)
     if log_type == "s3":
@@ -100,9 +141,12 @@ def _csv_safe(df: DataFrame) -> DataFrame:
 
 
 def write_bundle(tables: Mapping[str, DataFrame], path: str, log_type: str, fmt: str = "parquet",
-                 mode: str = "overwrite", rebalance: bool = True) -> dict[str, str]:
+                 mode: str = "overwrite", rebalance: bool = True, as_of: str | None = None) -> dict[str, str]:
     """Write each table under ``path/<log_type>/<table>/``.
 
+    Chart series (``DERIVED``) are made from the table they summarise as it was
+    written just before (Parquet), not by another pass over the events.
+
     Row-level listings (tagged events) are as large as the input: they are
     written partitioned by tactic, sorted by (tactic, time) within each task,
     never globally sorted.  Every scan task holds events of every tactic, so a
@@ -117,6 +161,9 @@ def write_bundle(tables: Mapping[str, DataFrame], path: str, log_type: str, fmt:
     for name, df in tables.items():
         loc = f"{path.rstrip('/')}/{log_type}/{_safe_name(name)}"
         partition_by = []
+        source, make = DERIVED.get(log_type, {}).get(name, (None, None))
+        if source in written and fmt == "parquet":
+            df = make(df.sparkSession.read.schema(tables[source].schema).parquet(written[source]), as_of)
         if fmt == "csv":
             df = _csv_safe(df)
         if name == "Mitre_ATTACK_Events" and "tactic" in df.columns:
@@ -165,15 +212,15 @@ def with_event_date(df: DataFrame, log_type: str) -> DataFrame:
 
 def write_parsed(df: DataFrame, path: str, log_type: str, mode: str = "overwrite",
                  partition_by_date: bool = True, max_records_per_file: int = 5_000_000,
-                 rebalance: bool = False) -> None:
+                 rebalance: bool = True) -> None:
     """Land a parsed table as Parquet, partitioned by event date (not by region or
     account: those are skewed).  Readers then get partition pruning on dates.
 
-    By default no shuffle: each task sorts its own rows by date and writes one
-    file per date it holds, which suits delivery trees laid out by date.  For
-    input mixing many dates per task, ``rebalance=True`` adds one AQE
-    ``REBALANCE`` shuffle on the date: a busy day is split into advisory-sized
-    tasks (never one task per day) and small days are merged.
+    One AQE ``REBALANCE`` shuffle on the date bounds the number of files: a busy
+    day is split into advisory-sized tasks (never one task per day) and small
+    days are merged.  For delivery trees laid out by date, ``rebalance=False``
+    saves that shuffle: each task sorts its own rows by date and writes one
+    file per date it holds.
     """
     w = None
     if partition_by_date:
@@ -203,9 +250,12 @@ def ordered_columns(columns: list[str], log_type: str) -> list[str]:
     return ordered + sorted(remaining) + tail
 
 
-def export_frame(df: DataFrame, log_type: str) -> DataFrame:
-    """A parsed table in the original CSV layout: original column names, identity keys
-    as ``userIdentity.<key>`` columns, times as text, NULL as ``''``."""
+def export_frame(df: DataFrame, log_type: str, identity_keys: list[str] = IDENTITY_KEYS) -> DataFrame:
+    """A parsed table in the original CSV layout: original column names, times as text, NULL as ``''``.
+
+    ``identity_keys`` (default: the documented elements) become ``userIdentity.<key>``
+    columns; any other key of an identity is kept as JSON in ``userIdentity``.
+    """
     names = export_names(log_type)
     cols = []
     for c, t in df.dtypes:
@@ -219,11 +269,9 @@ def export_frame(df: DataFrame, log_type: str) -> DataFrame:
             v = F.col(c).cast("string")
         cols.append(v.alias(names[c]))
     if log_type == "cloudtrail" and "user_identity" in df.columns:
-        from ..sources.cloudtrail import identity_wide
-
-        wide = identity_wide(df.select("user_identity"))
-        keys = [c[len(IDENTITY_PREFIX):] for c in wide.columns if c.startswith(IDENTITY_PREFIX)]
-        cols += [F.try_element_at("user_identity", F.lit(k)).alias(IDENTITY_PREFIX + k) for k in keys]
+        cols += [F.try_element_at("user_identity", F.lit(k)).alias(IDENTITY_PREFIX + k) for k in identity_keys]
+        others = F.map_filter("user_identity", lambda k, v: ~k.isin(identity_keys))
+        cols.append(F.when(F.size(others) > 0, F.to_json(others)).alias("userIdentity"))
     out = df.select(*cols)
     out = out.select(*[F.col(f"`{c}`") for c in ordered_columns(out.columns, log_type)])
     return out.na.fill("")

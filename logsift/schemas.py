@@ -27,6 +27,10 @@ CLOUDTRAIL_COLUMNS = [
 IDENTITY_COLUMNS = [("user_type", "type"), ("principal_id", "principalId"), ("user_arn", "arn"),
                     ("account_id", "accountId"), ("user_name", "userName")]
 
+# the documented elements of a record's userIdentity
+IDENTITY_KEYS = ["type", "userName", "principalId", "arn", "accountId", "accessKeyId", "sessionContext", "invokedBy",
+                 "sessionIssuer", "webIdFederationData", "identityProvider", "credentialId", "onBehalfOf", "inScopeOf"]
+
 VPC_COLUMNS = [
     ("version", S), ("account_id", S), ("interface_id", S), ("srcaddr", S), ("dstaddr", S), ("srcport", L),
     ("dstport", L), ("protocol", L), ("packets", L), ("bytes", L), ("window_start", NTZ), ("window_end", NTZ),
@@ -46,7 +50,7 @@ S3_COLUMNS = [
     ("total_time", L), ("turn_around_time", L), ("referer", S), ("user_agent", S), ("version_id", S),
     ("host_id", S), ("signature_version", S), ("cipher_suite", S), ("authentication_type", S),
     ("host_header", S), ("tls_version", S), ("dash1", S), ("dash2", S), ("source_file", S),
-    ("parse_status", S),
+    ("parse_status", S), ("extra_fields", S),
 ]
 
 

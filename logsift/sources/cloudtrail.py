@@ -8,11 +8,13 @@ Accepted document shapes (one document per file):
 * JSON Lines (one value per line; lines that do not parse are skipped;
   a ``Records`` wrapper on a line is unpacked too).
 
-Documents are parsed with ``try_parse_json`` into VARIANT and the records are
-exploded; every field is then a VARIANT path lookup.  Everything runs per row
-inside the scan stage: no shuffle.  ``.jsonl`` files are read line by line, so
-a large JSON-Lines file is split across tasks instead of becoming one huge
-document.
+A document is only cut: ``from_json`` with an array of strings passes each
+record on as text, so neither a document's size nor one odd record costs the
+others.  Every record is then decoded by itself into a struct of the wanted
+fields; a repeated key takes its last value.  Everything runs per row inside
+the scan stage: no shuffle.  ``.jsonl`` files (and any other files whose names
+match ``lines_regex``) are read line by line, so a large JSON-Lines file is
+split across tasks.  :func:`cloudtrail_rejects` lists what was not decoded.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.common import blank_to_null, parse_iso_utc, strip_ws
 from ..operators.enrich import local_time
-from ..schemas import IDENTITY_COLUMNS
-from .files import CLOUDTRAIL_NAME_REGEX, read_text_files
+from ..schemas import CLOUDTRAIL_COLUMNS, IDENTITY_COLUMNS, IDENTITY_KEYS, IDENTITY_PREFIX
+from .files import CLOUDTRAIL_NAME_REGEX, Rejects, read_text_files
 
 # record key -> (column, kind); kind: s = scalar text, j = JSON text, b = boolean
 _FIELDS = [
@@ -47,150 +49,203 @@ _FIELDS = [
 _EMPTY_JSON = ["", "{}", "[]", "null", "false", "0", '""']
 
 
-# One cast of each record to a struct extracts every field in a single pass
-# over the object (instead of one path lookup per field).  Every field is a
-# string or a VARIANT, casts that cannot fail, so the struct is NULL exactly
-# when the record is not a JSON object.
-_RECORD_STRUCT = ("struct<" + ",".join(f"{key}:{'string' if kind == 's' else 'variant'}" for key, _, kind in _FIELDS)
-                  + ",userIdentity:variant>")
+LINES_REGEX = r"(?i:\.jsonl$)"
+_BAD = "_bad"
+_ROOT = f"struct<Records:array<string>,{_BAD}:string>"
+_OPTIONS = {"columnNameOfCorruptRecord": _BAD}
 
 
 def _drop_empty_json(j: Column) -> Column:
     """Compact JSON text -> itself, or NULL for empty values (``{}``, ``[]``,
     ``""``, ``0``, ``false``, null).  Apply it to a column that already holds
-    the text: over ``to_json(...)`` the conversion would run twice."""
+    the text: over an expression the conversion would run twice."""
     return F.when(~j.isin(_EMPTY_JSON), j)
 
 
-def _line_records(value: Column) -> Column:
-    """Parsed JSON line (VARIANT) -> array<variant> of candidate records: the
-    value itself, none for NULL, and the ``Records`` array of a wrapped line."""
-    wrapped = F.try_variant_get(value, "$.Records", "variant")
-    records = F.coalesce(F.try_variant_get(value, "$.Records", "array<variant>"), F.array().cast("array<variant>"))
-    return (F.when(value.isNull(), F.array().cast("array<variant>")).when(wrapped.isNotNull(), records)
-            .otherwise(F.array(value)))
+def _compact(text: Column) -> Column:
+    """JSON text as compact JSON; text that can't be normalised (a repeated key) stays as it is."""
+    nested = text.startswith("{") | text.startswith("[")
+    return F.when(nested, F.coalesce(F.to_json(F.try_parse_json(text)), text)).otherwise(text)
 
 
-def _jsonl_records(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln)), lambda ln: ln != "")
-    # parse each line once; _line_records refers to its argument several times
-    parsed = F.transform(lines, lambda ln: F.try_parse_json(ln))
-    return F.flatten(F.transform(parsed, _line_records))
+def _parses(text: Column) -> Column:
+    """Text is one JSON object, or starts with one."""
+    probe = F.from_json(text, f"struct<eventID:string,{_BAD}:string>", _OPTIONS)
+    return text.startswith("{") & probe.isNotNull() & probe[_BAD].isNull()
 
 
-def document_records(docs: DataFrame) -> DataFrame:
-    """``(value, source_file)`` whole documents -> ``(record variant, source_file)``.
+def _texts(docs: DataFrame) -> DataFrame:
+    """``(value, source_file)`` documents -> the JSON texts in them: the lines of JSON Lines, else the document.
 
     JSON Lines is recognised when the document does not parse as one value, or
     when it has more than one non-blank line and its first line parses alone
     (a complete value followed by more content cannot be one JSON document).
     """
     text = F.col("value")
-    # The parse and the casts are columns of their own: inside the generator
-    # below every reference would run them again (a whole Records array cast
-    # twice per document).
-    parsed = docs.select("value", F.try_parse_json(text).alias("whole"), "source_file")
-    whole = F.col("whole")
-    staged = parsed.select(
-        "value", "whole", "source_file",
-        F.try_variant_get(whole, "$.Records", "array<variant>").alias("records"),
-        F.try_variant_get(whole, "$.Records", "variant").isNotNull().alias("has_records"),
-        F.try_variant_get(whole, "$", "array<variant>").alias("top_array"))
-    first_line = strip_ws(F.regexp_extract(text, r"^\s*([^\n]*)", 1))
-    more_lines = text.rlike(r"^\s*\S[^\n]*\n\s*\S")
-    jsonl = whole.isNull() | (more_lines & F.try_parse_json(first_line).isNotNull())
-    none = F.array().cast("array<variant>")
-    # a Records array, else no records when Records is present but not an
-    # array, else a top-level array, else the document itself
-    recs = (F.when(jsonl, _jsonl_records(text))
-            .when(F.col("records").isNotNull(), F.col("records"))
-            .when(F.col("has_records"), none)
-            .when(F.col("top_array").isNotNull(), F.col("top_array"))
-            .otherwise(F.array(whole)))
-    return staged.select(F.explode(recs).alias("rec"), "source_file")
-
-
-def line_records(lines: DataFrame) -> DataFrame:
-    """``(value, source_file)`` JSON-Lines rows -> ``(record variant, source_file)``."""
-    line = strip_ws("value")
-    parsed = (lines.select(line.alias("line"), "source_file").filter(F.col("line") != "")
-              .select(F.try_parse_json("line").alias("v"), "source_file"))
-    return parsed.select(F.explode(_line_records(F.col("v"))).alias("rec"), "source_file")
-
-
-def project_records(records: DataFrame, offsets: dict | None = None) -> DataFrame:
-    """``(rec, source_file)`` -> canonical ``cloudtrail`` rows; non-object records are dropped."""
+    first = strip_ws(F.regexp_extract(text, r"^\s*([^\n]*)", 1))
+    # columns of their own: inside the generator every reference would run them again
+    staged = docs.select(
+        "value", "source_file", F.regexp_extract(text, r"^\s*(\S)", 1).alias("head"), _parses(first).alias("first_parses"),
+        text.rlike(r"^\s*\S[^\n]*\n\s*\S").alias("more_lines"))
+    staged = staged.withColumns({
+        "whole": F.when(F.col("head") == "{", F.from_json(text, _ROOT, _OPTIONS)),
+        "items": F.when(F.col("head") == "[", F.from_json(text, "array<string>"))})
+    single = F.coalesce(F.col("items").isNotNull() | (F.col("whole").isNotNull() & F.col(f"whole.{_BAD}").isNull()), F.lit(False))
+    lines = ~single | (F.col("more_lines") & F.col("first_parses"))
+    return staged.select(
+        F.explode(F.when(lines, F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln))).otherwise(F.array(text))).alias("value"),
+        lines.alias("is_line"), "source_file")
+
+
+def _opened(texts: DataFrame) -> DataFrame:
+    """JSON texts -> ``records`` (array of texts, NULL where the text isn't JSON) beside the text."""
+    text = F.col("value")
+    staged = texts.where(text != "").select(
+        "value", "is_line", "source_file", F.regexp_extract(text, r"^\s*(\S)", 1).alias("head"), F.from_json(text, _ROOT, _OPTIONS).alias("root"))
+    good = F.col("root").isNotNull() & F.col(f"root.{_BAD}").isNull()
+    return staged.select(
+        "value", "source_file",
+        F.when((F.col("head") == "[") & ~F.col("is_line"), F.from_json(text, "array<string>"))
+        .when((F.col("head") != "{") | ~good, F.lit(None).cast("array<string>"))
+        # Records: null is a wrapper without records
+        .when(F.col("root.Records").isNull() & text.contains('"Records"') & F.array_contains(F.json_object_keys(text), "Records"),
+              F.array().cast("array<string>"))
+        .otherwise(F.coalesce("root.Records", F.array(text))).alias("records"))
+
+
+def _is_object(rec: Column) -> Column:
+    return F.coalesce(rec.startswith("{"), F.lit(False))
+
+
+def document_records(docs: DataFrame, rejects: Rejects | None = None) -> DataFrame:
+    """``(value, source_file)`` whole documents -> ``(rec, source_file)``: the text of every record object."""
+    return _records(_opened(_texts(docs)), rejects)
+
+
+def line_records(lines: DataFrame, rejects: Rejects | None = None) -> DataFrame:
+    """``(value, source_file)`` JSON-Lines rows -> ``(rec, source_file)``."""
+    return _records(_opened(_line_texts(lines)), rejects)
+
+
+def _line_texts(lines: DataFrame) -> DataFrame:
+    return lines.select(strip_ws("value").alias("value"), F.lit(True).alias("is_line"), "source_file")
+
+
+def _others() -> Column:
+    """Values of a decoded text that are no record objects."""
+    return F.size(F.filter("records", lambda r: ~_is_object(strip_ws(r))))
+
+
+def _records(opened: DataFrame, rejects: Rejects | None = None) -> DataFrame:
+    if rejects is not None:
+        opened = rejects.watch(opened, F.when(F.col("records").isNull(), 1).otherwise(_others()))
+    return opened.select(F.explode(F.filter("records", lambda r: _is_object(strip_ws(r)))).alias("rec"), "source_file")
+
+
+def cloudtrail_rejects(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """``(source_file, reason, rejected)``: texts that aren't JSON and values that aren't record objects, per file.
+
+    ``docs`` are whole documents, or JSON-Lines rows with ``lines``.
+    """
+    opened = _opened(_line_texts(docs) if lines else _texts(docs))
+    reasons = F.array(F.struct(F.lit("not JSON").alias("reason"), F.when(F.col("records").isNull(), 1).otherwise(0).alias("n")),
+                      F.struct(F.lit("not an object").alias("reason"), F.when(F.col("records").isNotNull(), _others()).otherwise(0).alias("n")))
+    return (opened.select("source_file", F.explode(reasons).alias("r")).where("r.n > 0")
+            .groupBy("source_file", F.col("r.reason").alias("reason")).agg(F.sum("r.n").alias("rejected")))
+
+
+def _last_wins(m: Column) -> Column:
+    """A map decoded from JSON may hold a repeated key; its last value counts."""
+    keys = F.map_keys(m)
+    entries = F.filter(F.map_entries(m), lambda e, i: F.get(F.reverse(keys), F.array_position(F.reverse(keys), e["key"]).cast("int") - 1).isNotNull()
+                       & (F.size(keys) - F.array_position(F.reverse(keys), e["key"]) == i))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(entries)).otherwise(m)
+
+
+def project_records(records: DataFrame, offsets: dict | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``(rec, source_file)`` -> canonical ``cloudtrail`` rows.
+
+    ``columns`` names the canonical columns that are wanted (default all); only their keys are decoded.
+    """
+    wanted = [(key, name, kind) for key, name, kind in _FIELDS if columns is None or name in columns
+              or (name in ("event_time_text", "aws_region") and {"event_time", "event_time_local"} & set(columns))]
+    identity = columns is None or "user_identity" in columns or bool({n for n, _ in IDENTITY_COLUMNS} & set(columns))
+    kinds = "struct<" + ",".join([f"{key}:string" for key, _, _ in wanted] + ["userIdentity:map<string,string>"] * identity) + ">"
+    typed = records.select(F.from_json("rec", kinds).alias("r"), "source_file")
     r = F.col("r")
     cols = []
-    for key, name, kind in _FIELDS:
-        if kind == "s":
+    for key, name, kind in wanted:
+        if kind == "j":
+            cols.append(_compact(r[key]).alias(name))          # empties dropped below
+        elif kind == "s":
             cols.append(blank_to_null(r[key]).alias(name))
-        elif kind == "j":
-            cols.append(F.to_json(r[key]).alias(name))   # empties dropped below
         else:
-            cols.append(F.try_variant_get(r[key], "$", "boolean").alias(name))
-    identity = F.try_variant_get(r["userIdentity"], "$", "map<string,variant>")
-    identity = F.transform_values(identity, lambda k, v: blank_to_null(F.try_variant_get(v, "$", "string")))
-    typed = records.select(F.try_variant_get("rec", "$", _RECORD_STRUCT).alias("r"), "source_file")
-    # keep object records as a generator, not a filter: a filter would be pushed
-    # below the projection and cast every record twice
-    objects = typed.select(F.explode(F.when(r.isNotNull(), F.array(r))).alias("r"), "source_file")
-    staged = objects.select(*cols, identity.alias("user_identity"), "source_file")
-    # the map is built in the projection above and tested here: used twice in
-    # one expression it would be built twice
-    ui = F.col("user_identity")
-    return staged.select(
-        parse_iso_utc("event_time_text").alias("event_time"),
-        local_time(parse_iso_utc("event_time_text"), F.col("aws_region"), offsets).alias("event_time_local"),
-        "aws_region", "event_name", "event_source", "source_ip_address", "user_agent",
-        F.when(F.size(ui) > 0, ui).alias("user_identity"),
-        *[_drop_empty_json(F.col(name)).alias(name) if kind == "j" else F.col(name) for _, name, kind in _FIELDS[6:]],
-        "source_file",
-    )
+            cols.append(F.lower(r[key]).try_cast("boolean").alias(name))
+    if identity:
+        cols.append(F.transform_values(_last_wins(r["userIdentity"]), lambda k, v: blank_to_null(_compact(v))).alias("user_identity"))
+    staged = typed.select(*cols, "source_file")
+    out = {name: _drop_empty_json(F.col(name)) if kind == "j" else F.col(name) for _, name, kind in wanted if name != "event_time_text"}
+    if "event_time_text" in staged.columns:
+        out["event_time"] = parse_iso_utc("event_time_text")
+        out["event_time_local"] = local_time(parse_iso_utc("event_time_text"), F.col("aws_region"), offsets)
+    if identity:
+        # the map is built in the projection above and tested here: used twice in
+        # one expression it would be built twice
+        out["user_identity"] = F.when(F.size("user_identity") > 0, F.col("user_identity"))
+    out["source_file"] = F.col("source_file")
+    order = [n for n, _ in CLOUDTRAIL_COLUMNS if n in out and (columns is None or n in columns or n in ("source_file", "user_identity"))]
+    return staged.select(*[out[n].alias(n) for n in order])
 
 
 def with_identity_columns(df: DataFrame) -> DataFrame:
     """Add ``user_type, principal_id, user_arn, account_id, user_name`` from ``user_identity``."""
+    if "user_identity" not in df.columns:
+        return df
     return df.withColumns({name: F.try_element_at("user_identity", F.lit(key)) for name, key in IDENTITY_COLUMNS})
 
 
-def parse_cloudtrail_docs(docs: DataFrame, offsets: dict | None = None) -> DataFrame:
+def parse_cloudtrail_docs(docs: DataFrame, offsets: dict | None = None, columns: list[str] | None = None,
+                          rejects: Rejects | None = None) -> DataFrame:
     """Whole documents ``(value, source_file)`` -> ``cloudtrail`` rows with identity columns."""
-    return with_identity_columns(project_records(document_records(docs), offsets))
+    return with_identity_columns(project_records(document_records(docs, rejects), offsets, columns))
 
 
-def parse_cloudtrail_lines(lines: DataFrame, offsets: dict | None = None) -> DataFrame:
+def parse_cloudtrail_lines(lines: DataFrame, offsets: dict | None = None, columns: list[str] | None = None,
+                           rejects: Rejects | None = None) -> DataFrame:
     """JSON-Lines rows ``(value, source_file)`` -> ``cloudtrail`` rows with identity columns."""
-    return with_identity_columns(project_records(line_records(lines), offsets))
+    return with_identity_columns(project_records(line_records(lines, rejects), offsets, columns))
+
+
+def raw_cloudtrail(spark: SparkSession, path: str | list[str], lines_regex: str | None = LINES_REGEX,
+                   **options) -> tuple[DataFrame, DataFrame | None]:
+    """The files of a CloudTrail directory as (whole documents, JSON-Lines rows)."""
+    if lines_regex is None:
+        return read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=True, **options), None
+    docs = read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=True, **options)
+    lines = read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=False, **options)
+    by_line = F.col("source_file").rlike(lines_regex)
+    return docs.where(~by_line), lines.where(by_line)
 
 
-def read_cloudtrail(spark: SparkSession, path: str | list[str], jsonl_by_line: bool = True,
-                    offsets: dict | None = None, **options) -> DataFrame:
+def read_cloudtrail(spark: SparkSession, path: str | list[str], lines_regex: str | None = LINES_REGEX,
+                    offsets: dict | None = None, columns: list[str] | None = None, rejects: Rejects | None = None,
+                    jsonl_by_line: bool = True, **options) -> DataFrame:
     """Scan a CloudTrail directory (recursive; ``.json .jsonl .json.gz``, any case).
 
-    ``.json``/``.json.gz`` files are read as whole documents; ``.jsonl`` files
-    line by line when ``jsonl_by_line`` (splittable, no per-file memory bound).
+    Files are read as whole documents, one per row; those whose names match
+    ``lines_regex`` (default ``.jsonl``) line by line: splittable, no per-file
+    memory bound.  Name large ``.json`` exports that hold JSON Lines there too.
+    ``jsonl_by_line=False`` reads everything as documents.
     """
-    if not jsonl_by_line:
-        return parse_cloudtrail_docs(read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=True, **options),
-                                     offsets)
-    docs = read_text_files(spark, path, r"(?i:\.(json|json\.gz)$)", wholetext=True, **options)
-    lines = read_text_files(spark, path, r"(?i:\.jsonl$)", wholetext=False, **options)
-    return parse_cloudtrail_docs(docs, offsets).unionByName(parse_cloudtrail_lines(lines, offsets))
+    docs, lines = raw_cloudtrail(spark, path, lines_regex if jsonl_by_line else None, **options)
+    out = parse_cloudtrail_docs(docs, offsets, columns, rejects)
+    return out if lines is None else out.unionByName(parse_cloudtrail_lines(lines, offsets, columns, rejects))
 
 
-def identity_wide(df: DataFrame, keys: list[str] | None = None, max_keys: int = 10_000) -> DataFrame:
-    """Wide view of ``user_identity``: one ``userIdentity.<key>`` column per key.
+def identity_wide(df: DataFrame, keys: list[str] = IDENTITY_KEYS) -> DataFrame:
+    """Wide view of ``user_identity``: a ``userIdentity.<key>`` column for each of ``keys``.
 
-    ``keys`` defaults to the distinct keys present: one extra pass with
-    partial aggregation, and only the key names (schema-like, a few dozen)
-    reach the driver.  More than ``max_keys`` distinct keys is treated as an
-    error rather than pulled to the driver.
+    The default is the documented elements of a user identity.  The map itself
+    stays, so no other key is lost, and no pass over the data is needed.
     """
-    if keys is None:
-        found = (df.select(F.explode(F.map_keys("user_identity")).alias("k")).distinct()
-                 .limit(max_keys + 1).collect())
-        if len(found) > max_keys:
-            raise ValueError(f"more than {max_keys} distinct userIdentity keys; pass keys explicitly")
-        keys = sorted(r[0] for r in found)
-    return df.select("*", *[F.try_element_at("user_identity", F.lit(k)).alias(f"userIdentity.{k}") for k in keys])
+    return df.select("*", *[F.try_element_at("user_identity", F.lit(k)).alias(f"{IDENTITY_PREFIX}{k}") for k in keys])

@@ -12,9 +12,10 @@ For many small delivery files, raise ``spark.sql.files.openCostInBytes`` /
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lookups
@@ -24,27 +25,44 @@ def _suffix_regex(suffixes) -> str:
     return "(?i:(" + "|".join(re.escape(s) for s in suffixes) + ")$)"
 
 
+class Rejects:
+    """Counts, in the same pass that parses, what could not be read as records.
+
+    Give one to a reader, run the action, then ask :meth:`total`.
+    """
+
+    def __init__(self):
+        self._seen: list[Observation] = []
+
+    def watch(self, df: DataFrame, rejected: Column) -> DataFrame:
+        """``df`` unchanged; adds ``rejected`` (a number per row) up while it runs."""
+        seen = Observation()
+        self._seen.append(seen)
+        return df.observe(seen, F.coalesce(F.sum(rejected), F.lit(0)).cast("long").alias("rejected"))
+
+    def total(self) -> int:
+        """After the action: the rejected lines, documents and values."""
+        return sum(seen.get["rejected"] for seen in self._seen)
+
+
 CLOUDTRAIL_NAME_REGEX = _suffix_regex(lookups.CLOUDTRAIL_FILE_SUFFIXES)
 # suffix rule is case-insensitive, the dated-name rule is a prefix match (upper-case hex)
 FLOW_NAME_REGEX = _suffix_regex(lookups.FLOW_FILE_SUFFIXES) + "|^" + lookups.FLOW_FILE_NAME_PATTERN
 
 
-def empty_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "value string, source_file string")
-
-
 def read_text_files(spark: SparkSession, path: str | list[str], name_regex: str, wholetext: bool = False,
-                    ignore_corrupt: bool = True, options: dict | None = None) -> DataFrame:
+                    ignore_corrupt: bool = False, options: dict | None = None) -> DataFrame:
     """``(value, source_file)`` rows from every matching file under ``path``.
 
     ``wholetext=True`` gives one row per file (whole document), else one row
-    per line.  A missing path gives an empty DataFrame.  With
-    ``ignore_corrupt`` a damaged file (e.g. truncated gzip) keeps the rows read
-    before the damage and the scan continues with the next file.
+    per line.  Of several paths, missing ones are skipped; if none is there, the
+    error is ``FileNotFoundError``.  A damaged file (e.g. truncated gzip), a file that
+    vanishes and a failing store end the job after its retries.  With
+    ``ignore_corrupt`` a damaged file keeps the rows read before the damage and
+    the scan goes on with the next file, without a count of what was lost.
     """
     reader = (spark.read.option("recursiveFileLookup", "true")
-              .option("ignoreCorruptFiles", str(ignore_corrupt).lower())
-              .option("ignoreMissingFiles", "true"))
+              .option("ignoreCorruptFiles", str(ignore_corrupt).lower()))
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     paths = [path] if isinstance(path, str) else list(path)
@@ -55,12 +73,16 @@ def read_text_files(spark: SparkSession, path: str | list[str], name_regex: str,
         if "PATH_NOT_FOUND" not in str(exc) and "Path does not exist" not in str(exc):
             raise
         if len(paths) <= 1:
-            return empty_lines(spark)
+            raise FileNotFoundError(f"no such path: {', '.join(paths)}") from exc
         # some of several paths are missing: read the others, skip the missing ones
-        parts = [read_text_files(spark, p, name_regex, wholetext, ignore_corrupt, options) for p in paths]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        found = []
+        for p in paths:
+            try:
+                found.append(read_text_files(spark, p, name_regex, wholetext, ignore_corrupt, options))
+            except FileNotFoundError:
+                continue
+        if not found:
+            raise FileNotFoundError(f"no such path: {', '.join(paths)}") from exc
+        return reduce(DataFrame.unionByName, found)
     return (raw.filter(F.col("_metadata.file_name").rlike(name_regex))
                .select(F.col("value"), F.col("_metadata.file_name").alias("source_file")))

@@ -42,7 +42,10 @@ def _from_csv(df: DataFrame, log_type: str) -> DataFrame:
         if ident:
             m = F.map_filter(F.create_map(*[x for c in ident for x in (F.lit(c[len(IDENTITY_PREFIX):]), F.col(f"`{c}`"))]),
                              lambda k, v: v.isNotNull())
-            df = df.withColumn("user_identity", F.when(F.size(m) > 0, m)).drop(*ident)
+            if "userIdentity" in df.columns:              # the keys that have no column of their own
+                others = F.from_json("userIdentity", "map<string,string>")
+                m = F.map_concat(m, F.coalesce(others, F.create_map().cast("map<string,string>")))
+            df = df.withColumn("user_identity", F.when(F.size(m) > 0, m)).drop(*ident, "userIdentity")
         coerce = {
             "event_time": parse_iso_utc("event_time"),
             "event_time_local": parse_naive(F.replace(F.col("event_time_local"), F.lit("T"), F.lit(" "))),

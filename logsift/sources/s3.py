@@ -1,9 +1,12 @@
 """S3 server-access-log source: log lines -> typed ``s3_access`` table.
 
-A line that matches the full 26-field grammar is split in one regex pass
-(``regexp_replace`` to a \\x01-separated record, then ``split``) instead of 26
-``regexp_extract`` calls.  Other lines go through a quote- and bracket-aware
-tokeniser and fill the first 18 fields (``parse_status = 'fallback'``).
+The grammar follows the published field list: 26 fields, of which the time is
+bracketed and the request URI, referer and user agent are quoted (or ``-``);
+fields may be appended to the format, and are kept in ``extra_fields``.  A line
+that matches is split in one regex pass (``regexp_replace`` to a \\x01-separated
+record, then ``split``) instead of 26 ``regexp_extract`` calls.  Other lines go
+through a quote- and bracket-aware tokeniser that fills the fields it finds, in
+order (``parse_status = 'fallback'``).
 """
 
 from __future__ import annotations
@@ -11,16 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import lookups
 from ..functions.common import blank_to_null, instant_to_ntz, strip_ws, to_integer
 from ..schemas import S3_FIELDS
-from .files import FLOW_NAME_REGEX, read_text_files
+from .files import FLOW_NAME_REGEX, Rejects, read_text_files
 
 _SEP = "\u0001"
-_REPLACEMENT = _SEP.join(f"${i}" for i in range(1, 27))
+_N = len(S3_FIELDS)
+# plain fields, the bracketed time, and quoted text that may hold quotes not followed by a blank
+_PLAIN, _TIME, _TEXT = r"(\S+)", r"(\[[^\]]*\])", r'("[^"]*(?:"(?!\s)[^"]*)*"|-)'
+_FORMS = {"original_timestamp": _TIME, "request_uri": _TEXT, "referer": _TEXT, "user_agent": _TEXT}
+LINE_PATTERN = "^" + r"\s+".join(_FORMS.get(name, _PLAIN) for name in S3_FIELDS) + r"(?:\s+(.*))?$"
+_REPLACEMENT = _SEP.join(f"${i}" for i in range(1, _N + 2))
 # token = run of quoted segments, bracketed segments and plain characters
 _TOKEN = r'((?:"[^"]*(?:"|$)|\[[^\]]*\]|[^ "])+)'
-_FALLBACK_FIELDS = 18
 _QUOTED = {"request_uri", "referer", "user_agent"}
 _INT_FIELDS = {"http_status_code": "int", "bytes_sent": "bigint", "object_size": "bigint",
                "total_time": "bigint", "turn_around_time": "bigint"}
@@ -39,8 +45,11 @@ def s3_time_offset(text: str | Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"([+-]\d{4})\]", 1), F.lit("")), F.lit("+0000"))
 
 
-def parse_s3_lines(lines: DataFrame) -> DataFrame:
-    """``(value, source_file)`` lines -> ``s3_access`` rows (per-row work only, no shuffle)."""
+def parse_s3_lines(lines: DataFrame, rejects: Rejects | None = None) -> DataFrame:
+    """``(value, source_file)`` lines -> ``s3_access`` rows (per-row work only, no shuffle).
+
+    ``rejects`` counts the lines that only the fallback could read.
+    """
     # one line -> zero or one record: a generator, so the line expression is
     # computed once (see parse_vpc_lines)
     line = F.col("line")
@@ -51,7 +60,7 @@ def parse_s3_lines(lines: DataFrame) -> DataFrame:
     # the (anchored) grammar does not match, and a changed line when it does
     # (the blanks between the 26 fields become \x01, which \s never matches).
     # The rewrite gets its own projection so the test below reads a column.
-    staged = staged.select("line", F.regexp_replace("line", lookups.S3_LINE_PATTERN, _REPLACEMENT).alias("rec"),
+    staged = staged.select("line", F.regexp_replace("line", LINE_PATTERN, _REPLACEMENT).alias("rec"),
                            "source_file")
     full = F.col("rec") != F.col("line")
     staged = staged.select(
@@ -59,11 +68,11 @@ def parse_s3_lines(lines: DataFrame) -> DataFrame:
         F.when(full, F.lit("full")).otherwise(F.lit("fallback")).alias("parse_status"),
         "source_file",
     )
+    if rejects is not None:
+        staged = rejects.watch(staged, (F.col("parse_status") == "fallback").cast("int"))
     out = []
     for i, name in enumerate(S3_FIELDS):
         v = F.get(F.col("f"), i)
-        if i >= _FALLBACK_FIELDS:
-            v = F.when(F.col("parse_status") == "full", v)
         if name in _QUOTED:
             v = F.btrim(v, F.lit('"'))
         v = blank_to_null(v)
@@ -72,9 +81,19 @@ def parse_s3_lines(lines: DataFrame) -> DataFrame:
         out.append(v.alias(name))
         if name == "original_timestamp":
             out.append(s3_time(blank_to_null(F.get(F.col("f"), i))).alias("request_datetime"))
-    return staged.select(*out, "source_file", "parse_status")
+    f = F.col("f")
+    more = F.when(F.size(f) > _N, F.array_join(F.slice(f, _N + 1, F.greatest(F.size(f) - _N, F.lit(0))), " "))
+    return staged.select(*out, "source_file", "parse_status", blank_to_null(more).alias("extra_fields"))
+
+
+def s3_rejects(lines: DataFrame) -> DataFrame:
+    """``(source_file, reason, rejected)``: lines not read as records, and records read by the fallback."""
+    line = strip_ws("value")
+    reason = F.when(line == "", "blank").when(line.startswith("#"), "comment").when(~line.rlike(LINE_PATTERN), "fallback")
+    return (lines.select("source_file", reason.alias("reason")).where("reason is not null")
+            .groupBy("source_file", "reason").agg(F.count(F.lit(1)).alias("rejected")))
 
 
-def read_s3_access(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+def read_s3_access(spark: SparkSession, path: str | list[str], rejects: Rejects | None = None, **options) -> DataFrame:
     """Scan an S3 access-log directory (recursive; ``.log .txt .gz`` or dated names)."""
-    return parse_s3_lines(read_text_files(spark, path, FLOW_NAME_REGEX, wholetext=False, **options))
+    return parse_s3_lines(read_text_files(spark, path, FLOW_NAME_REGEX, wholetext=False, **options), rejects)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import blank_to_null, epoch_seconds_to_ntz, parse_naive, to_integer
-from .files import FLOW_NAME_REGEX, read_text_files
+from .files import FLOW_NAME_REGEX, Rejects, read_text_files
 
 _HEADER_FIRST = ["version", "start", "end"]
 _HEADER_TENTH = ["start", "end"]
@@ -42,7 +42,21 @@ def whitespace_tokens(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def parse_vpc_lines(lines: DataFrame) -> DataFrame:
+def _reject_reason(p: Column) -> Column:
+    """Why the tokens of a line are no record; NULL for records."""
+    return (F.when(F.size(p) == 0, "blank").when(F.get(p, 0).startswith("#"), "comment")
+            .when(F.size(p) < 13, "too few fields")
+            .when(F.get(p, 0).isin(_HEADER_FIRST) | F.get(p, 10).isin(_HEADER_TENTH), "header"))
+
+
+def vpc_rejects(lines: DataFrame) -> DataFrame:
+    """``(source_file, reason, rejected)``: the lines that are no records, per file and reason."""
+    tokens = lines.select(whitespace_tokens(F.coalesce("value", F.lit(""))).alias("p"), "source_file")
+    reasons = tokens.select("source_file", _reject_reason(F.col("p")).alias("reason")).where("reason is not null")
+    return reasons.groupBy("source_file", "reason").agg(F.count(F.lit(1)).alias("rejected"))
+
+
+def parse_vpc_lines(lines: DataFrame, rejects: Rejects | None = None) -> DataFrame:
     """``(value, source_file)`` lines -> ``vpc_flow`` rows (per-row work only, no shuffle).
 
     Each line yields zero or one record, expressed as a generator: the line is
@@ -53,11 +67,11 @@ def parse_vpc_lines(lines: DataFrame) -> DataFrame:
     no tokens; comment lines are those whose first token starts with ``#``.
     """
     p = F.col("p")
-    tokens = lines.select(whitespace_tokens(F.col("value")).alias("p"), "source_file")
-    is_record = ((F.size(p) >= 13) & ~F.get(p, 0).startswith("#")
-                 & ~F.get(p, 0).isin(_HEADER_FIRST) & ~F.get(p, 10).isin(_HEADER_TENTH))
+    tokens = lines.select(whitespace_tokens(F.coalesce("value", F.lit(""))).alias("p"), "source_file")
+    if rejects is not None:
+        tokens = rejects.watch(tokens, (_reject_reason(p) == "too few fields").cast("int"))
     staged = tokens.select(
-        F.explode(F.when(is_record, F.array(p)).otherwise(F.array().cast("array<array<string>>"))).alias("p"),
+        F.explode(F.when(_reject_reason(p).isNull(), F.array(p)).otherwise(F.array().cast("array<array<string>>"))).alias("p"),
         "source_file")
     p = F.col("p")
     return staged.select(
@@ -75,6 +89,6 @@ def parse_vpc_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_vpc_flow(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+def read_vpc_flow(spark: SparkSession, path: str | list[str], rejects: Rejects | None = None, **options) -> DataFrame:
     """Scan a VPC Flow Log directory (recursive; ``.log .txt .gz`` or dated names)."""
-    return parse_vpc_lines(read_text_files(spark, path, FLOW_NAME_REGEX, wholetext=False, **options))
+    return parse_vpc_lines(read_text_files(spark, path, FLOW_NAME_REGEX, wholetext=False, **options), rejects)

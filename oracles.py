@@ -82,9 +82,13 @@ ctf AS (
                      ELSE ctb.event_time + to_minutes(CAST(coalesce(offs.minutes, 0) AS BIGINT)) END AS event_time_local
   FROM ctb LEFT JOIN offs ON ctb.aws_region = offs.region)"""
 
-S3_TYPED = """s3f AS (
+# local time less its offset
+S3_TIME = ("(strptime(substr(original_timestamp, 2, 20), '%d/%b/%Y:%H:%M:%S') - to_minutes(CAST(CASE "
+           "WHEN contains(original_timestamp, '+0930]') THEN 570 WHEN contains(original_timestamp, '-0500]') THEN -300 ELSE 0 END AS BIGINT)))")
+
+S3_TYPED = f"""s3f AS (
   SELECT o_orderkey, bucket_owner, bucket, original_timestamp,
-         strptime(substr(original_timestamp, 2, 20), '%d/%b/%Y:%H:%M:%S') AS request_datetime,
+         {S3_TIME} AS request_datetime,
          remote_ip, requester, request_id, operation, object_key AS key, user_agent, bytes_sent
   FROM s3)"""
 
@@ -219,9 +223,10 @@ def _s3_oracles(q: dict) -> None:
        CASE WHEN is_full THEN 'AuthHeader' END AS authentication_type,
        CASE WHEN is_full THEN 's3.amazonaws.com' END AS host_header, CASE WHEN is_full THEN 'TLSv1.2' END AS tls_version,
        CASE WHEN is_full THEN '-' END AS dash1, CASE WHEN is_full THEN '-' END AS dash2,
+       CASE WHEN is_full AND o_orderkey % 19 = 0 THEN 'new1 "new 2"' END AS extra_fields,
        printf('access-%02d.log', o_orderkey % 16) AS source_file,
        CASE WHEN is_full THEN 'full' ELSE 'fallback' END AS parse_status,
-       strftime(strptime(substr(original_timestamp, 2, 20), '%d/%b/%Y:%H:%M:%S'), {TS}) AS request_datetime"""
+       strftime({S3_TIME}, {TS}) AS request_datetime"""
     q["s3_parse_lines"] = with_views(f"""
 l AS (SELECT *, user_agent <> '-' AS is_full FROM s3)
 SELECT {full_cols} FROM l""", "s3")
@@ -345,12 +350,11 @@ SELECT category, dimension, value, count FROM d""")
     q["ct_failed_auth"] = _ct(details + """,
 present AS (SELECT DISTINCT category FROM hits),
 dims AS (SELECT category, dimension FROM present, (VALUES ('IPs'), ('Users')) v(dimension)),
-agg AS (SELECT category, dimension, count(*) AS n,
-               string_agg(value || ' (' || CAST(count AS VARCHAR) || ')', '; ' ORDER BY count DESC, value) AS details
-        FROM d GROUP BY category, dimension)
-SELECT dims.category || ' - ' || dims.dimension AS category, coalesce(agg.n, 0) AS count,
-       coalesce(agg.details, 'N/A') AS details
-FROM dims LEFT JOIN agg ON dims.category = agg.category AND dims.dimension = agg.dimension""")
+agg AS (SELECT category, dimension, count(*) AS n FROM d GROUP BY category, dimension)
+SELECT dims.category || ' - ' || dims.dimension AS category, d.value, coalesce(d.count, 0) AS count,
+       coalesce(agg.n, 0) AS distinct_values
+FROM dims LEFT JOIN agg ON dims.category = agg.category AND dims.dimension = agg.dimension
+LEFT JOIN d ON dims.category = d.category AND dims.dimension = d.dimension""")
     q["ct_failed_events"] = _ct(f"""
 hits AS ({_failure_sql(lookups.FAILURE_EVENT_CATEGORY_NAMES)})
 SELECT category, strftime(event_time, {TS}) AS failure_time, source_ip_address AS failure_ip,
@@ -416,6 +420,76 @@ def _pipeline_oracles(q: dict) -> None:
         q[pipeline] = q[direct]
 
 
+def _without_file(sql: str) -> str:
+    return f"SELECT * EXCLUDE (source_file) FROM ({sql})"
+
+
+def _source_oracles(q: dict) -> None:
+    q["ct_parse_dupkeys"] = q["ct_parse_bad_record"] = q["ct_parse_records"]
+    q["ct_parse_single"] = (f"SELECT * EXCLUDE (source_file), 'ct-' || event_id || '.json' AS source_file FROM ({q['ct_parse_records']})")
+    for name, parsed in (("vpc_files", "vpc_parse_lines"), ("vpc_files_gzip", "vpc_parse_lines"), ("load_vpc", "vpc_parse_lines"),
+                         ("load_vpc_csv", "vpc_parse_lines"), ("s3_files", "s3_parse_lines"), ("s3_files_gzip", "s3_parse_lines"),
+                         ("load_s3", "s3_parse_lines"), ("ct_files", "ct_parse_records"), ("ct_files_gzip", "ct_parse_records"),
+                         ("load_cloudtrail", "ct_parse_records")):
+        q[name] = _without_file(q[parsed])
+    q["vpc_rejects"] = with_views("""
+f AS (SELECT printf('flow-%03d.log', l_orderkey % 64) AS source_file FROM vpc WHERE l_linenumber = 1)
+SELECT source_file, reason, count(*) AS rejected
+FROM f, (VALUES ('header'), ('comment'), ('too few fields'), ('blank')) v(reason) GROUP BY source_file, reason""", "vpc")
+    q["s3_rejects"] = with_views("""
+f AS (SELECT printf('access-%02d.log', o_orderkey % 16) AS source_file, o_orderkey, user_agent FROM s3)
+SELECT source_file, 'fallback' AS reason, count(*) AS rejected FROM f WHERE user_agent = '-' GROUP BY source_file
+UNION ALL
+SELECT source_file, reason, count(*) FROM f, (VALUES ('blank'), ('comment')) v(reason) WHERE o_orderkey % 29 = 0
+GROUP BY source_file, reason""", "s3")
+    q["ct_rejects"] = with_views("""
+f AS (SELECT DISTINCT printf('ct-%04d', event_id // 50) AS name FROM ct)
+SELECT name || '.json' AS source_file, 'not an object' AS reason, CAST(3 AS BIGINT) AS rejected FROM f
+UNION ALL SELECT name || '.jsonl', 'not JSON', CAST(1 AS BIGINT) FROM f""", "ct")
+    q["vpc_odd_values"] = with_views("""
+o AS (SELECT srcaddr, l_orderkey % 7 AS odd,
+             CASE WHEN l_orderkey % 11 = 0 THEN CAST(9223372036854775000 AS HUGEINT) ELSE TRY_CAST(bytes AS BIGINT) END AS bytes FROM vpc),
+g AS (SELECT srcaddr, count(*) AS flows, count(*) FILTER (WHERE odd NOT IN (0, 1, 2)) AS timed, count(*) AS ended,
+             coalesce(sum(bytes), 0) AS total FROM o GROUP BY srcaddr)
+SELECT srcaddr, flows, timed, ended, CASE WHEN total <= 9223372036854775807 THEN CAST(total AS BIGINT) END AS total_bytes FROM g""", "vpc")
+    for name, by in (("ct_event_names", "event_count DESC, event_name"), ("ct_tactics", "tactic, hit_count DESC, event_name")):
+        q[f"{name}_ordered"] = f"SELECT *, row_number() OVER (ORDER BY {by}) AS position FROM ({q[name]})"
+
+
+# table of a bundle -> (the query that computes it, rows kept)
+_BUNDLES = {
+    "cloudtrail": {
+        "Access_IP_Statistics_(Top_20)": "ct_top_ips", "Nightshift_IP_Statistics": "ct_night_ips",
+        "Nightshift_EventName_Statistics": "ct_night_events", "EventName_Statistics": "ct_event_names",
+        "UserAgent_Statistics": "ct_user_agents", "Failed_Auth_Statistics": "ct_failed_auth", "Region_Statistics": "ct_regions",
+        "ConsoleLogin_Statistics": "ct_console_login", "CreateUser_Statistics": "ct_create_user", "Mitre_ATTACK_Tactics": "ct_tactics",
+        "Mitre_ATTACK_Events": "ct_tactic_events", "Failed_Auth_Events": "ct_failed_events",
+        "Report_Login_Status_30d": "rpt_login_status", "Report_Top_Creators": "rpt_creators",
+        "Report_Tactic_Totals": "rpt_tactic_totals", "Report_User_Agents": "rpt_ua_top8"},
+    "vpc": {
+        "Access_IP_Statistics_(Top_20)": "vpc_top_ips", "Port_Protocol_Statistics": "vpc_top_ports",
+        "Nightshift_Remote_Access_Events": "vpc_night_remote", "Session_Duration_Statistics": "vpc_session_duration",
+        "Connection_Statistics_(Top_20)": "vpc_top_connections", "Report_Session_Hours": "rpt_session_hours",
+        "Report_Connections": "rpt_connection_labels", "Report_Ports": "rpt_port_labels"},
+    "s3": {
+        "Access_IP_Statistics_(Top_20)": "s3_requesters", "Operation_Statistics": "s3_operations",
+        "UserAgent_Statistics": "s3_user_agents", "Mitre_ATTACK_Tactics": "s3_tactics", "Mitre_ATTACK_Events": "s3_tactic_events",
+        "Report_Requesters": "s3_requesters", "Report_Operations": "rpt_operation_labels",
+        "Report_User_Agents": "rpt_ua_labels", "Report_Event_Preview": "rpt_s3_event_preview"},
+}
+
+
+def _bundle_oracles(q: dict) -> None:
+    for log_type, tables in _BUNDLES.items():
+        parts = []
+        for name, query in tables.items():
+            rows = f"(SELECT count(*) FROM ({q[query]}))"
+            if name == "Report_Requesters":          # the first ten of the written table
+                rows = f"least(10, {rows})"
+            parts.append(f"SELECT {_q(name)} AS table_name, {rows} AS rows")
+        q[f"bundle_{log_type}"] = "\nUNION ALL\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     _vpc_oracles(q)
@@ -423,4 +497,6 @@ def oracle_sql() -> dict[str, str]:
     _ct_oracles(q)
     _summary_oracle(q)
     _pipeline_oracles(q)
+    _source_oracles(q)
+    _bundle_oracles(q)
     return q

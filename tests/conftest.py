@@ -11,7 +11,7 @@ from logsift.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", app="logsift-tests", shuffle_partitions=4)
+    s = build_session("local[4]", app="logsift-tests", shuffle_partitions=4, conf={"spark.driver.memory": "6g"})
     yield s
     s.stop()
 

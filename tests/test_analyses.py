@@ -66,30 +66,43 @@ def _ct(spark, rows):
     return ct.ensure_identity(spark.createDataFrame(full, CLOUDTRAIL_SCHEMA))
 
 
-def test_failed_auth_categories_and_cap(spark):
+def test_failed_auth_categories(spark):
     t = datetime(2025, 10, 1, 3, 0, 0)
     df = _ct(spark, [
         (t, t, "r", "GetObject", "1.1.1.1", None, "AccessDenied", "SignatureDoesNotMatch", None, {"userName": "u1"}),
         (t, t, "r", "GetObject", "1.1.1.1", None, "AccessDenied", None, None, {"userName": "u2"}),
-        (t, t, "r", "GetObject", "2.2.2.2", None, None, "request has expiredtoken", None, None),
+        (t, t, "r", "GetObject", "2.2.2.2", None, None, "request has expiredtoken", None, {"type": "Root", "principalId": "root-1"}),
         (t, t, "r", "GetObject", None, None, "Throttling", None, None, {"userName": "u3"}),
     ])
-    stats = {r.category: (r["count"], r.details) for r in ct.ct_failed_auth(df).collect()}
-    assert stats == {
-        "Authentication Failures - IPs": (1, "2.2.2.2 (1)"), "Authentication Failures - Users": (0, "N/A"),
-        "Authorization Failures - IPs": (1, "1.1.1.1 (2)"), "Authorization Failures - Users": (2, "u1 (1); u2 (1)"),
-        "API Key/Signature Errors - IPs": (1, "1.1.1.1 (1)"), "API Key/Signature Errors - Users": (1, "u1 (1)"),
+    assert {tuple(r) for r in ct.ct_failed_auth(df).collect()} == {
+        ("Authentication Failures - IPs", "2.2.2.2", 1, 1), ("Authentication Failures - Users", None, 0, 0),
+        ("Authorization Failures - IPs", "1.1.1.1", 2, 1), ("Authorization Failures - Users", "u1", 1, 2),
+        ("Authorization Failures - Users", "u2", 1, 2),
+        ("API Key/Signature Errors - IPs", "1.1.1.1", 1, 1), ("API Key/Signature Errors - Users", "u1", 1, 1),
     }
-    capped = {r.category: r.details for r in ct.ct_failed_auth(df, max_details=1).collect()}
-    assert capped["Authorization Failures - Users"] == "u1 (1)"
-    with pytest.raises(ValueError):
-        ct.ct_failed_auth(df, max_details=None)
+    either = ct.ct_failed_auth(df, user_field=["user_name", "principal_id", "user_type"])
+    assert ("Authentication Failures - Users", "root-1", 1, 1) in {tuple(r) for r in either.collect()}
+    preview = {r.category: (r.distinct_values, r.preview) for r in ct.failed_auth_preview(df, 1).collect()}
+    assert preview["Authorization Failures - Users"] == (2, "u1 (1)") and preview["Authentication Failures - Users"] == (0, "N/A")
     events = ct.failed_auth_events(df)
     assert events.columns[:8] == ["category", "failure_time", "failure_ip", "failure_user", "failure_account",
                                   "failure_type", "failure_message", "event_name"]
     assert events.count() == 4   # first event is in two categories
 
 
+def test_failed_auth_lists_every_value_of_a_large_category(spark):
+    n = 30_000
+    df = ct.ensure_identity(spark.range(n).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("source_ip_address", "error_code") else
+          (F.lit("AccessDenied") if f.name == "error_code" else F.concat(F.lit("ip"), F.col("id") % 20_000)).alias(f.name)
+          for f in CLOUDTRAIL_SCHEMA.fields]))
+    out = ct.ct_failed_auth(df)
+    ips = out.where("category = 'Authorization Failures - IPs'").agg(F.count("*"), F.sum("count"), F.max("distinct_values")).first()
+    assert tuple(ips) == (20_000, n, 20_000)
+    plan = out._jdf.queryExecution().toString()
+    assert "Window" not in plan and "CollectList" not in plan
+
+
 def test_console_login_and_create_user(spark):
     t = datetime(2025, 10, 1, 3, 0, 0)
     old = datetime(2025, 8, 1, 3, 0, 0)
@@ -154,5 +167,5 @@ def test_documented_options(spark):
     assert ct.ct_console_login(df).first().login_status == "Success"
     assert ct.ct_console_login(df, status_from="response").first().login_status == "Failed"
     fails = _ct(spark, [(t, t, "r", "X", "1.1.1.1", None, "AccessDenied", None, None, {"principalId": "AID1"})])
-    users = {r.category: r.details for r in ct.ct_failed_auth(fails, user_field="principal_id").collect()}
-    assert users["Authorization Failures - Users"] == "AID1 (1)"
+    users = {r.category: (r.value, r["count"]) for r in ct.ct_failed_auth(fails, user_field="principal_id").collect()}
+    assert users["Authorization Failures - Users"] == ("AID1", 1)

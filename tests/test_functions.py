@@ -90,14 +90,11 @@ def test_protocol_names_and_hours(spark):
     assert _one(spark, duration_hours("s"), "s long", [(3600,), (5418,), (18,), (54,)]) == [1.0, 1.5, 0.0, 0.02]
 
 
-def test_lookup_broadcast_only_within_row_and_byte_bounds(spark):
-    from logsift.operators.enrich import _bounded
-    lk = spark.createDataFrame([("x" * 100, "T1"), ("y", None)], "name string, tactic string")
-    assert _bounded(lk) is not lk                       # small: broadcast hint added
-    assert _bounded(lk, max_rows=1) is lk               # too many rows: planner decides
-    assert _bounded(lk, max_bytes=100) is lk            # 100 + 2 + 1 bytes of text > 100
-    assert _bounded(lk, max_bytes=103) is not lk
-    assert _bounded(spark.createDataFrame([], "name string, tactic string")) is not None
+def test_user_lookups_leave_the_join_to_the_planner(spark):
+    from logsift.operators.enrich import port_service_lookup, tactic_lookup
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(tactic_lookup(spark)) and hinted(port_service_lookup(spark))
+    assert not hinted(tactic_lookup(spark, config={"cloudtrail": {"A": ["x"]}})) and not hinted(port_service_lookup(spark, {22: "ssh"}))
 
 
 def test_cluster_settings_fill_only_unset_keys():

@@ -4,6 +4,7 @@ import gzip
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from logsift.sources.cloudtrail import identity_wide, read_cloudtrail
@@ -91,7 +92,9 @@ def test_identity_wide(spark, tmp_dir):
     _write(f"{d}/r.json", json.dumps({"Records": [_event(1), _event(2, userIdentity={"type": "Root", "principalId": "p"})]}))
     w = identity_wide(read_cloudtrail(spark, d))
     cols = [c for c in w.columns if c.startswith("userIdentity.")]
-    assert cols == sorted(cols) and "userIdentity.principalId" in cols and "userIdentity.userName" in cols
+    assert "userIdentity.principalId" in cols and "userIdentity.userName" in cols and "user_identity" in w.columns
+    few = identity_wide(read_cloudtrail(spark, d), ["principalId", "custom"])
+    assert {(r["userIdentity.principalId"], r["userIdentity.custom"]) for r in few.collect()} == {(None, None), ("p", None)}
 
 
 VPC_LINES = """version account-id interface-id srcaddr dstaddr srcport dstport protocol packets bytes start end action log-status
@@ -121,10 +124,14 @@ def test_vpc_lines(spark, tmp_dir):
     assert short.flow_log_status is None and short.action == "REJECT"
 
 
-def test_missing_directory_is_empty(spark, tmp_dir):
-    assert read_vpc_flow(spark, os.path.join(tmp_dir, "nope")).count() == 0
-    assert read_s3_access(spark, os.path.join(tmp_dir, "nope")).count() == 0
-    assert read_cloudtrail(spark, os.path.join(tmp_dir, "nope")).count() == 0
+def test_missing_directory_is_an_error_and_an_empty_one_is_not(spark, tmp_dir):
+    os.makedirs(os.path.join(tmp_dir, "none"))
+    for read in (read_vpc_flow, read_s3_access, read_cloudtrail):
+        with pytest.raises(FileNotFoundError):
+            read(spark, os.path.join(tmp_dir, "nope"))
+        with pytest.raises(FileNotFoundError):
+            read(spark, [os.path.join(tmp_dir, "nope"), os.path.join(tmp_dir, "nor this")])
+        assert read(spark, os.path.join(tmp_dir, "none")).count() == 0
 
 
 S3_LINES = (
@@ -149,7 +156,82 @@ def test_s3_lines(spark, tmp_dir):
     # bracket-aware fallback: fields do not shift, offset applied
     assert fb.remote_ip == "-" and fb.requester == "svc" and fb.operation == "S3.EXPIRE.OBJECT"
     assert str(fb.request_datetime) == "2025-10-01 02:55:11"
-    assert fb.host_id is None and fb.version_id == "-" and fb.object_size == 20
+    # every token is kept, also beyond the 18th
+    assert fb.host_id == "HOSTID" and fb.version_id == "-" and fb.object_size == 20 and fb.tls_version is None
+
+
+def test_s3_appended_fields_and_quotes(spark):
+    from logsift.sources.s3 import parse_s3_lines
+
+    base = S3_LINES.split("\n")[0]
+    odd = base.replace('"GET /a/b HTTP/1.1"', '"GET /a"b"c HTTP/1.1"').replace('"aws-cli/2.1 Python/3"', '-')
+    lines = [base + ' AccessPoint "more text"', odd, base.replace("+0000", "-0330"), base.rsplit(" ", 2)[0]]
+    rows = parse_s3_lines(spark.createDataFrame([(v, str(i)) for i, v in enumerate(lines)], "value string, source_file string"))
+    a, b, c, d = rows.orderBy("source_file").collect()
+    assert (a.parse_status, a.extra_fields, a.host_id, a.tls_version, a.dash2) == ("full", 'AccessPoint "more text"', "HOSTID", "TLSv1.2", "-")
+    assert (b.parse_status, b.request_uri, b.user_agent, b.extra_fields) == ("full", 'GET /a"b"c HTTP/1.1', "-", None)
+    assert str(c.request_datetime) == "2025-10-01 15:25:11"
+    assert (d.parse_status, d.tls_version, d.dash1, d.user_agent) == ("fallback", "TLSv1.2", None, "aws-cli/2.1 Python/3")
+
+
+def test_cloudtrail_records_survive_their_neighbours(spark, tmp_dir):
+    """A repeated key, values that are no objects, and a document beyond the size of one VARIANT."""
+    from logsift.sources.cloudtrail import cloudtrail_rejects, parse_cloudtrail_docs
+
+    good = json.dumps(_event(1)), json.dumps(_event(2))
+    docs = [(f'{{"Records":[{good[0]},{{"eventID":"x","eventID":"dup","requestParameters":{{"userName":"a","userName":"b"}},'
+             f'"userIdentity":{{"userName":"x","userName":"y"}}}},{good[1]}]}}', "dup"),
+            (f'{{"Records":[{good[0]},7,"text",null,{good[1]}]}}', "values"),
+            (good[0] + "\n{broken\n" + '{"eventID":"q","k":1,"k":2}', "lines"), ('{"Records":[' + good[0], "cut")]
+    frame = spark.createDataFrame(docs, "value string, source_file string")
+    got = {(r.source_file, r.event_id): r for r in parse_cloudtrail_docs(frame).collect()}
+    assert set(got) == {("dup", "id-1"), ("dup", "dup"), ("dup", "id-2"), ("values", "id-1"), ("values", "id-2"), ("lines", "id-1"), ("lines", "q")}
+    assert got["dup", "dup"].user_name == "y" and got["dup", "dup"].request_elements == '{"userName":"a","userName":"b"}'
+    from logsift.operators.cloudtrail import ct_create_user
+    created = ct_create_user(parse_cloudtrail_docs(frame).withColumn("event_name", F.lit("CreateUser")).where("event_id = 'dup'"))
+    assert created.first().created_user == "b"
+    assert {(r.source_file, r.reason, r.rejected) for r in cloudtrail_rejects(frame).collect()} == {
+        ("values", "not an object", 3), ("lines", "not JSON", 1), ("cut", "not JSON", 1)}
+    big = spark.range(1).selectExpr(
+        "concat('{\"Records\":[', array_join(transform(sequence(1, 150000), i -> concat('{\"eventID\":\"e', i, '\",\"userAgent\":\"', "
+        "repeat('x', 950), '\"}')), ','), ']}') AS value", "'big' AS source_file")
+    assert parse_cloudtrail_docs(big, columns=["event_id"]).select(F.countDistinct("event_id")).first()[0] == 150_000
+
+
+def test_cloudtrail_columns_and_lines_by_name(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "ct_cols")
+    _write(f"{d}/export-1.json", "\n".join(json.dumps(_event(i)) for i in range(5)))
+    _write(f"{d}/a.json", json.dumps({"Records": [_event(7)]}))
+    df = read_cloudtrail(spark, d, lines_regex="^export-", columns=["event_time", "event_name", "user_name"])
+    assert df.count() == 6 and "user_agent" not in df.columns
+    assert {(str(r.event_time), r.user_name) for r in df.collect()} == {(f"2025-10-01 0{i}:15:00", f"u{i}") for i in (0, 1, 2, 3, 4, 7)}
+
+
+def test_rejects_are_counted_while_parsing(spark, tmp_dir):
+    from logsift.sources.files import Rejects
+
+    _write(f"{tmp_dir}/rj/vpc/a.log", VPC_LINES)
+    _write(f"{tmp_dir}/rj/s3/a.log", S3_LINES)
+    _write(f"{tmp_dir}/rj/ct/a.json", json.dumps({"Records": [_event(1), 5]}))
+    _write(f"{tmp_dir}/rj/ct/b.jsonl", json.dumps(_event(1)) + "\n{broken\n")
+    for read, name, want in ((read_vpc_flow, "vpc", 1), (read_s3_access, "s3", 1), (read_cloudtrail, "ct", 2)):
+        rejects = Rejects()
+        read(spark, f"{tmp_dir}/rj/{name}", rejects=rejects).write.parquet(f"{tmp_dir}/rj/out/{name}")
+        assert rejects.total() == want
+
+
+def test_odd_numbers_do_not_end_a_job(spark):
+    from logsift.operators import vpc
+    from logsift.sources.vpc import parse_vpc_lines
+
+    epochs = ["1704067200000000", "9" * 17, "9" * 25, "-1", "0", "253402300799", "253402300800"]
+    lines = [f"2 1 eni a b 1 22 6 1 9223372036854775000 {e} {e} ACCEPT OK" for e in epochs]
+    df = parse_vpc_lines(spark.createDataFrame([(v, "f") for v in lines] + [(None, "f")], "value string, source_file string"))
+    assert sorted(str(r.window_start) for r in df.collect()) == sorted(["None"] * 5 + ["1970-01-01 00:00:00", "9999-12-31 23:59:59"])
+    more = df.unionByName(df.limit(1).withColumn("srcaddr", F.lit("z")).withColumn("bytes", F.lit(5).cast("long")))
+    top = vpc.vpc_top_connections(more, 5).collect()
+    # a sum beyond bigint is NULL and comes first
+    assert [(r.source_ip, r.total_bytes, r.flow_count) for r in top] == [("a", None, 7), ("z", 5, 1)]
 
 
 def test_cloudtrail_wrapper_edge_cases(spark):
@@ -170,7 +252,7 @@ def test_missing_path_in_list_is_skipped(spark, tmp_dir):
     assert df.count() == 3
 
 
-def test_corrupt_gzip_does_not_fail_the_scan(spark, tmp_dir):
+def test_corrupt_gzip_fails_unless_it_may_be_skipped(spark, tmp_dir):
     d = os.path.join(tmp_dir, "vpc_corrupt")
     _write(f"{d}/good.log", VPC_LINES)
     blob = gzip.compress(VPC_LINES.encode() * 50)
@@ -179,5 +261,7 @@ def test_corrupt_gzip_does_not_fail_the_scan(spark, tmp_dir):
         fh.write(blob[: len(blob) // 2])
     with open(f"{d}/not_gzip.gz", "wb") as fh:
         fh.write(b"plain text, wrong extension")
-    df = read_vpc_flow(spark, d)
+    with pytest.raises(Exception):
+        read_vpc_flow(spark, d).count()
+    df = read_vpc_flow(spark, d, ignore_corrupt=True)
     assert df.filter(F.col("source_file") == "good.log").count() == 3
