@@ -12,9 +12,10 @@ the row is).  Copies only help; the nearest list always holds the row.
 
 A query walks an in-memory neighbour graph over the centroids and visits the
 lists within ``REACH`` of its nearest distance, and more until the lists hold
-enough rows.  Lists and the queries that visit them meet in tiles of bounded
-size, so neither a hot list nor a popular query region gathers in one task; a
-tile returns each query's ``k`` best, the rest is a window over those.
+enough rows.  Neighbouring lists form groups; a group's rows and the queries
+that visit any of its lists meet in tiles of bounded size, so neither a hot list
+nor a popular query region gathers in one task; a tile returns each query's
+``k`` best, the rest is a window over those.
 
 Scores are inner products of the original vectors in double precision, summed
 alike wherever a pair meets, so equal vectors tie exactly and ties go to the
@@ -29,7 +30,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +38,12 @@ from .common import stage
 
 K = 20
 SAMPLE = 20_000
-LIST_ROWS = 128           # rows a list should hold, as far as the sample carries so many centroids
+LIST_ROWS = 512           # rows a list should hold, as far as the sample carries so many centroids
 PER_CENTROID = 8          # sampled rows behind a centroid at least
 REPLICAS = 8
-SPREAD = 1.15
-REACH = 1.25
-TILE_ROWS = 8192
+SPREAD = 1.03
+REACH = 1.15
+TILE_ROWS = 32_768
 TILE_QUERIES = 2048
 
 
@@ -143,27 +143,69 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def best_in_tile(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Each query's ``k`` best rows of one tile."""
-    q, v = np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy())
-    ids, out = rows["vec_id"].to_numpy(), []
-    for at in range(0, len(q), 256):
-        part = q[at:at + 256]
-        rough = part @ v.T
-        need = min(k + 1, len(v))              # the query's own row may be among them
-        slack = 1e-9 * (np.abs(rough).max() + 1)
-        floor = np.partition(rough, len(v) - need, axis=1)[:, len(v) - need] - slack
-        for i, query_id in enumerate(queries["query_id"].iloc[at:at + 256]):
-            near = np.flatnonzero(rough[i] >= floor[i])
-            near = near[ids[near] != query_id]
-            score = (v[near] * part[i]).sum(axis=1)
-            order = np.lexsort((ids[near], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[near][order], "score": score[order]}))
-    return pd.concat(out, ignore_index=True)
+def cut_lists(c: np.ndarray, full: np.ndarray, tile_rows: int) -> np.ndarray:
+    """The group of every list: neighbours along the centroids' main axis, about ``tile_rows`` rows together."""
+    axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0]
+    order = np.argsort(c @ axis, kind="stable")
+    group = np.empty(len(c), np.int64)
+    group[order] = (np.cumsum(full[order]) - 1) // tile_rows
+    return group
+
+
+def best_in_tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """Each query's ``k`` best rows among those of its lists in one tile."""
+    if not queries.num_rows or not rows.num_rows:
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    queries, rows = queries.combine_chunks(), rows.combine_chunks()
+    ids, lists = rows["vec_id"].to_numpy(), rows["list"].to_numpy()
+    v = _matrix(rows["v"].combine_chunks())
+    # equal vectors are scored once; `members` are their rows, smallest id first
+    order = np.lexsort((ids, *v.T))
+    new = np.ones(len(v), bool)
+    new[1:] = (v[order[1:]] != v[order[:-1]]).any(1)
+    distinct = np.cumsum(new) - 1
+    begin = np.append(np.flatnonzero(new), len(v))
+    u = v[order[new]]
+    names = np.unique(lists)
+    holds = np.zeros((len(names), len(u)), np.float32)
+    holds[np.searchsorted(names, lists[order]), distinct] = 1
+
+    q, query_ids = _matrix(queries["v"].combine_chunks()), queries["query_id"].to_numpy()
+    wanted = queries["lists"].combine_chunks()
+    sizes = np.diff(wanted.offsets.to_numpy())
+    flat = wanted.flatten().to_numpy()
+    at = np.searchsorted(names, flat).clip(max=len(names) - 1)
+    found = names[at] == flat
+    visited = np.zeros((len(q), len(names)), np.float32)
+    visited[np.repeat(np.arange(len(q)), sizes)[found], at[found]] = 1
+    out = []
+    for block in np.array_split(np.lexsort(visited.T), max(1, len(q) // 64)):
+        near = visited[block].any(0)
+        cols = np.flatnonzero(holds[near].any(0))
+        if not len(cols):
+            continue
+        rough = q[block] @ u[cols].T
+        rough[visited[block][:, near] @ holds[near][:, cols] == 0] = -np.inf
+        keep = min(k + 9, len(cols))          # one for the query's own vector, the others for rounding
+        top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+        for i, row in enumerate(block.tolist()):
+            best = cols[top[i][np.isfinite(rough[i, top[i]])]]
+            score = (u[best] * q[row]).sum(axis=1)
+            n = np.minimum(begin[best + 1] - begin[best], 2 * REPLICAS * (k + 1))    # copies beyond those rank too low
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            copies = ids[order[np.repeat(begin[best], n) + inside]]
+            copies, first = np.unique(copies, return_index=True)
+            score = np.repeat(score, n)[first]
+            other = copies != query_ids[row]
+            copies, score = copies[other], score[other]
+            rank = np.lexsort((copies, -score))[:k]
+            out.append((np.full(len(rank), query_ids[row]), copies[rank], score[rank]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding",
-            sample: int = SAMPLE) -> DataFrame:
+            sample: int = SAMPLE, tile_rows: int = TILE_ROWS, tile_queries: int = TILE_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows found nearest to each row for which ``is_query`` (of vec_id) holds."""
     rows = stage(usable(vectors, id_col, vec_col), "vectors")
     spark = rows.sparkSession
@@ -191,6 +233,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "v
     postings = stage(rows.mapInArrow(index, "list long, vec_id long, v array<double>"), "postings")
     held = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}   # one row per centroid
     full = np.array([held.get(i, 0) for i in range(n_lists)])
+    group = cut_lists(c, full, tile_rows)
     graph = CentroidGraph(c)
     enough = REPLICAS * (k + 1)
 
@@ -199,7 +242,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "v
             if not b.num_rows:
                 continue
             v = _matrix(b.column("v"))
-            at, lists = [], []
+            at, groups, lists = [], [], []
             for i, q in enumerate(np.hstack([v, np.zeros((len(v), 1))])):
                 width = 64
                 while True:
@@ -209,34 +252,31 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "v
                     if upto < len(near) or len(near) < width or width >= n_lists:
                         break
                     width *= 2                 # every found list is near enough: look further
-                at += [i] * min(upto, len(near))
-                lists += near[:upto].tolist()
+                near = near[:upto]
+                for g in np.unique(group[near]).tolist():
+                    at.append(i)
+                    groups.append(g)
+                    lists.append(near[group[near] == g])
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), b.column("vec_id").take(take), b.column("v").take(take)],
-                                             names=["list", "query_id", "v"])
-
-    queries = rows.where(is_query)
-    visits = stage(queries.mapInArrow(visit, "list long, query_id long, v array<double>"), "visits")
-    # one row per centroid: how many tiles its rows and its queries are dealt to
-    tiles = (postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("row_tiles"))
-             .join(visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TILE_QUERIES).cast("int").alias("query_tiles")), "list"))
-
-    def dealt(df, own, mine, other, tag):
-        return (df.join(F.broadcast(tiles), "list")
-                .withColumn(tag, F.pmod(F.xxhash64(own), F.col(mine)).cast("int"))
-                .withColumn("far", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-                .drop("row_tiles", "query_tiles"))
-
-    left = dealt(visits, "query_id", "query_tiles", "row_tiles", "qt").withColumnRenamed("far", "rt")
-    right = dealt(postings, "vec_id", "row_tiles", "query_tiles", "rt").withColumnRenamed("far", "qt")
-
-    def tile(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best_in_tile(q, r, k)
-
-    found = left.groupBy("list", "qt", "rt").cogroup(right.groupBy("list", "qt", "rt")).applyInPandas(
-        tile, "query_id long, vec_id long, score double")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(groups, pa.int64()), b.column("vec_id").take(take), b.column("v").take(take), pa.array(lists, pa.list_(pa.int64()))],
+                names=["group", "query_id", "v", "lists"])
+
+    visits = stage(rows.where(is_query).mapInArrow(visit, "group long, query_id long, v array<double>, lists array<long>"), "visits")
+    # one row per centroid, and one per group: how many tiles a group's rows and its queries are dealt to
+    groups = spark.createDataFrame(list(enumerate(group.tolist())), "list long, group long")
+    rows_in = np.bincount(group, full, minlength=1)
+    row_tiles = spark.createDataFrame([(g, -(-int(n) // (2 * tile_rows))) for g, n in enumerate(rows_in) if n], "group long, row_tiles int")
+    tiles = row_tiles.join(visits.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / tile_queries).cast("int").alias("query_tiles")), "group")
+
+    def dealt(df, own, mine, other, tag, far):
+        return (df.join(F.broadcast(tiles), "group").withColumn(tag, F.pmod(F.xxhash64(own), F.col(mine)).cast("int"))
+                .withColumn(far, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("row_tiles", "query_tiles"))
+
+    left = dealt(visits, "query_id", "query_tiles", "row_tiles", "qt", "rt")
+    right = dealt(postings.join(F.broadcast(groups), "list"), "vec_id", "row_tiles", "query_tiles", "rt", "qt")
+    found = left.groupBy("group", "qt", "rt").cogroup(right.groupBy("group", "qt", "rt")).applyInArrow(
+        lambda q, r: best_in_tile(q, r, k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

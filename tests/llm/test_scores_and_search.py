@@ -151,12 +151,18 @@ def test_recall(spark, path):
     assert all(near == sorted(near, key=lambda x: (-x[1], x[0])) for near in got.values())
 
 
-def test_small_tiles_give_the_same(spark, monkeypatch):
-    vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
-    a = found(spann.op6(vectors))
-    monkeypatch.setattr(spann, "TILE_ROWS", 20)
-    monkeypatch.setattr(spann, "TILE_QUERIES", 3)
-    assert found(spann.op6(vectors)) == a
+def test_small_tiles_give_the_same(spark, frame, monkeypatch):
+    """Many lists in many tiles; one vector fills a fifth of the rows, in lists that are dealt to several tiles."""
+    monkeypatch.setattr(spann, "LIST_ROWS", 40)
+    rows = [(r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.01", "embeddings").collect()]
+    rows = [(i, rows[7][1] if i % 5 == 0 and i < 400 else v) for i, v in rows]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    every = F.col("vec_id") % 20 == 0
+    a = found(spann.nearest(vectors, every))
+    assert found(spann.nearest(vectors, every, tile_rows=16, tile_queries=3)) == a
+    want = brute(rows, 20)
+    assert all([i for i, _ in a[q]] == [i for i, _ in want[q]] for q in a if q < 400)      # ties go to the smaller id
+    assert np.mean([len({i for i, _ in a[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
 def test_odd_vectors(spark, frame):
