@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice of pieces.
 
-A text becomes words: a run of spaces (written U+2581) with the characters up to
-the next one; line feeds stand alone.  No piece reaches over such an edge, so a
-text's ids are its words' ids in order.
+A text becomes words: a run of spaces with the characters up to the next one;
+line feeds stand alone.  No piece (where U+2581 writes the space) reaches over
+such an edge, so a text's ids are its words' ids in order.
 
 Lattice (``lattice_ids``): a word's substrings of at most ``LONGEST`` characters
 are exploded, equi-joined to the piece table and grouped by word again, which
@@ -19,7 +19,7 @@ the word's edges gives its ids.  Two folds:
 Texts (``encode_texts``): words are counted, the most frequent ones (at most
 ``TABLE_WORDS``, by a count threshold) go through the lattice, and the table of
 their ids, bounded by that number, is broadcast to one pass over the texts.
-Other words are folded in that pass by the same rule (``fold_word``), since most
+Other words are folded in that pass by the same rule (``fold_words``), since most
 of them occur once and a shuffle of all their places would outweigh the texts.
 
 Characters without a piece become byte pieces.  Decoding puts pieces and bytes
@@ -32,6 +32,7 @@ alike; null ids of rows are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import per_worker, stage
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
@@ -49,7 +50,8 @@ TABLE_WORDS = 1 << 18
 LONGEST = 16              # characters of a piece, at most; checked against the model
 _BITS = 60                # characters of a word whose token edges fit one long
 _CACHE = 1 << 17          # other words a task remembers
-_WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+_TEXTS = 256              # texts encoded at once
+_WORD = re.compile(" *[^ \n]+| +|\n")
 
 
 @dataclass
@@ -61,8 +63,10 @@ class Pieces:
     byte_ids: list[int]
     texts: list[str]          # by id; control pieces are empty
     heads: frozenset[str] = frozenset()      # beginnings of pieces, of two characters or more
+    is_byte: frozenset[int] = frozenset()
 
     def __post_init__(self):
+        self.is_byte = frozenset(self.byte_ids)
         self.heads = frozenset(p[:i] for p in self.ids for i in range(2, len(p) + 1))
 
     def spell(self, token: str) -> list[int]:
@@ -82,11 +86,13 @@ def load_pieces(path: str = MODEL) -> Pieces:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """The words of a text and the space put before it; put together, they are that text."""
+    return _WORD.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
 def fold_word(word: str, pieces: Pieces, viterbi: bool = False) -> list[int]:
     """The ids of one word, by the rule of the relational fold."""
+    word = word.replace(" ", SPACE)
     n, scores, heads = len(word), pieces.scores, pieces.heads
     edges = []
     for s in range(n - 1):
@@ -117,6 +123,119 @@ def fold_word(word: str, pieces: Pieces, viterbi: bool = False) -> list[int]:
     return [i for a, b in zip(cuts, cuts[1:]) for i in pieces.spell(word[a:b])]
 
 
+class Joins:
+    """The relation (left piece, right piece) -> the piece that they spell together."""
+
+    def __init__(self, pieces: Pieces):
+        pairs = sorted((pieces.ids[p[:i]] << 20 | pieces.ids[p[i:]], joined) for p, joined in pieces.ids.items()
+                       for i in range(1, len(p)) if p[:i] in pieces.ids and p[i:] in pieces.ids)
+        self.keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.joined = np.array([j for _, j in pairs] + [-1], np.int64)
+        self.cost = np.full(len(pieces.texts) + 1, np.inf)          # the last entry is for "no piece", -1
+        self.cost[list(pieces.ids.values())] = [-pieces.scores[p] for p in pieces.ids]
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 20 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.joined[at], -1)
+
+
+def fold_words(words: list[str], pieces: Pieces, joins: Joins) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fold_word` by merges of many words at once: their ids on end, and the number of ids of each.
+
+    Every round joins, in each word, the pair of neighbouring tokens that spells the best piece.
+    """
+    chars, codes = np.unique(np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), "<u4"), return_inverse=True)
+    token = np.array([pieces.ids.get(chr(c), -1) for c in chars.tolist()], np.int64)[codes]
+    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    joined = np.full(len(token), -1, np.int64)                     # what a token and the next one spell
+    joined[:-1] = np.where(word[1:] == word[:-1], joins.of(token[:-1], token[1:]), -1)
+    done_words, done_tokens = [], []
+    while len(token):
+        cost = joins.cost[joined]
+        begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        best = np.minimum.reduceat(cost, begin)
+        best = np.repeat(best, np.diff(np.append(begin, len(word))))
+        left = np.isfinite(best)
+        if not left.all():                                         # words without any join are done
+            done_words.append(word[~left])
+            done_tokens.append(token[~left])
+            token, word, joined, cost, best = token[left], word[left], joined[left], cost[left], best[left]
+            if not len(token):
+                break
+        at = np.flatnonzero(cost == best)
+        at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]       # the leftmost of a word
+        token[at] = joined[at]
+        keep = np.ones(len(token), bool)
+        keep[at + 1] = False
+        token, word, joined = token[keep], word[keep], joined[keep]
+        at = at - np.arange(len(at))
+        touched = np.concatenate((at, at[at > 0] - 1))
+        after = np.minimum(touched + 1, len(token) - 1)
+        same = (word[touched] == word[after]) & (after > touched)
+        joined[touched] = np.where(same, joins.of(token[touched], token[after]), -1)
+    if not done_words:
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+    word, token = np.concatenate(done_words), np.concatenate(done_tokens)
+    order = np.argsort(word, kind="stable")
+    return token[order].astype(np.int32), np.bincount(word, minlength=len(words))
+
+
+class WordIds:
+    """The ids of words: those of the broadcast table, and others a task has folded (a bounded number at a time)."""
+
+    def __init__(self, pieces: Pieces, words: list[str], flat: np.ndarray, sizes: np.ndarray, viterbi: bool):
+        self.pieces, self.viterbi, self.joins = pieces, viterbi, None if viterbi else Joins(pieces)
+        self.table = {w: i for i, w in enumerate(words)}
+        self.base = (np.asarray(flat, np.int32), np.asarray(sizes, np.int64))
+        self.reset()
+
+    def reset(self) -> None:
+        self.index = dict(self.table)
+        self.flat, self.sizes = self.base
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.good = self.decodes(list(self.table), self.flat, self.sizes)
+
+    def decodes(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which words their ids decode to.  A word's bytes are whole characters, so this holds for texts word by word."""
+        ends = np.cumsum(sizes)
+        ids = flat.tolist()
+        return np.array([decode_ids(ids[j - n:j], self.pieces, False) == w for w, n, j in zip(words, sizes.tolist(), ends.tolist())], bool)
+
+    def fold(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [] if self.viterbi else [w for w in words if len(w) <= _BITS and all(map(self.pieces.ids.__contains__, w.replace(" ", SPACE)))]
+        simple = set(plain)
+        others = [w for w in words if w not in simple]
+        flat, sizes = fold_words(plain, self.pieces, self.joins) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        rest = [fold_word(w, self.pieces, self.viterbi) for w in others]
+        words[:] = plain + others
+        return (np.concatenate((flat, np.array([i for r in rest for i in r], np.int32))),
+                np.concatenate((sizes, np.array([len(r) for r in rest], np.int64))))
+
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of texts given as words, on end, the number of ids of each text, and whether they decode to it."""
+        every = [w for words in texts for w in words]
+        new = [w for w in set(every) if w not in self.index]
+        if new:
+            if len(self.index) - len(self.table) + len(new) > _CACHE:
+                self.reset()
+                new = [w for w in set(every) if w not in self.index]
+            flat, sizes = self.fold(new)
+            self.index.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.good = np.concatenate((self.good, self.decodes(new, flat, sizes)))
+            self.flat = np.concatenate((self.flat, flat))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        n = self.sizes[at]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(n.sum()))]
+        cuts = np.cumsum([len(words) for words in texts])
+        upto = np.concatenate(([0], ends))[cuts]
+        wrong = np.concatenate(([0], np.cumsum(~self.good[at])))[cuts]
+        return ids, np.diff(upto, prepend=0), np.diff(wrong, prepend=0) == 0
+
+
 # ---------------------------------------------------------------------------
 # the lattice as DataFrame operations
 # ---------------------------------------------------------------------------
@@ -153,10 +272,10 @@ transform(starts, (a, i) -> get(filter(edges, x -> x.s = a AND x.e = coalesce(ge
 def lattice_ids(words: DataFrame, pieces: Pieces, viterbi: bool = False) -> DataFrame:
     """Distinct ``word`` (up to 60 characters) to (word, ids); words with a character that no piece spells are left out."""
     table = piece_table(words.sparkSession, pieces)
-    short = words.select("word").where(F.length("word").between(1, _BITS)).withColumn("n", F.length("word"))
-    substrings = (short.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-                  .select("word", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least("n", F.col("s") + LONGEST))).alias("e"))
-                  .withColumn("piece", F.expr("substring(word, s + 1, e - s)")))
+    short = words.select("word", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n")).where(F.col("n").between(1, _BITS))
+    substrings = (short.select("word", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+                  .select("word", "w", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least("n", F.col("s") + LONGEST))).alias("e"))
+                  .withColumn("piece", F.expr("substring(w, s + 1, e - s)")))
     edge = F.struct((-F.col("score")).alias("cost"), "s", "e", "id")
     # the piece table is the model's vocabulary: its size is fixed and doesn't follow the data
     lattice = substrings.join(F.broadcast(table), "piece").groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
@@ -184,7 +303,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 counts.update(words_of(t))
-                if len(counts) > 2 * _CACHE:
+                if len(counts) > 4 * _CACHE:
                     yield out()
                     counts.clear()
         yield out()
@@ -216,47 +335,41 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
     counts = stage(word_counts(docs, text), "word-counts")
     known = stage(lattice_ids(frequent_words(counts, table_words), pieces, viterbi), "word-ids")
     table = known.toArrow()                                # at most ``table_words`` words: the documented bound
-    shared = spark.sparkContext.broadcast((pieces, table["word"].to_pylist(), table["ids"].to_pylist()))
+    ids = table["ids"].combine_chunks()
+    sizes = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    shared = spark.sparkContext.broadcast((pieces, table["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False), sizes, viterbi))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    tag = uuid.uuid4().hex
 
     def run(batches):
-        pieces, words, ids = shared.value
-        known, other = dict(zip(words, ids)), {}
-        for b in batches:
-            out, trips = [], []
-            for t in b.column("text").to_pylist():
-                mine: list[int] = []
-                for w in words_of(t):
-                    found = known.get(w) or other.get(w)
-                    if found is None:
-                        if len(other) >= _CACHE:
-                            other.clear()
-                        found = other[w] = fold_word(w, pieces, viterbi)
-                    mine += found
-                out.append(np.array(mine, np.int32))
-                trips.append(decode_ids(mine, pieces) == (t or ""))
-            sizes = np.array([len(x) for x in out], np.int32)
-            flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
-            yield pa.record_batch([b.column("doc_id"), pa.array(sizes), lists, pa.array(trips, pa.bool_())],
-                                  names=["doc_id", "n_ids", "ids", "round_trip"])
+        words = per_worker("words of " + tag, lambda: WordIds(*shared.value))
+        for whole in batches:
+            for at in range(0, whole.num_rows, _TEXTS):
+                b = whole.slice(at, _TEXTS)
+                texts = b.column("text").to_pylist()
+                flat, sizes, good = words.encode([words_of(t) for t in texts])
+                cuts = np.concatenate(([0], np.cumsum(sizes)))
+                trips = good & np.array([SPACE not in (t or "") for t in texts], bool)      # U+2581 itself decodes to a space
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))
+                yield pa.record_batch([b.column("doc_id"), pa.array(sizes.astype(np.int32)), lists, pa.array(trips, pa.bool_())],
+                                      names=["doc_id", "n_ids", "ids", "round_trip"])
 
     return narrow.mapInArrow(run, "doc_id long, n_ids int, ids array<int>, round_trip boolean")
 
 
-def decode_ids(ids: list[int], pieces: Pieces) -> str:
+def decode_ids(ids: list[int], pieces: Pieces, drop: bool = True) -> str:
     """The text of ids: pieces joined, runs of byte pieces decoded as UTF-8, spaces put back, the leading one dropped."""
     if not ids:
         return ""
     low, high = pieces.byte_ids[0], pieces.byte_ids[255]
     texts = pieces.texts
-    if not any(low <= i <= high for i in ids):
+    if not any(map(pieces.is_byte.__contains__, set(ids))):
         joined = "".join([texts[i] for i in ids])
     else:
         raw = b"".join([bytes((i - low,)) if low <= i <= high else texts[i].encode() for i in ids])
         joined = raw.decode("utf-8", "replace")
     joined = joined.replace(SPACE, " ")
-    return joined[1:] if joined[:1] == " " else joined
+    return joined[1:] if drop and joined[:1] == " " else joined
 
 
 def decode_texts(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:

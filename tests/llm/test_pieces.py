@@ -31,8 +31,25 @@ def test_texts(spark, odd, small, table_words):
         assert all(r.round_trip and r.n_ids == len(r.ids) for r in got)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="aeinrsthlou .,▁é", min_size=1, max_size=20), min_size=1, max_size=30))
+def test_many_words_fold_like_each(texts):
+    words = sorted({w for t in texts for w in pieces.words_of(t) if all(c in PIECES.ids for c in w.replace(" ", pieces.SPACE))})
+    flat, sizes = pieces.fold_words(words, PIECES, pieces.Joins(PIECES)) if words else (None, [])
+    ends = [sum(sizes[:i + 1]) for i in range(len(words))]
+    assert [flat[e - n:e].tolist() for n, e in zip(sizes, ends)] == [pieces.fold_word(w, PIECES) for w in words]
+
+
+def test_tasks_forget_words_but_not_ids(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "_CACHE", 20)
+    store = pieces.WordIds(PIECES, [" the"], LIBRARY.encode("the"), [1], False)
+    for text in ("the quick brown fox", "漢字 " + "long" * 40, "a b c d e f g h i j k l m n o p q r s t u v w", "the quick end"):
+        flat, sizes, good = store.encode([pieces.words_of(text), []])
+        assert flat.tolist() == LIBRARY.encode(text) and sizes.tolist() == [len(flat), 0] and good.all()
+
+
 def best_by_all_paths(word):
-    floor = min(PIECES.scores.values()) - 10
+    word, floor = word.replace(" ", pieces.SPACE), min(PIECES.scores.values()) - 10
 
     def best(s):
         if s == len(word):
