@@ -187,14 +187,14 @@ class WordIds:
     def __init__(self, pieces: Pieces, words: list[str], flat: np.ndarray, sizes: np.ndarray, viterbi: bool):
         self.pieces, self.viterbi, self.joins = pieces, viterbi, None if viterbi else Joins(pieces)
         self.table = {w: i for i, w in enumerate(words)}
-        self.base = (np.asarray(flat, np.int32), np.asarray(sizes, np.int64))
+        flat, sizes = np.asarray(flat, np.int32), np.asarray(sizes, np.int64)
+        self.base = (flat, sizes, self.decodes(words, flat, sizes))
         self.reset()
 
     def reset(self) -> None:
         self.index = dict(self.table)
-        self.flat, self.sizes = self.base
+        self.flat, self.sizes, self.good = self.base
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.good = self.decodes(list(self.table), self.flat, self.sizes)
 
     def decodes(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which words their ids decode to.  A word's bytes are whole characters, so this holds for texts word by word."""
