@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import exact, packing, quality, simhash, suffix
-from logsift.llm.common import compact, fresh, stage, table
+from logsift.llm.common import compact, files_for, fresh, stage, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     row = fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     scored = quality.quality_scores(numbered, table(spark, sf_dir, "labels"), keep=(row,))
-    return compact(numbered.join(scored.where("predicted = 1").select(row), row, "left_semi").drop(row))
+    return compact(numbered.join(scored.where("predicted = 1").select(row), row, "left_semi").drop(row),
+                   files_for(docs))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +57,5 @@ ORACLE_SQL = None         # SQL can't train the classifier; tests/llm compares r
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = stage(function(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", files_for(docs))
     return docs

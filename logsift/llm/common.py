@@ -23,18 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 FILES_PER_CORE = 4
+FILE_BYTES = 8 << 20
 
 
-def compact(df: DataFrame, per_core: int = FILES_PER_CORE) -> DataFrame:
-    """``df`` in at most so many partitions per core of the cluster: a bounded number of files, without a shuffle.
+def files_for(source: DataFrame, per_core: int = FILES_PER_CORE) -> int:
+    """How many files a table made from ``source`` may have: some per core, and one more for every ``FILE_BYTES`` of it."""
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(per_core * max(2, source.sparkSession.sparkContext.defaultParallelism), -(-size // FILE_BYTES))
 
-    Many small partitions (a scan of many files, a shuffle of little data) would
-    leave a file each, and a file costs more than the rows in it.
+
+def compact(df: DataFrame, files: int) -> DataFrame:
+    """``df`` in at most ``files`` partitions, without a shuffle.
+
+    Tiny partitions (a scan of many small files, a shuffle of little data) are
+    merged, since a file costs more than the rows in it; with ``files_for`` of
+    the input, partitions of ``FILE_BYTES`` of it or more stay as they are.
     """
-    return df.coalesce(per_core * max(2, df.sparkSession.sparkContext.defaultParallelism))
+    return df.coalesce(min(files, (1 << 31) - 1))
 
 
-def stage(df: DataFrame, label: str, per_core: int = FILES_PER_CORE) -> DataFrame:
+def stage(df: DataFrame, label: str, files: int) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but keeps column pruning and filters for
@@ -46,7 +54,7 @@ def stage(df: DataFrame, label: str, per_core: int = FILES_PER_CORE) -> DataFram
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        compact(df, per_core).write.parquet(path)
+        compact(df, files).write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -97,7 +105,7 @@ def global_order(df: DataFrame, keys: list, label: str) -> tuple[DataFrame, str,
             yield b.append_column(local, pa.array(np.arange(at, at + b.num_rows, dtype=np.int64)))
             at += b.num_rows
 
-    staged = stage(sorted_.mapInArrow(number, schema_with(sorted_, **{local: "long"})), label)
+    staged = stage(sorted_.mapInArrow(number, schema_with(sorted_, **{local: "long"})), label, files_for(df))
     start = fresh(staged, "range_start")
     sizes = staged.groupBy(pid).agg(F.count(F.lit(1)).alias(start))
     before = sizes.select(pid, (F.sum(start).over(Window.orderBy(pid)) - F.col(start)).alias(start))
@@ -106,12 +114,13 @@ def global_order(df: DataFrame, keys: list, label: str) -> tuple[DataFrame, str,
     return out.select(*df.columns, (F.col(start) + F.col(local)).alias(pos)), pos, staged.count()
 
 
-def per_worker(key: str, make):
-    """``make()``, called once in the life of a Python worker and shared by its tasks."""
+def per_worker(key: str, make, version: str = ""):
+    """``make()``, called once by a Python worker and shared by its tasks; another ``version`` takes its place."""
     held = sys.modules.setdefault("_logsift_per_worker", ModuleType("_logsift_per_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if key not in held or held[key][0] != version:
+        held.pop(key, None)
+        held[key] = (version, make())
+    return held[key][1]
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -31,12 +31,12 @@ def _proper(e: DataFrame) -> DataFrame:
     return e.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int) -> DataFrame:
     """``edges`` (a, b: long) to ``(a, b)``: every vertex that isn't its component's smallest, with that smallest."""
-    now = stage(_proper(edges.select("a", "b")), "edges", 1)
+    now = stage(_proper(edges.select("a", "b")), "edges", files)
     mark = None
     while True:
-        new = stage(_proper(_small_star(_large_star(now))), "edges", 1)
+        new = stage(_proper(_small_star(_large_star(now))), "edges", files)
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         unstage(now)
         now = new

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, fresh, partitions, raw, stage
+from .common import compact, files_for, fresh, partitions, raw, stage
 
 WHITE = b" \t\n\x0b\x0c\r"
 PREFIX = 32
@@ -86,8 +86,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     narrow = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
                          F.col(text).cast("binary").alias("text"))
-    rows = stage(_collapse(narrow), "exact-rows")
-    leaders = stage(_neighbours(rows.where("norm is not null").select("rep", "digest", "norm")), "exact-leaders", 1)
+    rows = stage(_collapse(narrow), "exact-rows", files_for(docs))
+    leaders = stage(_neighbours(rows.where("norm is not null").select("rep", "digest", "norm")), "exact-leaders",
+                    files_for(rows.drop("norm"), 1))
     order = F.struct((-F.col("n_chars")).alias("a"), F.coalesce("doc_id", F.lit(_LAST)).alias("b"), F.col("row_id").alias("c"))
     # copies within a task first, then the few representatives of a text
     local = rows.groupBy("rep").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows"))
@@ -100,11 +101,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    return compact(exact_groups(docs).drop("row_id"))
+    return compact(exact_groups(docs).drop("row_id"), files_for(docs))
 
 
 def keep_distinct(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` (a table read: its rows are numbered by scan task) with one row of each group of equal texts."""
     row = fresh(docs, "row")
     kept = exact_groups(docs, id_col, text).where("kept").select(F.col("row_id").alias(row))
-    return compact(docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row))
+    return compact(docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row), files_for(docs))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_order, schema_with, stage
+from .common import files_for, global_order, schema_with, stage
 from .tokens import TOKENIZER, document_ids, encoder, pieces_of
 
 CAPACITY = 1024
@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """Every document's pieces with the sequence and the offset each goes to."""
-    pieces = stage(token_pieces(docs, capacity, tokenizer), "pieces")
+    pieces = stage(token_pieces(docs, capacity, tokenizer), "pieces", files_for(docs))
     return pack(pieces, "length", ["doc_id", "row_id", "piece"], capacity).drop("row_id")
 
 

@@ -42,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, stage
+from .common import files_for, per_worker, stage
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
-TABLE_WORDS = 1 << 18
+TABLE_WORDS = 1 << 17
 LONGEST = 16              # characters of a piece, at most; checked against the model
 _BITS = 60                # characters of a word whose token edges fit one long
-_CACHE = 1 << 17          # other words a task remembers
+_CACHE = 1 << 16          # other words a task remembers
 _TEXTS = 256              # texts encoded at once
 _WORD = re.compile(" *[^ \n]+| +|\n")
 
@@ -303,7 +303,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 counts.update(words_of(t))
-                if len(counts) > 4 * _CACHE:
+                if len(counts) > 2 * _CACHE:
                     yield out()
                     counts.clear()
         yield out()
@@ -332,8 +332,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
     pieces = load_pieces(model)
     if max(map(len, pieces.ids)) > LONGEST:
         raise ValueError(f"the model has pieces of over {LONGEST} characters")
-    counts = stage(word_counts(docs, text), "word-counts")
-    known = stage(lattice_ids(frequent_words(counts, table_words), pieces, viterbi), "word-ids")
+    counts = stage(word_counts(docs, text), "word-counts", files_for(docs))
+    known = stage(lattice_ids(frequent_words(counts, table_words), pieces, viterbi), "word-ids", files_for(counts, 1))
     table = known.toArrow()                                # at most ``table_words`` words: the documented bound
     ids = table["ids"].combine_chunks()
     sizes = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
@@ -342,7 +342,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
     tag = uuid.uuid4().hex
 
     def run(batches):
-        words = per_worker("words of " + tag, lambda: WordIds(*shared.value))
+        words = per_worker("word ids", lambda: WordIds(*shared.value), tag)
         for whole in batches:
             for at in range(0, whole.num_rows, _TEXTS):
                 b = whole.slice(at, _TEXTS)

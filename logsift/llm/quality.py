@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, schema_with, stage
+from .common import files_for, raw, schema_with, stage
 
 MAX_TRAIN = 20_000
 KEEP_AT = 0.7
@@ -202,7 +202,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                    label: str = "quality", max_train: int = MAX_TRAIN, threshold: float = KEEP_AT,
                    keep: tuple[str, ...] = ()) -> DataFrame:
     """Score every row of ``docs``: id, ``keep`` columns, held_out, score, predicted."""
-    feats = stage(text_features(docs, text, (id_col, *[c for c in keep if c != id_col])), "quality-features")
+    feats = stage(text_features(docs, text, (id_col, *[c for c in keep if c != id_col])), "quality-features",
+                  files_for(docs))
     known = (labels.select(F.col(id_col).alias("label_id"), F.col(label).alias("y"))
              .where("label_id is not null and y is not null")
              .groupBy("label_id").agg(F.round(F.avg("y")).cast("double").alias("y"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, fresh, partitions, raw, stage
+from .common import compact, files_for, fresh, partitions, raw, stage
 from .components import components
 
 SHINGLE = 3
@@ -193,12 +193,13 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK)
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS,
                 shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: row_id, doc_id, fp, component_id and ``first_row``, the row that stands for its component."""
-    rows = stage(fingerprints(docs, id_col, text, shingle), "simhash")
+    rows = stage(fingerprints(docs, id_col, text, shingle), "simhash", files_for(docs))
+    few = files_for(rows, 1)
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("row_id").alias("row"))
     fps = rows.groupBy("fp").agg(F.min(order).alias("first"))
-    roots = components(link_fingerprints(fps.select("fp"), radius))
+    roots = components(link_fingerprints(fps.select("fp"), radius), few)
     rooted = fps.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
-    rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots", 1)
+    rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots", few)
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     answer = rooted.join(best, "root").select("fp", F.when(F.col("best.id") != _LAST, F.col("best.id")).alias("component_id"),
                                               F.col("best.row").alias("first_row"))
@@ -206,11 +207,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rad
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return compact(near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return compact(near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"),
+                   files_for(docs))
 
 
 def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` (a table read: its rows are numbered by scan task) with the smallest id of each linked group."""
     row = fresh(docs, "row")
     kept = near_groups(docs, id_col, text).where("row_id = first_row").select(F.col("row_id").alias(row))
-    return compact(docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row))
+    return compact(docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row), files_for(docs))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import files_for, stage
 
 K = 20
 SAMPLE = 20_000
@@ -207,7 +207,8 @@ def best_in_tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding",
             sample: int = SAMPLE, tile_rows: int = TILE_ROWS, tile_queries: int = TILE_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows found nearest to each row for which ``is_query`` (of vec_id) holds."""
-    rows = stage(usable(vectors, id_col, vec_col), "vectors")
+    files = files_for(vectors)
+    rows = stage(usable(vectors, id_col, vec_col), "vectors", files)
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
@@ -230,7 +231,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "v
             yield pa.RecordBatch.from_arrays([pa.array(lists), b.column("vec_id").take(pa.array(r)), b.column("v").take(pa.array(r))],
                                              names=["list", "vec_id", "v"])
 
-    postings = stage(rows.mapInArrow(index, "list long, vec_id long, v array<double>"), "postings")
+    postings = stage(rows.mapInArrow(index, "list long, vec_id long, v array<double>"), "postings", files)
     held = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}   # one row per centroid
     full = np.array([held.get(i, 0) for i in range(n_lists)])
     group = cut_lists(c, full, tile_rows)
@@ -262,7 +263,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "v
                 [pa.array(groups, pa.int64()), b.column("vec_id").take(take), b.column("v").take(take), pa.array(lists, pa.list_(pa.int64()))],
                 names=["group", "query_id", "v", "lists"])
 
-    visits = stage(rows.where(is_query).mapInArrow(visit, "group long, query_id long, v array<double>, lists array<long>"), "visits")
+    visits = stage(rows.where(is_query).mapInArrow(visit, "group long, query_id long, v array<double>, lists array<long>"), "visits", files)
     # one row per centroid, and one per group: how many tiles a group's rows and its queries are dealt to
     groups = spark.createDataFrame(list(enumerate(group.tolist())), "list long, group long")
     rows_in = np.bincount(group, full, minlength=1)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, fresh, partitions, raw, stage, unstage
+from .common import compact, files_for, fresh, partitions, raw, stage, unstage
 
 LENGTH = 200
 LEAD = 64
@@ -129,7 +129,7 @@ def _suffixes(rows: list[int], texts: list[bytes], length: int, lead: int):
         yield flush(held)
 
 
-def sorted_repeats(suffixes: DataFrame, label: str, last: bool = False) -> DataFrame:
+def sorted_repeats(suffixes: DataFrame, label: str, files: int, last: bool = False) -> DataFrame:
     """Sort suffixes by token, rest and place and compare neighbours.
 
     Returns them without ``rest`` and with two marks: ``again``, token and rest occur elsewhere;
@@ -170,7 +170,7 @@ def sorted_repeats(suffixes: DataFrame, label: str, last: bool = False) -> DataF
         if held is not None:
             yield out(held, np.array([again_held]), np.array([differs_held]), True)
 
-    marked = stage(ordered.mapInArrow(compare, _SCHEMA + ", again boolean, differs boolean, edge boolean"), label)
+    marked = stage(ordered.mapInArrow(compare, _SCHEMA + ", again boolean, differs boolean, edge boolean"), label, files)
     # two rows per bucket: equal keys of different buckets meet in a small aggregate
     edges = marked.where("edge")
     tokens = edges.groupBy("token").agg(F.count(F.lit(1)).alias("n_token"))
@@ -223,15 +223,15 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, lead: int = LEAD, bloc
         for b in batches:
             yield from _suffixes(b.column("row_id").to_pylist(), raw(b.column("text")), length, lead)
 
-    names = ["row_id", "start", "starts"]
-    suffixes = stage(texts.select("row_id", "text").mapInArrow(scan, _SCHEMA), "suffixes")
-    marked = sorted_repeats(suffixes, "suffix-stretches")
+    names, files = ["row_id", "start", "starts"], files_for(texts)
+    suffixes = stage(texts.select("row_id", "text").mapInArrow(scan, _SCHEMA), "suffixes", files)
+    marked = sorted_repeats(suffixes, "suffix-stretches", files)
     found = marked.where("again").select(names)
     for size in (block, 1):
         left = marked.where("differs")
         unstage(suffixes)
-        suffixes = stage(_refined(left, texts, length, size), f"suffixes-{size}")
-        marked = sorted_repeats(suffixes, f"suffix-blocks-{size}", last=size == 1)
+        suffixes = stage(_refined(left, texts, length, size), f"suffixes-{size}", files)
+        marked = sorted_repeats(suffixes, f"suffix-blocks-{size}", files, last=size == 1)
         found = found.union(marked.where("again").select(names))
     unstage(suffixes)
     return found
@@ -288,7 +288,7 @@ def op3(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
                                   names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return compact(joined.select("doc_id", "text", "runs").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), files_for(docs))
 
 
 def cut_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -331,4 +331,4 @@ def drop_repeats(docs: DataFrame, text: str = "text", chars: str | None = "n_cha
                     b = b.set_column(c, b.schema.field(c), pa.array(size, kind))
             yield b.select(columns)
 
-    return compact(joined.select(*columns, runs_name).mapInArrow(run, schema))
+    return compact(joined.select(*columns, runs_name).mapInArrow(run, schema), files_for(docs))

@@ -51,7 +51,7 @@ def test_pipeline_against_brute_force(spark):
     want = plain_kept(rows, [scores[d] for d, _ in rows])
     frames = docs
     for name, function in corpus_pipeline.STAGES[:-1]:
-        frames = stage(function(spark, frames, SF), "test")
+        frames = stage(function(spark, frames, SF), "test", 8)
         assert frames.columns == docs.columns, name
     assert {r.doc_id: r.text for r in frames.collect()} == want
     packed = corpus_pipeline.run(spark, SF).collect()
@@ -78,7 +78,7 @@ def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, function in corpus_pipeline.STAGES[:-1]:
-        docs = stage(function(spark, docs, str(tmp_path)), "test")
+        docs = stage(function(spark, docs, str(tmp_path)), "test", 8)
         assert docs.columns == [c.split()[0] for c in kind.split(", ")], name
         assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names)
 
