@@ -57,15 +57,25 @@ def stage(df: DataFrame, label: str, files: int) -> DataFrame:
         compact(df, files).write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
 
 
 def unstage(df: DataFrame) -> None:
-    """Remove the files of a staged frame that nothing reads any more."""
+    """Remove the files of a frame that :func:`stage` returned and that nothing reads any more."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hash_sample(df: DataFrame, key: str, most: int, total: int) -> DataFrame:
+    """The ``most`` rows of ``df`` (of ``total``) with the smallest hash of ``key``; a threshold on
+    the hash leaves about twice as many to sort."""
+    mixed = F.xxhash64(F.xxhash64(key))
+    if total > 4 * most:
+        df = df.where(F.pmod(mixed, F.lit(1 << 32)) < (2 * most << 32) // total)
+    return df.orderBy(F.pmod(mixed, F.lit(1 << 32)), key).limit(most)
 
 
 def schema_with(df: DataFrame, **more) -> T.StructType:

@@ -7,7 +7,8 @@ free room answers "smallest room of at least n" in log(width) steps.  A
 document longer than a row is cut into pieces that keep its id order; the
 pieces' starts put it together again.
 
-One output row is one row of a matrix: ``ids`` and ``positions`` are
+One output row is one row of a matrix, which ``block`` (number of the input row
+of its first piece) and ``block_start`` (that piece's start) name: ``ids`` and ``positions`` are
 little-endian unsigned integers of ``width`` entries each (padded with ``PAD``
 and 0), ``cu_seqlens`` the cumulative segment lengths from 0; positions begin
 at 0 at every segment.
@@ -29,7 +30,7 @@ from .tokens import TOKENIZER, document_ids, encoder, pieces_of
 WIDTH = 2048
 ROWS = 512
 PAD = 0
-SCHEMA = ("block long, row int, n_ids int, ids binary, positions binary, cu_seqlens array<int>, "
+SCHEMA = ("block long, block_start long, row int, n_ids int, ids binary, positions binary, cu_seqlens array<int>, "
           "doc_ids array<long>, starts array<long>")
 
 
@@ -82,7 +83,7 @@ def best_fit_decreasing(lengths: list[int], width: int) -> list[list[int]]:
     return rows
 
 
-def _block(block: int, pieces: list[tuple], width: int, dtype: str) -> pa.RecordBatch:
+def _block(row_id: int, pieces: list[tuple], width: int, dtype: str) -> pa.RecordBatch:
     """``pieces`` (doc_id, start, ids) packed into the rows of one matrix."""
     rows = best_fit_decreasing([len(p[2]) for p in pieces], width)
     ids = np.full((len(rows), width), PAD, dtype)
@@ -100,10 +101,10 @@ def _block(block: int, pieces: list[tuple], width: int, dtype: str) -> pa.Record
         starts.append([pieces[i][1] for i in members])
     n = len(rows)
     return pa.record_batch(
-        [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([c[-1] for c in segments], pa.int32()),
+        [pa.array([row_id] * n, pa.int64()), pa.array([pieces[0][1]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([c[-1] for c in segments], pa.int32()),
          pa.array([r.tobytes() for r in ids], pa.binary()), pa.array([r.tobytes() for r in positions], pa.binary()),
          pa.array(segments, pa.list_(pa.int32())), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))],
-        names=["block", "row", "n_ids", "ids", "positions", "cu_seqlens", "doc_ids", "starts"])
+        names=["block", "block_start", "row", "n_ids", "ids", "positions", "cu_seqlens", "doc_ids", "starts"])
 
 
 def token_matrices(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, tokenizer: str = TOKENIZER, wide: bool = False,
@@ -115,22 +116,20 @@ def token_matrices(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, tokeni
 
     def run(batches):
         encode = encoder(tokenizer)
-        block, held, size = None, [], 0
+        first, held, size = None, [], 0
         for b in batches:
             for row, doc, t in zip(*(c.to_pylist() for c in b.columns)):
                 ids = document_ids(encode, t)
                 if not wide and ids.max() > 0xFFFF:
                     raise ValueError("ids need 32 bits: call with wide=True")
-                block = row if block is None else block
                 for start, n in pieces_of(len(ids), width):
+                    first = first if held else row
                     held.append((doc, start, ids[start:start + n].astype(dtype)))
                     size += n
                     if size >= rows * width:
-                        yield _block(block, held, width, dtype)
-                        block, held, size = (row << 20) + start + 1, [], 0
-                if not held:
-                    block = None
+                        yield _block(first, held, width, dtype)
+                        held, size = [], 0
         if held:
-            yield _block(block, held, width, dtype)
+            yield _block(first, held, width, dtype)
 
     return narrow.mapInArrow(run, SCHEMA)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import files_for, raw, schema_with, stage
+from .common import files_for, hash_sample, raw, schema_with, stage
 
 MAX_TRAIN = 20_000
 KEEP_AT = 0.7
@@ -209,7 +209,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
              .groupBy("label_id").agg(F.round(F.avg("y")).cast("double").alias("y"))
              .where(~held_out(F.col("label_id"))))
     ids = feats.select(F.col(id_col).alias("label_id")).where("label_id is not null").distinct()
-    sample = known.join(ids, "label_id", "left_semi").orderBy(F.xxhash64("label_id"), "label_id").limit(max_train)
+    usable = known.join(ids, "label_id", "left_semi")
+    sample = hash_sample(usable, "label_id", max_train, usable.count())
     # at most max_train rows: the documented bound of the training sample
     train = feats.join(F.broadcast(sample), feats[id_col] == sample["label_id"]).dropDuplicates(["label_id"])
     rows = train.select("label_id", "features", "y").orderBy("label_id").toPandas()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import files_for, stage
+from .common import files_for, hash_sample, stage
 
 K = 20
 SAMPLE = 20_000
@@ -217,7 +217,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "v
     rows = rows.where(F.size("v") == sizes["dims"])
     longest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     total = sizes["count"]
-    fit = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()      # the documented bound
+    fit = hash_sample(rows, "vec_id", sample, total).toPandas()      # the documented bound
     x = lift(np.stack(fit["v"].to_numpy()), longest)
     n_lists = max(1, min(total // LIST_ROWS, len(x) // PER_CENTROID))
     c = balanced_centroids(x, n_lists)

@@ -120,8 +120,10 @@ def test_segment_tree_gives_best_fit_decreasing(lengths):
 
 @pytest.mark.parametrize("width", [64, 2048])
 def test_matrices_round_trip(odd, width):
-    back = {}
+    back, names = {}, set()
     for r in matrices.token_matrices(odd, width=width, rows=8).collect():
+        assert (r.block, r.block_start, r.row) not in names and r.row < 24
+        names.add((r.block, r.block_start, r.row))
         ids, positions = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.positions, "<u2")
         assert len(ids) == len(positions) == width and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_ids
         assert not ids[r.n_ids:].any()
