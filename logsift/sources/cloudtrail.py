@@ -74,8 +74,18 @@ def _parses(text: Column) -> Column:
     return text.startswith("{") & probe.isNotNull() & probe[_BAD].isNull()
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """``(value, source_file)`` documents -> the JSON texts in them: the lines of JSON Lines, else the document.
+def _wrapped(root: Column, text: Column) -> Column:
+    """A JSON object decoded as ``_ROOT`` -> the texts of its records: the ``Records`` array, else itself;
+    NULL if it isn't JSON."""
+    named = root["Records"].isNull() & text.contains('"Records"') & F.array_contains(F.json_object_keys(text), "Records")
+    return (F.when(root.isNull() | root[_BAD].isNotNull(), F.lit(None).cast("array<string>"))
+            .when(named, F.array().cast("array<string>"))           # Records: null is a wrapper without records
+            .otherwise(F.coalesce(root["Records"], F.array(text))))
+
+
+def _opened(docs: DataFrame) -> DataFrame:
+    """``(value, source_file)`` documents -> ``records`` (array of texts, NULL where the text isn't JSON) of
+    every document, or of every line of JSON Lines.
 
     JSON Lines is recognised when the document does not parse as one value, or
     when it has more than one non-blank line and its first line parses alone
@@ -87,30 +97,23 @@ def _texts(docs: DataFrame) -> DataFrame:
     staged = docs.select(
         "value", "source_file", F.regexp_extract(text, r"^\s*(\S)", 1).alias("head"), _parses(first).alias("first_parses"),
         text.rlike(r"^\s*\S[^\n]*\n\s*\S").alias("more_lines"))
-    staged = staged.withColumns({
-        "whole": F.when(F.col("head") == "{", F.from_json(text, _ROOT, _OPTIONS)),
-        "items": F.when(F.col("head") == "[", F.from_json(text, "array<string>"))})
-    single = F.coalesce(F.col("items").isNotNull() | (F.col("whole").isNotNull() & F.col(f"whole.{_BAD}").isNull()), F.lit(False))
-    lines = ~single | (F.col("more_lines") & F.col("first_parses"))
-    return staged.select(
-        F.explode(F.when(lines, F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln))).otherwise(F.array(text))).alias("value"),
-        lines.alias("is_line"), "source_file")
-
-
-def _opened(texts: DataFrame) -> DataFrame:
-    """JSON texts -> ``records`` (array of texts, NULL where the text isn't JSON) beside the text."""
-    text = F.col("value")
-    staged = texts.where(text != "").select(
-        "value", "is_line", "source_file", F.regexp_extract(text, r"^\s*(\S)", 1).alias("head"), F.from_json(text, _ROOT, _OPTIONS).alias("root"))
-    good = F.col("root").isNotNull() & F.col(f"root.{_BAD}").isNull()
-    return staged.select(
-        "value", "source_file",
-        F.when((F.col("head") == "[") & ~F.col("is_line"), F.from_json(text, "array<string>"))
-        .when((F.col("head") != "{") | ~good, F.lit(None).cast("array<string>"))
-        # Records: null is a wrapper without records
-        .when(F.col("root.Records").isNull() & text.contains('"Records"') & F.array_contains(F.json_object_keys(text), "Records"),
-              F.array().cast("array<string>"))
-        .otherwise(F.coalesce("root.Records", F.array(text))).alias("records"))
+    staged = staged.withColumn("root", F.when(F.col("head") == "{", F.from_json(text, _ROOT, _OPTIONS)))
+    staged = staged.withColumn("whole", F.when(F.col("head") == "[", F.from_json(text, "array<string>"))
+                               .otherwise(_wrapped(F.col("root"), text)))
+    lines = F.col("whole").isNull() | (F.col("more_lines") & F.col("first_parses"))
+    no_line = F.array(F.lit(None).cast("string"))
+    texts = staged.select(
+        F.when(~lines, F.col("whole")).alias("whole"), "source_file",
+        F.explode(F.when(lines, F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln))).otherwise(no_line)).alias("line"))
+    by_line = _opened_lines(texts.where(F.col("whole").isNotNull() | (F.col("line") != "")))
+    return by_line.select(F.coalesce("whole", "records").alias("records"), "source_file")
+
+
+def _opened_lines(lines: DataFrame) -> DataFrame:
+    """``line`` -> the ``records`` in it, beside the other columns."""
+    line = F.col("line")
+    staged = lines.withColumn("root", F.when(line.startswith("{"), F.from_json(line, _ROOT, _OPTIONS)))
+    return staged.withColumn("records", _wrapped(F.col("root"), line)).drop("root", "line")
 
 
 def _is_object(rec: Column) -> Column:
@@ -119,16 +122,16 @@ def _is_object(rec: Column) -> Column:
 
 def document_records(docs: DataFrame, rejects: Rejects | None = None) -> DataFrame:
     """``(value, source_file)`` whole documents -> ``(rec, source_file)``: the text of every record object."""
-    return _records(_opened(_texts(docs)), rejects)
+    return _records(_opened(docs), rejects)
 
 
 def line_records(lines: DataFrame, rejects: Rejects | None = None) -> DataFrame:
     """``(value, source_file)`` JSON-Lines rows -> ``(rec, source_file)``."""
-    return _records(_opened(_line_texts(lines)), rejects)
+    return _records(_opened_lines(_line_texts(lines)), rejects)
 
 
 def _line_texts(lines: DataFrame) -> DataFrame:
-    return lines.select(strip_ws("value").alias("value"), F.lit(True).alias("is_line"), "source_file")
+    return lines.select(strip_ws("value").alias("line"), "source_file").where("line <> ''")
 
 
 def _others() -> Column:
@@ -147,7 +150,7 @@ def cloudtrail_rejects(docs: DataFrame, lines: bool = False) -> DataFrame:
 
     ``docs`` are whole documents, or JSON-Lines rows with ``lines``.
     """
-    opened = _opened(_line_texts(docs) if lines else _texts(docs))
+    opened = _opened_lines(_line_texts(docs)) if lines else _opened(docs)
     reasons = F.array(F.struct(F.lit("not JSON").alias("reason"), F.when(F.col("records").isNull(), 1).otherwise(0).alias("n")),
                       F.struct(F.lit("not an object").alias("reason"), F.when(F.col("records").isNotNull(), _others()).otherwise(0).alias("n")))
     return (opened.select("source_file", F.explode(reasons).alias("r")).where("r.n > 0")
