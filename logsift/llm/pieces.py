@@ -31,6 +31,7 @@ alike; null ids of rows are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections import Counter
@@ -212,21 +213,28 @@ class WordIds:
         return (np.concatenate((flat, np.array([i for r in rest for i in r], np.int32))),
                 np.concatenate((sizes, np.array([len(r) for r in rest], np.int64))))
 
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of texts given as words, on end, the number of ids of each text, and whether they decode to it."""
         every = [w for words in texts for w in words]
-        new = [w for w in set(every) if w not in self.index]
+        at = self.places(every)
+        missing = np.flatnonzero(at < 0).tolist()
+        new = list({every[i] for i in missing})
         if new:
             if len(self.index) - len(self.table) + len(new) > _CACHE:
                 self.reset()
-                new = [w for w in set(every) if w not in self.index]
+                at = self.places(every)
+                missing = np.flatnonzero(at < 0).tolist()
+                new = list({every[i] for i in missing})
             flat, sizes = self.fold(new)
             self.index.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
             self.good = np.concatenate((self.good, self.decodes(new, flat, sizes)))
             self.flat = np.concatenate((self.flat, flat))
             self.sizes = np.concatenate((self.sizes, sizes))
             self.starts = np.cumsum(self.sizes) - self.sizes
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+            at[missing] = [self.index[every[i]] for i in missing]
         n = self.sizes[at]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(n.sum()))]
