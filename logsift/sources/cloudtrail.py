@@ -102,9 +102,11 @@ def _opened(docs: DataFrame) -> DataFrame:
                                .otherwise(_wrapped(F.col("root"), text)))
     lines = F.col("whole").isNull() | (F.col("more_lines") & F.col("first_parses"))
     no_line = F.array(F.lit(None).cast("string"))
-    texts = staged.select(
+    # below the generator: what stands beside it is copied to every line
+    cut = staged.select(
         F.when(~lines, F.col("whole")).alias("whole"), "source_file",
-        F.explode(F.when(lines, F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln))).otherwise(no_line)).alias("line"))
+        F.when(lines, F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln))).otherwise(no_line).alias("lines"))
+    texts = cut.select("whole", "source_file", F.explode("lines").alias("line"))
     by_line = _opened_lines(texts.where(F.col("whole").isNotNull() | (F.col("line") != "")))
     return by_line.select(F.coalesce("whole", "records").alias("records"), "source_file")
 
