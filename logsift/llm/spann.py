@@ -178,6 +178,7 @@ def best_in_tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     found = names[at] == flat
     visited = np.zeros((len(q), len(names)), np.float32)
     visited[np.repeat(np.arange(len(q)), sizes)[found], at[found]] = 1
+    slack = 4 * u.shape[1] * np.finfo(float).eps * np.linalg.norm(u, axis=1).max()     # over twice what a rough score may be off, per query length
     out = []
     for block in np.array_split(np.lexsort(visited.T), max(1, len(q) // 64)):
         near = visited[block].any(0)
@@ -186,11 +187,12 @@ def best_in_tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
             continue
         rough = q[block] @ u[cols].T
         rough[visited[block][:, near] @ holds[near][:, cols] == 0] = -np.inf
-        keep = min(k + 9, len(cols))          # one for the query's own vector, the others for rounding
-        top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+        # the k + 1 best distinct vectors hold k rows besides the query's own; all that may tie with the last of them stay
+        last = len(cols) - min(k + 1, len(cols))
+        least = np.partition(rough, last, axis=1)[:, last] - slack * np.linalg.norm(q[block], axis=1)
         for i, row in enumerate(block.tolist()):
-            best = cols[top[i][np.isfinite(rough[i, top[i]])]]
-            score = (u[best] * q[row]).sum(axis=1)
+            best = cols[np.flatnonzero((rough[i] >= least[i]) & np.isfinite(rough[i]))]
+            score = np.concatenate([(u[part] * q[row]).sum(axis=1) for part in np.split(best, range(4096, len(best), 4096))])
             n = np.minimum(begin[best + 1] - begin[best], 2 * REPLICAS * (k + 1))    # copies beyond those rank too low
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             copies = ids[order[np.repeat(begin[best], n) + inside]]

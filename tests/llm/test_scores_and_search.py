@@ -165,6 +165,15 @@ def test_small_tiles_give_the_same(spark, frame, monkeypatch):
     assert np.mean([len({i for i, _ in a[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["binary", "one-hot"])
+def test_ties_of_different_vectors_go_to_the_smaller_id(frame, kind):
+    """Whole levels of scores tie exactly; every vector is its own."""
+    ids = np.random.default_rng(3).permutation(400)
+    rows = ([(int(i), [float(n + 1 >> b & 1) for b in range(9)]) for n, i in enumerate(ids)] if kind == "binary" else
+            [(int(i), [float(1 + n // 64) if n % 64 == b else 0.0 for b in range(64)]) for n, i in enumerate(ids)])
+    assert found(spann.op6(frame(rows, "vec_id long, embedding array<double>"))) == brute(rows, 20)
+
+
 def test_odd_vectors(spark, frame):
     from pyspark.sql import types as T
     kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
