@@ -13,7 +13,15 @@ match shares at least |B| t/(2-t) bigrams with B, so it holds one of any
 |B| - ceil(|B| t/(2-t)) + 1 of them; the longest serve as probes, as ordinary
 text rarely holds them.  A text, and then a unit, that holds no probe's longer
 word is dropped before any bigram is made, a unit that holds no probe right
-after; the others meet templates by an equi-join on the probe.
+after; the others meet the templates of the probes they hold, each once.
+
+Templates are notices, whole short licences (also a list of clauses without its
+disclaimer), file headers whole and by paragraph, and the bodies of Apache-2.0,
+GPL, LGPL, AGPL, MPL and CC0 whole and by paragraph, so a licence is found on one
+line, in a comment without blank lines, and in paragraphs.  Comment marks part
+words, but a line that holds only marks is not blank, and runs of lines or
+paragraphs inside a longer unit are not units: a licence that runs into code
+without a blank line is found only while Dice with the whole unit allows.
 
 Everything is DataFrame functions; the template table is the fixed list below,
 a few hundred rows at most, and the only thing that is broadcast.
@@ -31,9 +39,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import BODIES, HEADERS, WHOLE
+
 THRESHOLD = 0.8
+LEAST_PARAGRAPH = 12      # bigrams of a body's paragraph that is a template of its own; shorter ones are headings and list marks
 
-# Public licence notices and paragraphs, one unit each.
+# Public licence notices and paragraphs, one unit each; whole texts and the paragraphs of bodies follow below.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
@@ -113,6 +124,25 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:])))
 
 
+def _further_templates() -> list[tuple[str, str]]:
+    """Whole texts, headers and bodies, and the paragraphs of the last two; what licences of a family share has the family's name."""
+    texts = WHOLE + HEADERS + [(name, line) for name, text in HEADERS for line in text.split("\n")] + list(BODIES.items())
+    texts += [(name, part) for name, body in BODIES.items() for part in body.split("\n\n") if len(bigrams_of(part)) >= LEAST_PARAGRAPH]
+    names: dict[tuple, dict] = {}
+    for name, text in texts:
+        names.setdefault(tuple(sorted(bigrams_of(text))), {}).setdefault(name, text)
+    for _, text in TEMPLATES:
+        names.pop(tuple(sorted(bigrams_of(text))), None)
+    out = []
+    for held in names.values():
+        families = {name.split("-")[0] for name in held}
+        out.append((next(iter(held)) if len(held) == 1 else families.pop() if len(families) == 1 else "GPL", next(iter(held.values()))))
+    return out
+
+
+TEMPLATES += _further_templates()
+
+
 def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple]:
     """(template number, licence, bigrams, least size, most size, probes) of every template."""
     out = []
@@ -120,7 +150,7 @@ def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tup
         grams = bigrams_of(text)
         m = len(grams)
         shared = math.ceil(m * threshold / (2 - threshold) - 1e-9)
-        probes = sorted(grams, key=lambda g: (-len(g), g))[:m - shared + 1]
+        probes = sorted(grams, key=lambda g: (-max(map(len, g.split(" "))), -len(g), g))[:m - shared + 1]
         out.append((i, licence, grams, shared, math.floor(m * (2 - threshold) / threshold + 1e-9), probes))
     return out
 
@@ -156,17 +186,22 @@ def licence_matches(docs: DataFrame, text: str = "text", threshold: float = THRE
     """doc_id, kind, unit, licence, template, dice of every unit's best template."""
     spark = docs.sparkSession
     rows = template_rows(templates, threshold)
-    known = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], p) for r in rows for p in r[5]],
-                                  "template int, licence string, b array<string>, least int, most int, probe string")
-    probes = sorted({p for r in rows for p in r[5]})
+    known = spark.createDataFrame([r[:5] for r in rows], "template int, licence string, b array<string>, least int, most int")
+    holders: dict[str, list[str]] = {}
+    for r in rows:
+        for p in r[5]:
+            holders.setdefault(p, []).append(str(r[0]))
+    probes = sorted(holders)
+    met_by = F.str_to_map(F.lit(";".join(f"{p}:{','.join(holders[p])}" for p in probes)), F.lit(";"), F.lit(":"))     # folded into a constant
     least = min(r[3] for r in rows)
     clues = sorted({max(p.split(" "), key=len) for p in probes})
     grams = (units(docs, text, clues).where(F.size("words") > least)
              .select("row_id", "doc_id", "kind", "unit", bigram_list(F.col("words")).alias("grams"))
              .where(F.exists("grams", lambda g: g.isin(probes)))
              .withColumn("a", F.array_distinct("grams")))
-    hits = grams.select("row_id", "doc_id", "kind", "unit", "a", F.explode("a").alias("probe"))
-    met = hits.join(F.broadcast(known), "probe").where("size(a) between least and most")
+    held = F.transform(F.filter("a", lambda g: g.isin(probes)), lambda g: F.split(F.element_at(met_by, g), ","))
+    hits = grams.select("row_id", "doc_id", "kind", "unit", "a", F.explode(F.array_distinct(F.flatten(held)).cast("array<int>")).alias("template"))
+    met = hits.join(F.broadcast(known), "template").where("size(a) between least and most")
     scored = met.withColumn("dice", 2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b")))
     best = scored.where(F.col("dice") >= threshold).groupBy("row_id", "doc_id", "kind", "unit").agg(
         F.min(F.struct((-F.col("dice")).alias("d"), "licence", "template")).alias("best"))

@@ -210,6 +210,35 @@ def test_licences_against_all_pairs(frame):
     assert {r.doc_id for r in got} >= {1, 6, 7, 10, 12, 13, 14} and not {r.doc_id for r in got} & {3, 4, 5, 9, 11}
 
 
+def test_whole_licences_and_bodies(frame):
+    """On one line, in comments whose lines are never blank, as clauses without blank lines, and as paragraphs of a body."""
+    import textwrap
+
+    from logsift.llm.licence_texts import BODIES
+    base = [t for _, t in licences.TEMPLATES]
+    mit, bsd = base[6:9], base[11:15]
+    gpl = [base[20], base[21], "You should have received a copy of the GNU General Public License along with this program. "
+                               "If not, see <http://www.gnu.org/licenses/>."]
+
+    def comment(parts, mark):
+        lines = f"\n{mark}\n".join(textwrap.fill(p, 70, initial_indent=mark + " ", subsequent_indent=mark + " ") for p in parts)
+        return lines + "\n\ncode = 1"
+
+    clauses = "\n".join(textwrap.fill(f"{i}. {p}", 75) for i, p in enumerate(bsd[1:], 1))
+    rows = [(1, " ".join(mit)), (2, "/*\n" + comment(mit, " *")), (3, comment(gpl, "#")), (4, textwrap.fill(bsd[0], 75) + "\n" + clauses), (5, clauses)]
+    rows += [(10 + i, textwrap.dedent(b)) for i, b in enumerate(BODIES.values())]
+    rows += [(20 + i, " ".join(b.split())) for i, b in enumerate(BODIES.values())]
+    got = licences.licence_matches(frame([(*r, "en", "a", 0) for r in rows])).collect()
+    names = {}
+    for r in got:
+        names.setdefault(r.doc_id, set()).add(r.licence)
+    assert [names.get(i) for i in range(1, 6)] == [{"MIT"}, {"MIT"}, {"GPL-3.0-or-later"}, {"BSD-3-Clause"}, {"BSD-3-Clause"}]
+    for i, name in enumerate(BODIES):
+        assert name in names[10 + i] and names[20 + i] == {name}
+    few = [r for r in rows if r[0] < 10 or r[0] in (10, 12, 20, 22)]
+    assert sorted((r.doc_id, r.kind, r.unit, r.licence, r.template, r.dice) for r in got if r.doc_id in {i for i, _ in few}) == oracle(few)
+
+
 def test_licences_odd_and_empty(odd, empty):
     got = licences.licence_matches(odd).collect()
     assert [(r.doc_id, r.licence, r.dice) for r in got] == [(19, "MIT", 1.0)]
