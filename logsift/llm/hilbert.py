@@ -29,7 +29,6 @@ from .common import fresh, global_order, schema_with
 SHARDS = 24
 BITS = 8
 OVERHEAD = 8              # bytes that a row takes besides its text
-_PREFIX = 7               # bytes of a string that its code looks at
 
 
 def hilbert_index(codes: np.ndarray, bits: int) -> np.ndarray:
@@ -64,12 +63,22 @@ def hilbert_index(codes: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
+def string_edges(df: DataFrame, column: str, bits: int = BITS) -> list[bytes]:
+    """The whole values at the quantiles of a string column over all its rows: fewer than 2**bits, in order."""
+    held = df.select(F.col(column).cast("binary").alias("value"), F.monotonically_increasing_id().alias("tie")).where("value is not null")
+    ordered, pos, total = global_order(held, ["value", "tie"], "strings")
+    at = sorted({i * total >> bits for i in range(1, 1 << bits)})
+    return sorted({bytes(r[0]) for r in ordered.where(F.col(pos).isin(at)).select("value").collect()})
+
+
 def as_number(df: DataFrame, column: str) -> F.Column:
-    """An order-preserving long: numbers as they are, strings by their first bytes; null before all."""
+    """An order-preserving long: numbers as they are, strings by how many edges they reach; null before all."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, _PREFIX)), 2 * _PREFIX, "0")
-        value = F.conv(head, 16, 10).cast("long")
+        own = F.col(column).cast("binary")
+        reached = [F.lit(e) for e in string_edges(df, column)]
+        value = F.size(F.filter(F.array(*reached), lambda e: e <= own)).cast("long") if reached else F.lit(0).cast("long")
+        value = F.when(own.isNotNull(), value)
     else:
         value = F.col(column).cast("long")
     return F.coalesce(value, F.lit(-(1 << 62)))

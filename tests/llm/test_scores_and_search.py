@@ -106,6 +106,16 @@ def test_shards_prune_on_several_dimensions(spark):
     assert by.langs.mean() < 3 and ((by.hi - by.lo) < 5_500).mean() > 0.3 and (by.a > 1000).mean() > 0.3
 
 
+def test_shards_prune_on_sources_with_one_prefix(frame):
+    rows = [(i, "x" * 50, "en", f"https://host{i * 7 % 8}.example/" if i % 9 else None, 50) for i in range(800)]
+    docs = frame(rows)
+    codes = {(r.source, r.code) for r in docs.select("source", hilbert.as_number(docs, "source").alias("code")).collect()}
+    assert len(codes) == len({c for _, c in codes}) == 9
+    assert [s for s, _ in sorted(codes, key=lambda x: x[1])] == [None] + [f"https://host{i}.example/" for i in range(8)]
+    placed = hilbert.op2(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    assert placed.groupby("shard").source.nunique().mean() < 3
+
+
 def test_shards_of_an_empty_table(empty):
     assert hilbert.op2(empty).count() == 0
 
