@@ -72,6 +72,11 @@ copyright interest in the software to the public domain. We make this dedication
 and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
 perpetuity of all present and future rights to this software under copyright law."""
 
+_UNLICENSE_4 = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
+BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 _APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
@@ -113,7 +118,7 @@ WHOLE = [
     ("BSL-1.0", _BSL_1 + "\n" + _BSL_2 + "\n" + _BSL_3),
     ("Unlicense", _UNLICENSE_2),
     ("Unlicense", _UNLICENSE_3),
-    ("Unlicense", _UNLICENSE_1 + "\n" + _UNLICENSE_2 + "\n" + _UNLICENSE_3),
+    ("Unlicense", _UNLICENSE_1 + "\n" + _UNLICENSE_2 + "\n" + _UNLICENSE_3 + "\n" + _UNLICENSE_4),
     ("Apache-2.0", _APACHE_HEADER),
 ]
 

@@ -236,12 +236,15 @@ def test_whole_licences_and_bodies(frame):
 
     clauses = "\n".join(textwrap.fill(f"{i}. {p}", 75) for i, p in enumerate(bsd[1:], 1))
     rows = [(1, " ".join(mit)), (2, "/*\n" + comment(mit, " *")), (3, comment(gpl, "#")), (4, textwrap.fill(bsd[0], 75) + "\n" + clauses), (5, clauses)]
+    free = next(t for t in base if "perpetuity" in t and "unencumbered" in t)
+    rows.append((6, " ".join(free.split()) + " For more information, please refer to <http://unlicense.org/>"))
     rows += [(10 + i, textwrap.dedent(b)) for i, b in enumerate(BODIES.values())]
     rows += [(20 + i, " ".join(b.split())) for i, b in enumerate(BODIES.values())]
     got = licences.licence_matches(frame([(*r, "en", "a", 0) for r in rows])).collect()
     names = {}
     for r in got:
         names.setdefault(r.doc_id, set()).add(r.licence)
+    assert "OTHER DEALINGS" in free and names[6] == {"Unlicense"}
     assert [names.get(i) for i in range(1, 6)] == [{"MIT"}, {"MIT"}, {"GPL-3.0-or-later"}, {"BSD-3-Clause"}, {"BSD-3-Clause"}]
     for i, name in enumerate(BODIES):
         assert name in names[10 + i] and names[20 + i] == {name}
