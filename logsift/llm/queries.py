@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact, hilbert, licences, matrices, packing, pieces, quality, simhash, spann, suffix
+from . import exact, hilbert, licences, matrices, mixing, packing, pieces, quality, simhash, spann, suffix
 from .common import table
 
 
@@ -24,6 +24,7 @@ def queries():
         "op8_licence_scan": lambda s, d: licences.licence_matches(table(s, d, "documents")),
         "op9_sentencepiece": lambda s, d: pieces.op9(table(s, d, "documents")),
         "op10_exact_dedup": lambda s, d: exact.op10(table(s, d, "documents")),
+        "op13_source_mix": lambda s, d: mixing.op13(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -38,4 +39,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def oracle_sql():
-    return {"op8_licence_scan": licences.oracle_sql(), "op10_exact_dedup": OP10}
+    return {"op8_licence_scan": licences.oracle_sql(), "op10_exact_dedup": OP10, "op13_source_mix": mixing.oracle_sql()}
