@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import collocations, exact, hilbert, licences, matrices, mixing, packing, pieces, quality, simhash, spann, suffix
+from . import alignment, collocations, exact, hilbert, licences, matrices, mixing, packing, pieces, quality, simhash, spann, suffix
 from .common import table
 
 
@@ -24,6 +24,7 @@ def queries():
         "op8_licence_scan": lambda s, d: licences.licence_matches(table(s, d, "documents")),
         "op9_sentencepiece": lambda s, d: pieces.op9(table(s, d, "documents")),
         "op10_exact_dedup": lambda s, d: exact.op10(table(s, d, "documents")),
+        "op11_token_alignment": lambda s, d: alignment.op11(table(s, d, "documents")),
         "op12_collocations": lambda s, d: collocations.op12(table(s, d, "documents")),
         "op13_source_mix": lambda s, d: mixing.op13(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,

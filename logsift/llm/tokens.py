@@ -24,13 +24,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def token_bytes(path: str = TOKENIZER) -> list[bytes]:
+    """The bytes that every id of a byte-level vocabulary stands for; special tokens stand for their own strings."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = byte_letters()
+    found = {i: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+             for token, i in spec["model"]["vocab"].items()}
+    found |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
 def encoder(path: str = TOKENIZER) -> Callable[[str], list[int]]:
     """:func:`load_encoder`, loaded once by each Python worker."""
     return per_worker(f"encoder {path}", lambda: load_encoder(path))
 
 
-def load_encoder(path: str = TOKENIZER) -> Callable[[str], list[int]]:
-    """text -> ids, without added special tokens (their own strings in a text get their ids, as in the library).
+def load_encoder(path: str = TOKENIZER, marks: bool = True) -> Callable[[str], list[int]]:
+    """text -> ids, without added special tokens (their own strings in a text get their ids, as in the library;
+    without ``marks`` they are plain text).
 
     Where ids follow the merge order, ``tiktoken`` gives the ids of the same vocabulary several times faster;
     for any other file the library itself runs.
@@ -47,12 +59,13 @@ def load_encoder(path: str = TOKENIZER) -> Callable[[str], list[int]]:
     if not (plain.get("type") == "ByteLevel" and not plain.get("add_prefix_space") and not spec.get("normalizer")
             and len(special) < 2 and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs))):
         library = Tokenizer.from_file(path)
+        library.encode_special_tokens = not marks
         return lambda text: library.encode(text, add_special_tokens=False).ids
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
     encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                special_tokens={}).encode_ordinary
-    if not special:
+    if not special or not marks:
         return encode
     (mark, mark_id), = special.items()
 
