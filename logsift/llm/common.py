@@ -8,6 +8,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +94,42 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+MANY_FILES = 1 << 16
+
+
+def _one_scan(docs: DataFrame) -> bool:
+    """Is ``docs`` a table read with nothing but deterministic projections and filters on it?"""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.children().size() == 0 and "Relation" in plan.nodeName()
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a long column ``name`` that tells its rows apart and is the same in every scan.
+
+    A number that follows the split of a scan changes when executors come or go
+    between two scans.  Rows of a table read are numbered by their file's place
+    among the sorted paths and their place in the file; any other frame, or one of
+    more files than ``MANY_FILES`` (the bound of what is broadcast), is staged once
+    with its numbers.
+    """
+    if _one_scan(docs):
+        path, place = fresh(docs, "file_path"), fresh(docs, "file_row")
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+        except AnalysisException:                     # a source without places
+            placed = None
+        found = [] if placed is None else sorted(r[0] for r in placed.select(path).distinct().limit(MANY_FILES + 1).collect())
+        if placed is not None and len(found) <= MANY_FILES:
+            files = docs.sparkSession.createDataFrame([(p, i << 40) for i, p in enumerate(found)], f"{path} string, {name} long")
+            joined = placed.join(F.broadcast(files), path)
+            return joined.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(name) + F.col(place)).alias(name))
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", files_for(docs))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, files_for, fresh, partitions, raw, stage
+from .common import compact, files_for, fresh, numbered, partitions, raw, stage
 
 WHITE = b" \t\n\x0b\x0c\r"
 PREFIX = 32
@@ -82,9 +82,9 @@ def _neighbours(reps: DataFrame) -> DataFrame:
     return ordered.select("rep", "norm").mapInArrow(run, "rep long, leader long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    narrow = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 and row_id (``row`` of ``docs``, if named)."""
+    narrow = docs.select((F.monotonically_increasing_id() if row is None else F.col(row)).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
                          F.col(text).cast("binary").alias("text"))
     rows = stage(_collapse(narrow), "exact-rows", files_for(docs))
     leaders = stage(_neighbours(rows.where("norm is not null").select("rep", "digest", "norm")), "exact-leaders",
@@ -105,7 +105,8 @@ def op10(docs: DataFrame) -> DataFrame:
 
 
 def keep_distinct(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` (a table read: its rows are numbered by scan task) with one row of each group of equal texts."""
+    """``docs`` with one row of each group of equal texts."""
     row = fresh(docs, "row")
-    kept = exact_groups(docs, id_col, text).where("kept").select(F.col("row_id").alias(row))
-    return compact(docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row), files_for(docs))
+    rows = numbered(docs, row)
+    kept = exact_groups(rows, id_col, text, row).where("kept").select(F.col("row_id").alias(row))
+    return compact(rows.join(kept, row, "left_semi").drop(row), files_for(docs))

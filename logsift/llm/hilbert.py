@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, global_order, schema_with
+from .common import fresh, global_order, numbered, schema_with
 
 SHARDS = 24
 BITS = 8
@@ -109,10 +109,11 @@ def shard_rows(df: DataFrame, dims: list[str], ties: list[str], shards: int = SH
     return placed.withColumn("slot", F.col(pos) - first).select(*df.columns, "shard", "slot")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Narrow rows to sort: the numbers that the curve needs, size and checksum of the text."""
+def measured(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Narrow rows to sort: a row number (``row`` of ``docs``, if named), the numbers that the curve needs, size and checksum of the text."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    return docs.select(number.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
                        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
                        as_number(docs, "source").alias("d_source"), as_number(docs, "lang").alias("d_lang"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d_id"))
@@ -126,9 +127,10 @@ def op2(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """``docs`` (a table read: its rows are numbered by scan task) as Parquet, one folder per shard, rows in slot order."""
+    """``docs`` as Parquet, one folder per shard, rows in slot order."""
     row = fresh(docs, "row")
-    place = shard_rows(measured(docs), ["d_source", "d_lang", "size", "d_id"], ["d_id", "row_id"], shards)
+    rows = numbered(docs, row)
+    place = shard_rows(measured(rows, row), ["d_source", "d_lang", "size", "d_id"], ["d_id", "row_id"], shards)
     place = place.select(F.col("row_id").alias(row), "shard", "slot")
-    whole = docs.withColumn(row, F.monotonically_increasing_id()).join(place, row).drop(row)
+    whole = rows.join(place, row).drop(row)
     whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, files_for, fresh, partitions, raw, stage
+from .common import compact, files_for, fresh, numbered, partitions, raw, stage
 from .components import components
 
 SHINGLE = 3
@@ -61,9 +61,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """row_id, doc_id, fp (the 64 bits as a long) of every row."""
-    narrow = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                 row: str | None = None) -> DataFrame:
+    """row_id (``row`` of ``docs``, if named), doc_id, fp (the 64 bits as a long) of every row."""
+    narrow = docs.select((F.monotonically_increasing_id() if row is None else F.col(row)).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
                          F.col(text).cast("binary").alias("text"))
 
     def run(batches):
@@ -191,9 +192,9 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS,
-                shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: row_id, doc_id, fp, component_id and ``first_row``, the row that stands for its component."""
-    rows = stage(fingerprints(docs, id_col, text, shingle), "simhash", files_for(docs))
+                shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """One row per input row: row_id (``row`` of ``docs``, if named), doc_id, fp, component_id and ``first_row``, the row that stands for its component."""
+    rows = stage(fingerprints(docs, id_col, text, shingle, row), "simhash", files_for(docs))
     few = files_for(rows, 1)
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("row_id").alias("row"))
     fps = rows.groupBy("fp").agg(F.min(order).alias("first"))
@@ -212,7 +213,8 @@ def op5(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` (a table read: its rows are numbered by scan task) with the smallest id of each linked group."""
+    """``docs`` with the smallest id of each linked group."""
     row = fresh(docs, "row")
-    kept = near_groups(docs, id_col, text).where("row_id = first_row").select(F.col("row_id").alias(row))
-    return compact(docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row), files_for(docs))
+    rows = numbered(docs, row)
+    kept = near_groups(rows, id_col, text, row=row).where("row_id = first_row").select(F.col("row_id").alias(row))
+    return compact(rows.join(kept, row, "left_semi").drop(row), files_for(docs))

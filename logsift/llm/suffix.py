@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, files_for, fresh, partitions, raw, stage, unstage
+from .common import compact, files_for, fresh, numbered, partitions, raw, stage, unstage
 
 LENGTH = 200
 LEAD = 64
@@ -258,11 +258,11 @@ def _spans(column: pa.Array, length: int):
 
 
 def _with_runs(docs: DataFrame, text: str, row: str, runs_name: str, length: int, lead: int) -> DataFrame:
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    texts = numbered.select(F.col(row).alias("row_id"), F.col(text).cast("binary").alias("text"))
+    rows = numbered(docs, row)
+    texts = rows.select(F.col(row).alias("row_id"), F.col(text).cast("binary").alias("text"))
     runs = repeated_runs(texts, length, lead).groupBy("row_id").agg(
         F.collect_list(F.struct("start", "starts")).alias(runs_name)).withColumnRenamed("row_id", row)
-    return numbered.join(runs, row, "left")
+    return rows.join(runs, row, "left")
 
 
 def op3(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
@@ -307,7 +307,7 @@ def cut_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def drop_repeats(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", length: int = LENGTH,
                  lead: int = LEAD) -> DataFrame:
-    """``docs`` (a table read: its rows are numbered by scan task) with the repeated spans cut out of the text.
+    """``docs`` with the repeated spans cut out of the text.
 
     ``chars``, where the table has it, is set to the new number of characters of changed texts.
     """

@@ -103,7 +103,7 @@ def test_oracles(spark, name):
 
 def test_all_queries_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op")} and "pipeline" in names
     assert set(queries.queries()) <= set(names)
 
 
