@@ -212,7 +212,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     usable = known.join(ids, "label_id", "left_semi")
     sample = hash_sample(usable, "label_id", max_train, usable.count())
     # at most max_train rows: the documented bound of the training sample
-    train = feats.join(F.broadcast(sample), feats[id_col] == sample["label_id"])    # of rows that share an id, the one with the smallest features
+    train = feats.join(F.broadcast(sample), feats[id_col] == sample["label_id"])
+    # of rows that share an id, the one with the smallest features
     train = train.groupBy("label_id").agg(F.min("features").alias("features"), F.first("y").alias("y"))
     rows = train.orderBy("label_id").toPandas()
     x = np.array(rows.features.tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
