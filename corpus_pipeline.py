@@ -3,23 +3,28 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's ``docs``.  The first four return the
 columns of ``docs``; the last returns the packed pieces.
+
+Defined cases, in every stage: null text counts as empty (and stays null in what
+is kept); an empty text is scored like any other; rows that repeat are copies of
+each other, of which one stays; of ties the smallest id stays, a null id last;
+texts are read whole, whatever their length; columns beside those of
+``documents`` are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logsift.llm import exact, packing, quality, simhash, suffix
-from logsift.llm.common import compact, files_for, fresh, stage, table
+from logsift.llm.common import compact, files_for, fresh, numbered, stage, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as label 1."""
     row = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    scored = quality.quality_scores(numbered, table(spark, sf_dir, "labels"), keep=(row,))
-    return compact(numbered.join(scored.where("predicted = 1").select(row), row, "left_semi").drop(row),
+    rows = numbered(docs, row)
+    scored = quality.quality_scores(rows, table(spark, sf_dir, "labels"), keep=(row,))
+    return compact(rows.join(scored.where("predicted = 1").select(row), row, "left_semi").drop(row),
                    files_for(docs))
 
 
