@@ -80,6 +80,11 @@ def ct_top_ips(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
            .agg(F.count(F.lit(1)).alias("access_count"),
                 F.min("event_time").alias("fu"), F.min("event_time_local").alias("fl"),
                 F.max("event_time").alias("lu"), F.max("event_time_local").alias("ll")))
+    return rank_ips(agg, top_n_rows)
+
+
+def rank_ips(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
+    """``(ip, access_count, fu, fl, lu, ll)`` -> the table of :func:`ct_top_ips`."""
     ranked = top_n(agg, "access_count", top_n_rows, ["ip"])
     return ranked.select("ip", fmt_ts("fu").alias("first_access_utc"), fmt_ts("fl").alias("first_access_local"),
                          fmt_ts("lu").alias("last_access_utc"), fmt_ts("ll").alias("last_access_local"),
@@ -196,8 +201,11 @@ def ct_failed_auth(df: DataFrame, user_field: str | list[str] = "user_name") ->
     One row per value, so nothing is cut and no category is gathered in one
     row; both branches read the same aggregate of the input (one pass).
     """
-    df = ensure_identity(df)
-    counted = _failure_value_counts(df, user_field)
+    return failed_auth_table(_failure_value_counts(ensure_identity(df), user_field))
+
+
+def failed_auth_table(counted: DataFrame) -> DataFrame:
+    """``(category, dimension, value, count)`` with NULL values -> the table of :func:`ct_failed_auth`."""
     # `events > 0` holds by construction; it keeps the count column in use, otherwise
     # column pruning would drop it from this branch's aggregate and the two branches
     # would each scan the input

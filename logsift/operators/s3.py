@@ -21,17 +21,27 @@ def s3_requesters(df: DataFrame, top_n_rows: int | None = 20, filter_first: bool
     after it (so fewer than N rows may remain); ``filter_first=True`` removes
     them before ranking instead.
     """
-    # the split is a column of its own, read twice below (once conditionally,
-    # inside coalesce, which would otherwise re-run the regexes)
-    split = df.select(split_requester("requester").alias("r"), "remote_ip")
-    r = F.col("r")
-    pairs = split.select(r["arn"].alias("requester_arn"), F.coalesce(F.col("remote_ip"), r["ip"]).alias("source_ip"))
+    pairs = requester_pairs(df)
     usable = (F.col("requester_arn") != "N/A") & (F.col("source_ip") != "N/A")
     if filter_first:
         pairs = pairs.filter(usable)
-    agg = pairs.groupBy("requester_arn", "source_ip").agg(F.count(F.lit(1)).alias("request_count"))
+    return rank_requesters(pairs.groupBy("requester_arn", "source_ip").agg(F.count(F.lit(1)).alias("request_count")), top_n_rows)
+
+
+def requester_pairs(df: DataFrame) -> DataFrame:
+    """``(requester_arn, source_ip)`` of every request."""
+    # the split is a column of its own, read twice below (once conditionally,
+    # inside coalesce, which would otherwise re-run the regexes)
+    split = df.withColumn("__requester", split_requester("requester"))
+    r = F.col("__requester")
+    pairs = split.withColumns({"requester_arn": r["arn"], "source_ip": F.coalesce(F.col("remote_ip"), r["ip"])})
+    return pairs.drop("__requester")
+
+
+def rank_requesters(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
+    """``(requester_arn, source_ip, request_count)`` -> the first rows, then without ``N/A``."""
     ranked = top_n(agg, "request_count", top_n_rows, ["requester_arn", "source_ip"])
-    return ranked if filter_first else ranked.filter(usable)
+    return ranked.filter((F.col("requester_arn") != "N/A") & (F.col("source_ip") != "N/A"))
 
 
 def s3_operations(df: DataFrame, top_n_rows: int | None = 20, prefix_depth: int | None = None) -> DataFrame:
@@ -44,6 +54,11 @@ def s3_operations(df: DataFrame, top_n_rows: int | None = 20, prefix_depth: int
                     & F.col("bucket").isNotNull())
     key = F.col("key") if prefix_depth is None else F.substring_index(F.ltrim(F.col("key"), F.lit("/")), "/", prefix_depth)
     agg = ops.groupBy("operation", "bucket", key.alias("k")).agg(F.count(F.lit(1)).alias("count"))
+    return rank_operations(agg, top_n_rows)
+
+
+def rank_operations(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
+    """``(operation, bucket, k, count)`` -> the table of :func:`s3_operations`."""
     ranked = top_n(agg, "count", top_n_rows, ["operation", "bucket", "k"])
     return ranked.select("operation", "bucket", F.coalesce(F.ltrim(F.col("k"), F.lit("/")), F.lit("(root)"))
                          .alias("prefix"), "count")
@@ -53,6 +68,10 @@ def s3_user_agents(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
     """Coarse user-agent class frequency with % of all requests; top N classes."""
     agg = df.groupBy(classify_user_agent_coarse("user_agent").alias("user_agent_type")).agg(
         F.count(F.lit(1)).alias("usage_count"))
+    return rank_user_agents(agg, top_n_rows)
+
+
+def rank_user_agents(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
     return top_n(with_pct(agg, "usage_count", "usage_pct"), "usage_count", top_n_rows, ["user_agent_type"])
 
 
@@ -69,8 +88,13 @@ def s3_tactics(df: DataFrame, lookup: DataFrame | None = None, policy: str | Non
     # non-NULL key: otherwise the join's inferred "key IS NOT NULL" would be pushed
     # below the aggregation and the total could no longer reuse its shuffle
     by_op = df.groupBy(F.coalesce("operation", F.lit("")).alias("operation")).agg(F.count(F.lit(1)).alias("hit_count"))
+    return tactic_hits(by_op, _lookup(df, lookup, policy))
+
+
+def tactic_hits(by_op: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``(operation, hit_count)`` of all requests -> the table of :func:`s3_tactics`."""
     total = by_op.select(F.sum("hit_count")).scalar()
-    hits = tag_tactics(by_op, _lookup(df, lookup, policy), "operation", how="inner")
+    hits = tag_tactics(by_op, lookup, "operation", how="inner")
     out = with_pct(hits.select("tactic", "operation", "hit_count"), "hit_count", "operation_pct", total)
     return out.orderBy(*order_desc("hit_count", ["tactic", "operation"]))
 

@@ -32,6 +32,10 @@ def vpc_top_ips(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
            .select("ip", "total_bytes",
                    F.when(F.col("role") == "srcaddr", TYPE_SOURCE).otherwise(TYPE_DESTINATION).alias("type"),
                    "total_packets"))
+    return rank_ips(agg, top_n_rows)
+
+
+def rank_ips(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
     return top_n(agg, "total_bytes", top_n_rows, ["ip", "type"], sums=True)
 
 
@@ -40,6 +44,11 @@ def vpc_top_ports(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
     agg = (df.filter(F.col("dstport").isNotNull() & F.col("protocol").isNotNull())
            .groupBy("dstport", "protocol")
            .agg(F.count(F.lit(1)).alias("flow_count"), sum0("bytes").alias("total_bytes")))
+    return rank_ports(agg, top_n_rows)
+
+
+def rank_ports(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
+    """``(dstport, protocol, flow_count, total_bytes)`` -> the table of :func:`vpc_top_ports`."""
     ranked = top_n(agg, "total_bytes", top_n_rows, ["dstport", "protocol"], sums=True)
     return ranked.select(F.col("dstport").alias("port"), protocol_name("protocol").alias("protocol"),
                          "flow_count", "total_bytes")
@@ -58,6 +67,11 @@ def vpc_night_remote(df: DataFrame, ports: dict | None = None, start_hour: int =
     agg = (remote.filter(F.col("srcaddr").isNotNull() & F.col("dstaddr").isNotNull() & F.col("protocol").isNotNull())
            .groupBy("srcaddr", "dstaddr", "dstport", "protocol", "service")
            .agg(sum0("bytes").alias("total_bytes"), sum0("packets").alias("total_packets")))
+    return rank_night_remote(agg)
+
+
+def rank_night_remote(agg: DataFrame) -> DataFrame:
+    """``(srcaddr, dstaddr, dstport, protocol, service, total_bytes, total_packets)`` -> the table of :func:`vpc_night_remote`."""
     ranked = top_n(agg, "total_bytes", None, ["srcaddr", "dstaddr", "dstport", "protocol"], sums=True)
     return ranked.select(F.col("srcaddr").alias("source_ip"), F.col("dstaddr").alias("destination_ip"),
                          F.col("dstport").alias("port"), protocol_name("protocol").alias("protocol"),
@@ -75,6 +89,11 @@ def vpc_session_duration(df: DataFrame, top_n_rows: int | None = 20) -> DataFram
     agg = (flows.groupBy("srcaddr", "dstaddr")
            .agg(F.max("duration").alias("duration_seconds"), sum0("bytes").alias("total_bytes"),
                 sum0("packets").alias("total_packets")))
+    return rank_sessions(agg, top_n_rows)
+
+
+def rank_sessions(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
+    """``(srcaddr, dstaddr, duration_seconds, total_bytes, total_packets)`` -> the table of :func:`vpc_session_duration`."""
     ranked = top_n(agg, "duration_seconds", top_n_rows, ["srcaddr", "dstaddr"])
     return ranked.select(F.col("srcaddr").alias("source_ip"), F.col("dstaddr").alias("destination_ip"),
                          "duration_seconds", "total_bytes", "total_packets")
@@ -86,6 +105,11 @@ def vpc_top_connections(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame
            .groupBy("srcaddr", "dstaddr")
            .agg(sum0("bytes").alias("total_bytes"), sum0("packets").alias("total_packets"),
                 F.count(F.lit(1)).alias("flow_count")))
+    return rank_connections(agg, top_n_rows)
+
+
+def rank_connections(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
+    """``(srcaddr, dstaddr, total_bytes, total_packets, flow_count)`` -> the table of :func:`vpc_top_connections`."""
     ranked = top_n(agg, "total_bytes", top_n_rows, ["srcaddr", "dstaddr"], sums=True)
     return ranked.select(F.col("srcaddr").alias("source_ip"), F.col("dstaddr").alias("destination_ip"),
                          "total_bytes", "total_packets", "flow_count")
@@ -99,7 +123,4 @@ def vpc_top_connections_joined(df: DataFrame, top_n_rows: int | None = 20) -> Da
     sums = base.groupBy("srcaddr", "dstaddr").agg(sum0("bytes").alias("total_bytes"),
                                                   sum0("packets").alias("total_packets"))
     counts = base.groupBy("srcaddr", "dstaddr").agg(F.count(F.lit(1)).alias("flow_count"))
-    joined = sums.join(counts, ["srcaddr", "dstaddr"], "inner")
-    ranked = top_n(joined, "total_bytes", top_n_rows, ["srcaddr", "dstaddr"], sums=True)
-    return ranked.select(F.col("srcaddr").alias("source_ip"), F.col("dstaddr").alias("destination_ip"),
-                         "total_bytes", "total_packets", "flow_count")
+    return rank_connections(sums.join(counts, ["srcaddr", "dstaddr"], "inner"), top_n_rows)

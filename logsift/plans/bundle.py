@@ -19,9 +19,10 @@ from ..functions.common import top_n as ranked
 from ..operators import cloudtrail as ct
 from ..operators import report as rpt
 from ..operators import s3 as s3a
-from ..operators import vpc as vpca
+from ..operators.enrich import tactic_lookup
 from ..schemas import EXPORT_LAST, EXPORT_PRIORITY, IDENTITY_KEYS, IDENTITY_PREFIX, export_names
 from ..session import materialize
+from .states import TIME_COLUMN, event_states, merged_states, ranked_tables
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: result table names of the original report workbooks, in order
@@ -41,35 +42,45 @@ S3_TABLES = [
 ]
 # ---------------------------------------------------------------------------
 
-TIME_COLUMN = {"cloudtrail": "event_time", "vpc": "window_start", "s3": "request_datetime"}
+
+def cloudtrail_listing(df: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """The events that some row-level table shows: mapped to a tactic, failed, console logins, created users."""
+    known = (tactic_lookup(df.sparkSession, "cloudtrail") if lookup is None else lookup).select("name").distinct()
+    known = known.select(F.col("name").alias("__name"), F.lit(True).alias("__mapped"))
+    if lookup is None:
+        known = F.broadcast(known)                      # the packaged table: at most 175 names
+    tagged = ct._with_failure_text(df).join(known, F.col("event_name") == F.col("__name"), "left")
+    shown = F.coalesce(F.col("__mapped"), F.col("event_name").isin("ConsoleLogin", "CreateUser"), F.lit(False))
+    return tagged.where(shown | (F.size(ct._failure_categories()) > 0)).select(*df.columns)
 
 
 def cloudtrail_bundle(df: DataFrame, as_of: str | None = None, lookup: DataFrame | None = None,
                       top_n: int = 20, user_field: str | list[str] = "user_name") -> dict[str, DataFrame]:
-    """Tables of the CloudTrail report.  Event names, regions, user agents and tactics come from one
-    count of the events, held in the shared checkpoint folder (a row per distinct value)."""
-    counts = ct.Counts(materialize(ct.dimension_counts(df), "checkpoint"))
-    tables = [
-        ct.ct_top_ips(df, top_n), ct.ct_night_ips(df), ct.ct_night_events(df), ct.ct_event_names(counts),
-        ct.ct_user_agents(counts), ct.ct_failed_auth(df, user_field), ct.ct_regions(counts), ct.ct_console_login(df),
-        ct.ct_create_user(df), ct.ct_tactics(counts, lookup), ct.ct_tactic_events(df, lookup, sort=False),
-    ]
-    out = dict(zip(CLOUDTRAIL_TABLES, tables))
-    out["Failed_Auth_Events"] = ct.failed_auth_events(df)
+    """Tables of the CloudTrail report from two passes over the events, both staged in the shared
+    checkpoint folder: the states that all ranked tables read, and the events that row-level tables show."""
+    states = materialize(merged_states(event_states(df, "cloudtrail", user_field)), "table")
+    shown = materialize(cloudtrail_listing(df, lookup), "table")
+    tables = ranked_tables(states, "cloudtrail", lookup, top_n) | {
+        "ConsoleLogin_Statistics": ct.ct_console_login(shown), "CreateUser_Statistics": ct.ct_create_user(shown),
+        "Mitre_ATTACK_Events": ct.ct_tactic_events(shown, lookup, sort=False),
+    }
+    out = {name: tables[name] for name in CLOUDTRAIL_TABLES}
+    out["Failed_Auth_Events"] = ct.failed_auth_events(shown)
     return out | _derived("cloudtrail", out, as_of)
 
 
 def vpc_bundle(df: DataFrame, top_n: int = 20) -> dict[str, DataFrame]:
-    tables = [vpca.vpc_top_ips(df, top_n), vpca.vpc_top_ports(df, top_n), vpca.vpc_night_remote(df),
-              vpca.vpc_session_duration(df, top_n), vpca.vpc_top_connections(df, top_n)]
-    out = dict(zip(VPC_TABLES, tables))
+    """Tables of the VPC report from one pass over the flows."""
+    states = materialize(merged_states(event_states(df, "vpc")), "table")
+    out = ranked_tables(states, "vpc", top_n=top_n)
     return out | _derived("vpc", out)
 
 
 def s3_bundle(df: DataFrame, lookup: DataFrame | None = None, top_n: int = 20) -> dict[str, DataFrame]:
-    tables = [s3a.s3_requesters(df, top_n), s3a.s3_operations(df, top_n), s3a.s3_user_agents(df, top_n),
-              s3a.s3_tactics(df, lookup), s3a.s3_tactic_events(df, lookup, sort=False)]
-    out = dict(zip(S3_TABLES, tables))
+    """Tables of the S3 report: the ranked ones from one pass, the tagged requests from another."""
+    states = materialize(merged_states(event_states(df, "s3")), "table")
+    tables = ranked_tables(states, "s3", lookup, top_n)
+    out = {name: tables[name] if name in tables else s3a.s3_tactic_events(df, lookup, sort=False) for name in S3_TABLES}
     return out | _derived("s3", out)
 
 
@@ -115,10 +126,11 @@ def run_analysis(df: DataFrame, log_type: str, as_of: str | None = None, lookup:
                  user_field: str | list[str] = "user_name") -> dict[str, DataFrame]:
     """All result tables for one parsed table, as lazy DataFrames.
 
-    Give it a landed table (:func:`write_parsed`): the tables scan it by
-    column.  ``materialization='checkpoint'`` cuts the lineage of any other
-    frame into the shared checkpoint folder first; ``'persist'`` caches it,
-    for small frames.
+    Give it a landed table (:func:`write_parsed`): it is scanned once for the
+    states of all ranked tables (:mod:`.states`) and, but for VPC, once for the row-level
+    tables; both passes run here.  ``materialization='checkpoint'`` cuts the
+    lineage of any other frame into the shared checkpoint folder first;
+    ``'persist'`` caches it, for small frames.
     """
     base = materialize(df, materialization)
     if log_type == "cloudtrail":

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -118,7 +119,8 @@ def materialize(df: DataFrame, how: str | None = "persist") -> DataFrame:
 
     ``persist`` caches (memory and disk; lost blocks are recomputed from
     lineage), ``checkpoint`` writes to the shared checkpoint folder and cuts
-    lineage, ``None`` leaves the plan as is.
+    lineage, ``table`` does so as Parquet, which later readers prune by column
+    and filter, ``None`` leaves the plan as is.
     """
     if how is None:
         return df
@@ -127,5 +129,9 @@ def materialize(df: DataFrame, how: str | None = "persist") -> DataFrame:
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
+    if how == "table":
+        path = f"{checkpoint_dir(df.sparkSession)}/logsift-table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     raise ValueError(f"unknown materialization {how!r}")
 
