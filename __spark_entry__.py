@@ -30,16 +30,19 @@ from logsift.functions.common import fmt_ts, sum0  # noqa: E402
 from logsift.operators import cloudtrail as ct  # noqa: E402
 from logsift.operators import report as rpt  # noqa: E402
 from logsift.operators import s3 as s3a  # noqa: E402
+from logsift.operators import topn  # noqa: E402
 from logsift.operators import vpc  # noqa: E402
-from logsift.plans import bundle  # noqa: E402
+from logsift.plans import bundle, states  # noqa: E402
 from logsift.sources.cloudtrail import cloudtrail_rejects, identity_wide, parse_cloudtrail_docs, read_cloudtrail  # noqa: E402
 from logsift.sources.parsed import load_parsed  # noqa: E402
 from logsift.sources.s3 import parse_s3_lines, read_s3_access, s3_rejects  # noqa: E402
 from logsift.sources.vpc import parse_vpc_lines, read_vpc_flow, vpc_rejects  # noqa: E402
 
-try:                      # the corpus operators are optional
+try:                      # the corpus operators are optional; a broken import inside them is an error
     from logsift.llm import queries as llm_queries
-except ImportError:
+except ModuleNotFoundError as absent:
+    if not (absent.name or "").startswith("logsift.llm"):
+        raise
     llm_queries = None
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
@@ -132,16 +135,34 @@ def _vpc_odd_values(s, d):
 
 
 def _bundle(log_type, frame):
-    """Rows of every table of a bundle, counted in what was written."""
+    """Every row of every table of a bundle as it was written, its values on one line."""
     def run(s, d):
         tables = bundle.run_analysis(frame(s, d), log_type, as_of=AS_OF)
         written = bundle.write_bundle(tables, fx.landing_folder(s, "bundle"), log_type, as_of=AS_OF)
-        parts = [s.read.schema(tables[n].schema).parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
-                 for n, p in written.items()]
+        parts = []
+        for name, path in written.items():
+            t = s.read.schema(tables[name].schema).parquet(path)
+            text = {c: fmt_ts(c) if kind.startswith("timestamp") else F.col(c).cast("string") for c, kind in t.dtypes if not kind.startswith("map")}
+            columns = sorted(oracles.BUNDLE_COLUMNS.get((log_type, name), t.columns))
+            line = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), text[c]) for c in columns])
+            parts.append(t.select(F.lit(name).alias("table_name"), line.alias("line")))
         return functools.reduce(DataFrame.union, parts)
     return run
 
 
+def _incremental(log_type, frame, table):
+    """A ranked table from states kept by days: three deliveries, the second first with half of its events."""
+    def run(s, d):
+        events, path = frame(s, d), fx.landing_folder(s, "states")
+        third = F.coalesce(F.dayofmonth(states.TIME_COLUMN[log_type]) % 3, F.lit(0))
+        part = [events.where(third == i) for i in range(3)]
+        for delivery in (part[0], part[1].where(F.pmod(F.xxhash64(F.struct(*[c for c, t in events.dtypes if not t.startswith("map")])), F.lit(2)) == 0),
+                         part[2], part[1]):
+            states.update_states(delivery, path, log_type)
+        return states.ranked_tables(states.read_states(s, path), log_type)[table]
+    return run
+
+
 def _in_order(df):
     """An ordered result with its position, so that the order is compared too."""
     return df.withColumn("position", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
@@ -244,6 +265,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vpc_session_duration": lambda s, d: vpc.vpc_session_duration(vpcf(s, d)),
         "vpc_top_connections": lambda s, d: vpc.vpc_top_connections(vpcf(s, d)),
         "vpc_top_connections_joined": lambda s, d: vpc.vpc_top_connections_joined(vpcf(s, d)),
+        "vpc_top_connections_tput": lambda s, d: topn.vpc_top_connections_tput(fx.spread(vpcf(s, d))),
+        "vpc_top_ips_tput": lambda s, d: topn.vpc_top_ips_tput(fx.spread(vpcf(s, d))),
+        "ct_top_ips_tput": lambda s, d: topn.ct_top_ips_tput(fx.spread(ctf(s, d))),
+        "s3_requesters_tput": lambda s, d: topn.s3_requesters_tput(fx.spread(s3f(s, d))),
+        # states kept by days
+        "ct_top_ips_incremental": _incremental("cloudtrail", ctf, "Access_IP_Statistics_(Top_20)"),
+        "ct_tactics_incremental": _incremental("cloudtrail", ctf, "Mitre_ATTACK_Tactics"),
+        "vpc_top_connections_incremental": _incremental("vpc", vpcf, "Connection_Statistics_(Top_20)"),
+        "s3_operations_incremental": _incremental("s3", s3f, "Operation_Statistics"),
         # S3 access analyses
         "s3_requesters": lambda s, d: s3a.s3_requesters(s3f(s, d)),
         "s3_operations": lambda s, d: s3a.s3_operations(s3f(s, d)),

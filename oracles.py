@@ -416,7 +416,13 @@ def _pipeline_oracles(q: dict) -> None:
                              ("vpc_pipeline_night_remote", "vpc_night_remote"),
                              ("s3_pipeline_requesters", "s3_requesters"), ("s3_pipeline_tactics", "s3_tactics"),
                              ("ct_pipeline_failed_auth", "ct_failed_auth"),
-                             ("ct_pipeline_night_events", "ct_night_events")):
+                             ("ct_pipeline_night_events", "ct_night_events"),
+                             # other ways to the same tables
+                             ("vpc_top_connections_tput", "vpc_top_connections"), ("vpc_top_ips_tput", "vpc_top_ips"),
+                             ("ct_top_ips_tput", "ct_top_ips"), ("s3_requesters_tput", "s3_requesters"),
+                             ("ct_top_ips_incremental", "ct_top_ips"), ("ct_tactics_incremental", "ct_tactics"),
+                             ("vpc_top_connections_incremental", "vpc_top_connections"),
+                             ("s3_operations_incremental", "s3_operations")):
         q[pipeline] = q[direct]
 
 
@@ -479,14 +485,27 @@ _BUNDLES = {
 }
 
 
+# columns of the row-level tables that their queries show; of the other tables, all
+BUNDLE_COLUMNS = {
+    ("cloudtrail", "Mitre_ATTACK_Events"): ["tactic", "event_id", "event_name", "event_time", "source_ip_address", "aws_region"],
+    ("cloudtrail", "Failed_Auth_Events"): ["category", "failure_time", "failure_ip", "failure_user", "failure_account", "failure_type",
+                                           "failure_message", "event_name", "event_id"],
+    ("s3", "Mitre_ATTACK_Events"): ["tactic", "request_id", "operation", "bucket", "key", "remote_ip", "requester", "request_datetime",
+                                    "user_agent", "bytes_sent"],
+}
+
+
 def _bundle_oracles(q: dict) -> None:
+    """Every row of every table as one line of its values, columns A-Z."""
     for log_type, tables in _BUNDLES.items():
         parts = []
         for name, query in tables.items():
-            rows = f"(SELECT count(*) FROM ({q[query]}))"
-            if name == "Report_Requesters":          # the first ten of the written table
-                rows = f"least(10, {rows})"
-            parts.append(f"SELECT {_q(name)} AS table_name, {rows} AS rows")
+            body = q[query]
+            if (log_type, name) == ("s3", "Report_Requesters"):          # the first ten of the written table
+                body = f"""SELECT requester_arn || ' (' || source_ip || ')' AS label, request_count AS value FROM ({body})
+ORDER BY request_count DESC, requester_arn, source_ip LIMIT 10"""
+            parts.append(f"""SELECT {_q(name)} AS table_name, array_to_string(list_transform(list_sort(map_entries(
+    json_transform(to_json(r), '"MAP(VARCHAR, VARCHAR)"'))), lambda e: e.key || '=' || e.value), '|') AS line FROM ({body}) r""")
         q[f"bundle_{log_type}"] = "\nUNION ALL\n".join(parts)
 
 
