@@ -13,7 +13,7 @@ into words; phrases are runs of 2 to ``LONGEST`` words of a piece, per language.
    only thing that is broadcast.  However full it is, it lets every survivor
    through; the next scan leaves out the rest.
 3. Second count: n-grams that pass the bitmaps of all levels are counted by their
-   text (exact codes in a task, then ``groupBy``) and those below the threshold go.
+   text, in a task and then per hash bucket, and those below the threshold go.
 4. Cuts of a phrase into two parts are equi-joined to the counts; scores are exact
    decimals; phrases inside equally frequent longer ones go; each language's best
    are found in three steps, so that no task orders a whole language.
@@ -46,6 +46,7 @@ BITS = 26                 # a bitmap has 2 ** BITS bits
 ROOM = 1 << 20            # counters of a summary; its capacity is half of them
 SLICE = 8 << 20           # bytes of text taken at once
 _HELD = 1 << 22           # hashes a task holds before it sends a summary
+_PHRASES = 1 << 19        # n-grams a task holds, as text, before it adds them up and sends them
 _BUCKETS = 4              # hash buckets for each reducing task
 _BYTES = 32 << 20         # input bytes for each reducing task, at most
 _CUT = re.compile(rb"[.,;:!?\n-\r]")
@@ -260,37 +261,96 @@ def bitmap(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(out)
 
 
-def exact_counts(texts: DataFrame, maps, longest: int) -> DataFrame:
-    """lang, phrase, words, n of the n-grams that pass the bitmaps; phrase '' has a language's words."""
+_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Equal n-grams added up, exactly (by their text)."""
+    sums = pa.concat_tables(tables).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum"), ("h", "min")])
+    return sums.rename_columns([{"n_sum": "n", "h_min": "h"}.get(c, c) for c in sums.column_names]).select([*_COUNTED.names, "h"])
+
+
+def exact_counts(texts: DataFrame, maps, least: int, tasks: int, longest: int) -> DataFrame:
+    """lang, phrase, words, n of the n-grams of ``least`` occurrences that pass the bitmaps; phrase '' has a language's words.
+
+    As in the first pass a task adds up what it finds and sends a part per hash bucket.
+    """
+    buckets = _BUCKETS * tasks
+
+    def found(w: Words, shared):
+        digest = xxhash.xxh3_64_intdigest
+        yield table(w, np.arange(len(w.langs)), pa.array([""] * len(w.langs)), 0, np.bincount(w.lang, minlength=len(w.langs)),
+                    np.fromiter((digest(x.encode(), 2) for x in w.langs), np.uint64, len(w.langs)))
+        code = np.zeros(len(w.code), np.int64)                    # of the run that begins at a word
+        for k, at, h in w.grams(shared, longest):
+            on = passes(shared[min(k, 3) - 1], h)
+            at, h = at[on], h[on]
+            if not len(at):
+                continue
+            if k == 1:
+                whole = w.code[at].astype(np.int64) * len(w.langs) + w.lang[at]
+            else:
+                whole = code[at] * len(w.names) + w.code[at + k - 1]
+            _, first, inverse, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+            code[at] = inverse
+            own = at[first]
+            parts = [w.names.take(pa.array(w.code[own + i])) for i in range(k)]
+            joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ")) if k > 1 else parts[0]
+            yield table(w, w.lang[own], joined.cast(pa.string()), k, n, h[first])
+
+    def table(w, lang, phrase, k, n, h):
+        names = pa.array(w.langs, pa.string()).take(pa.array(lang.astype(np.int32)))
+        return pa.table([names, phrase, pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64)), pa.array(h)],
+                        names=[*_COUNTED.names, "h"])
+
     def count(batches):
         shared = [m.value for m in maps]
+        held, size = [], 0
+
+        def send(rows):
+            bucket = ((rows["h"].to_numpy() >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows = rows.select(_COUNTED.names).take(pa.array(order)).combine_chunks()
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _COUNTED) as out:
+                    out.write_table(rows.slice(x, y - x))
+                yield int(bucket[order[x]]), sink.getvalue().to_pybytes()
+
+        def batch(rows):
+            number, parts = zip(*send(rows))
+            return pa.record_batch([pa.array(number, pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "part"])
+
         for w in slices(batches):
-            n_langs = np.bincount(w.lang, minlength=len(w.langs))
-            yield out(w, np.arange(len(w.langs)), pa.array([""] * len(w.langs)), 0, n_langs)
-            code = np.zeros(len(w.code), np.int64)                    # of the run that begins at a word
-            for k, at, h in w.grams(shared, longest):
-                on = passes(shared[min(k, 3) - 1], h)
-                at = at[on]
-                if not len(at):
-                    continue
-                if k == 1:
-                    whole = w.code[at].astype(np.int64) * len(w.langs) + w.lang[at]
-                else:
-                    whole = code[at] * len(w.names) + w.code[at + k - 1]
-                _, first, inverse, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                code[at] = inverse
-                own = at[first]
-                parts = [w.names.take(pa.array(w.code[own + i])) for i in range(k)]
-                joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ")) if k > 1 else parts[0]
-                yield out(w, w.lang[own], joined.cast(pa.string()), k, n)
-
-    def out(w, lang, phrase, k, n):
-        names = pa.array(w.langs, pa.string()).take(pa.array(lang.astype(np.int32)))
-        return pa.record_batch([names, phrase, pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64))],
-                               names=["lang", "phrase", "words", "n"])
+            for rows in found(w, shared):
+                held.append(rows)
+                size += len(rows)
+            if size > _PHRASES:
+                held = [_added(held)]
+                size = len(held[0])
+                if size > _PHRASES // 2:
+                    yield batch(held[0])
+                    held, size = [], 0
+        if size:
+            yield batch(_added(held))
+
+    def add(batches):
+        held, size = [], 0
+        for b in batches:
+            for part in b.column("part").to_pylist():
+                rows = pa.ipc.open_stream(part).read_all()
+                held.append(rows.append_column("h", pa.array(np.zeros(len(rows), np.uint64))))
+                size += len(rows)
+                if size > 4 * _PHRASES:
+                    held = [_added(held)]
+                    size = len(held[0])
+        if held:
+            rows = _added(held).select(_COUNTED.names)
+            yield from rows.filter(pc.or_(pc.greater_equal(rows["n"], least), pc.equal(rows["words"], 0))).to_batches()
 
-    each = texts.mapInArrow(count, "lang string, phrase string, words int, n long")
-    return each.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
+    sent = texts.mapInArrow(count, "bucket int, part binary").repartition(tasks, "bucket")
+    return sent.mapInArrow(add, "lang string, phrase string, words int, n long")
 
 
 _SCORE = """CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(15,0)) * CAST(n AS DECIMAL(16,0))
@@ -348,8 +408,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     for level in (1, 2, 3):
         found = stage(frequent_hashes(texts, maps, level, least, tasks, longest), f"phrases-{level}", files)
         maps.append(bitmap(found))
-    counts = exact_counts(texts, maps, longest)
-    return stage(counts.where((F.col("words") == 0) | (F.col("n") >= least)), "phrase-counts", files)
+    return stage(exact_counts(texts, maps, least, tasks, longest), "phrase-counts", files)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
