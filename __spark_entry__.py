@@ -35,6 +35,7 @@ from logsift.operators import vpc  # noqa: E402
 from logsift.plans import bundle, states  # noqa: E402
 from logsift.sources.cloudtrail import cloudtrail_rejects, identity_wide, parse_cloudtrail_docs, read_cloudtrail  # noqa: E402
 from logsift.sources.parsed import load_parsed  # noqa: E402
+from logsift.sources.ranges import read_cloudtrail_ranges  # noqa: E402
 from logsift.sources.s3 import parse_s3_lines, read_s3_access, s3_rejects  # noqa: E402
 from logsift.sources.vpc import parse_vpc_lines, read_vpc_flow, vpc_rejects  # noqa: E402
 
@@ -109,6 +110,18 @@ def _ct_files(compression):
     return lambda s, d: _ct_columns(read_cloudtrail(s, fx.landed_json(s, d, compression))).drop("source_file")
 
 
+def _ct_files_split(s, d):
+    """One document of all records, read by byte ranges: some for every core."""
+    path, key = fx.landing_folder(s, "document"), "spark.sql.files.maxPartitionBytes"
+    fx.single_document(s, d, path)
+    before = s.conf.get(key)
+    s.conf.set(key, str(1 << 18))
+    try:
+        return _ct_columns(read_cloudtrail_ranges(s, path)).drop("source_file")
+    finally:
+        s.conf.set(key, before)
+
+
 def _load(log_type, frame, columns):
     def run(s, d):
         path = fx.landing_folder(s, log_type)
@@ -252,6 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s3_files_gzip": _s3_files("gzip"),
         "ct_files": _ct_files("none"),
         "ct_files_gzip": _ct_files("gzip"),
+        "ct_files_split": _ct_files_split,
         "load_vpc": _load("vpc", fx.vpc_frame, _vpc_columns),
         "load_vpc_csv": _load_vpc_csv,
         "load_s3": _load("s3", _s3_parsed, _s3_columns),

@@ -233,6 +233,19 @@ def landed_json(spark: SparkSession, sf_dir: str, compression: str = "none") ->
     return path
 
 
+def single_document(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """All CloudTrail records as one ``Records`` document (``.json``), which one task writes; its last value is a null."""
+    recs = ct_raw_records(spark, sf_dir).select(F.concat(F.to_json("rec"), F.lit(",")).alias("value"))
+    first, last = (spark.range(1).select(F.lit(t).alias("value")) for t in ('{"Records":[', "null]}"))
+    folder = landing_folder(spark, "document")
+    first.union(recs).union(last).coalesce(1).write.text(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(path))
+    part = [f.getPath() for f in files.listStatus(hadoop.Path(folder)) if f.getPath().getName().startswith("part-")]
+    files.rename(part[0], hadoop.Path(f"{path}/document.json"))
+
+
 def ct_raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``ct`` view as CloudTrail record structs (``rec``) with a file name."""
     v = view(spark, sf_dir, "ct")

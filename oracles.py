@@ -435,7 +435,7 @@ def _source_oracles(q: dict) -> None:
     q["ct_parse_single"] = (f"SELECT * EXCLUDE (source_file), 'ct-' || event_id || '.json' AS source_file FROM ({q['ct_parse_records']})")
     for name, parsed in (("vpc_files", "vpc_parse_lines"), ("vpc_files_gzip", "vpc_parse_lines"), ("load_vpc", "vpc_parse_lines"),
                          ("load_vpc_csv", "vpc_parse_lines"), ("s3_files", "s3_parse_lines"), ("s3_files_gzip", "s3_parse_lines"),
-                         ("load_s3", "s3_parse_lines"), ("ct_files", "ct_parse_records"), ("ct_files_gzip", "ct_parse_records"),
+                         ("load_s3", "s3_parse_lines"), ("ct_files", "ct_parse_records"), ("ct_files_gzip", "ct_parse_records"), ("ct_files_split", "ct_parse_records"),
                          ("load_cloudtrail", "ct_parse_records")):
         q[name] = _without_file(q[parsed])
     q["vpc_rejects"] = with_views("""
