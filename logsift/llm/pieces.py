@@ -19,8 +19,9 @@ the word's edges gives its ids.  Two folds:
 Texts (``encode_texts``): words are counted, the most frequent ones (at most
 ``TABLE_WORDS``, by a count threshold) go through the lattice, and the table of
 their ids, bounded by that number, is broadcast to one pass over the texts.
-Other words are folded in that pass by the same rule (``fold_words``), since most
-of them occur once and a shuffle of all their places would outweigh the texts.
+Other words are folded in that pass by the same rule (``fold_words``, long ones
+``fold_long`` in n log n), since most of them occur once and a shuffle of all
+their places would outweigh the texts.
 
 Characters without a piece become byte pieces.  Decoding puts pieces and bytes
 together and drops the leading space.
@@ -31,15 +32,16 @@ alike; null ids of rows are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,10 @@ SPACE = "▁"
 TABLE_WORDS = 1 << 17
 LONGEST = 16              # characters of a piece, at most; checked against the model
 _BITS = 60                # characters of a word whose token edges fit one long
-_CACHE = 1 << 16          # other words a task remembers
-_TEXTS = 256              # texts encoded at once
+_CACHE = 1 << 17          # other words a task remembers
+_LONG = 200               # characters of a word from which on it is folded by itself, with a heap
+_SLICE = 2 << 20          # bytes of text encoded at once
+_SPACE_BYTES = SPACE.encode()
 _WORD = re.compile(" *[^ \n]+| +|\n")
 
 
@@ -134,21 +138,48 @@ class Joins:
         self.joined = np.array([j for _, j in pairs] + [-1], np.int64)
         self.cost = np.full(len(pieces.texts) + 1, np.inf)          # the last entry is for "no piece", -1
         self.cost[list(pieces.ids.values())] = [-pieces.scores[p] for p in pieces.ids]
+        # characters: the piece of one, or a negative number that tells which character has none
+        self.single = -2 - np.arange(0x110000, dtype=np.int64)
+        one = {ord(p): i for p, i in pieces.ids.items() if len(p) == 1}
+        self.single[list(one)] = list(one.values())
+        self.single[ord(" ")] = self.single[ord(SPACE)]
+        self.pairs: dict[int, int] = {}
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
         at = np.searchsorted(self.keys, key)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.joined[at], -1)
 
+    def by_pair(self) -> dict[int, int]:
+        """The relation as a dict, for one pair at a time; tokens below zero make keys that it doesn't have."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys[:-1].tolist(), self.joined[:-1].tolist()))
+        return self.pairs
+
+
+def _spelled(tokens: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of words on end, characters without a piece written as their byte pieces."""
+    odd = np.flatnonzero(tokens < 0)
+    if not len(odd):
+        return tokens.astype(np.int32), sizes
+    spelled = [[pieces.byte_ids[x] for x in chr(-2 - t).encode()] for t in tokens[odd].tolist()]
+    width = np.ones(len(tokens), np.int64)
+    width[odd] = list(map(len, spelled))
+    ends = np.cumsum(width)
+    out = np.repeat(tokens, width)
+    out[np.repeat(ends[odd] - width[odd], width[odd]) + np.concatenate([np.arange(n) for n in width[odd].tolist()])] = [x for ids in spelled for x in ids]
+    upto = np.cumsum(sizes)
+    whole = np.concatenate(([0], ends))
+    return out.astype(np.int32), np.diff(whole[upto], prepend=0)
+
 
 def fold_words(words: list[str], pieces: Pieces, joins: Joins) -> tuple[np.ndarray, np.ndarray]:
     """:func:`fold_word` by merges of many words at once: their ids on end, and the number of ids of each.
 
     Every round joins, in each word, the pair of neighbouring tokens that spells the best piece.
     """
-    chars, codes = np.unique(np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), "<u4"), return_inverse=True)
-    token = np.array([pieces.ids.get(chr(c), -1) for c in chars.tolist()], np.int64)[codes]
-    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    token = joins.single[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+    word = np.repeat(np.arange(len(words)), list(map(len, words)))
     joined = np.full(len(token), -1, np.int64)                     # what a token and the next one spell
     joined[:-1] = np.where(word[1:] == word[:-1], joins.of(token[:-1], token[1:]), -1)
     done_words, done_tokens = [], []
@@ -179,15 +210,68 @@ def fold_words(words: list[str], pieces: Pieces, joins: Joins) -> tuple[np.ndarr
         return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
     word, token = np.concatenate(done_words), np.concatenate(done_tokens)
     order = np.argsort(word, kind="stable")
-    return token[order].astype(np.int32), np.bincount(word, minlength=len(words))
+    return _spelled(token[order], np.bincount(word, minlength=len(words)), pieces)
+
+
+def fold_long(word: str, pieces: Pieces, joins: Joins) -> np.ndarray:
+    """:func:`fold_word` by merges of a long word: a heap of joinable neighbours, so n log n."""
+    token = joins.single[np.frombuffer(word.encode("utf-32-le"), "<u4")]
+    both = joins.of(token[:-1], token[1:])
+    cost = joins.cost[both]
+    at = np.flatnonzero(both >= 0)
+    heap = list(zip(cost[at].tolist(), at.tolist(), both[at].tolist()))
+    heapq.heapify(heap)
+    n, tokens = len(token), token.tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    costs, there, joined_by = joins.cost.tolist(), bytearray(b"\1") * n, joins.by_pair().get
+    pop, push = heapq.heappop, heapq.heappush
+    while heap:
+        _, i, joined = pop(heap)
+        j = after[i]
+        if not there[i] or j >= n or joined_by(tokens[i] << 20 | tokens[j]) != joined:
+            continue                                               # one of the two has been joined to another since
+        tokens[i], there[j] = joined, 0
+        after[i] = j = after[j]
+        if j < n:
+            before[j] = i
+            if (x := joined_by(joined << 20 | tokens[j])) is not None:
+                push(heap, (costs[x], i, x))
+        k = before[i]
+        if k >= 0 and (x := joined_by(tokens[k] << 20 | joined)) is not None:
+            push(heap, (costs[x], k, x))
+    left = np.array(tokens, np.int64)[np.frombuffer(bytes(there), bool)]
+    return _spelled(left, np.array([len(left)]), pieces)[0]
+
+
+def split_words(texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """:func:`words_of` of many texts at once: a code per word, the distinct words, the number of words of each text."""
+    parts = [b" " + t.encode().replace(_SPACE_BYTES, b" ") if t else b"" for t in texts]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    space, line = data == 0x20, data == 0x0A
+    first = np.zeros(len(data), bool)
+    first[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    sizes = np.array(list(map(len, parts)), np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    first[begins[begins < ends]] = True
+    start = np.flatnonzero(first)
+    offsets = np.append(start, len(data)).astype(np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    count = np.diff(np.searchsorted(start, ends), prepend=0)
+    return column.indices.to_numpy(), [w.decode() for w in column.dictionary.to_pylist()], count
 
 
 class WordIds:
     """The ids of words: those of the broadcast table, and others a task has folded (a bounded number at a time)."""
 
     def __init__(self, pieces: Pieces, words: list[str], flat: np.ndarray, sizes: np.ndarray, viterbi: bool):
-        self.pieces, self.viterbi, self.joins = pieces, viterbi, None if viterbi else Joins(pieces)
+        self.pieces, self.viterbi, self.joins = pieces, viterbi, Joins(pieces)
         self.table = {w: i for i, w in enumerate(words)}
+        spelled = [b"" if not t else bytes((i - pieces.byte_ids[0],)) if i in pieces.is_byte else t.replace(SPACE, " ").encode()
+                   for i, t in enumerate(pieces.texts)]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.width = np.array(list(map(len, spelled)), np.int64)
+        self.from_ = np.cumsum(self.width) - self.width
         flat, sizes = np.asarray(flat, np.int32), np.asarray(sizes, np.int64)
         self.base = (flat, sizes, self.decodes(words, flat, sizes))
         self.reset()
@@ -198,47 +282,60 @@ class WordIds:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def decodes(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Which words their ids decode to.  A word's bytes are whole characters, so this holds for texts word by word."""
-        ends = np.cumsum(sizes)
-        ids = flat.tolist()
-        return np.array([decode_ids(ids[j - n:j], self.pieces, False) == w for w, n, j in zip(words, sizes.tolist(), ends.tolist())], bool)
+        """Which words their ids spell.  A word's bytes are whole characters, so this holds for texts word by word."""
+        if not words:
+            return np.zeros(0, bool)
+        raw = [w.encode() for w in words]
+        want, lengths = np.frombuffer(b"".join(raw), np.uint8), np.array(list(map(len, raw)), np.int64)
+        width = self.width[flat]
+        ends = np.concatenate(([0], np.cumsum(width)))
+        upto = ends[np.concatenate(([0], np.cumsum(sizes)))]
+        good = np.diff(upto) == lengths
+        if not good.all():                                         # only words of the right length are compared
+            keep = np.repeat(good, sizes)
+            want = want[np.repeat(good, lengths)]
+            flat, width, lengths = flat[keep], width[keep], lengths[good]
+        at = np.cumsum(width)
+        got = self.spelled[np.repeat(self.from_[flat] - at + width, width) + np.arange(len(want))]
+        wrong = np.concatenate(([0], np.cumsum(got != want)))
+        cuts = np.concatenate(([0], np.cumsum(lengths)))
+        good[good] = np.diff(wrong[cuts]) == 0
+        return good
 
     def fold(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [] if self.viterbi else [w for w in words if len(w) <= _BITS and all(map(self.pieces.ids.__contains__, w.replace(" ", SPACE)))]
-        simple = set(plain)
-        others = [w for w in words if w not in simple]
-        flat, sizes = fold_words(plain, self.pieces, self.joins) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        rest = [fold_word(w, self.pieces, self.viterbi) for w in others]
-        words[:] = plain + others
-        return (np.concatenate((flat, np.array([i for r in rest for i in r], np.int32))),
-                np.concatenate((sizes, np.array([len(r) for r in rest], np.int64))))
-
-    def places(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
-
-    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of texts given as words, on end, the number of ids of each text, and whether they decode to it."""
-        every = [w for words in texts for w in words]
-        at = self.places(every)
-        missing = np.flatnonzero(at < 0).tolist()
-        new = list({every[i] for i in missing})
-        if new:
-            if len(self.index) - len(self.table) + len(new) > _CACHE:
-                self.reset()
-                at = self.places(every)
-                missing = np.flatnonzero(at < 0).tolist()
-                new = list({every[i] for i in missing})
+        """The ids of words, which are put in the order of the result."""
+        if self.viterbi:
+            rest = [fold_word(w, self.pieces, True) for w in words]
+            return np.array([i for r in rest for i in r], np.int32), np.array(list(map(len, rest)), np.int64)
+        short = [w for w in words if len(w) <= _LONG]
+        rest = [w for w in words if len(w) > _LONG]
+        flat, sizes = fold_words(short, self.pieces, self.joins) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        folded = [fold_long(w, self.pieces, self.joins) for w in rest]
+        words[:] = short + rest
+        return np.concatenate((flat, *folded)), np.concatenate((sizes, np.array(list(map(len, folded)), np.int64)))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of texts on end, the number of ids of each text, and whether they decode to it."""
+        code, names, count = split_words(texts)
+        known = np.fromiter(map(self.index.get, names, itertools.repeat(-1)), np.int64, len(names))
+        if (known < 0).any() and len(self.index) - len(self.table) + int((known < 0).sum()) > _CACHE:
+            self.reset()
+            known = np.fromiter(map(self.index.get, names, itertools.repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            new = [names[i] for i in missing.tolist()]
             flat, sizes = self.fold(new)
             self.index.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
             self.good = np.concatenate((self.good, self.decodes(new, flat, sizes)))
             self.flat = np.concatenate((self.flat, flat))
             self.sizes = np.concatenate((self.sizes, sizes))
             self.starts = np.cumsum(self.sizes) - self.sizes
-            at[missing] = [self.index[every[i]] for i in missing]
+            known[missing] = [self.index[names[i]] for i in missing.tolist()]
+        at = known[code]
         n = self.sizes[at]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(n.sum()))]
-        cuts = np.cumsum([len(words) for words in texts])
+        cuts = np.cumsum(count)
         upto = np.concatenate(([0], ends))[cuts]
         wrong = np.concatenate(([0], np.cumsum(~self.good[at])))[cuts]
         return ids, np.diff(upto, prepend=0), np.diff(wrong, prepend=0) == 0
@@ -300,21 +397,34 @@ def lattice_ids(words: DataFrame, pieces: Pieces, viterbi: bool = False) -> Data
 # whole texts
 # ---------------------------------------------------------------------------
 
+def _slices(b: pa.RecordBatch, text: str):
+    """Parts of a batch of about ``_SLICE`` bytes of text, of one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < b.num_rows:
+        upto = max(at + 1, int(np.searchsorted(sizes, done + _SLICE)))
+        yield b.slice(at, upto - at)
+        at, done = upto, int(sizes[upto - 1])
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n over all rows; each task adds up before anything is shuffled."""
     def run(batches):
-        counts: Counter = Counter()
+        counts: dict[str, int] = {}
 
         def out():
             return pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(words_of(t))
+        for whole in batches:
+            for b in _slices(whole, "t"):
+                code, names, _ = split_words(b.column(0).to_pylist())
+                for w, n in zip(names, np.bincount(code, minlength=len(names)).tolist()):
+                    counts[w] = counts.get(w, 0) + n
                 if len(counts) > 2 * _CACHE:
                     yield out()
                     counts.clear()
-        yield out()
+        if counts:
+            yield out()
 
     return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -352,10 +462,9 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
     def run(batches):
         words = per_worker("word ids", lambda: WordIds(*shared.value), tag)
         for whole in batches:
-            for at in range(0, whole.num_rows, _TEXTS):
-                b = whole.slice(at, _TEXTS)
+            for b in _slices(whole, "text"):
                 texts = b.column("text").to_pylist()
-                flat, sizes, good = words.encode([words_of(t) for t in texts])
+                flat, sizes, good = words.encode(texts)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))
                 trips = good & np.array([SPACE not in (t or "") for t in texts], bool)      # U+2581 itself decodes to a space
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))

@@ -32,19 +32,41 @@ def test_texts(spark, odd, small, table_words):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.text(alphabet="aeinrsthlou .,▁é", min_size=1, max_size=20), min_size=1, max_size=30))
+@given(st.lists(st.text(alphabet="aeinrsthlou .,▁é漢🙂", min_size=1, max_size=20), min_size=1, max_size=30))
 def test_many_words_fold_like_each(texts):
-    words = sorted({w for t in texts for w in pieces.words_of(t) if all(c in PIECES.ids for c in w.replace(" ", pieces.SPACE))})
-    flat, sizes = pieces.fold_words(words, PIECES, pieces.Joins(PIECES)) if words else (None, [])
+    words, joins = sorted({w for t in texts for w in pieces.words_of(t)}), pieces.Joins(PIECES)
+    flat, sizes = pieces.fold_words(words, PIECES, joins) if words else (None, [])
     ends = [sum(sizes[:i + 1]) for i in range(len(words))]
-    assert [flat[e - n:e].tolist() for n, e in zip(sizes, ends)] == [pieces.fold_word(w, PIECES) for w in words]
+    each = [pieces.fold_word(w, PIECES) for w in words]
+    assert [flat[e - n:e].tolist() for n, e in zip(sizes, ends)] == each
+    assert [pieces.fold_long(w, PIECES, joins).tolist() for w in words] == each
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n▁é\t漢🙂\x00", max_size=25)), max_size=8))
+def test_texts_split_like_each(texts):
+    code, names, count = pieces.split_words(texts)
+    assert [names[i] for i in code] == [w for t in texts for w in pieces.words_of(t)]
+    assert count.tolist() == [len(pieces.words_of(t)) for t in texts]
+
+
+def test_a_text_of_two_million_characters_without_a_space():
+    import random
+    import time
+    rng = random.Random(1)
+    word = "".join(rng.choices("abcdehinrst1漢", k=2_000_000))
+    began = time.process_time()
+    ids = pieces.fold_long(word, PIECES, pieces.Joins(PIECES))
+    assert time.process_time() - began < 30 and pieces.decode_ids(ids.tolist(), PIECES, False) == word
+    part = word[:20_000]
+    assert pieces.fold_long(pieces.SPACE + part, PIECES, pieces.Joins(PIECES)).tolist() == LIBRARY.encode(part)
 
 
 def test_tasks_forget_words_but_not_ids(spark, monkeypatch):
     monkeypatch.setattr(pieces, "_CACHE", 20)
     store = pieces.WordIds(PIECES, [" the"], LIBRARY.encode("the"), [1], False)
     for text in ("the quick brown fox", "漢字 " + "long" * 40, "a b c d e f g h i j k l m n o p q r s t u v w", "the quick end"):
-        flat, sizes, good = store.encode([pieces.words_of(text), []])
+        flat, sizes, good = store.encode([text, None])
         assert flat.tolist() == LIBRARY.encode(text) and sizes.tolist() == [len(flat), 0] and good.all()
 
 
