@@ -34,6 +34,7 @@ from logsift.operators import topn  # noqa: E402
 from logsift.operators import vpc  # noqa: E402
 from logsift.plans import bundle, states  # noqa: E402
 from logsift.sources.cloudtrail import cloudtrail_rejects, identity_wide, parse_cloudtrail_docs, read_cloudtrail  # noqa: E402
+from logsift.sources import manifest  # noqa: E402
 from logsift.sources.parsed import load_parsed  # noqa: E402
 from logsift.sources.ranges import read_cloudtrail_ranges  # noqa: E402
 from logsift.sources.s3 import parse_s3_lines, read_s3_access, s3_rejects  # noqa: E402
@@ -115,13 +116,23 @@ def _ct_files_split(s, d):
     path, key = fx.landing_folder(s, "document"), "spark.sql.files.maxPartitionBytes"
     fx.single_document(s, d, path)
     before = s.conf.get(key)
-    s.conf.set(key, str(1 << 18))
+    s.conf.set(key, str(1 << 20))
     try:
         return _ct_columns(read_cloudtrail_ranges(s, path)).drop("source_file")
     finally:
         s.conf.set(key, before)
 
 
+MANIFEST_DAYS = ("2024-01-05", "2024-01-14")
+
+
+def _ct_files_manifest(s, d):
+    """The events delivered on some days: the manifest lists and reads those days' files only."""
+    root, table = fx.landed_archive(s, d), fx.landing_folder(s, "manifest")
+    manifest.update_manifest(s, root, table, "cloudtrail")
+    return _ct_columns(manifest.read_manifest(s, manifest.manifest_files(s, table, *MANIFEST_DAYS), "cloudtrail")).drop("source_file")
+
+
 def _load(log_type, frame, columns):
     def run(s, d):
         path = fx.landing_folder(s, log_type)
@@ -265,6 +276,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s3_files_gzip": _s3_files("gzip"),
         "ct_files": _ct_files("none"),
         "ct_files_gzip": _ct_files("gzip"),
+        "ct_files_manifest": _ct_files_manifest,
         "ct_files_split": _ct_files_split,
         "load_vpc": _load("vpc", fx.vpc_frame, _vpc_columns),
         "load_vpc_csv": _load_vpc_csv,

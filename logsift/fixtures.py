@@ -233,6 +233,23 @@ def landed_json(spark: SparkSession, sf_dir: str, compression: str = "none") ->
     return path
 
 
+def landed_archive(spark: SparkSession, sf_dir: str) -> str:
+    """CloudTrail records as JSON-Lines files named ``.json.gz`` in an archive by account, region and event day; returns its root."""
+    recs = ct_raw_records(spark, sf_dir).select("rec.*")
+    day = F.split(F.substring("eventTime", 1, 10), "-")
+    folder = landing_folder(spark, "days")
+    dated = recs.withColumns({"__y": day[0], "__m": day[1], "__d": day[2]}).repartition("__y", "__m", "__d")
+    dated.select("__y", "__m", "__d", F.to_json(F.struct(*recs.columns)).alias("value")).write.option("compression", "gzip").partitionBy("__y", "__m", "__d").text(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(hadoop.Path(f"{folder}/__y=*/__m=*/__d=*/part-*")):
+        *_, y, m, d, name = part.getPath().toString().split("/")
+        target = "/".join([folder, "AWSLogs/123456789012/CloudTrail/us-east-1", *[x.split("=")[1] for x in (y, m, d)]])
+        files.mkdirs(hadoop.Path(target))
+        files.rename(part.getPath(), hadoop.Path(f"{target}/{name.replace('.txt.gz', '.json.gz')}"))
+    return f"{folder}/AWSLogs"
+
+
 def single_document(spark: SparkSession, sf_dir: str, path: str) -> None:
     """All CloudTrail records as one ``Records`` document (``.json``), which one task writes; its last value is a null."""
     recs = ct_raw_records(spark, sf_dir).select(F.concat(F.to_json("rec"), F.lit(",")).alias("value"))

@@ -438,6 +438,7 @@ def _source_oracles(q: dict) -> None:
                          ("load_s3", "s3_parse_lines"), ("ct_files", "ct_parse_records"), ("ct_files_gzip", "ct_parse_records"), ("ct_files_split", "ct_parse_records"),
                          ("load_cloudtrail", "ct_parse_records")):
         q[name] = _without_file(q[parsed])
+    q["ct_files_manifest"] = f"SELECT * FROM ({q['ct_files']}) WHERE substr(event_time, 1, 10) BETWEEN '2024-01-05' AND '2024-01-14'"
     q["vpc_rejects"] = with_views("""
 f AS (SELECT printf('flow-%03d.log', l_orderkey % 64) AS source_file FROM vpc WHERE l_linenumber = 1)
 SELECT source_file, reason, count(*) AS rejected
