@@ -15,6 +15,7 @@ Outputs use only string/bigint/double columns; times are formatted
 from __future__ import annotations
 
 import functools
+import json
 import os
 import sys
 from collections.abc import Callable
@@ -30,14 +31,14 @@ from logsift.functions.common import fmt_ts, sum0  # noqa: E402
 from logsift.operators import cloudtrail as ct  # noqa: E402
 from logsift.operators import report as rpt  # noqa: E402
 from logsift.operators import s3 as s3a  # noqa: E402
-from logsift.operators import topn  # noqa: E402
-from logsift.operators import vpc  # noqa: E402
+from logsift.operators import topn, vpc  # noqa: E402
+from logsift.operators.enrich import read_tactic_file, tactic_lookup  # noqa: E402
 from logsift.plans import bundle, states  # noqa: E402
-from logsift.sources.cloudtrail import cloudtrail_rejects, identity_wide, parse_cloudtrail_docs, read_cloudtrail  # noqa: E402
+from logsift.sources.cloudtrail import cloudtrail_rejects, identity_keys, identity_wide, parse_cloudtrail_docs, read_cloudtrail  # noqa: E402
 from logsift.sources import manifest  # noqa: E402
 from logsift.sources.parsed import load_parsed  # noqa: E402
 from logsift.sources.ranges import read_cloudtrail_ranges  # noqa: E402
-from logsift.sources.s3 import parse_s3_lines, read_s3_access, s3_rejects  # noqa: E402
+from logsift.sources.s3 import parse_s3_lines, read_s3_access, s3_rejects, s3_time_offset  # noqa: E402
 from logsift.sources.vpc import parse_vpc_lines, read_vpc_flow, vpc_rejects  # noqa: E402
 
 try:                      # the corpus operators are optional; a broken import inside them is an error
@@ -239,6 +240,56 @@ def _export_vpc(s, d):
     return bundle.export_frame(fx.vpc_frame(s, d), "vpc")
 
 
+def _export(log_type, frame):
+    """The rows of the ordered export beside its column order."""
+    def run(s, d):
+        out = bundle.export_frame(frame(s, d), log_type)
+        return out.withColumn("column_order", F.lit("|".join(out.columns)))
+    return run
+
+
+def _load_ct_csv(s, d):
+    """CloudTrail in the original CSV layout, with a column for every key that the identities have."""
+    path, parsed = fx.landing_folder(s, "ct-csv"), _ct_parsed(s, d)
+    keys = sorted(r.key for r in identity_keys(parsed).collect())       # distinct keys of a record element
+    bundle.export_frame(parsed, "cloudtrail", keys).write.option("header", "true").option("escape", '"').csv(path)
+    return _ct_columns(load_parsed(s, path, "cloudtrail", fmt="csv")).drop("source_file")
+
+
+def _load_s3_csv(legacy):
+    """S3 in the original CSV layout; ``legacy`` has the bracketed time in ``request_datetime``."""
+    def run(s, d):
+        path = fx.landing_folder(s, "s3-csv")
+        out = bundle.export_frame(_s3_parsed(s, d), "s3")
+        if legacy:
+            out = out.withColumn("request_datetime", F.col("original_timestamp")).drop("request_datetime_(UTC+0)")
+        out.write.option("header", "true").option("escape", '"').csv(path)
+        return _s3_columns(load_parsed(s, path, "s3", fmt="csv")).drop("source_file")
+    return run
+
+
+TACTIC_FILE = {"cloudtrail": {"Alpha": ["GetObject", "ListUsers"], "Beta": ["ListUsers", "CreateUser", "NoSuchEvent"], "Gamma": ["ListUsers"]}}
+
+
+def _ct_tactics_file(s, d):
+    """Hits by the tactics of a user's file, under every policy for names listed twice."""
+    path, events = fx.landing_folder(s, "tactics"), fx.ct_frame(s, d)
+    s.createDataFrame([(json.dumps(TACTIC_FILE),)], "value string").coalesce(1).write.text(path)
+    config = read_tactic_file(s, path)
+    parts = [ct.ct_tactics(events, tactic_lookup(s, "cloudtrail", config, policy)).withColumn("policy", F.lit(policy)) for policy in ("first", "last", "all")]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _ct_files_lineage(s, d):
+    """Which file every event came from."""
+    return read_cloudtrail(s, fx.landed_archive(s, d), columns=["event_id"]).select("event_id", "source_file")
+
+
+def _s3_time_offsets(s, d):
+    lines = fx.view(s, d, "s3")
+    return lines.select("request_id", "original_timestamp", s3_time_offset("original_timestamp").alias("time_offset"))
+
+
 # end to end: raw log text -> parser -> analysis (same results as on the typed views)
 
 def _vpc_parsed(s, d):
@@ -280,6 +331,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ct_files_split": _ct_files_split,
         "load_vpc": _load("vpc", fx.vpc_frame, _vpc_columns),
         "load_vpc_csv": _load_vpc_csv,
+        "load_cloudtrail_csv": _load_ct_csv,
+        "load_s3_csv": _load_s3_csv(False),
+        "load_s3_csv_legacy": _load_s3_csv(True),
+        "ct_files_lineage": _ct_files_lineage,
+        "s3_time_offsets": _s3_time_offsets,
+        "ct_identity_keys": lambda s, d: identity_keys(_ct_parsed(s, d)),
         "load_s3": _load("s3", _s3_parsed, _s3_columns),
         "load_cloudtrail": _load("cloudtrail", _ct_parsed, _ct_columns),
         "ct_identity_wide": _ct_identity_wide,
@@ -323,6 +380,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ct_create_user": lambda s, d: ct.ct_create_user(ctf(s, d)),
         "ct_tactics": lambda s, d: ct.ct_tactics(ctf(s, d)),
         "ct_tactic_events": _ct_tactic_events,
+        "ct_tactics_file": _ct_tactics_file,
+        "ct_failed_preview": lambda s, d: ct.failed_auth_preview(ctf(s, d)),
         # report series
         "rpt_login_status": lambda s, d: rpt.login_status_counts(ct.ct_console_login(ctf(s, d), days=30, as_of=AS_OF)),
         "rpt_creators": lambda s, d: rpt.top_creators(ct.ct_create_user(ctf(s, d))),
@@ -345,6 +404,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # sinks
         "run_summary": _run_summary,
         "export_column_order": _export_vpc,
+        "export_cloudtrail": _export("cloudtrail", ctf),
+        "export_s3": _export("s3", s3f),
         "bundle_cloudtrail": _bundle("cloudtrail", ctf),
         "bundle_vpc": _bundle("vpc", vpcf),
         "bundle_s3": _bundle("s3", s3f),

@@ -243,10 +243,11 @@ def landed_archive(spark: SparkSession, sf_dir: str) -> str:
     hadoop = spark._jvm.org.apache.hadoop.fs
     files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     for part in files.globStatus(hadoop.Path(f"{folder}/__y=*/__m=*/__d=*/part-*")):
-        *_, y, m, d, name = part.getPath().toString().split("/")
+        *_, y, m, d, _ = part.getPath().toString().split("/")
         target = "/".join([folder, "AWSLogs/123456789012/CloudTrail/us-east-1", *[x.split("=")[1] for x in (y, m, d)]])
         files.mkdirs(hadoop.Path(target))
-        files.rename(part.getPath(), hadoop.Path(f"{target}/{name.replace('.txt.gz', '.json.gz')}"))
+        # a day was written by one task
+        files.rename(part.getPath(), hadoop.Path(f"{target}/trail-{''.join(x.split('=')[1] for x in (y, m, d))}.json.gz"))
     return f"{folder}/AWSLogs"
 
 
@@ -265,7 +266,7 @@ def single_document(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 def ct_raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``ct`` view as CloudTrail record structs (``rec``) with a file name."""
-    v = view(spark, sf_dir, "ct")
+    v = view(spark, sf_dir, "ct", spread_rows=True)
     identity = F.struct(F.lit("IAMUser").alias("type"), F.col("arn").alias("arn"),
                         F.lit("123456789012").alias("accountId"), F.col("user_name").alias("userName"),
                         F.struct(F.struct(F.lit("false").alias("mfaAuthenticated")).alias("attributes"))

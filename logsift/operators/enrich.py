@@ -10,7 +10,9 @@ statistics (and again at run time with AQE).
 from __future__ import annotations
 
 import itertools
+import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,17 @@ def port_service_lookup(spark: SparkSession, ports: dict | None = None) -> DataF
     return F.broadcast(lookup) if ports is None else lookup
 
 
+def read_tactic_file(spark: SparkSession, path: str) -> dict:
+    """:func:`~logsift.lookups.load_tactic_config` for a path on any storage that Spark reads."""
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return {}
+    return lookups.checked_tactics(json.loads(text[0] if text else ""), path)
+
+
 def tactic_lookup(spark: SparkSession, log_type: str = "cloudtrail", config: dict | DataFrame | None = None,
                   policy: str | None = None) -> DataFrame:
     """``(name, tactic)`` lookup for one log type.

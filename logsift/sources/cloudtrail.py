@@ -95,8 +95,10 @@ def _opened(docs: DataFrame) -> DataFrame:
     first = strip_ws(F.regexp_extract(text, r"^\s*([^\n]*)", 1))
     # columns of their own: inside the generator every reference would run them again
     staged = docs.select(
-        "value", "source_file", F.regexp_extract(text, r"^\s*(\S)", 1).alias("head"), _parses(first).alias("first_parses"),
+        "value", "source_file", F.regexp_extract(text, r"^\s*(\S)", 1).alias("head"),
         text.rlike(r"^\s*\S[^\n]*\n\s*\S").alias("more_lines"))
+    # a document on one line is parsed once, as a whole
+    staged = staged.withColumn("first_parses", F.coalesce(F.when(F.col("more_lines"), _parses(first)), F.lit(False)))
     staged = staged.withColumn("root", F.when(F.col("head") == "{", F.from_json(text, _ROOT, _OPTIONS)))
     staged = staged.withColumn("whole", F.when(F.col("head") == "[", F.from_json(text, "array<string>"))
                                .otherwise(_wrapped(F.col("root"), text)))
@@ -247,6 +249,15 @@ def read_cloudtrail(spark: SparkSession, path: str | list[str], lines_regex: str
     return out if lines is None else out.unionByName(parse_cloudtrail_lines(lines, offsets, columns, rejects))
 
 
+def identity_keys(df: DataFrame) -> DataFrame:
+    """``(key, events)``: every key that some ``user_identity`` has, in one pass (a row per task and key is shuffled).
+
+    Give the keys to :func:`identity_wide` or to the ordered export to get a column for each.
+    """
+    keys = df.select(F.explode(F.map_keys("user_identity")).alias("key"))
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("events"))
+
+
 def identity_wide(df: DataFrame, keys: list[str] = IDENTITY_KEYS) -> DataFrame:
     """Wide view of ``user_identity``: a ``userIdentity.<key>`` column for each of ``keys``.
 

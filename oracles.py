@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from logsift import lookups
 from logsift.fixtures import view_sql_for_duckdb
+from logsift.schemas import IDENTITY_KEYS
 
 TS = "'%Y-%m-%d %H:%M:%S'"
 
@@ -333,6 +334,15 @@ SELECT k AS {key}, n AS {cnt}, {pct_sql('n', 'total')} AS {pc} FROM g, t WHERE k
                                                     lookups.UA_DETAILED_EMPTY),
                                "user_agent_type", "usage_count", "usage_pct")
     ua = classify_sql("user_agent", lookups.UA_DETAILED_RULES, lookups.UA_DETAILED_EMPTY)
+    q["ct_tactics_file"] = _ct("""
+f(tactic, name, pos) AS (VALUES ('Alpha', 'GetObject', 1), ('Alpha', 'ListUsers', 2), ('Beta', 'ListUsers', 3), ('Beta', 'CreateUser', 4),
+    ('Beta', 'NoSuchEvent', 5), ('Gamma', 'ListUsers', 6)),
+p AS (SELECT 'first' AS policy, name, arg_min(tactic, pos) AS tactic FROM f GROUP BY name
+      UNION ALL SELECT 'last', name, arg_max(tactic, pos) FROM f GROUP BY name UNION ALL SELECT 'all', name, tactic FROM f),
+h AS (SELECT event_name, count(*) AS hit_count FROM ctf GROUP BY event_name),
+t AS (SELECT sum(hit_count) AS total FROM h)
+SELECT policy, tactic, event_name, hit_count, """ + pct_sql("hit_count", "total") + """ AS event_pct
+FROM p JOIN h ON h.event_name = p.name, t""")
     q["rpt_ua_top8"] = _ct(f"""
 g AS (SELECT {ua} AS k, count(*) AS n FROM ctf GROUP BY k),
 t AS (SELECT sum(n) AS total FROM g)
@@ -355,6 +365,12 @@ SELECT dims.category || ' - ' || dims.dimension AS category, d.value, coalesce(d
        coalesce(agg.n, 0) AS distinct_values
 FROM dims LEFT JOIN agg ON dims.category = agg.category AND dims.dimension = agg.dimension
 LEFT JOIN d ON dims.category = d.category AND dims.dimension = d.dimension""")
+    q["ct_failed_preview"] = f"""
+WITH f AS ({q['ct_failed_auth']}),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY count DESC, value) AS rank FROM f)
+SELECT category, any_value(distinct_values) AS distinct_values,
+       string_agg(CASE WHEN value IS NULL THEN 'N/A' ELSE value || ' (' || count || ')' END, '; ' ORDER BY rank) AS preview
+FROM r WHERE rank <= 20 GROUP BY category"""
     q["ct_failed_events"] = _ct(f"""
 hits AS ({_failure_sql(lookups.FAILURE_EVENT_CATEGORY_NAMES)})
 SELECT category, strftime(event_time, {TS}) AS failure_time, source_ip_address AS failure_ip,
@@ -430,6 +446,12 @@ def _without_file(sql: str) -> str:
     return f"SELECT * EXCLUDE (source_file) FROM ({sql})"
 
 
+def _exported(columns: dict[str, str]) -> str:
+    """Export columns (name -> SQL) with NULL as '', and their order."""
+    parts = [f"coalesce({sql}, '') AS \"{name}\"" for name, sql in columns.items()]
+    return ", ".join([*parts, f"{_q('|'.join(columns))} AS column_order"])
+
+
 def _source_oracles(q: dict) -> None:
     q["ct_parse_dupkeys"] = q["ct_parse_bad_record"] = q["ct_parse_records"]
     q["ct_parse_single"] = (f"SELECT * EXCLUDE (source_file), 'ct-' || event_id || '.json' AS source_file FROM ({q['ct_parse_records']})")
@@ -439,6 +461,29 @@ def _source_oracles(q: dict) -> None:
                          ("load_cloudtrail", "ct_parse_records")):
         q[name] = _without_file(q[parsed])
     q["ct_files_manifest"] = f"SELECT * FROM ({q['ct_files']}) WHERE substr(event_time, 1, 10) BETWEEN '2024-01-05' AND '2024-01-14'"
+    for name, parsed in (("load_cloudtrail_csv", "ct_parse_records"), ("load_s3_csv", "s3_parse_lines"), ("load_s3_csv_legacy", "s3_parse_lines")):
+        q[name] = _without_file(q[parsed])
+    q["ct_files_lineage"] = f"""SELECT event_id, 'trail-' || replace(substr(event_time, 1, 10), '-', '') || '.json.gz' AS source_file
+FROM ({q['ct_parse_records']})"""
+    q["s3_time_offsets"] = with_views("""
+o AS (SELECT request_id, original_timestamp, split_part(original_timestamp, ' ', 2) AS t FROM s3)
+SELECT request_id, original_timestamp, substr(t, 1, 5) AS time_offset FROM o""", "s3")
+    q["ct_identity_keys"] = with_views("""
+k AS (SELECT unnest(['type', 'arn', 'accountId', 'sessionContext']) AS key FROM ct UNION ALL SELECT 'userName' FROM ct WHERE user_name IS NOT NULL)
+SELECT key, count(*) AS events FROM k GROUP BY key""", "ct")
+    ident = {"accountId": "'123456789012'", "arn": "user_arn", "type": "'IAMUser'", "userName": "coalesce(user_name, '')"}
+    columns = {"eventTime": f"strftime(event_time, {TS})", "eventTimeLocal": f"coalesce(strftime(event_time_local, {TS}), '')",
+               "awsRegion": "aws_region", "eventName": "event_name", "eventSource": "'iam.amazonaws.com'", "sourceIpAddress": "source_ip_address",
+               "userAgent": "user_agent", "requestElements": "request_elements", "responseElements": "''"}
+    columns |= {f"userIdentity.{k}": ident.get(k, "''") for k in sorted(IDENTITY_KEYS)}
+    columns |= {"errorCode": "error_code", "errorMessage": "error_message", "eventID": "CAST(event_id AS VARCHAR)", "eventType": "'AwsApiCall'",
+                "userIdentity": "''", "sourceFile": "'ct_view'"}
+    q["export_cloudtrail"] = _ct("x AS (SELECT 1)\nSELECT " + _exported(columns) + " FROM ctf")
+    columns = {"original_timestamp": "original_timestamp", "request_datetime_(UTC+0)": f"strftime(request_datetime, {TS})", "remote_ip": "remote_ip",
+               "operation": "operation", "request_uri": "'GET ' || key || ' HTTP/1.1'", "http_status_code": "'200'",
+               "bytes_sent": "CAST(bytes_sent AS VARCHAR)", "user_agent": "user_agent", "requester": "requester", "bucket_owner": "bucket_owner",
+               "bucket": "bucket", "request_id": "request_id", "key": "key", "error_code": "'-'", "sourceFile": "'s3_view'"}
+    q["export_s3"] = _s3("x AS (SELECT 1)\nSELECT " + _exported(columns) + " FROM s3f")
     q["vpc_rejects"] = with_views("""
 f AS (SELECT printf('flow-%03d.log', l_orderkey % 64) AS source_file FROM vpc WHERE l_linenumber = 1)
 SELECT source_file, reason, count(*) AS rejected
