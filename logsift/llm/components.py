@@ -1,8 +1,9 @@
 """Connected components of a graph held as a table of edges, by alternating large-star and small-star steps.
 
 Each step replaces the neighbours of a vertex by edges to their minimum.  The
-minimum is a partially aggregated ``min`` joined back to the edges, so a vertex
-with very many edges is never gathered in one task.  Lineage is cut after every
+minimum is a partially aggregated ``min`` joined back to the edges.  The edges of
+a vertex with very many of them meet in one task of that join, row by row and
+never as a group, unless AQE splits its partition.  Lineage is cut after every
 round in the shared checkpoint folder; the driver sees two numbers per round.
 """
 

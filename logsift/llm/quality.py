@@ -64,12 +64,13 @@ def features_of(text: bytes) -> list[float]:
     lengths = np.fromiter(map(len, words), np.int64, n)
     lines = text.split(b"\n")
     m, k = max(n, 1), max(n - 1, 1)
-    half = n // 2
-    periodic = 0.0
-    if n > 8:
-        first = words[0]
-        periods = [i for i in range(1, min(n - 1, 200)) if words[i] == first][:4]
-        periodic = max((sum(map(bytes.__eq__, words[:half], words[i:half + i])) / max(half, 1) for i in periods), default=0.0)
+    # a text that loops has one gap between most words and their last occurrence
+    last, gaps = {}, []
+    for i, w in enumerate(words):
+        if w in last:
+            gaps.append(i - last[w])
+        last[w] = i
+    periodic = float(np.bincount(gaps).max()) / m if gaps else 0.0
     return [
         math.log1p(size), math.log1p(n), size / m, *(_MASKS @ share), float(-(p * np.log2(p)).sum()) if size else 0.0,
         len(counts) / m, max(counts.values(), default=0) / m, sum(map(bytes.__eq__, words, words[1:])) / k,

@@ -135,7 +135,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.distinct()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -166,6 +166,9 @@ def best_in_tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     distinct = np.cumsum(new) - 1
     begin = np.append(np.flatnonzero(new), len(v))
     u = v[order[new]]
+    # vectors beyond one for each id: so many of the best vectors may add no row
+    pairs = np.unique(np.rec.fromarrays((ids[order], distinct)))
+    several = len(pairs) - len(np.unique(ids))
     names = np.unique(lists)
     holds = np.zeros((len(names), len(u)), np.float32)
     holds[np.searchsorted(names, lists[order]), distinct] = 1
@@ -187,8 +190,9 @@ def best_in_tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
             continue
         rough = q[block] @ u[cols].T
         rough[visited[block][:, near] @ holds[near][:, cols] == 0] = -np.inf
-        # the k + 1 best distinct vectors hold k rows besides the query's own; all that may tie with the last of them stay
-        last = len(cols) - min(k + 1, len(cols))
+        # the k + 1 best distinct vectors (and one for each that an id has beside another) hold k ids besides the
+        # query's own; all that may tie with the last of them stay
+        last = len(cols) - min(k + 1 + several, len(cols))
         least = np.partition(rough, last, axis=1)[:, last] - slack * np.linalg.norm(q[block], axis=1)
         for i, row in enumerate(block.tolist()):
             best = cols[np.flatnonzero((rough[i] >= least[i]) & np.isfinite(rough[i]))]
@@ -196,8 +200,10 @@ def best_in_tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
             n = np.minimum(begin[best + 1] - begin[best], 2 * REPLICAS * (k + 1))    # copies beyond those rank too low
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             copies = ids[order[np.repeat(begin[best], n) + inside]]
-            copies, first = np.unique(copies, return_index=True)
-            score = np.repeat(score, n)[first]
+            score = np.repeat(score, n)
+            down = np.argsort(-score, kind="stable")                   # an id counts by its best vector
+            copies, first = np.unique(copies[down], return_index=True)
+            score = score[down][first]
             other = copies != query_ids[row]
             copies, score = copies[other], score[other]
             rank = np.lexsort((copies, -score))[:k]
@@ -265,7 +271,8 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "v
                 [pa.array(groups, pa.int64()), b.column("vec_id").take(take), b.column("v").take(take), pa.array(lists, pa.list_(pa.int64()))],
                 names=["group", "query_id", "v", "lists"])
 
-    visits = stage(rows.where(is_query).mapInArrow(visit, "group long, query_id long, v array<double>, lists array<long>"), "visits", files)
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))      # of an id with several vectors, the smallest asks
+    visits = stage(asked.mapInArrow(visit, "group long, query_id long, v array<double>, lists array<long>"), "visits", files)
     # one row per centroid, and one per group: how many tiles a group's rows and its queries are dealt to
     groups = spark.createDataFrame(list(enumerate(group.tolist())), "list long, group long")
     rows_in = np.bincount(group, full, minlength=1)
