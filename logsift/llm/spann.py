@@ -22,8 +22,9 @@ alike wherever a pair meets, so equal vectors tie exactly and ties go to the
 smaller id.
 
 Defined cases: vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part, neither do null ids; an id
-that repeats counts once; fewer than ``k`` other rows give as many; an empty
+hold null or non-finite components take no part, neither do null ids; equal rows
+count once, and an id with several vectors is found by its best one and asks with
+its smallest; fewer than ``k`` other rows give as many; an empty
 table gives an empty result.
 """
 

@@ -23,7 +23,8 @@ distance, and only about one suffix in 70 is sorted:
    window starts, where token and rest are the window itself.
 4. Repeated starts are merged per document and cut out of its text.
 
-Equality of byte strings is judged on 128 bits of hash.  Texts are taken whole;
+Equality of byte strings is judged on a hash of 128 bits of all of them (``rest`` and
+``more``), beside that of the leading bytes.  Texts are taken whole;
 a long text is scanned in overlapping pieces, so memory doesn't follow its
 length times a constant of numpy arrays.
 
@@ -51,8 +52,8 @@ BLOCK = 16
 _PIECE = 1 << 19          # window starts scanned at once
 _RUNS = 1 << 12           # runs refined at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_COLS = ["token", "rest", "row_id", "start", "starts", "back"]
-_SCHEMA = "token long, rest long, row_id long, start long, starts int, back int"
+_COLS = ["token", "rest", "more", "row_id", "start", "starts", "back"]
+_SCHEMA = "token long, rest long, more long, row_id long, start long, starts int, back int"
 _BITS = (1 << 64) - 1
 
 
@@ -108,13 +109,14 @@ def _suffixes(rows: list[int], texts: list[bytes], length: int, lead: int):
         ends = np.cumsum([len(p) for _, _, p in held])
         begin = ends - [len(p) for _, _, p in held]
         s, n, suffix, h = picked(buf, begin, ends, length, lead)
-        digest = xxhash.xxh3_64_intdigest
-        rest = np.fromiter((digest(buf[a:b]) for a, b in zip(s.tolist(), (s + n + length - 1).tolist())), np.uint64, len(s))
-        rest ^= (suffix - s).astype(np.uint64) * _ODD
+        digest = xxhash.xxh3_128_digest
+        whole = b"".join([digest(buf[a:b]) for a, b in zip(s.tolist(), (s + n + length - 1).tolist())])
+        rest, more = np.frombuffer(whole, ">u8").reshape(-1, 2).astype(np.uint64).T
+        rest = rest ^ (suffix - s).astype(np.uint64) * _ODD
         piece = np.searchsorted(begin, s, side="right") - 1
         row = np.array([r for r, _, _ in held], np.int64)[piece]
         off = np.array([o for _, o, _ in held], np.int64)[piece]
-        return pa.record_batch([pa.array(x) for x in (h[suffix].view(np.int64), rest.view(np.int64), row, s - begin[piece] + off,
+        return pa.record_batch([pa.array(x) for x in (h[suffix].view(np.int64), rest.view(np.int64), np.ascontiguousarray(more).view(np.int64), row, s - begin[piece] + off,
                                                       n.astype(np.int32), (suffix - s).astype(np.int32))], names=_COLS)
 
     held, size = [], 0
@@ -137,7 +139,7 @@ def sorted_repeats(suffixes: DataFrame, label: str, files: int, last: bool = Fal
     rest of such a token does with a row or two.  Rows with neither mark (with ``last``, those that
     don't occur again) are left out.
     """
-    keys = _COLS[:4]
+    keys = _COLS[:5]
     ordered = suffixes.select(_COLS).repartitionByRange(partitions(suffixes.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def compare(batches):
@@ -155,7 +157,7 @@ def sorted_repeats(suffixes: DataFrame, label: str, files: int, last: bool = Fal
             new = [b.column(c).to_numpy() for c in _COLS]
             rows = new if held is None else [np.concatenate((h, n)) for h, n in zip(held, new)]
             token = rows[0][1:] == rows[0][:-1]
-            same = token & (rows[1][1:] == rows[1][:-1])
+            same = token & (rows[1][1:] == rows[1][:-1]) & (rows[2][1:] == rows[2][:-1])
             again = np.concatenate(([again_held], same))          # towards the row before
             differs = np.concatenate(([differs_held], token & ~same))
             held, again_held, differs_held = [r[-1:].copy() for r in rows], bool(again[-1]), bool(differs[-1])
@@ -174,8 +176,8 @@ def sorted_repeats(suffixes: DataFrame, label: str, files: int, last: bool = Fal
     # two rows per bucket: equal keys of different buckets meet in a small aggregate
     edges = marked.where("edge")
     tokens = edges.groupBy("token").agg(F.count(F.lit(1)).alias("n_token"))
-    wholes = edges.groupBy("token", "rest").agg(F.count(F.lit(1)).alias("n_rest"))
-    settled = (edges.join(tokens, "token").join(wholes, ["token", "rest"])
+    wholes = edges.groupBy("token", "rest", "more").agg(F.count(F.lit(1)).alias("n_rest"))
+    settled = (edges.join(tokens, "token").join(wholes, ["token", "rest", "more"])
                .withColumn("again", F.col("again") | (F.col("n_rest") > 1))
                .withColumn("differs", F.col("differs") | (F.col("n_token") > F.col("n_rest"))))
     names = ["token", "row_id", "start", "starts", "back", "again", "differs"]
@@ -183,8 +185,8 @@ def sorted_repeats(suffixes: DataFrame, label: str, files: int, last: bool = Fal
 
 
 def blocks_of(text: bytes, token: int, start: int, starts: int, back: int, length: int, size: int):
-    """(token, rest, start, starts, back) of the blocks of a run, aligned to the distance from its suffix."""
-    digest = xxhash.xxh3_64_intdigest
+    """(token, rest, more, start, starts, back) of the blocks of a run, aligned to the distance from its suffix."""
+    digest = xxhash.xxh3_128_intdigest
     suffix, at, end = start + back, start, start + starts
     while at < end:
         number = (suffix - at) // size
@@ -193,7 +195,7 @@ def blocks_of(text: bytes, token: int, start: int, starts: int, back: int, lengt
         whole = digest(text[at:upto + length])
         shared = whole if size == 1 else digest(text[suffix - least:suffix - least - size + 1 + length])
         yield ((shared ^ (token + number) * 0x9E3779B97F4A7C15) & _BITS,
-               (whole ^ ((suffix - at) << 32 | upto - at) * 0x9E3779B97F4A7C15) & _BITS, at, upto - at + 1, suffix - at)
+               (whole >> 64 ^ ((suffix - at) << 32 | upto - at) * 0x9E3779B97F4A7C15) & _BITS, whole & _BITS, at, upto - at + 1, suffix - at)
         at = upto + 1
 
 
@@ -208,9 +210,10 @@ def _refined(runs: DataFrame, texts: DataFrame, length: int, size: int) -> DataF
                 values = [own.values.field(c).to_numpy() for c in names]
                 for at in range(0, len(values[0]), _RUNS):     # a long text's runs in parts
                     parts = [k for r in zip(*(v[at:at + _RUNS].tolist() for v in values)) for k in blocks_of(text, *r, length, size)]
-                    token, rest, start, starts, back = zip(*parts)
+                    token, rest, more, start, starts, back = zip(*parts)
                     yield pa.record_batch([pa.array(np.array(token, np.uint64).view(np.int64)),
-                                           pa.array(np.array(rest, np.uint64).view(np.int64)), pa.array(np.full(len(parts), row)),
+                                           pa.array(np.array(rest, np.uint64).view(np.int64)), pa.array(np.array(more, np.uint64).view(np.int64)),
+                                           pa.array(np.full(len(parts), row)),
                                            pa.array(start, pa.int64()), pa.array(starts, pa.int32()), pa.array(back, pa.int32())],
                                           names=_COLS)
 

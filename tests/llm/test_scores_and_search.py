@@ -261,3 +261,16 @@ def test_licences_odd_and_empty(odd, empty):
 def test_licence_plan_stays_native(odd):
     plan = licences.licence_matches(odd)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_every_vector_of_an_id_is_a_candidate(spark):
+    rows = [(1, [5.0, 0.0]), (1, [-1.0, 0.0]), (1, [4.0, 3.0]), (20, [1.0, 0.0]), (20, [-3.0, 0.0]), (3, [2.0, 1.0]), (4, [0.0, 0.0])]
+    rows += [(100 + i, [4.5 - i / 100, 0.0]) for i in range(30)] + [(100 + i, [-9.0, i + 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in spann.op6(df).where("query_id = 20").orderBy("rank").collect()]
+    # an id asks with its smallest vector and is found by its best
+    best = {}
+    for i, v in rows:
+        if i != 20 and any(v):
+            best[i] = max(best.get(i, -1e9), -3.0 * v[0])
+    assert got == [(n + 1, i, s) for n, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20])]
