@@ -142,6 +142,20 @@ def _load(log_type, frame, columns):
     return run
 
 
+def _over_landed(log_type, frame, analysis):
+    """An analysis over the landed table, whose layout its filters use."""
+    def run(s, d):
+        path = fx.landing_folder(s, log_type)
+        bundle.write_parsed(frame(s, d), path, log_type)
+        return analysis(load_parsed(s, path, log_type))
+    return run
+
+
+def _events_of_ip(df):
+    e = ct.events_of(df, "source_ip_address", ["10.0.1.13", "10.0.3.7", "192.0.2.1"])
+    return e.select("event_id", "source_ip_address", "event_name", fmt_ts("event_time").alias("event_time"))
+
+
 def _load_vpc_csv(s, d):
     path = fx.landing_folder(s, "vpc-csv")
     bundle.export_ordered(fx.vpc_frame(s, d), "vpc", path)
@@ -352,6 +366,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vpc_top_ips_tput": lambda s, d: topn.vpc_top_ips_tput(fx.spread(vpcf(s, d))),
         "ct_top_ips_tput": lambda s, d: topn.ct_top_ips_tput(fx.spread(ctf(s, d))),
         "s3_requesters_tput": lambda s, d: topn.s3_requesters_tput(fx.spread(s3f(s, d))),
+        # over landed tables: night hours and point lookups pruned by the files' statistics
+        "ct_night_ips_landed": _over_landed("cloudtrail", ctf, ct.ct_night_ips),
+        "ct_night_events_landed": _over_landed("cloudtrail", ctf, ct.ct_night_events),
+        "vpc_night_remote_landed": _over_landed("vpc", vpcf, vpc.vpc_night_remote),
+        "ct_events_of_ip": _over_landed("cloudtrail", ctf, _events_of_ip),
         # states kept by days
         "ct_top_ips_incremental": _incremental("cloudtrail", ctf, "Access_IP_Statistics_(Top_20)"),
         "ct_tactics_incremental": _incremental("cloudtrail", ctf, "Mitre_ATTACK_Tactics"),

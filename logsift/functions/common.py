@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+HOUR_COLUMN = "night_hour"      # of a landed table: the hour that its night filters test
 _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 _WS = " \t\r\n\f\u000b"
 
@@ -90,6 +91,18 @@ def night_window(hour: str | Column, start: int = 22, end: int = 6, inclusive_en
     return F.coalesce((h >= start) | upper, F.lit(False))
 
 
+def night_rows(df: DataFrame, time: str, start: int = 22, end: int = 6, inclusive_end: bool = False) -> Column:
+    """:func:`night_window` as a row filter, on the landed hour of ``time`` (``HOUR_COLUMN``) where the table has it.
+
+    A comparison with a stored column reaches the files: those, row groups and pages whose hours can't
+    match aren't read.  A NULL hour is not night.
+    """
+    if HOUR_COLUMN not in df.columns:
+        return night_window(F.hour(time), start, end, inclusive_end)
+    h = F.col(HOUR_COLUMN)
+    return (h >= start) | ((h <= end) if inclusive_end else (h < end))
+
+
 def pct(n: str | Column, total: str | Column) -> Column:
     """``round(n / total * 100, 2)`` with exact half-even rounding, as a double.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import lookups
 from ..functions.classify import classify_user_agent, failure_category_match
-from ..functions.common import fmt_ts, last_days, night_window, order_desc, top_n, with_pct
+from ..functions.common import fmt_ts, last_days, night_rows, order_desc, top_n, with_pct
 from ..schemas import IDENTITY_COLUMNS
 from .enrich import tactic_lookup, tag_tactics
 
@@ -95,7 +95,7 @@ def rank_ips(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
 
 def ct_night_ips(df: DataFrame, start_hour: int = 22, end_hour: int = 6, inclusive_end: bool = False) -> DataFrame:
     """Events per source IP at night (region-local hour), most active first."""
-    night = df.filter(night_window(F.hour("event_time_local"), start_hour, end_hour, inclusive_end)
+    night = df.filter(night_rows(df, "event_time_local", start_hour, end_hour, inclusive_end)
                       & F.col("source_ip_address").isNotNull())
     agg = night.groupBy(F.col("source_ip_address").alias("ip")).agg(F.count(F.lit(1)).alias("access_count"))
     return top_n(agg, "access_count", None, ["ip"])
@@ -103,7 +103,7 @@ def ct_night_ips(df: DataFrame, start_hour: int = 22, end_hour: int = 6, inclusi
 
 def ct_night_events(df: DataFrame, start_hour: int = 22, end_hour: int = 6, inclusive_end: bool = True) -> DataFrame:
     """Event names at night (region-local hour, 06:xx included) with % of night events."""
-    night = df.filter(night_window(F.hour("event_time_local"), start_hour, end_hour, inclusive_end))
+    night = df.filter(night_rows(df, "event_time_local", start_hour, end_hour, inclusive_end))
     return _frequency(night, "event_name", "event_name", "nightshift_event_count", "event_pct")
 
 
@@ -278,6 +278,12 @@ def ct_create_user(df: DataFrame) -> DataFrame:
     return out.orderBy(F.col("event_time").desc_nulls_last(), F.col("created_user")).drop("event_time")
 
 
+def events_of(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """The events whose ``column`` is one of a few values, for point lookups over a landed table: equality
+    reaches the files' Bloom filters, so row groups without the values aren't read."""
+    return df.where(F.col(column).isin(list(values)))
+
+
 # CT-11 / CT-12 ----------------------------------------------------------------
 
 def _lookup(df: DataFrame | Counts, lookup: DataFrame | None, policy: str | None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import night_window, sum0, top_n
+from ..functions.common import night_rows, sum0, top_n
 from .enrich import port_service_lookup, protocol_name
 
 TYPE_SOURCE = "Source IP"
@@ -61,7 +61,7 @@ def vpc_night_remote(df: DataFrame, ports: dict | None = None, start_hour: int =
     The port list is a small broadcast lookup: an inner broadcast hash join
     filters and names the service in the map stage, before the shuffle.
     """
-    night = df.filter(night_window(F.hour("window_start"), start_hour, end_hour, inclusive_end))
+    night = df.filter(night_rows(df, "window_start", start_hour, end_hour, inclusive_end))
     svc = port_service_lookup(df.sparkSession, ports)
     remote = night.join(svc, night["dstport"] == svc["port"], "inner").drop("port")
     agg = (remote.filter(F.col("srcaddr").isNotNull() & F.col("dstaddr").isNotNull() & F.col("protocol").isNotNull())

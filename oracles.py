@@ -334,6 +334,10 @@ SELECT k AS {key}, n AS {cnt}, {pct_sql('n', 'total')} AS {pc} FROM g, t WHERE k
                                                     lookups.UA_DETAILED_EMPTY),
                                "user_agent_type", "usage_count", "usage_pct")
     ua = classify_sql("user_agent", lookups.UA_DETAILED_RULES, lookups.UA_DETAILED_EMPTY)
+    q["ct_events_of_ip"] = _ct(f"""
+x AS (SELECT 1)
+SELECT CAST(event_id AS VARCHAR) AS event_id, source_ip_address, event_name, strftime(event_time, {TS}) AS event_time
+FROM ctf WHERE source_ip_address IN ('10.0.1.13', '10.0.3.7', '192.0.2.1')""")
     q["ct_tactics_file"] = _ct("""
 f(tactic, name, pos) AS (VALUES ('Alpha', 'GetObject', 1), ('Alpha', 'ListUsers', 2), ('Beta', 'ListUsers', 3), ('Beta', 'CreateUser', 4),
     ('Beta', 'NoSuchEvent', 5), ('Gamma', 'ListUsers', 6)),
@@ -438,7 +442,8 @@ def _pipeline_oracles(q: dict) -> None:
                              ("ct_top_ips_tput", "ct_top_ips"), ("s3_requesters_tput", "s3_requesters"),
                              ("ct_top_ips_incremental", "ct_top_ips"), ("ct_tactics_incremental", "ct_tactics"),
                              ("vpc_top_connections_incremental", "vpc_top_connections"),
-                             ("s3_operations_incremental", "s3_operations")):
+                             ("s3_operations_incremental", "s3_operations"), ("ct_night_ips_landed", "ct_night_ips"),
+                             ("ct_night_events_landed", "ct_night_events"), ("vpc_night_remote_landed", "vpc_night_remote")):
         q[pipeline] = q[direct]
 
 
