@@ -10,7 +10,7 @@ Catalyst's common-subexpression elimination compute it once for every rule.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups
@@ -84,3 +84,13 @@ def split_requester(c) -> Column:
 def failure_category_match(text: Column, keywords) -> Column:
     """Case-insensitive regex match of any keyword (keywords are regexes, as in the source tool)."""
     return text.rlike("(?i)(" + "|".join(keywords) + ")")
+
+
+def class_counts(df: DataFrame, column: str, classify, out: str, n: str) -> DataFrame:
+    """``(out, n)``: rows by the class of ``column``.
+
+    Rows are counted by the raw value first, and a class is found once for every
+    distinct value instead of once for every row; a hot value is one row per task.
+    """
+    values = df.groupBy(column).agg(F.count(F.lit(1)).alias(n))
+    return values.groupBy(classify(column).alias(out)).agg(F.sum(n).alias(n))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lookups
-from ..functions.classify import classify_user_agent, failure_category_match
+from ..functions.classify import class_counts, classify_user_agent, failure_category_match
 from ..functions.common import fmt_ts, last_days, night_rows, order_desc, top_n, with_pct
 from ..schemas import IDENTITY_COLUMNS
 from .enrich import tactic_lookup, tag_tactics
@@ -117,7 +117,8 @@ def ct_event_names(df: DataFrame | Counts) -> DataFrame:
 def ct_user_agents(df: DataFrame | Counts) -> DataFrame:
     """Detailed user-agent class frequency and % of all events."""
     if not isinstance(df, Counts):
-        df = df.select(classify_user_agent("user_agent").alias("ua"))
+        counted = class_counts(df, "user_agent", classify_user_agent, "value", "n")
+        df = Counts(counted.select(F.lit("ua").alias("dimension"), "value", "n"))
     return _frequency(df, "ua", "user_agent_type", "usage_count", "usage_pct")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups
-from ..functions.classify import classify_user_agent_coarse, split_requester
+from ..functions.classify import class_counts, classify_user_agent_coarse, split_requester
 from ..functions.common import order_desc, top_n, with_pct
 from ..schemas import S3_EVENT_DISPLAY_NAMES
 from .enrich import tactic_lookup, tag_tactics
@@ -66,9 +66,7 @@ def rank_operations(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
 
 def s3_user_agents(df: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
     """Coarse user-agent class frequency with % of all requests; top N classes."""
-    agg = df.groupBy(classify_user_agent_coarse("user_agent").alias("user_agent_type")).agg(
-        F.count(F.lit(1)).alias("usage_count"))
-    return rank_user_agents(agg, top_n_rows)
+    return rank_user_agents(class_counts(df, "user_agent", classify_user_agent_coarse, "user_agent_type", "usage_count"), top_n_rows)
 
 
 def rank_user_agents(agg: DataFrame, top_n_rows: int | None = 20) -> DataFrame:
