@@ -1,7 +1,9 @@
 """Licence scan: text units against licence templates by Dice coefficient over word bigrams.
 
-Units are the lines of a text, and its paragraphs (parted by blank lines) that
-span several lines.  A unit is lower-cased, every ASCII character but letters
+Units are the lines of a text, its paragraphs (parted by blank lines) that span
+several lines, its comments (runs of several lines that begin with a comment mark,
+with or without code right above or below) and the paragraphs of comments (parted
+by lines that hold only marks).  A unit is lower-cased, every ASCII character but letters
 and digits parts words, and its distinct word bigrams make a set.  With A the
 unit's set and B a template's, Dice is 2|A and B| / (|A| + |B|); a unit matches
 a template at ``THRESHOLD`` or more, and the best template (then the smallest
@@ -18,10 +20,10 @@ after; the others meet the templates of the probes they hold, each once.
 Templates are notices, whole short licences (also a list of clauses without its
 disclaimer), file headers whole and by paragraph, and the bodies of Apache-2.0,
 GPL, LGPL, AGPL, MPL and CC0 whole and by paragraph, so a licence is found on one
-line, in a comment without blank lines, and in paragraphs.  Comment marks part
-words, but a line that holds only marks is not blank, and runs of lines or
-paragraphs inside a longer unit are not units: a licence that runs into code
-without a blank line is found only while Dice with the whole unit allows.
+line, in a comment above code, and in paragraphs.  Comment marks part words.  Other
+runs of lines or paragraphs inside a longer unit are not units: a licence that runs
+into other prose without a blank line is found only while Dice with the whole unit
+allows.
 
 Everything is DataFrame functions; the template table is the fixed list below,
 a few hundred rows at most, and the only thing that is broadcast.
@@ -44,6 +46,10 @@ from .licence_texts import BODIES, HEADERS, WHOLE
 THRESHOLD = 0.8
 LEAST_PARAGRAPH = 12      # bigrams of a body's paragraph that is a template of its own; shorter ones are headings and list marks
 
+COMMENT = r"^[ \t]*[#*/;%-]"                                     # a line of a comment
+COMMENT_WORDS = COMMENT + r".*[0-9A-Za-z\x80-\x{10ffff}]"        # that has words
+_APART = "\x01"
+
 # Public licence notices and paragraphs, one unit each; whole texts and the paragraphs of bodies follow below.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -167,7 +173,8 @@ def bigram_list(words: Column) -> Column:
 
 
 def units(docs: DataFrame, text: str, clues: list[str]) -> DataFrame:
-    """row_id, doc_id, kind (line or paragraph), unit (number from 0) and ``words`` of every unit that holds a clue."""
+    """row_id, doc_id, kind (line, paragraph, comment or comment paragraph), unit (number from 0) and ``words`` of every
+    unit that holds a clue."""
     def holds(words):
         return F.exists(words, lambda w: w.isin(clues))
 
@@ -177,7 +184,16 @@ def units(docs: DataFrame, text: str, clues: list[str]) -> DataFrame:
     block = F.filter(F.transform(F.split("text", "\n[ \t\r]*\n", -1),
                                  lambda u, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("unit"), u.alias("u"))),
                      lambda s: F.contains(s["u"], F.lit("\n")))
-    parts = base.select("row_id", "doc_id", F.explode(F.concat(line, block)).alias("s"))
+
+    def runs(kind, pattern):
+        """Runs of lines that match, of two lines or more."""
+        marked = F.transform(F.split("text", "\n", -1), lambda u: F.when(u.rlike(pattern), u).otherwise(F.lit(_APART)))
+        return F.filter(F.transform(F.split(F.array_join(marked, "\n"), _APART, -1),
+                                    lambda u, i: F.struct(F.lit(kind).alias("kind"), i.alias("unit"), u.alias("u"))),
+                        lambda s: F.contains(F.btrim(s["u"], F.lit("\n")), F.lit("\n")))
+
+    every = F.concat(line, block, runs("comment", COMMENT), runs("comment paragraph", COMMENT_WORDS))
+    parts = base.select("row_id", "doc_id", F.explode(every).alias("s"))
     words = F.filter(split_words(F.col("s.u")), lambda w: w != "")
     return parts.select("row_id", "doc_id", "s.kind", "s.unit", words.alias("words")).where(holds(F.col("words")))
 
@@ -217,10 +233,15 @@ def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
 WITH t(template, licence, b) AS (VALUES {values}),
 lines AS (SELECT doc_id, 'line' AS kind, string_split(text, chr(10)) AS us FROM documents WHERE text IS NOT NULL
           UNION ALL
-          SELECT doc_id, 'paragraph', regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') FROM documents WHERE text IS NOT NULL),
+          SELECT doc_id, 'paragraph', regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') FROM documents WHERE text IS NOT NULL
+          UNION ALL
+          SELECT doc_id, kind, string_split(array_to_string(list_transform(string_split(text, chr(10)),
+              lambda l: CASE WHEN regexp_matches(l, mark) THEN l ELSE chr(1) END), chr(10)), chr(1))
+          FROM documents, (VALUES ('comment', '{COMMENT}'), ('comment paragraph', '{COMMENT_WORDS}')) m(kind, mark)
+          WHERE text IS NOT NULL),
 u AS (SELECT doc_id, kind, unnest(us) AS u, unnest(range(len(us))) AS unit FROM lines),
 w AS (SELECT doc_id, kind, unit, list_filter(regexp_split_to_array(lower(u), '[^0-9a-z\\x80-\\x{{10ffff}}]+'), lambda x: x <> '') AS w
-      FROM u WHERE kind = 'line' OR contains(u, chr(10))),
+      FROM u WHERE kind = 'line' OR contains(CASE kind WHEN 'paragraph' THEN u ELSE trim(u, chr(10)) END, chr(10))),
 g AS (SELECT doc_id, kind, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a
       FROM w WHERE len(w) > 1),
 d AS (SELECT doc_id, kind, unit, licence, template, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice

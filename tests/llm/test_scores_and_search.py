@@ -245,13 +245,31 @@ def test_whole_licences_and_bodies(frame):
     for r in got:
         names.setdefault(r.doc_id, set()).add(r.licence)
     assert "OTHER DEALINGS" in free and names[6] == {"Unlicense"}
-    assert [names.get(i) for i in range(1, 6)] == [{"MIT"}, {"MIT"}, {"GPL-3.0-or-later"}, {"BSD-3-Clause"}, {"BSD-3-Clause"}]
+    # the paragraphs of a comment are units, too: those of a GPL header hold for any version
+    assert [names.get(i) for i in range(1, 6)] == [{"MIT"}, {"MIT"}, {"GPL-3.0-or-later", "GPL"}, {"BSD-3-Clause"}, {"BSD-3-Clause"}]
     for i, name in enumerate(BODIES):
         assert name in names[10 + i] and names[20 + i] == {name}
     few = [r for r in rows if r[0] < 10 or r[0] in (10, 12, 20, 22)]
     assert sorted((r.doc_id, r.kind, r.unit, r.licence, r.template, r.dice) for r in got if r.doc_id in {i for i, _ in few}) == oracle(few)
 
 
+def test_a_licence_comment_right_above_code(frame):
+    """A whole licence in a comment with code or another comment's paragraph beside it, without a blank line."""
+    from logsift.llm.licence_texts import WHOLE
+    mit = next(t for name, t in WHOLE if name == "MIT")
+    lines = [x.strip() for x in mit.strip().split("\n")]
+    code = "\n".join(f"int value_{i} = compute_{i}(input[{i}], scale);" for i in range(60))
+    block = "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */\n" + code
+    hashes = "\n".join(f"# {x}".rstrip() for x in lines) + "\nimport os\n" + code.replace(";", "")
+    slashes = "package main\n" + "\n".join(f"// {x}".rstrip() for x in lines) + "\n" + code
+    rows = [(1, block), (2, hashes), (3, slashes), (4, code), (5, "- one\n- two\n\x01\n* three\n# four"),
+            (6, "# About this module\n#\n" + hashes + "\n" + code)]
+    got = licences.licence_matches(frame([(*r, "en", "a", 0) for r in rows])).collect()
+    assert {r.doc_id for r in got if r.licence == "MIT" and r.kind.startswith("comment")} == {1, 2, 3, 6}
+    assert not any(r.doc_id in (4, 5) for r in got)
+    assert sorted((r.doc_id, r.kind, r.unit, r.licence, r.template, r.dice) for r in got) == oracle(rows)
+
+
 def test_licences_odd_and_empty(odd, empty):
     got = licences.licence_matches(odd).collect()
     assert [(r.doc_id, r.licence, r.dice) for r in got] == [(19, "MIT", 1.0)]
