@@ -49,7 +49,7 @@ from .common import files_for, per_worker, stage
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
-TABLE_WORDS = 1 << 17
+TABLE_WORDS = 1 << 19
 LONGEST = 16              # characters of a piece, at most; checked against the model
 _BITS = 60                # characters of a word whose token edges fit one long
 _CACHE = 1 << 17          # other words a task remembers
