@@ -106,7 +106,7 @@ def test_budgets_of_any_sizes(spark, sizes):
 
 def plain_collocations(rows, least, longest=5, most=2000, share=100):
     n, f = Counter(), Counter()
-    for _, text, lang, _ in rows:
+    for _, text, lang, *_ in rows:
         lang = "und" if lang is None else lang
         for piece in re.split("[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")):
             w = re.findall("[^ \t]+", piece)
