@@ -253,10 +253,11 @@ def landed_archive(spark: SparkSession, sf_dir: str) -> str:
 
 def single_document(spark: SparkSession, sf_dir: str, path: str) -> None:
     """All CloudTrail records as one ``Records`` document (``.json``), which one task writes; its last value is a null."""
-    recs = ct_raw_records(spark, sf_dir).select(F.concat(F.to_json("rec"), F.lit(",")).alias("value"))
-    first, last = (spark.range(1).select(F.lit(t).alias("value")) for t in ('{"Records":[', "null]}"))
+    recs = ct_raw_records(spark, sf_dir).select(F.lit(1).alias("at"), F.concat(F.to_json("rec"), F.lit(",")).alias("value"))
+    first, last = (spark.range(1).select(F.lit(at).alias("at"), F.lit(t).alias("value")) for at, t in ((0, '{"Records":['), (2, "null]}")))
     folder = landing_folder(spark, "document")
-    first.union(recs).union(last).coalesce(1).write.text(folder)
+    # coalesce keeps no order of partitions
+    first.union(recs).union(last).coalesce(1).sortWithinPartitions("at").select("value").write.text(folder)
     hadoop = spark._jvm.org.apache.hadoop.fs
     files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(hadoop.Path(path))
