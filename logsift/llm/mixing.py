@@ -91,7 +91,7 @@ def word_budgets(sources: DataFrame, most: int) -> DataFrame:
         if raised == level:
             break
         level = raised
-    share = F.col("weight").cast("double") * F.lit(float(level.numerator)) / F.lit(float(level.denominator))
+    share = F.col("weight").cast("double") * F.lit(float(level))
     return sources.withColumn("target", F.least(share, F.col("source_size").cast("double") * F.lit(float(most))))
 
 
