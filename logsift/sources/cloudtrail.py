@@ -14,7 +14,8 @@ others.  Every record is then decoded by itself into a struct of the wanted
 fields; a repeated key takes its last value.  Everything runs per row inside
 the scan stage: no shuffle.  ``.jsonl`` files (and any other files whose names
 match ``lines_regex``) are read line by line, so a large JSON-Lines file is
-split across tasks.  :func:`cloudtrail_rejects` lists what was not decoded.
+split across tasks; so are large files of other names that turn out to hold JSON
+Lines (:func:`large_line_files`).  :func:`cloudtrail_rejects` lists what was not decoded.
 """
 
 from __future__ import annotations
@@ -50,6 +51,9 @@ _EMPTY_JSON = ["", "{}", "[]", "null", "false", "0", '""']
 
 
 LINES_REGEX = r"(?i:\.jsonl$)"
+LARGE_BYTES = 16 << 20     # files above it are read whole only if they hold one document
+LARGE_GZIP = 1 << 20       # of gzip files, which hold about 16 times as much
+BY_LINE = {"lineSep": "\n"}  # the line ends that documents are split at
 _BAD = "_bad"
 _ROOT = f"struct<Records:array<string>,{_BAD}:string>"
 _OPTIONS = {"columnNameOfCorruptRecord": _BAD}
@@ -223,15 +227,42 @@ def parse_cloudtrail_lines(lines: DataFrame, offsets: dict | None = None, column
     return with_identity_columns(project_records(line_records(lines, rejects), offsets, columns))
 
 
+def is_large(size: Column, gzip: Column) -> Column:
+    return size > F.when(gzip, LARGE_GZIP).otherwise(LARGE_BYTES)
+
+
+def large_line_files(spark: SparkSession, path: str | list[str], name_regex: str, lines_regex: str = LINES_REGEX, **options) -> list[str]:
+    """The large files (:func:`is_large`) that :func:`_opened` would read line by line: more than one line that isn't blank,
+    the first of which parses alone.  ``lines_regex`` names those that need no look.
+
+    The lines that begin in the first block of these files are parsed for it; a row per file comes to the driver,
+    which has listed the files.
+    """
+    name = F.col("_metadata.file_name")
+    large = is_large(F.col("_metadata.file_size"), name.rlike(r"(?i:\.gz$)"))
+    options = options | {"options": (options.get("options") or {}) | BY_LINE}
+    rows = read_text_files(spark, path, name_regex, where=large & ~name.rlike(lines_regex),
+                           extra={"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start")}, **options)
+    # ids rise along a block, which one task reads
+    lines = rows.where("start = 0").select("file", F.monotonically_increasing_id().alias("id"), strip_ws("value").alias("line")).where("line <> ''")
+    seen = lines.select("file", "id", _parses(F.col("line")).alias("parses")).groupBy("file").agg(
+        F.min("id").alias("first"), F.min(F.when(F.col("parses"), F.col("id"))).alias("parsed"), F.count(F.lit(1)).alias("n"))
+    return [r.file for r in seen.where("first = parsed and n > 1").select("file").collect()]
+
+
 def raw_cloudtrail(spark: SparkSession, path: str | list[str], lines_regex: str | None = LINES_REGEX,
                    **options) -> tuple[DataFrame, DataFrame | None]:
     """The files of a CloudTrail directory as (whole documents, JSON-Lines rows)."""
     if lines_regex is None:
         return read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=True, **options), None
-    docs = read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=True, **options)
-    lines = read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=False, **options)
-    by_line = F.col("source_file").rlike(lines_regex)
-    return docs.where(~by_line), lines.where(by_line)
+    by_line, file = F.col("_metadata.file_name").rlike(lines_regex), F.col("_metadata.file_path")
+    lines = read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, where=by_line, **options)
+    large = large_line_files(spark, path, CLOUDTRAIL_NAME_REGEX, lines_regex, **options)
+    if not large:
+        return read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=True, where=~by_line, **options), lines
+    docs = read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, wholetext=True, where=~by_line & ~file.isin(large), **options)
+    options = options | {"options": (options.get("options") or {}) | BY_LINE}
+    return docs, lines.unionByName(read_text_files(spark, path, CLOUDTRAIL_NAME_REGEX, where=file.isin(large), **options))
 
 
 def read_cloudtrail(spark: SparkSession, path: str | list[str], lines_regex: str | None = LINES_REGEX,
@@ -241,7 +272,8 @@ def read_cloudtrail(spark: SparkSession, path: str | list[str], lines_regex: str
 
     Files are read as whole documents, one per row; those whose names match
     ``lines_regex`` (default ``.jsonl``) line by line: splittable, no per-file
-    memory bound.  Name large ``.json`` exports that hold JSON Lines there too.
+    memory bound.  Large files of other names that hold JSON Lines are read by line,
+    too; name them in ``lines_regex`` to save the look at them, which runs at once.
     ``jsonl_by_line=False`` reads everything as documents.
     """
     docs, lines = raw_cloudtrail(spark, path, lines_regex if jsonl_by_line else None, **options)

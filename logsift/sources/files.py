@@ -51,7 +51,8 @@ FLOW_NAME_REGEX = _suffix_regex(lookups.FLOW_FILE_SUFFIXES) + "|^" + lookups.FLO
 
 
 def read_text_files(spark: SparkSession, path: str | list[str], name_regex: str, wholetext: bool = False,
-                    ignore_corrupt: bool = False, options: dict | None = None) -> DataFrame:
+                    ignore_corrupt: bool = False, options: dict | None = None, where: Column | None = None,
+                    extra: dict[str, Column] | None = None) -> DataFrame:
     """``(value, source_file)`` rows from every matching file under ``path``.
 
     ``wholetext=True`` gives one row per file (whole document), else one row
@@ -60,6 +61,7 @@ def read_text_files(spark: SparkSession, path: str | list[str], name_regex: str,
     vanishes and a failing store end the job after its retries.  With
     ``ignore_corrupt`` a damaged file keeps the rows read before the damage and
     the scan goes on with the next file, without a count of what was lost.
+    ``where`` is another rule on ``_metadata``, ``extra`` are columns made from it.
     """
     reader = (spark.read.option("recursiveFileLookup", "true")
               .option("ignoreCorruptFiles", str(ignore_corrupt).lower()))
@@ -78,11 +80,12 @@ def read_text_files(spark: SparkSession, path: str | list[str], name_regex: str,
         found = []
         for p in paths:
             try:
-                found.append(read_text_files(spark, p, name_regex, wholetext, ignore_corrupt, options))
+                found.append(read_text_files(spark, p, name_regex, wholetext, ignore_corrupt, options, where, extra))
             except FileNotFoundError:
                 continue
         if not found:
             raise FileNotFoundError(f"no such path: {', '.join(paths)}") from exc
         return reduce(DataFrame.unionByName, found)
-    return (raw.filter(F.col("_metadata.file_name").rlike(name_regex))
-               .select(F.col("value"), F.col("_metadata.file_name").alias("source_file")))
+    named = F.col("_metadata.file_name").rlike(name_regex)
+    return (raw.filter(named if where is None else named & where)
+               .select(F.col("value"), F.col("_metadata.file_name").alias("source_file"), *[c.alias(n) for n, c in (extra or {}).items()]))

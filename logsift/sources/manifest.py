@@ -15,9 +15,11 @@ loaded task; their compressed bytes move once, then each task unpacks its own.
 from __future__ import annotations
 
 import heapq
+import re
 import sys
 import zlib
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -25,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cloudtrail import LINES_REGEX, parse_cloudtrail_docs, parse_cloudtrail_lines
+from .cloudtrail import BY_LINE, LINES_REGEX, is_large, large_line_files, parse_cloudtrail_docs, parse_cloudtrail_lines
 from .files import CLOUDTRAIL_NAME_REGEX, FLOW_NAME_REGEX, read_text_files
 from .s3 import parse_s3_lines
 from .vpc import parse_vpc_lines
@@ -215,6 +217,11 @@ def read_files(spark: SparkSession, files: DataFrame, wholetext: bool = False, i
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _plain_path(uri: str) -> str:
+    """The path as a listing has it, of a file's URI."""
+    return re.sub(r"^([\w+.-]+):/{2,}(?=/)", r"\1:", unquote(uri))
+
+
 def read_manifest(spark: SparkSession, files: DataFrame, log_type: str, ignore_corrupt: bool = False) -> DataFrame:
     """The parsed events of the files of a manifest selection."""
     empty = spark.createDataFrame([], "value string, source_file string")
@@ -222,7 +229,15 @@ def read_manifest(spark: SparkSession, files: DataFrame, log_type: str, ignore_c
         lines = read_files(spark, files, ignore_corrupt=ignore_corrupt)
         return {"vpc": parse_vpc_lines, "s3": parse_s3_lines}[log_type](empty if lines is None else lines)
     by_line = F.regexp_replace("name", r"(?i)\.gz$", "").rlike(LINES_REGEX)
-    docs = read_files(spark, files.where(~by_line), True, ignore_corrupt)
+    documents, large = files.where(~by_line), []
+    looked = [r.path for r in documents.where(is_large(F.col("bytes"), F.col("gzip"))).select("path").collect()]
+    if looked:
+        large = [_plain_path(p) for p in large_line_files(spark, looked, r"^", ignore_corrupt=ignore_corrupt)]
+        documents = documents.where(~F.col("path").isin(large))
+    docs = read_files(spark, documents, True, ignore_corrupt)
     lines = read_files(spark, files.where(by_line), False, ignore_corrupt)
+    if large:
+        more = read_text_files(spark, large, r"^", ignore_corrupt=ignore_corrupt, options=BY_LINE)
+        lines = more if lines is None else lines.unionByName(more)
     out = parse_cloudtrail_docs(empty if docs is None else docs)
     return out if lines is None else out.unionByName(parse_cloudtrail_lines(lines))

@@ -7,7 +7,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from logsift.sources import cloudtrail, manifest
 from logsift.sources.cloudtrail import identity_wide, read_cloudtrail
+from logsift.sources.files import Rejects
 from logsift.sources.s3 import read_s3_access
 from logsift.sources.vpc import read_vpc_flow
 
@@ -63,6 +65,30 @@ def test_cloudtrail_document_shapes(spark, tmp_dir):
     assert json.loads(row.user_identity["sessionContext"]) == {"attributes": {"mfaAuthenticated": "false"}}
 
 
+def test_large_json_lines_under_other_names_are_read_by_line(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(cloudtrail, "LARGE_BYTES", 3000, raising=False)
+    monkeypatch.setattr(cloudtrail, "LARGE_GZIP", 300, raising=False)
+    d = os.path.join(tmp_dir, "large files")
+    text = "\n \n" + "\r\n".join([json.dumps(_event(i, requestParameters={"text": "a\rb"})) for i in range(20)] + ["{broken", "7", json.dumps({"Records": [_event(20), 5]})])
+    _write(f"{d}/a b%20c.json", text)
+    _write(f"{d}/days/lines.json.gz", text, gz=True)
+    _write(f"{d}/days/few.json", json.dumps(_event(1)) + "\n" + json.dumps(_event(2)))
+    _write(f"{d}/one_line.json", json.dumps({"Records": [_event(i) for i in range(20)]}))
+    _write(f"{d}/pretty.json", json.dumps({"Records": [_event(i) for i in range(20)]}, indent=1))
+    _write(f"{d}/badfirst.json", "nope\n" + text)
+    _write(f"{d}/rows.jsonl", text)
+    docs, _ = cloudtrail.raw_cloudtrail(spark, d)
+    assert sorted(r.source_file for r in docs.collect()) == ["badfirst.json", "few.json", "one_line.json", "pretty.json"]
+    seen, whole_seen = Rejects(), Rejects()
+    by_line, whole = read_cloudtrail(spark, d, rejects=seen), read_cloudtrail(spark, d, jsonl_by_line=False, rejects=whole_seen)
+    assert sorted(map(str, by_line.collect())) == sorted(map(str, whole.collect())) and by_line.count() == 4 * 21 + 2 + 2 * 20
+    assert seen.total() == whole_seen.total() == 4 * 3 + 1
+    table = os.path.join(tmp_dir, "manifest")
+    manifest.update_manifest(spark, d, table, "cloudtrail")
+    got = manifest.read_manifest(spark, manifest.manifest_files(spark, table), "cloudtrail")
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_cloudtrail_jsonl_whole_document_mode(spark, tmp_dir):
     d = os.path.join(tmp_dir, "ct2")
     _write(f"{d}/x.jsonl", json.dumps(_event(1)) + "\n" + json.dumps({"Records": [_event(2), _event(3)]}))
