@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,7 +240,14 @@ def landed_archive(spark: SparkSession, sf_dir: str) -> str:
     day = F.split(F.substring("eventTime", 1, 10), "-")
     folder = landing_folder(spark, "days")
     dated = recs.withColumns({"__y": day[0], "__m": day[1], "__d": day[2]}).repartition("__y", "__m", "__d")
-    dated.select("__y", "__m", "__d", F.to_json(F.struct(*recs.columns)).alias("value")).write.option("compression", "gzip").partitionBy("__y", "__m", "__d").text(folder)
+    texts = dated.select("__y", "__m", "__d", F.to_json(F.struct(*recs.columns)).alias("value"))
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64")            # a task's days are written side by side, their rows unsorted
+    try:
+        texts.write.option("compression", "gzip").partitionBy("__y", "__m", "__d").text(folder)
+    finally:
+        spark.conf.set(key, before)
     hadoop = spark._jvm.org.apache.hadoop.fs
     files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     for part in files.globStatus(hadoop.Path(f"{folder}/__y=*/__m=*/__d=*/part-*")):
@@ -252,12 +260,19 @@ def landed_archive(spark: SparkSession, sf_dir: str) -> str:
 
 
 def single_document(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """All CloudTrail records as one ``Records`` document (``.json``), which one task writes; its last value is a null."""
-    recs = ct_raw_records(spark, sf_dir).select(F.lit(1).alias("at"), F.concat(F.to_json("rec"), F.lit(",")).alias("value"))
-    first, last = (spark.range(1).select(F.lit(at).alias("at"), F.lit(t).alias("value")) for at, t in ((0, '{"Records":['), (2, "null]}")))
+    """All CloudTrail records as one ``Records`` document (``.json``), which one task writes as they come; its last value is a null."""
+    recs = ct_raw_records(spark, sf_dir).select(F.concat(F.to_json("rec"), F.lit(",")).alias("value"))
     folder = landing_folder(spark, "document")
-    # coalesce keeps no order of partitions
-    first.union(recs).union(last).coalesce(1).sortWithinPartitions("at").select("value").write.text(folder)
+
+    def framed(batches):
+        yield pa.record_batch([pa.array(['{"Records":['])], names=["value"])
+        for b in batches:
+            yield pa.record_batch([b.column("value").drop_null()], names=["value"])
+        yield pa.record_batch([pa.array(["null]}"])], names=["value"])
+
+    # a row without a value, so that there is a task if there are no records
+    nothing = spark.range(1).select(F.lit(None).cast("string").alias("value"))
+    recs.union(nothing).repartition(1).mapInArrow(framed, "value string").write.text(folder)
     hadoop = spark._jvm.org.apache.hadoop.fs
     files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(hadoop.Path(path))

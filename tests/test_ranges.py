@@ -79,6 +79,37 @@ def test_one_large_document_in_many_tasks(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_the_writers_of_large_files_sort_nothing(spark, tmp_dir, monkeypatch):
+    """A task that sorted what it writes would hold a whole document, or a whole day."""
+    frame, writer, writers = type(spark.range(1)), type(spark.range(1).write), []
+    key, text = "spark.sql.maxConcurrentOutputFileWriters", writer.text
+
+    def sort(*a, **b):
+        raise AssertionError("sorted")
+
+    def write(self, path, *a, **b):
+        writers.append(int(spark.conf.get(key)))
+        return text(self, path, *a, **b)
+
+    monkeypatch.setattr(frame, "sortWithinPartitions", sort)
+    monkeypatch.setattr(writer, "text", write)
+    before = spark.conf.get(key)
+    fx.single_document(spark, SF, os.path.join(tmp_dir, "doc"))
+    with open(os.path.join(tmp_dir, "doc", "document.json")) as f:
+        doc = json.load(f)["Records"]
+    events = fx.table(spark, SF, "events").count()
+    assert doc[-1] is None and len({r["eventID"] for r in doc[:-1]}) == len(doc) - 1 == events
+    root = fx.landed_archive(spark, SF)
+    assert writers[1] > 0 and spark.conf.get(key) == before      # without writers side by side, Spark sorts by folder
+    assert read_cloudtrail(spark, root, columns=["event_id"]).count() == events
+
+
+def test_no_events_make_an_empty_document(spark, tmp_dir):
+    fx.table(spark, SF, "events").limit(0).write.parquet(os.path.join(tmp_dir, "none", "events.parquet"))
+    fx.single_document(spark, os.path.join(tmp_dir, "none"), os.path.join(tmp_dir, "doc"))
+    assert read_cloudtrail(spark, os.path.join(tmp_dir, "doc")).count() == 0
+
+
 def test_files_in_groups(spark, tmp_dir, small_ranges, monkeypatch):
     rng = random.Random(9)
     for n in range(4):
