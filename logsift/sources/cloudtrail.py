@@ -96,13 +96,12 @@ def _opened(docs: DataFrame) -> DataFrame:
     (a complete value followed by more content cannot be one JSON document).
     """
     text = F.col("value")
-    first = strip_ws(F.regexp_extract(text, r"^\s*([^\n]*)", 1))
     # columns of their own: inside the generator every reference would run them again
-    staged = docs.select(
-        "value", "source_file", F.regexp_extract(text, r"^\s*(\S)", 1).alias("head"),
-        text.rlike(r"^\s*\S[^\n]*\n\s*\S").alias("more_lines"))
+    staged = docs.select("value", "source_file", strip_ws(text).alias("stripped"))
+    staged = staged.select("value", "source_file", F.substring("stripped", 1, 1).alias("head"), F.col("stripped").contains("\n").alias("more_lines"),
+                           strip_ws(F.when(F.col("stripped").contains("\n"), F.substring_index("stripped", "\n", 1))).alias("first"))
     # a document on one line is parsed once, as a whole
-    staged = staged.withColumn("first_parses", F.coalesce(F.when(F.col("more_lines"), _parses(first)), F.lit(False)))
+    staged = staged.withColumn("first_parses", F.coalesce(F.when(F.col("more_lines"), _parses(F.col("first"))), F.lit(False)))
     staged = staged.withColumn("root", F.when(F.col("head") == "{", F.from_json(text, _ROOT, _OPTIONS)))
     staged = staged.withColumn("whole", F.when(F.col("head") == "[", F.from_json(text, "array<string>"))
                                .otherwise(_wrapped(F.col("root"), text)))
@@ -112,8 +111,9 @@ def _opened(docs: DataFrame) -> DataFrame:
     cut = staged.select(
         F.when(~lines, F.col("whole")).alias("whole"), "source_file",
         F.when(lines, F.transform(F.split(text, "\n"), lambda ln: strip_ws(ln))).otherwise(no_line).alias("lines"))
-    texts = cut.select("whole", "source_file", F.explode("lines").alias("line"))
-    by_line = _opened_lines(texts.where(F.col("whole").isNotNull() | (F.col("line") != "")))
+    # an expression is exploded: for a column, Spark would infer a filter on its size and run everything above in it again
+    line = F.explode(F.filter("lines", lambda ln: ln.isNull() | (ln != "")))
+    by_line = _opened_lines(cut.select("whole", "source_file", line.alias("line")))
     return by_line.select(F.coalesce("whole", "records").alias("records"), "source_file")
 
 
@@ -193,7 +193,7 @@ def project_records(records: DataFrame, offsets: dict | None = None, columns: li
         else:
             cols.append(F.lower(r[key]).try_cast("boolean").alias(name))
     if identity:
-        cols.append(F.transform_values(_last_wins(r["userIdentity"]), lambda k, v: blank_to_null(_compact(v))).alias("user_identity"))
+        cols.append(F.transform_values(_last_wins(r["userIdentity"]), lambda k, v: _compact(blank_to_null(v))).alias("user_identity"))
     staged = typed.select(*cols, "source_file")
     out = {name: _drop_empty_json(F.col(name)) if kind == "j" else F.col(name) for _, name, kind in wanted if name != "event_time_text"}
     if "event_time_text" in staged.columns:
