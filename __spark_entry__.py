@@ -34,6 +34,7 @@ from logsift.operators import s3 as s3a  # noqa: E402
 from logsift.operators import topn, vpc  # noqa: E402
 from logsift.operators.enrich import read_tactic_file, tactic_lookup  # noqa: E402
 from logsift.plans import bundle, states  # noqa: E402
+from logsift.session import materialize  # noqa: E402
 from logsift.sources.cloudtrail import cloudtrail_rejects, identity_keys, identity_wide, parse_cloudtrail_docs, read_cloudtrail  # noqa: E402
 from logsift.sources import manifest  # noqa: E402
 from logsift.sources.parsed import load_parsed  # noqa: E402
@@ -264,7 +265,7 @@ def _export(log_type, frame):
 
 def _load_ct_csv(s, d):
     """CloudTrail in the original CSV layout, with a column for every key that the identities have."""
-    path, parsed = fx.landing_folder(s, "ct-csv"), _ct_parsed(s, d)
+    path, parsed = fx.landing_folder(s, "ct-csv"), materialize(_ct_parsed(s, d), "table")     # two passes read it
     keys = sorted(r.key for r in identity_keys(parsed).collect())       # distinct keys of a record element
     bundle.export_frame(parsed, "cloudtrail", keys).write.option("header", "true").option("escape", '"').csv(path)
     return _ct_columns(load_parsed(s, path, "cloudtrail", fmt="csv")).drop("source_file")

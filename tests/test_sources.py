@@ -89,6 +89,32 @@ def test_large_json_lines_under_other_names_are_read_by_line(spark, tmp_dir, mon
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
 
 
+def test_a_document_is_parsed_once(spark):
+    """No filter below the projections that parse: it would hold the parsing again, several times over."""
+    text = " \t\n" + json.dumps(_event(1), indent=1)
+    docs = spark.createDataFrame([(text, "a.json"), (json.dumps([_event(2)]) + "\n", "b.json"), ("\x0b{\n", "c.json"), (" \n", "d.json"), (None, "e.json")],
+                                 "value string, source_file string").repartition(1)
+    found = cloudtrail.document_records(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "from_json" in line]
+    assert plan.count("ArrayType(StringType,true),true)") <= 2                   # the root of a document, and of a line
+    assert sorted(r.source_file for r in found.collect()) == ["a.json", "b.json"]
+    assert {r.source_file: r.rejected for r in cloudtrail.cloudtrail_rejects(docs).collect()} == {"c.json": 1}
+
+
+def test_the_csv_round_trip_parses_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    parsed, plans = [], []
+    keys, parse = entry.identity_keys, entry.parse_cloudtrail_docs
+    monkeypatch.setattr(entry, "parse_cloudtrail_docs", lambda *a: parsed.append(parse(*a)) or parsed[-1])
+    monkeypatch.setattr(entry, "identity_keys", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keys(df))
+    sf = "/root/testdata/sf0.001"
+    out = entry.queries()["load_cloudtrail_csv"](spark, sf)
+    assert len(parsed) == len(plans) == 1 and "from_json" not in plans[0]
+    assert out.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
 def test_cloudtrail_jsonl_whole_document_mode(spark, tmp_dir):
     d = os.path.join(tmp_dir, "ct2")
     _write(f"{d}/x.jsonl", json.dumps(_event(1)) + "\n" + json.dumps({"Records": [_event(2), _event(3)]}))
