@@ -193,7 +193,7 @@ def _bundle(log_type, frame):
 def _incremental(log_type, frame, table):
     """A ranked table from states kept by days: three deliveries, the second first with half of its events."""
     def run(s, d):
-        events, path = frame(s, d), fx.landing_folder(s, "states")
+        events, path = materialize(frame(s, d), "table"), fx.landing_folder(s, "states")     # read once per delivery
         third = F.coalesce(F.dayofmonth(states.TIME_COLUMN[log_type]) % 3, F.lit(0))
         part = [events.where(third == i) for i in range(3)]
         for delivery in (part[0], part[1].where(F.pmod(F.xxhash64(F.struct(*[c for c, t in events.dtypes if not t.startswith("map")])), F.lit(2)) == 0),

@@ -68,20 +68,52 @@ def _cloudtrail_entries(df: DataFrame, user_field: str | list[str]) -> tuple[Dat
     return df, F.concat(F.array_compact(fixed), failed)
 
 
-def _vpc_entries(df: DataFrame) -> tuple[DataFrame, Column]:
+def _vpc_sums(df: DataFrame) -> DataFrame:
+    """Flows -> sums by event date and, as ``part`` says, by pair of addresses, by port, or by both (remote access at
+    night): about two rows a flow, of which the dimensions that share keys are made afterwards."""
     df = df.withColumns({"__seconds": vpca.flow_duration_seconds(df), "__night": night_window(F.hour("window_start"))})
     src, dst, port, protocol = (F.col(c) for c in ("srcaddr", "dstaddr", "dstport", "protocol"))
-    sums = {"s1": F.col("bytes"), "s2": F.col("packets")}
     pair = src.isNotNull() & dst.isNotNull()
     remote = pair & F.col("__night") & protocol.isNotNull() & port.isin([int(p) for p in lookups.REMOTE_ACCESS_PORTS])
-    return df, F.array_compact(F.array(
-        _entry(DAY),
-        F.when(src.isNotNull(), _entry("ip", src, F.lit(vpca.TYPE_SOURCE), **sums)),
-        F.when(dst.isNotNull(), _entry("ip", dst, F.lit(vpca.TYPE_DESTINATION), **sums)),
-        F.when(port.isNotNull() & protocol.isNotNull(), _entry("port", port, protocol, **sums)),
-        F.when(remote, _entry("night_remote", src, dst, port, protocol, **sums)),
-        F.when(pair & (F.col("__seconds") > 0), _entry("session", src, dst, longest=F.col("__seconds"), **sums)),
-        F.when(pair, _entry("connection", src, dst, **sums))))
+
+    def part(name: str, *keys: str) -> Column:
+        return F.struct(F.lit(name).alias("part"), *[(F.col(c) if c in keys else F.lit(None).cast(df.schema[c].dataType)).alias(c)
+                                                     for c in ("srcaddr", "dstaddr", "dstport", "protocol")])
+
+    parts = F.array_compact(F.array(
+        part("pair", "srcaddr", "dstaddr"), F.when(port.isNotNull() & protocol.isNotNull(), part("port", "dstport", "protocol")),
+        F.when(remote, part("remote", "srcaddr", "dstaddr", "dstport", "protocol"))))
+    each = df.select(
+        F.to_date("window_start").alias("event_date"), F.col("bytes").cast("bigint").alias("bytes"), F.col("packets").cast("bigint").alias("packets"),
+        F.when(pair & (F.col("__seconds") > 0), F.col("__seconds")).cast("bigint").alias("seconds"), F.explode(parts).alias("e"))
+    timed = F.col("seconds").isNotNull()
+    return each.select("event_date", "e.*", "bytes", "packets", "seconds").groupBy("event_date", "part", "srcaddr", "dstaddr", "dstport", "protocol").agg(
+        F.count(F.lit(1)).alias("flows"), sum0("bytes").alias("bytes"), sum0("packets").alias("packets"), F.count("seconds").alias("sessions"),
+        sum0(F.when(timed, F.col("bytes"))).alias("session_bytes"), sum0(F.when(timed, F.col("packets"))).alias("session_packets"),
+        F.max("seconds").alias("longest"))
+
+
+def _vpc_states(df: DataFrame) -> DataFrame:
+    src, dst, port, protocol = (F.col(c) for c in ("srcaddr", "dstaddr", "dstport", "protocol"))
+
+    def entry(dim: str, *keys: Column, n: str = "flows", s1: Column = F.col("bytes"), s2: Column = F.col("packets"), longest: Column | None = None) -> Column:
+        return F.struct(F.col(n).alias("n"), *[_entry(dim, *keys, s1=s1, s2=s2, longest=longest)[c].alias(c) for c in (*KEYS, "s1", "s2", "longest")])
+
+    paired, none = F.col("part") == "pair", F.lit(0)
+    pair = paired & src.isNotNull() & dst.isNotNull()
+    entries = F.array_compact(F.array(
+        F.when(paired, entry(DAY, s1=none, s2=none)),
+        F.when(paired & src.isNotNull(), entry("ip", src, F.lit(vpca.TYPE_SOURCE))),
+        F.when(paired & dst.isNotNull(), entry("ip", dst, F.lit(vpca.TYPE_DESTINATION))),
+        F.when(F.col("part") == "port", entry("port", port, protocol)),
+        F.when(F.col("part") == "remote", entry("night_remote", src, dst, port, protocol)),
+        F.when(pair & (F.col("sessions") > 0), entry("session", src, dst, n="sessions", s1=F.col("session_bytes"), s2=F.col("session_packets"),
+                                                     longest=F.col("longest"))),
+        F.when(pair, entry("connection", src, dst))))
+    each = _vpc_sums(df).select("event_date", F.explode(entries).alias("e")).select("event_date", "e.*")
+    summed = each.groupBy("event_date", *KEYS).agg(F.sum("n").alias("n"), _total("s1"), _total("s2"), F.max("longest").alias("longest"))
+    times = {c: F.lit(None).cast("timestamp_ntz") for c in ("first_utc", "first_local", "last_utc", "last_local")}
+    return summed.withColumns(times).select(*KEYS, *VALUES, "event_date")
 
 
 def _s3_entries(df: DataFrame) -> tuple[DataFrame, Column]:
@@ -95,8 +127,9 @@ def _s3_entries(df: DataFrame) -> tuple[DataFrame, Column]:
 
 def event_states(df: DataFrame, log_type: str, user_field: str | list[str] = "user_name") -> DataFrame:
     """Parsed events -> their states by event date (``SCHEMA``)."""
-    named, entries = {"cloudtrail": lambda: _cloudtrail_entries(df, user_field), "vpc": lambda: _vpc_entries(df),
-                      "s3": lambda: _s3_entries(df)}[log_type]()
+    if log_type == "vpc":
+        return _vpc_states(df)
+    named, entries = {"cloudtrail": lambda: _cloudtrail_entries(df, user_field), "s3": lambda: _s3_entries(df)}[log_type]()
     each = named.select(F.to_date(TIME_COLUMN[log_type]).alias("event_date"), F.explode(entries).alias("e")).select("event_date", "e.*")
     return each.groupBy("event_date", *KEYS).agg(
         F.count(F.lit(1)).alias("n"), sum0("s1").alias("s1"), sum0("s2").alias("s2"), F.max("longest").alias("longest"),
@@ -104,13 +137,15 @@ def event_states(df: DataFrame, log_type: str, user_field: str | list[str] = "us
         F.max("local").alias("last_local")).select(*KEYS, *VALUES, "event_date")
 
 
+def _total(c: str) -> Column:
+    """A sum of sums; one that is beyond bigint (NULL) makes it NULL."""
+    return F.when(F.count(c) == F.count(F.lit(1)), F.try_sum(c)).alias(c)
+
+
 def merged_states(states: DataFrame) -> DataFrame:
     """States of days -> states of the whole time; a sum that is beyond bigint (NULL) stays so."""
-    def total(c: str) -> Column:
-        return F.when(F.count(c) == F.count(F.lit(1)), F.try_sum(c)).alias(c)
-
     return states.groupBy(*KEYS).agg(
-        F.sum("n").alias("n"), total("s1"), total("s2"), F.max("longest").alias("longest"), F.min("first_utc").alias("first_utc"),
+        F.sum("n").alias("n"), _total("s1"), _total("s2"), F.max("longest").alias("longest"), F.min("first_utc").alias("first_utc"),
         F.min("first_local").alias("first_local"), F.max("last_utc").alias("last_utc"), F.max("last_local").alias("last_local"))
 
 

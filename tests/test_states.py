@@ -1,6 +1,7 @@
 """Mergeable states: the same tables as the analyses over events, by one pass or by days."""
 
 import os
+import random
 import shutil
 
 import pytest
@@ -120,3 +121,37 @@ def test_sums_beyond_bigint_stay_null_when_merged(spark):
         F.lit(22).cast("long").alias("dstport"), F.lit(6).cast("long").alias("protocol"))
     tables = states.ranked_tables(states.merged_states(states.event_states(df, "vpc")), "vpc")
     same(tables["Connection_Statistics_(Top_20)"], vpc.vpc_top_connections(df))
+
+
+def test_flows_are_summed_before_the_dimensions(spark):
+    """A flow makes a row or so for its pair and one for its port, not one for every dimension; the states are those of every dimension by itself."""
+    from datetime import datetime
+
+    rng, top = random.Random(5), 9223372036854775000
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, "c"]), rng.choice([None, 22, 443]), rng.choice([None, 6]), rng.choice([None, 1, 5, top]),
+             rng.choice([None, 2]), start, None if start is None or rng.random() < 0.2 else datetime(2024, 1, 1, 23, rng.choice([0, 30])))
+            for start in [rng.choice([None, datetime(2024, 1, 1, 23, 10), datetime(2024, 1, 1, 12), datetime(2023, 12, 31, 2)]) for _ in range(300)]]
+    flows = spark.createDataFrame(rows, "srcaddr string, dstaddr string, dstport bigint, protocol bigint, bytes bigint, packets bigint, "
+                                        "window_start timestamp_ntz, window_end timestamp_ntz")
+    found = states.event_states(flows, "vpc")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    kinds = [line.split()[0] if line.split()[0] in ("Aggregate", "Generate") else None for line in (x.lstrip(" +-:") for x in plan.splitlines()) if line.split()]
+    assert [k for k in kinds if k] == ["Aggregate", "Generate", "Aggregate", "Generate"]
+    want = {}
+    for src, dst, port, protocol, n_bytes, packets, start, end in rows:
+        day, seconds = start and start.date(), (end - start).total_seconds() if start and end else None
+        night = start is not None and (start.hour >= 22 or start.hour < 6)
+        keys = [("day",)] + [("ip", src, vpc.TYPE_SOURCE)] * (src is not None) + [("ip", dst, vpc.TYPE_DESTINATION)] * (dst is not None)
+        keys += [("port", str(port), str(protocol))] * (port is not None and protocol is not None)
+        if src and dst:
+            keys += [("connection", src, dst)] + [("session", src, dst)] * (seconds is not None and seconds > 0)
+            keys += [("night_remote", src, dst, str(port), str(protocol))] * (night and port == 22 and protocol is not None)
+        for key in keys:
+            w = want.setdefault((*key, *[None] * (5 - len(key)), day), [0, 0, 0, None])
+            w[0] += 1
+            if key[0] != "day":
+                w[1], w[2] = w[1] + (n_bytes or 0), w[2] + (packets or 0)
+            if key[0] == "session":
+                w[3] = max(w[3] or 0, seconds)
+    got = {(r.dim, r.k1, r.k2, r.k3, r.k4, r.event_date): [r.n, r.s1, r.s2, r.longest] for r in found.collect()}
+    assert got == {k: [n, None if s1 > 2 ** 63 - 1 else s1, s2, longest] for k, (n, s1, s2, longest) in want.items()}
